@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules
+from . import mixing, pieces, quality_rules, simhash, token_files, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,5 +20,33 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op9_quality_rules)}
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def digests(rows: DataFrame) -> DataFrame:
+    """op3's columns from encode_pieces()."""
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.element_at("ends", -1).cast("long").alias("n_bytes"))
+
+
+def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_groups(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(pieces.encode_pieces(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_files.token_files(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return rows.select("doc_id", "start", F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op1_vector_dedup, op2_simhash, op3_sentencepiece, op8_token_files, op5_mix_sources, op9_quality_rules)}
 ORACLE: dict[str, str] = {}

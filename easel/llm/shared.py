@@ -7,11 +7,15 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from easel.plans.ship import ship
+
 #: The word rule of every operator here: maximal runs of other bytes than space and \t..\r.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,18 +67,36 @@ def fold_of(doc_id: int | None, n: int = 5) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % n
 
 
-def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow over fn(dict of Python column lists) -> dict of columns, or None for no rows."""
+def map_batches(df: DataFrame, fn, schema: str, weight: str | None = None, most: int = 4 << 20) -> DataFrame:
+    """mapInArrow over fn(dict of Arrow columns) -> dict of columns, or None for no rows.
+
+    With weight (a binary column), fn sees so many rows at a time that their bytes stay under `most`, or one row.
+    """
+    ship(df.sparkSession)
     names = T._parse_datatype_string(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows and (got := fn({n: b.column(n) for n in b.schema.names})) is not None:
-                yield pa.RecordBatch.from_arrays([got[n] if isinstance(got[n], pa.Array) else pa.array(got[n]) for n in names], names)
+            cuts = [0, b.num_rows]
+            if weight is not None:
+                ends, cuts = np.cumsum(pc.fill_null(pc.binary_length(b.column(weight)), 0).to_numpy(zero_copy_only=False)), [0]
+                while cuts[-1] < b.num_rows:
+                    before = ends[cuts[-1] - 1] if cuts[-1] else 0
+                    cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, before + most, "right"))))
+            for i, j in zip(cuts, cuts[1:]):
+                if j > i and (got := fn({n: b.column(n).slice(i, j - i) for n in b.schema.names})) is not None:
+                    yield pa.RecordBatch.from_arrays([got[n] if isinstance(got[n], pa.Array) else pa.array(got[n]) for n in names], names)
 
     return df.mapInArrow(run, schema)
 
 
+def list_array(values: np.ndarray, lengths) -> pa.Array:
+    """A list column from its flat values and each row's length."""
+    ends = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected links: (node, root), root the smallest node reachable.
 
