@@ -90,6 +90,36 @@ def map_batches(df: DataFrame, fn, schema: str, weight: str | None = None, most:
     return df.mapInArrow(run, schema)
 
 
+def map_runs(df: DataFrame, keys: list[str], order: list[str], fn, schema: str, hold: int = 1 << 16) -> DataFrame:
+    """fn over batches of whole runs of equal keys, sorted by keys and order; dict of numpy columns in and out.
+
+    Rows are dealt out by keys[0] and streamed in sorted order; a batch ends where keys[0] changes.
+    """
+    ship(df.sparkSession)
+    names = T._parse_datatype_string(schema).names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, need, cols = [], 0, hold, df_columns
+        for b in batches:
+            held.append({c: b.column(c).to_numpy(zero_copy_only=False) for c in cols})
+            size += b.num_rows
+            if size >= need:
+                whole = {c: np.concatenate([h[c] for h in held]) for c in cols}
+                k = whole[keys[0]]
+                cut = int(np.searchsorted(k, k[-1]))
+                held, size = [{c: x[cut:] for c, x in whole.items()}], len(k) - cut
+                need = max(hold, 2 * size)
+                if cut:
+                    got = fn({c: x[:cut] for c, x in whole.items()})
+                    yield pa.RecordBatch.from_arrays([pa.array(got[n]) for n in names], names)
+        if size:
+            got = fn({c: np.concatenate([h[c] for h in held]) for c in cols})
+            yield pa.RecordBatch.from_arrays([pa.array(got[n]) for n in names], names)
+
+    df_columns = df.columns
+    return df.repartition(keys[0]).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def list_array(values: np.ndarray, lengths) -> pa.Array:
     """A list column from its flat values and each row's length."""
     ends = np.zeros(len(lengths) + 1, np.int32)

@@ -10,7 +10,6 @@ components as all links without writing all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -20,14 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, map_batches, stage, text_bytes
+from .shared import components, map_batches, map_runs, stage, text_bytes
 
 SEED = 42
 MAX_BITS = 4
 _GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 _SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: From this size, members of a key are compared in pairs of blocks, dealt out again.
-HOT_KEY = 4096
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = SEED, piece: int = 1 << 16) -> int:
@@ -94,35 +91,21 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def forest(left: np.ndarray, right: np.ndarray | None = None, most: int = MAX_BITS) -> list[tuple[int, int]]:
-    """Links that connect what links of up to `most` bits connect among left, or between left and right.
+def forest(rest: np.ndarray, most: int = MAX_BITS) -> list[tuple[int, int]]:
+    """Links that connect what all links of up to `most` bits among these connect.
 
     Each member found takes all members not yet found that are near it, so a dense group costs a few passes.
     """
     links = []
-    if right is None:
-        rest = left
-        while len(rest):
-            queue, rest = [rest[0]], rest[1:]
-            while queue and len(rest):
-                x = queue.pop()
-                near = np.bitwise_count(rest ^ x) <= most
-                if near.any():
-                    links += [(x, y) for y in rest[near]]
-                    queue += list(rest[near])
-                    rest = rest[~near]
-        return links
-    sides = [left, right]
-    while len(sides[0]) and len(sides[1]):
-        queue, sides[0] = [(0, sides[0][0])], sides[0][1:]
-        while queue:
-            side, x = queue.pop()
-            other = sides[1 - side]
-            near = np.bitwise_count(other ^ x) <= most
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            near = np.bitwise_count(rest ^ x) <= most
             if near.any():
-                links += [(x, y) for y in other[near]]
-                queue += [(1 - side, y) for y in other[near]]
-                sides[1 - side] = other[~near]
+                links += [(x, y) for y in rest[near]]
+                queue += list(rest[near])
+                rest = rest[~near]
     return links
 
 
@@ -146,11 +129,7 @@ def links_of_runs(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.nda
     return pair[0], pair[1]
 
 
-def _link_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["fa", "fb"])
-
-
-def fingerprint_links(classes: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
+def fingerprint_links(classes: DataFrame) -> DataFrame:
     """(fa, fb): enough links between distinct fingerprints (column fp) to give their components."""
 
     def with_keys(cols: dict) -> dict:
@@ -159,29 +138,12 @@ def fingerprint_links(classes: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
         return {"key": pa.array(keys), "fp": pa.array(fps[rows])}
 
     keyed = map_batches(classes.select("fp", F.lit(b"12345678").alias("w")), with_keys, "key long, fp long", "w", 8 * 4096)
-    placed = keyed.repartition("key").sortWithinPartitions("key")
-
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # a run may go on in the next batch
-        size, need = 0, 1 << 16
-
-        def flush(last: bool):
-            nonlocal held, size, need
-            k, f = (np.concatenate(x) for x in zip(*held))
-            cut = len(k) if last else int(np.searchsorted(k, k[-1]))
-            held, size = [(k[cut:], f[cut:])], len(k) - cut
-            need = max(1 << 16, 2 * size)
-            return _link_batch(*links_of_runs(k[:cut], f[:cut])) if cut else None
-
-        for b in batches:
-            held.append((b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)))
-            size += b.num_rows
-            if size >= need and (out := flush(False)) is not None:
-                yield out
-        if size and (out := flush(True)) is not None:
-            yield out
-
-    return placed.mapInArrow(within, "fa long, fb long").distinct()
+
+    def within(cols: dict) -> dict:
+        a, b = links_of_runs(cols["key"], cols["fp"].view(np.uint64))
+        return {"fa": a.view(np.int64), "fb": b.view(np.int64)}
+
+    return map_runs(keyed, ["key"], [], within, "fa long, fb long").distinct()
 
 
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
