@@ -1,27 +1,31 @@
 """Token ids in binary files: ids ranked by frequency, 1 to 4 data bytes each, lengths in separate control bytes.
 
 A file is a Parquet file of blocks, so that Spark commits it whole and reads it from any store. A block holds
-whole documents in ascending id order: their ids and lengths, 2-bit byte lengths four to a control byte, and
-the data bytes. Decoding looks the control bytes up in a table of 256 x 4 lengths.
+whole documents in ascending id order: their ids and lengths, the token ids of the block from the most to the
+least frequent, the ranks' 2-bit byte lengths four to a control byte, and the ranks' data bytes. Decoding looks
+the control bytes up in a table of 256 x 4 lengths. Ranking by block needs no pass over the corpus before, and
+lets each block be read alone.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from functools import lru_cache
+from bisect import bisect_left
+from functools import cached_property, lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import list_array, map_batches, shared_dir, stage, text_bytes
+from .shared import map_batches, shared_dir, text_bytes
 
-_KEEP = 400_000  # chunks that a worker remembers
+_KEEP = 400_000  # words that a worker remembers
 #: The lengths less one that a control byte stands for.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8)
+_BLOCK = "shard int, block long, first long, doc_ids array<long>, lengths array<int>, by_rank binary, control binary, data binary"
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -43,10 +47,10 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class Encoder:
-    """The tokenizers library, asked once per worker for each chunk of text.
+    """The tokenizers library, asked once per worker for each word.
 
-    Byte-level splitting always starts a new part at a space before a visible character, so chunks that start
-    there are encoded alone. Other tokenizers get whole texts.
+    Byte-level splitting starts a new part at a single space or line feed between visible characters, so words
+    are encoded alone, with their space. Texts with other white space, and other tokenizers, get whole texts.
     """
 
     def __init__(self, path: str):
@@ -60,24 +64,46 @@ class Encoder:
         self.apart = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec["normalizer"]
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.width = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        #: ids of words after a space, and of words at the start of a line
         self.chunks: dict[str, bytes] = {}
-        self.odd_space = re.compile(r" (?:\s|$)|[\x1c-\x1f\x85\xa0 ᠎ -     　]").search
+        self.heads: dict[str, bytes] = {}
+        #: white space that isn't one character between visible ones, or that libraries may see differently
+        self.odd_space = re.compile(r"\s\s|^\s|\s$|[^\S \n]|᠎").search
+
+    def _ask(self, texts: list[str], before: str = "") -> dict[str, bytes]:
+        got = self.library.encode_batch_fast([before + t for t in texts], add_special_tokens=False)
+        return {t: np.array(e.ids, self.width).tobytes() for t, e in zip(texts, got)}
+
+    @cached_property
+    def points(self) -> dict[str, bytes]:
+        return self._ask([".", ",", "\n"])
+
+    def _look_up(self, known: dict[str, bytes], words: list[str], before: str) -> list[bytes]:
+        try:
+            return [known[w] for w in words]
+        except KeyError:
+            pass
+        got, ask = {}, []
+        for w in {w for w in words if w not in known}:
+            # letters and what follows them are parts of their own, so a known word serves with its comma
+            stem = w[:-1]
+            if w[-1:] in self.points and stem in known and stem.isalpha() and max(stem) < "ɐ":
+                got[w] = known[stem] + self.points[w[-1]]
+            else:
+                ask.append(w)
+        got |= self._ask(ask, before)
+        if len(known) < _KEEP:
+            known |= got
+        return [got[w] if w in got else known[w] for w in words]
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, without special tokens put around it."""
-        if not self.apart or self.odd_space(text) or any(s in text for s in self.special):
+        if not text or not self.apart or self.odd_space(text) or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.width).tobytes()
-        first, *rest = text.split(" ")
-        known = self.chunks
-        try:
-            parts = [known[c] for c in rest]
-        except KeyError:
-            fresh = list({c for c in rest if c not in known})
-            got = {c: np.array(e.ids, self.width).tobytes() for c, e in zip(fresh, self.library.encode_batch_fast([" " + c for c in fresh], add_special_tokens=False))}
-            if len(known) < _KEEP:
-                known |= got
-            parts = [got[c] if c in got else known[c] for c in rest]
-        return np.array(self.library.encode(first, add_special_tokens=False).ids, self.width).tobytes() + b"".join(parts)
+        lines = [x.split(" ") for x in text.split("\n")]
+        heads = self._look_up(self.heads, [x[0] for x in lines], "")
+        tails = iter(self._look_up(self.chunks, [w for x in lines for w in x[1:]], " "))
+        return self.points["\n"].join([head + b"".join(islice(tails, len(x) - 1)) for head, x in zip(heads, lines)])
 
 
 @lru_cache(4)
@@ -88,98 +114,87 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
-    """(doc_id, ids): the ids with end_id, as little-endian numbers of 2 bytes, or 4 where the vocabulary needs it."""
+def tokenize(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, bounds: tuple[int, ...] = ()) -> DataFrame:
+    """(doc_id, ids, width, shard): the ids with end_id, as little-endian numbers of 2 bytes, or of 4 where the
+    vocabulary needs it; shard is how many of the ascending bounds are below the id."""
 
     def run(cols: dict) -> dict:
         e = _encoder(tokenizer_path)
         end = np.array([end_id], e.width).tobytes()
-        return {"doc_id": cols["doc_id"], "ids": pa.array([e.encode(t.as_py().decode("utf-8", "replace")) + end for t in cols["text"]], pa.binary()), "width": pa.array([e.width.itemsize] * len(cols["text"]), pa.int32())}
+        shard = [0 if d is None else bisect_left(bounds, d) for d in cols["doc_id"].to_pylist()]
+        return {"doc_id": cols["doc_id"], "ids": pa.array([e.encode(t.as_py().decode("utf-8", "replace")) + end for t in cols["text"]], pa.binary()), "width": pa.array([e.width.itemsize] * len(shard), pa.int32()), "shard": pa.array(shard, pa.int32())}
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text"))
-    return map_batches(rows, run, "doc_id long, ids binary, width int", "text")
+    return map_batches(rows, run, "doc_id long, ids binary, width int, shard int", "text")
 
 
-def id_ranks(tokens: DataFrame) -> np.ndarray:
-    """All ids of the corpus, most frequent first, ties by id. As long as the vocabulary at most."""
-
-    def count(batches):
-        total = np.zeros(0, np.int64)
-        for b in batches:
-            for ids, w in zip(b.column("ids"), b.column("width")):
-                n = np.bincount(np.frombuffer(ids.as_buffer(), f"<u{w.as_py()}"), minlength=len(total))
-                n[: len(total)] += total
-                total = n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
-
-    rows = tokens.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    return np.array([r["id"] for r in sorted(rows, key=lambda r: (-r["n"], r["id"]))], np.uint32)
-
-
-def write_tokens(tokens: DataFrame, path: str, block_tokens: int = 1 << 16) -> None:
-    """Write tokenize()'s rows in ascending doc_id order (null first, ties by the ids) to files at path, with
-    the rank table beside them in path/ranks."""
-    by_rank = id_ranks(tokens)
-    rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
+def _block(shard: int, block: int, first: int, held: list) -> pa.RecordBatch:
+    ids = np.concatenate([x for _, x in held])
+    n = np.bincount(ids)
+    by_rank = np.argsort(-n, kind="stable")[: np.count_nonzero(n)].astype("<u4")
+    rank = np.zeros(len(n), np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
-    spark = tokens.sparkSession
-    schema = "shard int, block long, first long, doc_ids array<long>, lengths array<int>, control binary, data binary"
+    control, data = pack(rank[ids])
+    values = ([shard], [block], [first], [[d for d, _ in held]], [[len(x) for _, x in held]], [by_rank.tobytes()], [control], [data])
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], [c.split()[0] for c in _BLOCK.split(", ")])
 
-    def blocks(batches):
-        shard, block, first, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
-        def packed():
-            ids = np.concatenate([x for _, x in held])
-            control, data = pack(rank[ids])
-            lengths = [len(x) for _, x in held]
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block]), pa.array([first]), pa.array([[d for d, _ in held]], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([control], pa.binary()), pa.array([data], pa.binary())], ["shard", "block", "first", "doc_ids", "lengths", "control", "data"])
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, block_tokens: int = 1 << 20) -> None:
+    """Tokenize and write files at path, ids in ascending order (null first, ties by the token ids)."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the ids' quantiles cut them into shards: one pass over the id column, and n numbers
+    cuts = docs.agg(F.percentile_approx(F.col(doc_id).cast("long"), [i / n for i in range(1, n)] or [0.5], 100 * n).alias("q")).first()["q"] or []
+    bounds = tuple(sorted(set(cuts)))
 
+    def blocks(batches):
+        shard, block, first, held, size = None, 0, 0, [], 0
         for b in batches:
-            for d, ids, w in zip(b.column("doc_id"), b.column("ids"), b.column("width")):
+            for s, d, ids, w in zip(*(b.column(c) for c in ("shard", "doc_id", "ids", "width"))):
+                if held and (s.as_py() != shard or size >= block_tokens):
+                    yield _block(shard, block, first, held)
+                    block, first, held, size = block + 1, first + size, [], 0
+                if s.as_py() != shard:
+                    shard, block, first = s.as_py(), 0, 0
                 held.append((d.as_py(), np.frombuffer(ids.as_py(), f"<u{w.as_py()}")))
                 size += len(held[-1][1])
-                if size >= block_tokens:
-                    yield packed()
-                    block, first, held, size = block + 1, first + size, [], 0
         if held:
-            yield packed()
+            yield _block(shard, block, first, held)
 
-    in_order = tokens.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    in_order.mapInArrow(blocks, schema).write.parquet(f"{path}/blocks")
-    spark.createDataFrame([(bytearray(by_rank.astype("<u4").tobytes()),)], "ids binary").write.parquet(f"{path}/ranks")
+    tokens = tokenize(docs, tokenizer_path, doc_id, text, end_id, bounds)
+    in_order = tokens.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    in_order.mapInArrow(blocks, _BLOCK).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids): what the files hold; start is the number of ids of all documents before it, ids
     are little-endian unsigned 32-bit numbers."""
-    by_rank = np.frombuffer(spark.read.schema("ids binary").parquet(f"{path}/ranks").first()["ids"], "<u4")
-    blocks = spark.read.schema("shard int, block long, first long, doc_ids array<long>, lengths array<int>, control binary, data binary").parquet(f"{path}/blocks")
+    blocks = spark.read.schema(_BLOCK).parquet(path)
+    # one number a shard, and there are at most as many shards as shuffle partitions
+    sizes = blocks.groupBy("shard").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, n: s + n)).alias("n")).orderBy("shard").collect()
+    base, total = {}, 0
+    for r in sizes:
+        base[r["shard"]] = total
+        total += r["n"]
 
     def unpacked(cols: dict) -> dict:
-        docs, lengths, texts, starts, shards = [], [], [], [], []
-        for s, f, d, n, c, x in zip(*(cols[k] for k in ("shard", "first", "doc_ids", "lengths", "control", "data"))):
+        docs, texts, starts = [], [], []
+        for s, f, d, n, r, c, x in zip(*(cols[k] for k in ("shard", "first", "doc_ids", "lengths", "by_rank", "control", "data"))):
             n = np.array(n.as_py(), np.int64)
-            ids = by_rank[unpack(c.as_buffer(), x.as_buffer(), int(n.sum()))].astype("<u4")
+            ids = np.frombuffer(r.as_py(), "<u4")[unpack(c.as_py(), x.as_py(), int(n.sum()))]
             ends = np.cumsum(n)
             docs += d.as_py()
-            starts += (ends - n + f.as_py()).tolist()
-            shards += [s.as_py()] * len(n)
+            starts += (ends - n + f.as_py() + base[s.as_py()]).tolist()
             texts += [ids[e - k : e].tobytes() for e, k in zip(ends, n)]
-        return {"doc_id": pa.array(docs, pa.int64()), "shard": pa.array(shards, pa.int32()), "in_shard": pa.array(starts, pa.int64()), "ids": pa.array(texts, pa.binary())}
+        return {"doc_id": pa.array(docs, pa.int64()), "start": pa.array(starts, pa.int64()), "ids": pa.array(texts, pa.binary())}
 
-    rows = map_batches(blocks, unpacked, "doc_id long, shard int, in_shard long, ids binary", "data", 1 << 20)
-    # one row a file: all files' sizes fit one task; Spark broadcasts them where they are small
-    sizes = blocks.groupBy("shard").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, n: s + n)).alias("n"))
-    base = sizes.select(F.col("shard"), F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return rows.join(base, "shard").select("doc_id", (F.col("base") + F.col("in_shard")).alias("start"), "ids")
+    return map_batches(blocks, unpacked, "doc_id long, start long, ids binary", "data", 1 << 20)
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, path: str | None = None) -> DataFrame:
     """Tokenize, write the files and read them back. Null and empty texts give the end id alone; rows with the
     same id or a null id are all kept. An empty table gives files without blocks and no rows. Other columns of
     docs aren't read."""
-    spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(stage(tokenize(docs, tokenizer_path, doc_id, text, end_id), "token-ids"), path)
-    return read_tokens(spark, path)
+    path = path or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(docs, path, tokenizer_path, doc_id, text, end_id)
+    return read_tokens(docs.sparkSession, path)
