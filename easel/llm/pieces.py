@@ -2,9 +2,9 @@
 
 Text is normalised by longest prefixes of the model's compiled character map, keeping for each normalised
 byte the source byte that it came from. Pieces are then projected through that record, so every piece has its
-span of source bytes. No BPE piece holds a space mark behind another character, so merges never cross the
-start of a run of marks: units that start there are encoded once per worker and looked up after that; the
-merges themselves are the library's.
+span of source bytes. No BPE piece holds a space mark behind another character, or a line feed, so merges never
+cross the start of a run of marks or a line feed: units that start there are encoded once per worker and looked
+up after that; the merges themselves are the library's. A model whose pieces do so gets whole texts.
 """
 
 from __future__ import annotations
@@ -85,9 +85,9 @@ class PieceModel:
         #: what a piece becomes when decoded; and how many bytes of normalised text it stands for
         self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type == 3 else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
         self.n_bytes = np.array([len(x) for x in self.surface], np.int32)
-        self.apart = not any(MARK in p.piece.lstrip(MARK) for p in proto.pieces)
+        self.apart = not any(MARK in p.piece.lstrip(MARK) or "\n" in p.piece for p in proto.pieces)
         self.units: dict[str, bytes] = {}
-        self.cut = re.compile(f"{MARK}+[^{MARK}]*").findall
+        self.cut = re.compile(f"(?:{MARK}+|\n)[^{MARK}\n]*").findall
 
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(ids with the end id, ends): piece i stands for source bytes ends[i - 1] .. ends[i], the first from 0."""
@@ -100,10 +100,11 @@ class PieceModel:
             parts = [known[u] for u in units]
         except KeyError:
             fresh = list({u for u in units if u not in known})
-            got = {u: np.array(ids, np.int32).tobytes() for u, ids in zip(fresh, self.library.encode([u[1:] for u in fresh], num_threads=1))}
-            for u in fresh:
-                if u == MARK:  # the library sees an empty text here
-                    got[u] = np.array([self.library.piece_to_id(MARK)], np.int32).tobytes()
+            asked = self.library.encode([u if u[0] == "\n" else u[1:] for u in fresh], num_threads=1)
+            # the library puts a mark in front; a line feed keeps it apart, and it is none of the unit's
+            got = {u: np.array(ids[1:] if u[0] == "\n" else ids, np.int32).tobytes() for u, ids in zip(fresh, asked)}
+            if MARK in got:  # the library sees an empty text here
+                got[MARK] = np.array([self.library.piece_to_id(MARK)], np.int32).tobytes()
             if len(known) < _KEEP:
                 known |= got
             parts = [got[u] if u in got else known[u] for u in units]
