@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, mixing, pieces, quality_rules, simhash, substrings, token_files, vectors
+from . import language_model, mixing, pieces, quality_classifier, quality_rules, simhash, substrings, token_files, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -56,5 +64,5 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_dedup, op2_simhash, op3_sentencepiece, op4_substring_dedup, op7_lm_score, op8_token_files, op5_mix_sources, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_vector_dedup, op2_simhash, op3_sentencepiece, op4_substring_dedup, op6_quality_classifier, op7_lm_score, op8_token_files, op5_mix_sources, op9_quality_rules, op10_toxicity)}
 ORACLE: dict[str, str] = {}
