@@ -107,13 +107,14 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars", weights=(5, 2, 1), max_repeat: int = 3, seed: int = 17, block: int = 16, shard_words: int = 1_000_000) -> DataFrame:
     """The mix itself, with the columns of docs: one row for each full pass over a document, and one with the
     words of its chosen blocks, space-joined, for the partial pass. Documents that take nothing have no row.
-    Needs ids without repeats.
+    Rows that are equal in id and text take alike, each for itself.
     """
     p = _doc_plan(docs, doc_id, text, source, weights, max_repeat, seed, block, shard_words)
     spans = F.transform(_chosen(block), lambda j: F.struct((F.greatest(j * block, F.col("start")) - F.col("start")).alias("at"), (F.least((j + 1) * block, F.col("start") + F.col("size")) - F.greatest(j * block, F.col("start"))).alias("n")))
-    plan = p.select(F.col("doc_id").alias("_id"), F.col("passes").cast("int").alias("_passes"), spans.alias("_spans"), "size").where("size > 0 and (_passes > 0 or size(_spans) > 0)").drop("size")
+    plan = p.select(F.col("doc_id").alias("_id"), F.col("_mix").alias("_key"), F.col("passes").cast("int").alias("_passes"), spans.alias("_spans"), "size").where("size > 0 and (_passes > 0 or size(_spans) > 0)").drop("size").dropDuplicates(["_id", "_key"])
     words = F.filter(F.split(F.col(text), SPACE + "+"), lambda w: w != "")
-    both = docs.join(plan, docs[doc_id].eqNullSafe(plan["_id"]))
+    keyed = docs.withColumn("_row", F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)))
+    both = keyed.join(plan, (F.col("_row") == F.col("_key")) & F.col(doc_id).eqNullSafe(F.col("_id")))
     part = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice("_words", (s["at"] + 1).cast("int"), s["n"].cast("int")))), " ")
     full = both.where("_passes > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_passes")))).select(*[F.col(c) for c in docs.columns])
     partial = both.where("size(_spans) > 0").withColumn("_words", words).withColumn(text, part)
