@@ -35,7 +35,7 @@ def _measures(df: DataFrame, text: str) -> DataFrame:
         symbol_free = F.replace(symbol_free, F.lit(c), F.lit(""))
     df = df.withColumns({
         "_w": F.filter(F.split(t, SPACE + "+"), lambda w: w != ""),
-        "_lines": F.transform(F.filter(F.split(t, "\n"), lambda x: F.trim(F.lit(" \t\n\x0b\x0c\r"), x) != ""), lambda x: F.xxhash64(x)),
+        "_lines": F.transform(F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(" \t\n\x0b\x0c\r")) != ""), lambda x: F.xxhash64(x)),
         "n_symbols": (F.length(t) - F.length(symbol_free)).cast("long"),
     })
     df = df.withColumns({
