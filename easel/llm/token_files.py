@@ -9,11 +9,12 @@ lets each block be read alone.
 
 from __future__ import annotations
 
-import re
 import uuid
+from array import array
 from bisect import bisect_left
+from collections import ChainMap
 from functools import cached_property, lru_cache
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .shared import map_batches, shared_dir, text_bytes
 
-_KEEP = 400_000  # words that a worker remembers
+_KEEP = 300_000  # words that a worker remembers
 #: The lengths less one that a control byte stands for.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8)
 _BLOCK = "shard int, block long, first long, doc_ids array<long>, lengths array<int>, by_rank binary, control binary, data binary"
@@ -67,43 +68,57 @@ class Encoder:
         #: ids of words after a space, and of words at the start of a line
         self.chunks: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
-        #: white space that isn't one character between visible ones, or that libraries may see differently
-        self.odd_space = re.compile(r"\s\s|^\s|\s$|[^\S \n]|᠎").search
+        #: texts with these get the library whole: white space that isn't one character between visible ones, or
+        #: that libraries may see differently, and the tokenizer's special tokens
+        self.odd = ["  ", "\n\n", " \n", "\n ", *self.special, *(c for c in map(chr, range(0x10000)) if (c.isspace() or c == "\u180e") and c not in " \n")]
+        self.code = "H" if self.width.itemsize == 2 else "I"
+
+    def _is_odd(self, text: str) -> bool:
+        return not text or not self.apart or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in self.odd)
 
     def _ask(self, texts: list[str], before: str = "") -> dict[str, bytes]:
         got = self.library.encode_batch_fast([before + t for t in texts], add_special_tokens=False)
-        return {t: np.array(e.ids, self.width).tobytes() for t, e in zip(texts, got)}
+        return {t: array(self.code, e.ids).tobytes() for t, e in zip(texts, got)}
 
     @cached_property
     def points(self) -> dict[str, bytes]:
         return self._ask([".", ",", "\n"])
 
-    def _look_up(self, known: dict[str, bytes], words: list[str], before: str) -> list[bytes]:
-        try:
-            return [known[w] for w in words]
-        except KeyError:
-            pass
+    def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> dict[str, bytes]:
+        """The ids of words that aren't known, which are then known as long as there is room."""
         got, ask = {}, []
-        for w in {w for w in words if w not in known}:
+        for w in words - known.keys():
             # letters and what follows them are parts of their own, so a known word serves with its comma
             stem = w[:-1]
-            if w[-1:] in self.points and stem in known and stem.isalpha() and max(stem) < "ɐ":
-                got[w] = known[stem] + self.points[w[-1]]
+            if w[-1:] in self.points and (ids := known.get(stem)) is not None and stem.isalpha() and (stem.isascii() or max(stem) < "ɐ"):
+                got[w] = ids + self.points[w[-1]]
             else:
                 ask.append(w)
         got |= self._ask(ask, before)
         if len(known) < _KEEP:
             known |= got
-        return [got[w] if w in got else known[w] for w in words]
+        return got
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts, without special tokens put around them; the library is asked once for all new words."""
+        odd = [self._is_odd(t) for t in texts]
+        lines = [[] if o else [x.split(" ") for x in t.split("\n")] for t, o in zip(texts, odd)]
+        heads = {x[0] for d in lines for x in d}
+        tails = set(chain.from_iterable(x[1:] for d in lines for x in d))
+        new_heads, new_tails = self._learn(self.heads, heads, ""), self._learn(self.chunks, tails, " ")
+        at_start, inside, feed = ChainMap(new_heads, self.heads), self.chunks, self.points["\n"]
+        if new_tails.keys() - inside.keys():
+            inside = {w: new_tails[w] if w in new_tails else inside[w] for w in tails}
+        out = []
+        for t, o, d in zip(texts, odd, lines):
+            if o:
+                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, self.width).tobytes())
+            else:
+                out.append(feed.join([at_start[x[0]] + b"".join([inside[w] for w in x[1:]]) for x in d]))
+        return out
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text, without special tokens put around it."""
-        if not text or not self.apart or self.odd_space(text) or any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.width).tobytes()
-        lines = [x.split(" ") for x in text.split("\n")]
-        heads = self._look_up(self.heads, [x[0] for x in lines], "")
-        tails = iter(self._look_up(self.chunks, [w for x in lines for w in x[1:]], " "))
-        return self.points["\n"].join([head + b"".join(islice(tails, len(x) - 1)) for head, x in zip(heads, lines)])
+        return self.encode_all([text])[0]
 
 
 @lru_cache(4)
@@ -122,7 +137,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text:
         e = _encoder(tokenizer_path)
         end = np.array([end_id], e.width).tobytes()
         shard = [0 if d is None else bisect_left(bounds, d) for d in cols["doc_id"].to_pylist()]
-        return {"doc_id": cols["doc_id"], "ids": pa.array([e.encode(t.as_py().decode("utf-8", "replace")) + end for t in cols["text"]], pa.binary()), "width": pa.array([e.width.itemsize] * len(shard), pa.int32()), "shard": pa.array(shard, pa.int32())}
+        return {"doc_id": cols["doc_id"], "ids": pa.array([x + end for x in e.encode_all([t.as_py().decode("utf-8", "replace") for t in cols["text"]])], pa.binary()), "width": pa.array([e.width.itemsize] * len(shard), pa.int32()), "shard": pa.array(shard, pa.int32())}
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text"))
     return map_batches(rows, run, "doc_id long, ids binary, width int, shard int", "text")
