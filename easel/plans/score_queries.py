@@ -167,7 +167,7 @@ def m11_low_files(spark, d):
     return M.low_files(_gated(spark, d), 5).select("id")
 
 
-@query(f"""with {_GATE} select id, case when ok then concat_ws(', ', case when score is not null then concat('score:', printf('%.2f', score)) end, concat('quality:', aesthetic_label), concat('class:', class_label), concat('class_conf:', cast(floor(class_confidence * 100 + 0.5::double) as bigint), '%'),
+@query(f"""with {_GATE} select id, case when ok then concat_ws(', ', case when score is not null then concat('score:', cast(round(score::decimal(10,3), 2)::decimal(10,2) as varchar)) end, concat('quality:', aesthetic_label), concat('class:', class_label), concat('class_conf:', cast(floor(class_confidence * 100 + 0.5::double) as bigint), '%'),
  concat('class_passed:', case when passed then 'yes' else 'no' end), concat('low_score:', case when low then 'yes' else 'no' end), case when fallback != '' then concat('fallback:', fallback) end) else concat('error: ', case when id % 2 = 0 then 'bad image' else 'unknown' end) end text from z""")
 def m12_format_score_text(spark, d):
     return _gated(spark, d).select("id", M.format_score_text().alias("text"))
