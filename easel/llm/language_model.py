@@ -20,14 +20,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import fold, list_array, map_batches, map_runs, stage, text_bytes
 
-_BATCH = 16 << 20
+_BATCH = 8 << 20
+_CHUNK = 1 << 15  # words whose lattices are in memory at once
+_PLACES = 26  # bits of a word's number in its batch
 _LONGEST = 24  # bytes of a piece
 
 
@@ -93,8 +94,13 @@ def _lay_out(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def longest_pieces(trie: PieceTrie, words: list[bytes], weight: np.ndarray) -> np.ndarray:
     """How often each piece is used when every word takes the longest piece at each step."""
     total = np.zeros(len(trie.pieces))
-    if not words:
-        return total
+    for k in range(0, len(words), _CHUNK):
+        total += _longest_pieces(trie, words[k : k + _CHUNK], weight[k : k + _CHUNK])
+    return total
+
+
+def _longest_pieces(trie: PieceTrie, words: list[bytes], weight: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(trie.pieces))
     text, starts, left = _lay_out(words)
     at, size, piece = trie.matches(text, left)
     length, best = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
@@ -111,8 +117,11 @@ def longest_pieces(trie: PieceTrie, words: list[bytes], weight: np.ndarray) -> n
 
 def word_likelihoods(trie: PieceTrie, log_p: np.ndarray, words: list[bytes]) -> np.ndarray:
     """Natural logs of the summed probability of all segmentations of each word."""
-    if not words:
-        return np.zeros(0)
+    parts = [_likelihoods(trie, log_p, words[k : k + _CHUNK]) for k in range(0, len(words), _CHUNK)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def _likelihoods(trie: PieceTrie, log_p: np.ndarray, words: list[bytes]) -> np.ndarray:
     text, starts, left = _lay_out(words)
     at, size, piece = trie.matches(text, left)
     word = np.repeat(np.arange(len(words)), np.diff(starts))
@@ -153,14 +162,13 @@ def read_batches(docs: DataFrame, doc_id: str, text: str, folds: int, held_out:
             number.append(n), counts.append(c.astype(np.int32)), lengths.append(len(n)), tokens.append(len(words))
         train = ~np.array(cols["held_out"].to_pylist(), bool)
         number, flat = np.concatenate(number), np.concatenate(counts)
-        c_train = np.bincount(number, flat * np.repeat(train, lengths), len(index)).astype(np.int64)
+        c_train = np.bincount(number, flat * np.repeat(train, lengths), len(index)).astype(np.int32)
         words = list(index)
-        h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in words]), "<i8").reshape(-1, 2)
         run.n += 1
-        at = (TaskContext.get().partitionId() << 32) + run.n
+        at = (TaskContext.get().partitionId() << 16) + run.n
         one = lambda x: list_array(x, [len(x)])
         return {
-            "batch": pa.array([at], pa.int64()), "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words, pa.binary())), "key": one(h[:, 0].copy()), "more": one(h[:, 1].copy()), "c": one(c_train),
+            "batch": pa.array([at], pa.int64()), "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words, pa.binary())), "c": one(c_train),
             "n_train": pa.array([int(train.sum())], pa.int64()), "train_tokens": pa.array([int(np.array(tokens)[train].sum() + train.sum())], pa.int64()),
             "ids": pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), cols["doc_id"]), "held_out": pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), cols["held_out"]),
             "lengths": one(np.array(lengths, np.int32)), "number": one(number), "times": one(flat),
@@ -168,7 +176,7 @@ def read_batches(docs: DataFrame, doc_id: str, text: str, folds: int, held_out:
 
     run.n = 0
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text"), (fold(doc_id, folds) == held_out).alias("held_out"))
-    schema = "batch long, words array<binary>, key array<long>, more array<long>, c array<long>, n_train long, train_tokens long, ids array<long>, held_out array<boolean>, lengths array<int>, number array<int>, times array<int>"
+    schema = "batch long, words array<binary>, c array<int>, n_train long, train_tokens long, ids array<long>, held_out array<boolean>, lengths array<int>, number array<int>, times array<int>"
     return map_batches(rows, run, schema, "text", _BATCH)
 
 
@@ -199,22 +207,22 @@ def score_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", te
     log_p = np.log(n / (n.sum() + n_docs + smooth))
     n_words = n_tokens - n_docs
     ending = (n_docs + smooth) / (n_tokens + 2 * smooth)
-    about = batches.select(F.explode(F.arrays_zip("key", "c")).alias("w")).where("w.c > 0").agg(F.approx_count_distinct("w.key").alias("n")).first()["n"]
+    about = batches.select(F.explode(F.arrays_zip("words", "c")).alias("w")).where("w.c > 0").agg(F.approx_count_distinct("w.words").alias("n")).first()["n"]
     by_piece = min(1.0, discount * about / n_words) if n_words else 1.0
 
-    each = batches.select("batch", F.posexplode(F.arrays_zip("words", "key", "more", "c")).alias("i", "w")).select("batch", "i", "w.words", "w.key", "w.more", "w.c")
+    # a word's place is its batch and its number there
+    each = batches.select("batch", F.posexplode(F.arrays_zip("words", "c")).alias("i", "w")).select(F.col("w.words").alias("word"), (F.shiftleft("batch", _PLACES) + F.col("i")).alias("place"), "w.c")
 
     def count(cols: dict) -> dict:
-        o = np.lexsort((cols["more"], cols["key"]))
-        k, m, c = cols["key"][o], cols["more"][o], cols["c"][o]
-        cut = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (m[1:] != m[:-1])]))
-        size = np.diff(np.append(cut, len(k)))
-        total = np.add.reduceat(c, cut)
-        likely = word_likelihoods(_trie(model_path), log_p, cols["words"][o][cut].tolist())
+        word = cols["word"]
+        cut = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        size = np.diff(np.append(cut, len(word)))
+        total = np.add.reduceat(cols["c"].astype(np.int64), cut)
+        likely = word_likelihoods(_trie(model_path), log_p, word[cut].tolist()).astype(np.float32)
         # and one row for how many of these words are in training documents
-        return {"batch": np.append(cols["batch"][o], -1), "i": np.append(cols["i"][o], 0).astype(np.int32), "c": np.append(np.repeat(total, size), (total > 0).sum()), "likely": np.append(np.repeat(likely, size), 0.0)}
+        return {"place": np.append(cols["place"], -1), "c": np.append(np.repeat(total, size), (total > 0).sum()), "likely": np.append(np.repeat(likely, size), np.float32(0))}
 
-    known = map_runs(each, ["key"], [], count, "batch long, i int, c long, likely double", 1 << 18)
+    known = map_runs(each, ["word"], [], count, "place long, c long, likely float", 1 << 17).withColumn("batch", F.shiftright("place", _PLACES))
 
     def put_together(batch: pa.Table, words: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "part", "score"]
@@ -224,7 +232,7 @@ def score_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", te
         b = {k: batch.column(k)[0].values for k in ("ids", "held_out", "lengths", "number", "times")}
         lengths, number, times = (b[k].to_numpy().astype(np.int64) for k in ("lengths", "number", "times"))
         c, likely = np.zeros(words.num_rows, np.int64), np.zeros(words.num_rows)
-        at = words.column("i").to_numpy()
+        at = words.column("place").to_numpy() & ((1 << _PLACES) - 1)
         c[at], likely[at] = words.column("c").to_numpy(), words.column("likely").to_numpy()
         row = np.repeat(np.arange(len(lengths)), lengths)
         add = lambda x: np.bincount(row, x, len(lengths))
