@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("geometry_queries", "collect_queries", "image_queries", "score_queries", "tag_queries")
+_MODULES = ("geometry_queries", "collect_queries", "image_queries", "score_queries", "tag_queries", "pixel_queries")
 
 
 def _all(what: str) -> dict:
