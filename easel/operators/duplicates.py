@@ -141,13 +141,14 @@ def star_groups(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int =
     raise RuntimeError("groups did not settle")
 
 
-_BEST_FIRST = [F.desc("score"), F.desc("area"), F.desc("sharpness"), F.desc("bytes_per_pixel"), F.desc("file_size")]
+#: What decides between copies, most first.
+QUALITY_ORDER = ("score", "area", "sharpness", "bytes_per_pixel", "file_size")
 
 
 def rank_quality(items: DataFrame, group: str = "group", order: str = "file", min_gap: float = MIN_GAP) -> DataFrame:
     """Adds rank, best (the first of the group), gap and action: keep, remove from a gap of min_gap on, or review.
     Rows without a group keep."""
-    w = Window.partitionBy(group).orderBy(*_BEST_FIRST, order)
+    w = Window.partitionBy(group).orderBy(*[F.desc(c) for c in QUALITY_ORDER], order)
     cols = ("score", "area", "sharpness", "bytes_per_pixel", "has_alpha", "format")
     out = items.where(F.col(group).isNotNull()).withColumns({"rank": F.row_number().over(w), "best": F.first(F.struct(order, *cols)).over(w)})
     alone = items.where(F.col(group).isNull()).withColumns({"rank": F.lit(1), "best": F.struct(order, *cols)})

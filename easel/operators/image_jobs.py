@@ -175,7 +175,7 @@ def geometric_verify(matches: DataFrame, min_inliers: int = 20, min_ratio: float
             best = good[good.sum(1).argmax()]
         n = int(best.sum())
         if n < min_inliers or n / len(p) < min_ratio:
-            return pd.DataFrame({"a": [], "b": [], "inliers": [], "ratio": [], "h": []})
+            return pd.DataFrame(columns=["a", "b", "inliers", "ratio", "h"], dtype=object)
         h = fit(p[best], q[best])
         return pd.DataFrame({"a": [f["a"].iloc[0]], "b": [f["b"].iloc[0]], "inliers": [n], "ratio": [n / len(p)], "h": [(h / h[2, 2]).ravel().tolist()]})
 

@@ -40,7 +40,9 @@ def g3_auto_crop(spark, d):
     return G.auto_crop(images(spark, d)).select("file", "bucket", "crop_width", "crop_height", "left", "top")
 
 
-_BOXES = F.when(F.col("file") % 3 == 0, F.array(F.struct((F.col("file") % 50).cast("double").alias("x"), F.lit(10.0).alias("y"), F.lit(20.0).alias("w"), F.lit(30.0).alias("h"), ((F.col("file") % 10) / 10).alias("score"))))
+def _boxes():
+    box = F.struct((F.col("file") % 50).cast("double").alias("x"), F.lit(10.0).alias("y"), F.lit(20.0).alias("w"), F.lit(30.0).alias("h"), ((F.col("file") % 10) / 10).alias("score"))
+    return F.when(F.col("file") % 3 == 0, F.array(box))
 
 
 @query("""select file, skipped, scale, new_width, new_height, cast(trunc(greatest(0, least(x - 300, new_width - 600))) as int) "left", cast(trunc(greatest(0, least(y - 200, new_height - 400))) as int) top from
@@ -48,7 +50,7 @@ _BOXES = F.when(F.col("file") % 3 == 0, F.array(F.struct((F.col("file") % 50).ca
  (select *, cast(round(width * scale) as int) new_width, cast(round(height * scale) as int) new_height from
  (select *, (width <= 600 and height <= 400) skipped, greatest(600 / width, 400 / height) scale from images)))""")
 def g4_cover_resize(spark, d):
-    return G.cover_resize(images(spark, d).withColumn("boxes", _BOXES), 600, 400, boxes="boxes").select("file", "skipped", "scale", "new_width", "new_height", "left", "top")
+    return G.cover_resize(images(spark, d).withColumn("boxes", _boxes()), 600, 400, boxes="boxes").select("file", "skipped", "scale", "new_width", "new_height", "left", "top")
 
 
 @query("""select file, scale, new_width, new_height, pad_x, pad_y, greatest(0.0, least((100 - pad_x) / scale, cast(width as double))) x1, greatest(0.0, least((600 - pad_y) / scale, cast(height as double))) y2 from

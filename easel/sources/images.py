@@ -96,9 +96,5 @@ def quarantine(df: DataFrame, rejected: Column, file: str = "file", existing: Da
     out = df.withColumn("_rejected", F.coalesce(rejected, F.lit(False)))
     gone = out.where("_rejected").drop("_rejected").withColumn("_t", F.concat(F.regexp_extract(file, r"^(.*/)?", 1), F.lit("del/"), F.regexp_extract(file, r"([^/]*)$", 1)))
     taken = existing.select(F.col(file).alias("_t")) if existing is not None else None
-    numbered = resolve_collisions(gone, "_t", file, taken)
-    # the first taken name is photo.png, so the row that meets it is photo_2.png
-    stem, ext = r"_(\d+)(\.[^./]*)?$", F.regexp_extract("unique_name", r"(\.[^./]*)$", 1)
-    n = F.regexp_extract("unique_name", stem, 1).try_cast("int")
-    target = F.when(F.col("unique_name") == F.col("_t"), F.col("_t")).otherwise(F.concat(F.regexp_replace("unique_name", stem, "_"), (n + 1).cast("string"), ext))
-    return out.where("not _rejected").drop("_rejected"), numbered.withColumn("target", target).drop("_t", "unique_name")
+    numbered = resolve_collisions(gone, "_t", file, taken, first=2)
+    return out.where("not _rejected").drop("_rejected"), numbered.withColumnRenamed("unique_name", "target").drop("_t")
