@@ -65,4 +65,34 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_vector_dedup, op2_simhash, op3_sentencepiece, op4_substring_dedup, op6_quality_classifier, op7_lm_score, op8_token_files, op5_mix_sources, op9_quality_rules, op10_toxicity)}
-ORACLE: dict[str, str] = {}
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x != '')"
+
+
+def _broken_rules() -> str:
+    """The threshold table of op9 as one SQL condition."""
+    parts = []
+    for _, top, bottom, low, high in quality_rules.RULES:
+        ratio = f"(case when {bottom} > 0 then {top} / {bottom}::double else 0 end)"
+        parts += [f"{ratio} < {low}::double"] * (low is not None) + [f"{ratio} > {high}::double"] * (high is not None)
+    return " or ".join(parts)
+
+
+#: Queries without SQL here are tested against brute force in tests/llm.
+ORACLE: dict[str, str] = {
+    "op1_vector_dedup": """with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings),
+ u as (select vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) u from v where list_dot_product(e, e) > 0),
+ l as (select a.vec_id a, b.vec_id b from u a join u b on a.label = b.label and a.vec_id != b.vec_id and list_dot_product(a.u, b.u) >= 0.93),
+ r as (select vec_id id, vec_id reach from v union select r.id, l.b from r join l on l.a = r.reach),
+ c as (select id, min(reach) component_id from r group by id), n as (select a, count(*) n from l group by a)
+ select v.vec_id, coalesce(n.n, 0)::bigint n_links, c.component_id, v.vec_id = c.component_id kept from v join c on c.id = v.vec_id left join n on n.a = v.vec_id""",
+    "op4_substring_dedup": f"""with d as (select doc_id, {_WORDS} w from documents), win as (select doc_id, p, array_to_string(w[p:p + 49], ' ') s from (select doc_id, w, unnest(range(1, len(w) - 48)) p from d)),
+ low as (select s, min(doc_id) low from win group by s), gone as (select distinct doc_id, unnest(range(p, p + 50)) i from (select win.doc_id, win.p from win join low using (s) where low.low < win.doc_id)),
+ each as (select doc_id, unnest(w) word, generate_subscripts(w, 1) i from d), kept as (select e.doc_id, string_agg(word, ' ' order by e.i) t, count(*) n from each e anti join gone g on g.doc_id = e.doc_id and g.i = e.i group by e.doc_id)
+ select d.doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join kept k on k.doc_id = d.doc_id""",
+    "op9_quality_rules": rf"""with d as (select doc_id, coalesce(text, '') t, {_WORDS} w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) lines from documents),
+ win as (select doc_id, p, array_to_string(w[p:p + 7], ' ') s from (select doc_id, w, unnest(range(1, len(w) - 6)) p from d)), twice as (select doc_id, s from win group by 1, 2 having count(*) > 1),
+ rep as (select doc_id, count(distinct i) n from (select win.doc_id, unnest(range(p, p + 8)) i from win join twice using (doc_id, s)) group by 1),
+ m as (select d.doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint n_symbols, (len(lines) - len(list_distinct(lines)))::bigint n_dup_lines, coalesce(rep.n, 0)::bigint n_repeat_words, len(lines)::bigint n_lines,
+  len(list_filter(w, lambda x: lower(x) in ({", ".join(f"'{x}'" for x in dict.fromkeys(quality_rules.STOP_WORDS))})))::bigint n_stop_words, len(list_filter(w, lambda x: length(x) > 1 and x = upper(x) and x != lower(x)))::bigint n_shouted from d left join rep on rep.doc_id = d.doc_id),
+ b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed from m) select *, not base_failed and not ({_broken_rules()}) kept from b""",
+}
