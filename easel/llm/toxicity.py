@@ -24,10 +24,12 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 AS_IS, ALIKE, DROPPED, SPACED, REPEATED = 0.0, math.log(0.1), math.log(0.01), math.log(0.1), math.log(0.2)
 
 _SIGN = re.escape("".join(LEET)).encode()
-_SUSPECT = re.compile(
-    rb"(?<![^\s])[a-z](?:[ ._*-][a-z]){3,}(?![^\s.,!?])"  # letters spaced out
-    rb"|[a-z" + _SIGN + rb"]*(?:[a-z][" + _SIGN + rb"]{1,3}(?=[a-z])|(?<![^\s])[" + _SIGN + rb"](?=[a-z]{2})|(?<=[a-z])[013457890@$](?=[\s.,]|$)|([a-z])\1\1)[a-z" + _SIGN + rb"]*"
-)
+#: Tokens that look written to deceive: a sign among letters, before or after them, a letter three times, letters
+#: apart by signs; and letters apart by spaces.
+_ODD_TOKEN = re.compile(rb"[a-z][" + _SIGN + rb"]{1,3}(?=[a-z])|^[" + _SIGN + rb"](?=[a-z]{2})|(?<=[a-z])[013457890@$](?=[.,;:?!]*$)|([a-z])\1\1|^[a-z](?:[._*-][a-z]){3,}[.,;:?!]*$").search
+_SPACED = re.compile(rb"(?<![^\s])[a-z](?: [a-z]){3,}(?![^\s.,;:?!])")
+_MAY_BE_SPACED = re.compile(rb"[a-z] [a-z] [a-z] [a-z]").search
+_ENDS = b".,;:?!\"'()[]"
 N_CLASSES = 64
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[ord("a") : ord("z") + 1] = np.arange(1, 27)
@@ -60,9 +62,9 @@ class Restorer:
         c, j = span[i], i + 1
         while j < len(span) and span[j] == c:
             j += 1
-        if c.isalpha():
+        if _CLASS[ord(c)]:
             out = [(i + 1, c, AS_IS)]
-            if j - i >= 3:
+            if j - i >= 3 and c.isascii():
                 out += [(j, c, REPEATED), (j, c + c, REPEATED)]
             return out
         if c in LEET:
@@ -79,7 +81,7 @@ class Restorer:
         for i in range(len(text)):
             if not best[i]:
                 continue
-            steps = [(j, x, [0 if y == " " else ord(y) - 96 for y in x], cost) for j, x, cost in self.edges(text, i)]
+            steps = [(j, x, [int(_CLASS[ord(y)]) for y in x], cost) for j, x, cost in self.edges(text, i)]
             for (a, b), (score, _, _) in best[i].items():
                 for j, x, codes, cost in steps:
                     p, q, s = a, b, score + cost
@@ -95,14 +97,28 @@ class Restorer:
             _, before, x = best[at[0]][at[1]]
             parts.append(x)
             at = before
-        found = "".join(reversed(parts)).encode()
+        found = "".join(reversed(parts)).encode("latin-1")
         if len(self.known) < _KEEP:
             self.known[span] = found
         return found
 
+    def token(self, token: bytes) -> bytes:
+        """A lower-cased token as it is, or its reading if it looks odd."""
+        return self.restore(token.strip(_ENDS)) if _ODD_TOKEN(token) else token
+
+    def tokens(self, text: bytes) -> set[bytes]:
+        """The distinct lower-cased tokens of a text, letters apart by spaces read as words."""
+        text = text.lower()
+        out = set(text.split())
+        if _MAY_BE_SPACED(text):
+            for m in _SPACED.finditer(text):
+                out.update(self.restore(m[0]).split())
+        return out
+
     def __call__(self, text: bytes) -> bytes:
-        """The lower-cased text with suspect spans replaced by their reading."""
-        return _SUSPECT.sub(lambda m: self.restore(m[0]), text.lower())
+        """The lower-cased text with odd spans replaced by their reading, white space as single spaces."""
+        joined = _SPACED.sub(lambda m: self.restore(m[0]), text.lower())
+        return b" ".join(map(self.token, joined.split()))
 
 
 _EDGES = re.compile(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -140,23 +156,34 @@ def learn(docs: list[tuple[set[bytes], int]], least: int = 4) -> dict[bytes, flo
 
 
 class Evidence:
-    """Features of a document from the evidence of its words."""
-
-    def __init__(self, weights: dict[bytes, float]):
-        self.weights, self.known = weights, {}
-
-    def of(self, word: bytes) -> float:
-        e = self.known.get(word)
-        if e is None:
-            e = max((self.weights.get(m, 0.0) for m in marks(word)), default=0.0)
+    """Features of a document from the evidence of its tokens' words; what a token says is looked up once."""
+
+    def __init__(self, weights: dict[bytes, float], restorer: Restorer | None = None):
+        self.weights, self.restorer, self.known = weights, restorer, {}
+
+    def of(self, token: bytes) -> dict[bytes, float]:
+        """The words of a token (restored, if there is a restorer) that are evidence, and of how much."""
+        found = self.known.get(token)
+        if found is None:
+            found = {}
+            for w in words_of(self.restorer.token(token) if self.restorer else token):
+                if e := max((self.weights.get(m, 0.0) for m in marks(w)), default=0.0):
+                    found[w] = e
             if len(self.known) < _KEEP:
-                self.known[word] = e
-        return e
+                self.known[token] = found
+        return found
 
-    def features(self, words: set[bytes]) -> list[float]:
-        top = sorted(filter(None, map(self.of, words)), reverse=True)
+    def features(self, tokens: set[bytes]) -> list[float]:
+        known, found = self.known, {}
+        for t in tokens:
+            e = known.get(t)
+            if e is None:
+                e = self.of(t)
+            if e:
+                found.update(e)
+        top = sorted(found.values(), reverse=True)
         first = top[0] if top else 0.0
-        return [1.0, first / 4, sum(top[1:3]) / 8, math.log1p(sum(x > 3 for x in top)), math.log1p(len(words)) / 8]
+        return [1.0, first / 4, sum(top[1:3]) / 8, math.log1p(sum(x > 3 for x in top)), math.log1p(len(tokens)) / 8]
 
 
 def fit(docs: list[tuple[set[bytes], int]], rounds: int = 400, seed: int = 3) -> tuple[dict[bytes, float], np.ndarray]:
@@ -213,7 +240,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc
 
     def restored(cols: dict) -> dict:
         r = restorer()
-        words = [sorted(words_of(r(t.as_py()))) for t in cols["text"]]
+        words = [sorted({w for x in r.tokens(t.as_py()) for w in words_of(r.token(x))}) for t in cols["text"]]
         return {"doc_id": cols["doc_id"], "label": cols["label"], "words": pa.array(words, pa.list_(pa.binary()))}
 
     sample = map_batches(labelled_sample(docs, labels, label, most, doc_id, text), restored, "doc_id long, label int, words array<binary>", "text").toArrow().combine_chunks().sort_by("doc_id")
@@ -221,10 +248,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc
 
     def scored(cols: dict) -> dict:
         if "e" not in cache:
-            cache["e"] = Evidence(evidence)
-        r, e, out = restorer(), cache["e"], []
+            cache["e"] = Evidence(evidence, restorer())
+        e, out = cache["e"], []
         for t in cols["text"]:
-            x = e.features(words_of(r(t.as_py())))
+            x = e.features(e.restorer.tokens(t.as_py()))
             out.append(1 / (1 + math.exp(-float(np.clip(np.dot(x, w), -30, 30)))))
         return {"doc_id": cols["doc_id"], "held_out": cols["held_out"], "score": pa.array(out, pa.float64())}
 
