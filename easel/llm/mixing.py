@@ -115,9 +115,10 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     words = F.filter(F.split(F.col(text), SPACE + "+"), lambda w: w != "")
     keyed = docs.withColumn("_row", F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)))
     both = keyed.join(plan, (F.col("_row") == F.col("_key")) & F.col(doc_id).eqNullSafe(F.col("_id")))
-    part = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice("_words", (s["at"] + 1).cast("int"), s["n"].cast("int")))), " ")
+    # the words are one value that the inner function uses, so that they are split once for a row
+    part = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(w, (s["at"] + 1).cast("int"), s["n"].cast("int")))), " "))[0]
     full = both.where("_passes > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_passes")))).select(*[F.col(c) for c in docs.columns])
-    partial = both.where("size(_spans) > 0").withColumn("_words", words).withColumn(text, part)
+    partial = both.where("size(_spans) > 0").withColumn(text, part)
     if n_chars in docs.columns:
         partial = partial.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
     return full.unionByName(partial.select(*docs.columns))

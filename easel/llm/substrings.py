@@ -249,14 +249,15 @@ def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = substring_dedup(docs, doc_id, text, window).where("n_removed > 0").groupBy("doc_id", "whole").agg(F.first("removed").alias("_removed"), F.first(F.col("n_removed") == F.col("n_words")).alias("_all"))
     found = found.select(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole"), "_removed", "_all")
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    both = docs.withColumn("_words", words).withColumn("_sum", F.sha2(F.array_join("_words", " "), 256))
+    both = docs.withColumn("_sum", F.sha2(F.array_join(words, " "), 256))
     both = both.join(found, (both[doc_id] == found["_id"]) & (both["_sum"] == found["_whole"]), "left").where("_all is null or not _all")
-    # what is kept lies between the end of one removed range and the start of the next
+    # what is kept lies between the end of one removed range and the start of the next; the words are one value
+    # that the inner function uses, so that they are split once for a row
     after = F.concat(F.array(F.lit(0).cast("long")), F.transform("_removed", lambda r: r["b"]))
-    before = F.concat(F.transform("_removed", lambda r: r["a"]), F.array(F.size("_words").cast("long")))
-    spans = F.zip_with(after, before, lambda i, j: F.slice("_words", (i + 1).cast("int"), (j - i).cast("int")))
+    before = lambda w: F.concat(F.transform("_removed", lambda r: r["a"]), F.array(F.size(w).cast("long")))
+    kept = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.zip_with(after, before(w), lambda i, j: F.slice(w, (i + 1).cast("int"), (j - i).cast("int")))), " "))[0]
     changed = F.col("_removed").isNotNull()
-    out = both.withColumn("_kept", F.when(changed, F.array_join(F.flatten(spans), " ")))
+    out = both.withColumn("_kept", F.when(changed, kept))
     new = {text: F.when(changed, F.col("_kept")).otherwise(F.col(text))}
     if n_chars in docs.columns:
         new[n_chars] = F.when(changed, F.length("_kept").cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars))
