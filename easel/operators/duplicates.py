@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from easel.functions.rasters import dot
+from easel.plans.components import components
 from easel.plans.staging import stage, unstage
 
 MIN_GAP = 6.0
@@ -88,27 +89,9 @@ def max_similarity(items: DataFrame, edges: DataFrame, groups: DataFrame, id: st
     return out.select(id, F.when(F.col("group").isNotNull(), F.round(F.col("_s") * 100, 1)).alias("similarity"))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(id, component) of nodes with links; component is the smallest id reachable.
-
-    Each round every node takes its neighbours' smallest label, then its label's label; both are joins, staged in
-    the shared folder, and one number a round reaches the driver.
-    """
-    e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x != y")
-    both = stage(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
-    labels = stage(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")).select(F.col("x").alias("id"), "l"), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels, F.col("y") == F.col("id")).groupBy("x").agg(F.min("l").alias("m"))
-        hop = labels.join(near, F.col("id") == F.col("x"), "left").select("id", F.least("l", F.coalesce("m", "l")).alias("l"), F.col("l").alias("old"))
-        jump = labels.select(F.col("id").alias("_j"), F.col("l").alias("_t"))
-        after = stage(hop.join(jump, F.col("l") == F.col("_j"), "left").select("id", F.least("l", F.coalesce("_t", "l")).alias("l"), "old"), "labels")
-        changed = after.where("l != old").limit(1).count()
-        unstage(labels)
-        labels = after.select("id", "l")
-        labels._staged_path = after._staged_path
-        if not changed:
-            return labels.select("id", F.col("l").alias("component"))
-    raise RuntimeError("components did not settle")
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, component) of nodes with links; component is the smallest id reachable."""
+    return components(edges, a, b).select(F.col("node").alias("id"), F.col("root").alias("component"))
 
 
 def star_groups(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
