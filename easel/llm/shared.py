@@ -1,56 +1,24 @@
-"""Helpers that the operators of this folder share: staged tables, byte columns, word rules, components."""
+"""Helpers that the operators of this folder share: byte columns, word rules, Arrow batches and sorted runs."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from easel.plans.components import components
 from easel.plans.ship import ship
+from easel.plans.staging import shared_dir, stage, unstage
 
-#: The word rule of every operator here: maximal runs of other bytes than space and \t..\r.
-SPACE = r"[\x20\x09-\x0D]"
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, else (local master only) a temp folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    found = "file://" + tempfile.mkdtemp(prefix="easel-shared-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as Parquet into the shared folder and read it back.
-
-    The files outlive executors; their schema is given, so an empty table stays readable.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
+__all__ = ["components", "fold", "list_array", "map_batches", "map_runs", "shared_dir", "stage", "text_bytes", "unstage"]
 
-def unstage(df: DataFrame) -> None:
-    """Delete a staged table that no later result reads."""
-    path, jvm = df._staged_path, df.sparkSession._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+#: What parts words, for every operator here.
+SPACE = r"[\x20\x09-\x0D]"
 
 
 def text_bytes(col: str) -> Column:
@@ -63,10 +31,6 @@ def fold(doc_id: str, n: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def fold_of(doc_id: int | None, n: int = 5) -> int:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % n
-
-
 def map_batches(df: DataFrame, fn, schema: str, weight: str | None = None, most: int = 4 << 20) -> DataFrame:
     """mapInArrow over fn(dict of Arrow columns) -> dict of columns, or None for no rows.
 
@@ -125,32 +89,3 @@ def list_array(values: np.ndarray, lengths) -> pa.Array:
     ends = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=ends[1:])
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Connected components of undirected links: (node, root), root the smallest node reachable.
-
-    Alternates large-star and small-star steps. Each step is a minimum by node, which Spark combines before
-    the shuffle, and an inner join that adaptive execution splits where one node has most links. Every round
-    is staged, so no lineage grows and lost executors cost one round at most. Only two numbers reach the
-    driver a round. Nodes without links are absent; self links and repeated links change nothing; null ends
-    are dropped.
-    """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
-    e, before = stage(e, "links"), None
-    for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v")))
-        after = stage(small.distinct(), "links")
-        now = after.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("h")).first()
-        unstage(e)
-        e = after
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
