@@ -10,20 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ids done so far; a ledger that isn't there yet is empty."""
+def read_ledger(spark: SparkSession, path: str, besides: str | None = None) -> DataFrame:
+    """The ids done so far, once each, without those of the batch `besides`; a ledger that isn't there yet is empty."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], "id string")
-    return spark.read.schema("id string").parquet(path)
+    rows = spark.read.schema("id string, batch string").parquet(path)
+    return (rows.where(F.col("batch") != besides) if besides else rows).select("id").distinct()
 
 
 def ledger_stream(spark: SparkSession, source: str, schema: StructType, ledger: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], output: str, id: str = "id", batch_files: int = 100) -> None:
     """Process what is new at source, once: items whose id isn't in the ledger go through work, which returns them
     with ok; results are written to output, and ids that succeeded to the ledger.
 
-    Output and ledger get a folder for each batch, overwritten if the batch is run again, so a replay adds nothing;
-    a new checkpoint starts over but finds the ledger. Ids that failed are tried again by a new checkpoint.
+    Output and ledger get a folder for each batch, overwritten if the batch is run again, and a batch doesn't count
+    its own earlier try as done; so a replay neither adds nor loses rows. A new checkpoint starts over but finds
+    the ledger. Ids that failed are tried again by a new checkpoint.
     """
     at = spark._jvm.org.apache.hadoop.fs.Path(source)
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", batch_files)
@@ -33,11 +35,11 @@ def ledger_stream(spark: SparkSession, source: str, schema: StructType, ledger:
         items = reader.parquet(source)
 
     def one(batch: DataFrame, n: int) -> None:
-        done = read_ledger(batch.sparkSession, f"{ledger}").select(F.col("id").alias("_done"))
         tag = f"{zlib.crc32(checkpoint.encode()):08x}-{n}"
+        done = read_ledger(batch.sparkSession, ledger, tag).select(F.col("id").alias("_done"))
         new = batch.where(F.col(id).isNotNull()).dropDuplicates([id]).join(done, F.col(id).cast("string") == F.col("_done"), "left_anti")
         work(new).write.mode("overwrite").parquet(f"{output}/batch={tag}")
         written = batch.sparkSession.read.parquet(f"{output}/batch={tag}")
-        written.where("ok").select(F.col(id).cast("string").alias("id")).write.mode("append").parquet(ledger)
+        written.where("ok").select(F.col(id).cast("string").alias("id")).write.mode("overwrite").parquet(f"{ledger}/batch={tag}")
 
     items.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -261,3 +261,20 @@ def test_pipeline_rejects_cycles(spark):
     out, seen = X.observed(df)
     out.collect()
     assert seen.get == {"ok": 1, "failed": 1, "total": 2}
+
+
+def test_ledger_stream_replays_and_goes_on(spark, tmp_path):
+    from easel.streaming.ledger import ledger_stream, read_ledger
+
+    at = lambda x: f"file://{tmp_path}/{x}"
+    schema = spark.createDataFrame([], "id long, good boolean").schema
+    run = lambda c: ledger_stream(spark, at("in"), schema, at("ledger"), at(c), lambda df: df.withColumn("ok", F.col("good")), at("out"))
+    spark.createDataFrame([(1, True), (2, False), (1, True), (None, True)], schema).write.parquet(at("in"))
+    run("c1")
+    assert sorted(r["id"] for r in read_ledger(spark, at("ledger")).collect()) == ["1"]
+    spark.createDataFrame([(2, True), (3, True)], schema).write.mode("append").parquet(at("in"))
+    run("c1")
+    run("c2")
+    out = sorted((r["id"], r["ok"]) for r in spark.read.parquet(at("out")).collect())
+    assert sorted(r["id"] for r in read_ledger(spark, at("ledger")).collect()) == ["1", "2", "3"]
+    assert [x for x in out if x[1]] == [(1, True), (2, True), (3, True)]
