@@ -12,9 +12,8 @@ from __future__ import annotations
 import uuid
 from array import array
 from bisect import bisect_left
-from collections import ChainMap
 from functools import cached_property, lru_cache
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -84,37 +83,46 @@ class Encoder:
     def points(self) -> dict[str, bytes]:
         return self._ask([".", ",", "\n"])
 
-    def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> dict[str, bytes]:
-        """The ids of words that aren't known, which are then known as long as there is room."""
-        got, ask = {}, []
-        for w in words - known.keys():
+    def _look_up(self, known: dict[str, bytes], words: list[str], before: str) -> list[bytes]:
+        """The ids of words, new ones by the library; they are then known as long as there is room."""
+        out = list(map(known.get, words))
+        if None not in out:
+            return out
+        got, ask, points, may_end = {}, [], self.points, known.get
+        for w in {w for w, ids in zip(words, out) if ids is None}:
             # letters and what follows them are parts of their own, so a known word serves with its comma
-            stem = w[:-1]
-            if w[-1:] in self.points and (ids := known.get(stem)) is not None and stem.isalpha() and (stem.isascii() or max(stem) < "ɐ"):
-                got[w] = ids + self.points[w[-1]]
+            if w[-1:] in points and (ids := may_end(stem := w[:-1])) is not None and stem.isalpha() and (stem.isascii() or max(stem) < "ɐ"):
+                got[w] = ids + points[w[-1]]
             else:
                 ask.append(w)
         got |= self._ask(ask, before)
         if len(known) < _KEEP:
             known |= got
-        return got
+        return [got[w] if ids is None else ids for w, ids in zip(words, out)]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of texts, without special tokens put around them; the library is asked once for all new words."""
-        odd = [self._is_odd(t) for t in texts]
-        lines = [[] if o else [x.split(" ") for x in t.split("\n")] for t, o in zip(texts, odd)]
-        heads = {x[0] for d in lines for x in d}
-        tails = set(chain.from_iterable(x[1:] for d in lines for x in d))
-        new_heads, new_tails = self._learn(self.heads, heads, ""), self._learn(self.chunks, tails, " ")
-        at_start, inside, feed = ChainMap(new_heads, self.heads), self.chunks, self.points["\n"]
-        if new_tails.keys() - inside.keys():
-            inside = {w: new_tails[w] if w in new_tails else inside[w] for w in tails}
+        heads: list[str] = []
+        tails: list[str] = []
+        shape: list[list[int] | None] = []
+        for t in texts:
+            if self._is_odd(t):
+                shape.append(None)
+                continue
+            sizes = []
+            for line in t.split("\n"):
+                head, *rest = line.split(" ")
+                heads.append(head)
+                tails += rest
+                sizes.append(len(rest))
+            shape.append(sizes)
+        first, others, feed = iter(self._look_up(self.heads, heads, "")), iter(self._look_up(self.chunks, tails, " ")), self.points["\n"]
         out = []
-        for t, o, d in zip(texts, odd, lines):
-            if o:
+        for t, sizes in zip(texts, shape):
+            if sizes is None:
                 out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, self.width).tobytes())
             else:
-                out.append(feed.join([at_start[x[0]] + b"".join([inside[w] for w in x[1:]]) for x in d]))
+                out.append(feed.join([next(first) + b"".join(islice(others, n)) for n in sizes]))
         return out
 
     def encode(self, text: str) -> bytes:
