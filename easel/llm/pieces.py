@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .shared import list_array, map_batches, text_bytes
 
 MARK = "▁"
-_KEEP = 400_000  # units that a worker remembers
+_KEEP = 200_000  # units that a worker remembers
 
 
 class CharacterMap:

@@ -21,7 +21,7 @@ from .shared import map_batches, map_runs, stage, text_bytes
 #: A perfect difference set: every difference modulo 31 occurs once.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_BATCH = 16 << 20
+_BATCH = 8 << 20
 
 
 def covers(cover=COVER, period: int = PERIOD) -> bool:

@@ -34,7 +34,7 @@ N_CLASSES = 64
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _CLASS[128:] = 27 + np.arange(128) % 37
-_KEEP = 200_000
+_KEEP = 120_000
 
 
 def letter_counts(text: bytes) -> np.ndarray:
@@ -228,7 +228,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc
         return {"at": pa.array(at), "n": pa.array(n[at])}
 
     counts = np.zeros(N_CLASSES**3)
-    for r in map_batches(rows.where("not held_out").select("text"), letters, "at long, n long", "text", 32 << 20).groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_pylist():  # 64^3 rows at most
+    for r in map_batches(rows.where("not held_out").select("text"), letters, "at long, n long", "text").groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_pylist():  # 64^3 rows at most
         counts[r["at"]] = r["n"]
     model = letter_model(counts).astype(np.float32)
     cache: dict = {}
