@@ -1,9 +1,9 @@
 """Document likelihood under a subword lattice: all segmentations count.
 
 A text is a sequence of words, each a space mark and its lower-cased bytes, then an end. The pieces of an existing
-vocabulary are weighted by how often they are found in the training documents; the probability of a word is the
-sum over all ways to cut it into pieces, by a forward recursion in log space, and that of a text the product over
-its words and the end. Single bytes are pieces too, so every text has a probability. Whole words of the training
+vocabulary are weighted by how often they are found in the distinct words of all training documents, each word once;
+the probability of a word is the sum over all ways to cut it into pieces, by a forward recursion in log space, and
+that of a text the product over its words and the end. Single bytes are pieces too, so every text has a probability. Whole words of the training
 documents are one more way through the lattice, weighted by their counts; the share of the pieces' ways is what
 absolute discounting of the word counts sets free.
 
@@ -189,29 +189,30 @@ def score_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", te
     training documents counts are 0 and pieces are weighed alike. Other columns of docs aren't read.
     """
     batches = stage(read_batches(docs, doc_id, text, folds, held_out), "word-batches")
+    # a word's place is its batch and its number there
+    each = batches.select("batch", F.posexplode(F.arrays_zip("words", "c")).alias("i", "w")).select(F.col("w.words").alias("word"), (F.shiftleft("batch", _PLACES) + F.col("i")).alias("place"), "w.c")
 
     def pieces(cols: dict) -> dict:
-        trie, total = _trie(model_path), None
-        for w, c in zip(cols["words"], cols["c"]):
-            got = longest_pieces(trie, w.as_py(), c.values.to_numpy() > 0)
-            total = got if total is None else total + got
+        words = cols["word"].to_pylist()
+        total = longest_pieces(_trie(model_path), words, np.ones(len(words)))
         at = np.flatnonzero(total)
-        return {"piece": pa.array(at), "n": pa.array(total[at])}
+        # and one row for how many words these are
+        return {"piece": np.append(at, -1), "n": np.append(total[at], float(len(words)))}
 
-    found = map_batches(batches.select("words", "c"), pieces, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # the vocabulary's length at most
-    n = np.full(len(_trie(model_path).pieces), smooth)
+    merged = each.where("c > 0").select("word").distinct()
+    found = map_batches(merged, pieces, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # the vocabulary's length and one at most
+    n, types = np.full(len(_trie(model_path).pieces), smooth), 0
     for r in found:
-        n[r["piece"]] += r["n"]
+        if r["piece"] < 0:
+            types = int(r["n"])
+        else:
+            n[r["piece"]] += r["n"]
     sums = batches.agg(F.sum("n_train").alias("docs"), F.sum("train_tokens").alias("tokens")).first()
     n_docs, n_tokens = sums["docs"] or 0, sums["tokens"] or 0
     log_p = np.log(n / (n.sum() + n_docs + smooth))
     n_words = n_tokens - n_docs
     ending = (n_docs + smooth) / (n_tokens + 2 * smooth)
-    about = batches.select(F.explode(F.arrays_zip("words", "c")).alias("w")).where("w.c > 0").agg(F.approx_count_distinct("w.words").alias("n")).first()["n"]
-    by_piece = min(1.0, discount * about / n_words) if n_words else 1.0
-
-    # a word's place is its batch and its number there
-    each = batches.select("batch", F.posexplode(F.arrays_zip("words", "c")).alias("i", "w")).select(F.col("w.words").alias("word"), (F.shiftleft("batch", _PLACES) + F.col("i")).alias("place"), "w.c")
+    by_piece = min(1.0, discount * types / n_words) if n_words else 1.0
 
     def count(cols: dict) -> dict:
         word = cols["word"]

@@ -327,6 +327,26 @@ def test_language_model_base_and_lattice(docs, corpus, empty):
     assert language_model.score_documents(empty, PIECES).collect() == []
 
 
+def test_language_model_scores_do_not_depend_on_batches(docs, corpus):
+    trie = language_model.PieceTrie(PIECES)
+    c, n_docs = collections.Counter(), 0
+    tokens = [[x.lower() for x in words(t)] for _, t, _ in corpus]
+    for (i, _, _), w in zip(corpus, tokens):
+        if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1:
+            c.update(w)
+            n_docs += 1
+    total, types = sum(c.values()), list(c)
+    n = language_model.longest_pieces(trie, types, np.ones(len(types))) + 0.1
+    every = list({x for w in tokens for x in w})
+    spelled = dict(zip(every, language_model.word_likelihoods(trie, np.log(n / (n.sum() + n_docs + 0.1)), every)))
+    ending, share = (n_docs + 0.1) / (total + n_docs + 0.2), 0.75 * len(types) / total
+    one = lambda x: math.log((1 - share) * c[x] / total + share * math.exp(spelled[x])) + math.log(1 - ending)
+    want = sorted((sum(map(one, w)) + math.log(ending)) / math.log(10) for w in tokens)
+    for parts in (1, 13):
+        got = language_model.score_documents(docs.repartition(parts), PIECES).collect()
+        assert np.allclose(sorted(r["score"] for r in got), want, rtol=1e-5)
+
+
 def test_lattice_sums_all_segmentations():
     trie = language_model.PieceTrie(PIECES)
     rng = np.random.default_rng(0)
