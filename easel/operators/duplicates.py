@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from functools import reduce
+from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from easel.functions.rasters import dot
 from easel.plans.components import components
+from easel.plans.ship import ship
 from easel.plans.staging import stage, unstage
 
 MIN_GAP = 6.0
@@ -94,21 +98,68 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return components(edges, a, b).select(F.col("node").alias("id"), F.col("root").alias("component"))
 
 
-def star_groups(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
+def peel(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, their centres) of star_groups() over links that are distinct, one node after another."""
+    ids, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    n, m = len(ids), len(x)
+    order = np.argsort(at, kind="stable")
+    to = np.concatenate([at[m:], at[:m]])[order].astype(np.int32)
+    left = np.bincount(at, minlength=n)
+    start = np.concatenate([[0], np.cumsum(left)]).tolist()
+    alive, centre, top = np.ones(n, bool), np.full(n, -1), int(left.max(initial=0))
+    # by degree, then id; a degree only falls, so an entry that is out of date comes too early and goes back
+    heap = ((top - left) * n + np.arange(n)).tolist()
+    heapify(heap)
+    while heap:
+        k = heappop(heap)
+        i = k % n
+        if not alive[i]:
+            continue
+        if (now := int(left[i])) != top - k // n:
+            if now:
+                heappush(heap, (top - now) * n + i)
+            continue
+        near = to[start[i] : start[i + 1]]
+        near = near[alive[near]]
+        centre[near] = centre[i] = i
+        alive[near] = alive[i] = False
+        np.subtract.at(left, np.concatenate([to[start[j] : start[j + 1]] for j in near.tolist()]), 1)
+    got = centre >= 0
+    return ids[got], ids[centre[got]]
+
+
+def star_groups(edges: DataFrame, a: str = "a", b: str = "b", most: int = 1 << 22) -> DataFrame:
     """(id, group): repeatedly the node of highest remaining degree (ties: smallest id) takes its remaining
     neighbours; group is the centre's id. Nodes left without links have no row.
 
-    In rounds over the whole graph: every node that is best within two steps becomes a centre at once, which gives
-    what taking them one by one gives, as such centres share no neighbour. Joins only, so no component is held in
-    one task.
+    Components of up to `most` links, and all that is left once it has no more, are each finished in one task. Larger
+    ones go in rounds over the whole graph: every node that is best within two steps becomes a centre at once, which
+    gives what taking them one by one gives, as such centres share no neighbour. Components are looked up again
+    whenever half of the links are gone. Each round takes the best node of all at least, so the rounds end.
     """
+    ship(edges.sparkSession)
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x != y")
     both = stage(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
+    kind = both.schema["x"].dataType.simpleString()
+
+    def finish(links: pa.Table) -> pa.Table:
+        return pa.table(list(peel(links.column("x").to_numpy(), links.column("y").to_numpy())), ["id", "group"])
+
+    def finished(links: DataFrame) -> DataFrame:
+        return stage(links.where("x < y").groupBy("root").applyInArrow(finish, f"id {kind}, `group` {kind}"), "star")
+
     parts: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if both.limit(1).count() == 0:
-            out = reduce(lambda p, q: p.unionByName(q), parts) if parts else both.select(F.col("x").alias("id"), F.col("y").alias("group"))
-            return out
+    split = None
+    while (n := both.count() // 2) > most:
+        if split is None or n <= split // 2:
+            roots = components(both.where("x < y"), "x", "y")
+            marked = stage(both.join(roots, F.col("x") == F.col("node")).select("x", "y", "root"), "marked")
+            small = marked.groupBy("root").count().where(F.col("count") <= 2 * most).select("root")
+            parts.append(finished(marked.join(small, "root", "left_semi")))
+            after = stage(marked.join(small, "root", "left_anti").select("x", "y"), "edges")
+            unstage(marked), unstage(both)
+            both, split = after, after.count() // 2
+            continue
         rank = both.groupBy("x").agg(F.struct(F.count("*").alias("deg"), (-F.col("x")).alias("neg")).alias("own"))
         best1 = both.join(rank.select(F.col("x").alias("_y"), "own"), F.col("y") == F.col("_y")).groupBy("x").agg(F.max("own").alias("near")).join(rank, "x").select("x", "own", F.greatest("own", "near").alias("one"))
         best2 = both.join(best1.select(F.col("x").alias("_y"), "one"), F.col("y") == F.col("_y")).groupBy("x").agg(F.max("one").alias("two")).join(best1, "x")
@@ -121,7 +172,14 @@ def star_groups(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int =
         after = stage(rest, "edges")
         unstage(both)
         both = after
-    raise RuntimeError("groups did not settle")
+        if len(parts) >= 32:  # plans stay short
+            whole = stage(reduce(lambda p, q: p.unionByName(q), parts), "star")
+            for p in parts:
+                unstage(p)
+            parts = [whole]
+    parts.append(finished(both.withColumn("root", F.lit(0))))
+    unstage(both)
+    return reduce(lambda p, q: p.unionByName(q), parts)
 
 
 #: What decides between copies, most first.

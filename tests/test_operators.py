@@ -161,6 +161,19 @@ def test_star_groups_and_components_random(spark):
     assert {r["id"]: r["component"] for r in D.connected_components(df).collect()} == low
 
 
+def test_star_groups_long_chain(spark):
+    df = spark.range(1999).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r["id"]: r["group"] for r in D.star_groups(df).collect()} == _stars([(i, i + 1) for i in range(1999)])
+
+
+@pytest.mark.parametrize("most", [0, 6])
+def test_star_groups_rounds_and_components(spark, most):
+    rng = random.Random(9)
+    edges = [(g * 100 + a, g * 100 + b) for g in range(5) for a in range(4 + 5 * (g % 2)) for b in range(a + 1, 4 + 5 * (g % 2)) if rng.random() < 0.4]
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {r["id"]: r["group"] for r in D.star_groups(df, most=most).collect()} == _stars(edges)
+
+
 @pytest.mark.parametrize("threshold", [3, 20])
 def test_hamming_pairs(spark, threshold):
     rng = random.Random(1)
