@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from easel.functions import rasters as R
 from easel.operators import duplicates as D
 
+from .staging import stage
 from .tables import images, table, with_images
 
 QUERIES, ORACLE = {}, {}
@@ -193,9 +194,10 @@ def d14_order_by_group(spark, d):
 
 
 def flagship(spark, d):
-    """Hash pairs, verified by correlation, in star groups with the similarity of each member."""
+    """Hash pairs, verified by the second hash and by correlation as in d2 and d3, in star groups with the similarity of each member."""
     s = signatures(spark, d)
-    e = D.hamming_pairs(s, THRESHOLD)
+    e = D.hamming_pairs(s, THRESHOLD, keep=("phash", "unit"))
+    e = stage(D.verify_histogram(D.verify_hash(e, 30), 0.3).select("a", "b", "sim"), "verified")
     groups = D.star_groups(e)
     return D.dedup_report(s.select("id"), groups, e)[0].withColumn("action", F.when(F.col("group").isNull() | (F.col("group") == F.col("id")), "keep").otherwise("review"))
 

@@ -20,6 +20,7 @@ from easel.operators import posts as P
 from easel.operators import scores as M
 from easel.operators import tags as O
 from easel.plans import compose as X
+from easel.plans import image_queries as Q
 from easel.sources import images as S
 
 
@@ -174,6 +175,18 @@ def test_star_groups_rounds_and_components(spark, most):
     assert {r["id"]: r["group"] for r in D.star_groups(df, most=most).collect()} == _stars(edges)
 
 
+def test_flagship_verifies(spark):
+    d = "/root/testdata/sf0.001"
+    pairs = {name: {(r["a"], r["b"]) for r in Q.QUERIES[name](spark, d).collect()} for name in ("d1_hamming_pairs", "d2_verify_hash", "d3_hist_correlation")}
+    linked = pairs["d2_verify_hash"] & pairs["d3_hist_correlation"]
+    assert linked < pairs["d1_hamming_pairs"]
+    groups = _stars(linked)
+    got = Q.QUERIES["flagship_dedup"](spark, d).collect()
+    assert {r["id"]: r["group"] for r in got if r["group"] is not None} == groups
+    assert {r["id"] for r in got if r["action"] == "review"} == {i for i, g in groups.items() if i != g}
+    assert {r["id"] for r in got if r["similarity"] is not None} == set(groups)
+
+
 @pytest.mark.parametrize("threshold", [3, 20])
 def test_hamming_pairs(spark, threshold):
     rng = random.Random(1)
