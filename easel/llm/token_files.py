@@ -9,20 +9,29 @@ lets each block be read alone.
 
 from __future__ import annotations
 
+import re
 import uuid
 from array import array
-from bisect import bisect_left
 from functools import cached_property, lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import map_batches, shared_dir, text_bytes
 
-_KEEP = 300_000  # words that a worker remembers
+_KEEP = 96 << 20  # bytes of words that a worker remembers
+_SHARD = 256 << 20  # bytes of text in a shard, about
+#: What byte-level vocabularies write for a byte: itself where it is visible, else a letter from 256 on.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SHOWN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
+_MARK = _SHOWN[32]
+#: Words whose parts are sure: no apostrophe, no number signs that aren't digits, nothing above Latin letters.
+_PLAIN = re.compile("[!-&(-~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]+").fullmatch
+_LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_PARTS = re.compile(f"[{_LETTER}]+|[0-9]+|[^{_LETTER}0-9]+").findall
 #: The lengths less one that a control byte stands for.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8)
 _BLOCK = "shard int, block long, first long, doc_ids array<long>, lengths array<int>, by_rank binary, control binary, data binary"
@@ -49,8 +58,10 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 class Encoder:
     """The tokenizers library, asked once per worker for each word.
 
-    Byte-level splitting starts a new part at a single space or line feed between visible characters, so words
-    are encoded alone, with their space. Texts with other white space, and other tokenizers, get whole texts.
+    Byte-level splitting starts a new part at a single space or line feed between visible characters, and between
+    letters, digits and other signs. So words are split at such places, and a part that isn't remembered is merged
+    by the library's model alone, with its space. Words with an apostrophe or characters above Latin letters go to
+    the whole library, and so do texts with other white space, and all texts of other tokenizers.
     """
 
     def __init__(self, path: str):
@@ -61,72 +72,92 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         spec = json.loads(self.library.to_str())
         before = spec["pre_tokenizer"] or {}
-        self.apart = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec["normalizer"]
+        self.apart = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec["normalizer"] and not spec["truncation"] and not spec["padding"] and spec["model"].get("type") == "BPE"
+        self.merge = self.library.model.tokenize
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.width = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        #: ids of words after a space, and of words at the start of a line
-        self.chunks: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        #: texts with these get the library whole: white space that isn't one character between visible ones, or
-        #: that libraries may see differently, and the tokenizer's special tokens
-        self.odd = ["  ", "\n\n", " \n", "\n ", *self.special, *(c for c in map(chr, range(0x10000)) if (c.isspace() or c == "\u180e") and c not in " \n")]
+        #: ids of words, each after a space or the line feed that it begins with, and of parts without either
+        self.words: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+        self.room = _KEEP
+        #: texts that match this get the library whole: white space that isn't one character between visible ones,
+        #: or that libraries may see differently, and the tokenizer's special tokens
+        spaces = "".join(re.escape(c) for c in map(chr, range(0x10000)) if (c.isspace() or c == "\u180e") and c not in " \n")
+        self.odd = "|".join(["^$", "^[ \n]", "[ \n]$", "  ", "\n\n", " \n", "\n ", f"[{spaces}]", *map(re.escape, self.special)])
         self.code = "H" if self.width.itemsize == 2 else "I"
 
-    def _is_odd(self, text: str) -> bool:
-        return not text or not self.apart or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in self.odd)
-
-    def _ask(self, texts: list[str], before: str = "") -> dict[str, bytes]:
-        got = self.library.encode_batch_fast([before + t for t in texts], add_special_tokens=False)
-        return {t: array(self.code, e.ids).tobytes() for t, e in zip(texts, got)}
-
     @cached_property
-    def points(self) -> dict[str, bytes]:
-        return self._ask([".", ",", "\n"])
-
-    def _look_up(self, known: dict[str, bytes], words: list[str], before: str) -> list[bytes]:
-        """The ids of words, new ones by the library; they are then known as long as there is room."""
-        out = list(map(known.get, words))
-        if None not in out:
-            return out
-        got, ask, points, may_end = {}, [], self.points, known.get
-        for w in {w for w, ids in zip(words, out) if ids is None}:
-            # letters and what follows them are parts of their own, so a known word serves with its comma
-            if w[-1:] in points and (ids := may_end(stem := w[:-1])) is not None and stem.isalpha() and (stem.isascii() or max(stem) < "ɐ"):
-                got[w] = ids + points[w[-1]]
-            else:
-                ask.append(w)
-        got |= self._ask(ask, before)
-        if len(known) < _KEEP:
-            known |= got
-        return [got[w] if ids is None else ids for w, ids in zip(words, out)]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of texts, without special tokens put around them; the library is asked once for all new words."""
-        heads: list[str] = []
-        tails: list[str] = []
-        shape: list[list[int] | None] = []
-        for t in texts:
-            if self._is_odd(t):
-                shape.append(None)
-                continue
-            sizes = []
-            for line in t.split("\n"):
-                head, *rest = line.split(" ")
-                heads.append(head)
-                tails += rest
-                sizes.append(len(rest))
-            shape.append(sizes)
-        first, others, feed = iter(self._look_up(self.heads, heads, "")), iter(self._look_up(self.chunks, tails, " ")), self.points["\n"]
-        out = []
-        for t, sizes in zip(texts, shape):
-            if sizes is None:
-                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, self.width).tobytes())
+    def feed(self) -> bytes:
+        return array(self.code, self.library.encode("\n", add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str, before: str) -> bytes:
+        """The ids of letters, digits or signs alone, as the model merges them."""
+        known = self.words if before else self.plain
+        if (ids := known.get(part)) is None:
+            if part.isascii() and part.isprintable():
+                shown = _MARK + part if before else part
             else:
-                out.append(feed.join([next(first) + b"".join(islice(others, n)) for n in sizes]))
+                shown = (before + part).encode().decode("latin-1").translate(_SHOWN)
+            ids = array(self.code, [t.id for t in self.merge(shown)]).tobytes()
+            self._keep(known, part, ids)
+        return ids
+
+    def _keep(self, known: dict[str, bytes], word: str, ids: bytes) -> None:
+        if (cost := 160 + 2 * len(word) + len(ids)) <= self.room:
+            self.room -= cost
+            known[word] = ids
+
+    def _word(self, word: str) -> bytes | None:
+        """The ids of a word, after a space or the line feed that it begins with, by its parts; None if they aren't sure."""
+        before, lead = " ", b""
+        if word[0] == "\n":
+            before, lead, word = "", self.feed, word[1:]
+        if not _PLAIN(word):
+            return None
+        first, *rest = _PARTS(word)
+        return b"".join([lead, self._part(first, before), *[self._part(x, "") for x in rest]])
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words; new ones are known from then on as long as there is room."""
+        known, out, ask = self.words, list(map(self.words.get, words)), []
+        for i, ids in enumerate(out):
+            if ids is None:
+                if (ids := self._word(words[i])) is None:
+                    ask.append(i)
+                else:
+                    out[i] = ids
+                    if words[i] not in known:
+                        self._keep(known, words[i], ids)
+        if ask:
+            asked = [words[i] if words[i][0] == "\n" else " " + words[i] for i in ask]
+            for i, e in zip(ask, self.library.encode_batch_fast(asked, add_special_tokens=False)):
+                out[i] = array(self.code, e.ids).tobytes()
+                self._keep(known, words[i], out[i])
         return out
 
+    def encode_all(self, texts: pa.StringArray) -> list[bytes]:
+        """The ids of texts, without special tokens put around them. The distinct words are looked up at once, and
+        Arrow lays their ids out in the order of the words."""
+        odd = pc.match_substring_regex(texts, self.odd) if self.apart else pa.array([True] * len(texts))
+        plain = texts.filter(pc.invert(odd))
+        cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\n"), plain, ""), "\n", " \n"), " ")
+        # the first word of each list is what is before the first feed: nothing
+        words = pc.list_flatten(cut).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        ids = [b""] * len(distinct)
+        some = [i for i, w in enumerate(distinct) if w]
+        for i, x in zip(some, self._look_up([distinct[i] for i in some])):
+            ids[i] = x
+        laid = pa.array(ids, pa.large_binary()).take(words.indices)
+        ends = np.frombuffer(laid.buffers()[1], np.int64, len(laid) + 1) if len(laid) else np.zeros(1, np.int64)
+        at = ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist() if len(cut) else []
+        data, skip = laid.buffers()[2], len(self.feed)  # without the feed put in front
+        found = iter([data[i + skip : j].to_pybytes() for i, j in zip(at, at[1:])])
+        whole = iter(self.library.encode_batch_fast(texts.filter(odd).to_pylist(), add_special_tokens=False))
+        return [array(self.code, next(whole).ids).tobytes() if o else next(found) for o in odd.to_pylist()]
+
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        return self.encode_all(pa.array([text]))[0]
 
 
 @lru_cache(4)
@@ -137,63 +168,110 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, bounds: tuple[int, ...] = ()) -> DataFrame:
-    """(doc_id, ids, width, shard): the ids with end_id, as little-endian numbers of 2 bytes, or of 4 where the
-    vocabulary needs it; shard is how many of the ascending bounds are below the id."""
+class Shards:
+    """Where rows go, by id and tie: null ids first, in `nulls` shards; then a shard for each range of ids up to a cut.
+    A cut that repeats is an id with a large part of the rows: it has as many shards of its own, dealt out by tie."""
+
+    def __init__(self, cuts: list[int], nulls: int):
+        self.cuts, self.own = np.unique(np.array(cuts, np.int64), return_counts=True)
+        self.own = np.append(np.where(self.own > 1, self.own, 0), 0)
+        self.first = nulls + np.concatenate([[0], np.cumsum(self.own[:-1] + 1)])
+        self.nulls, self.n = nulls, int(self.first[-1]) + 1
+
+    def of(self, ids: np.ndarray, null: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        share = (tie.astype(float) + 2.0**63) / 2.0**64
+        part = lambda n: np.clip((share * n).astype(np.int64), 0, np.maximum(n - 1, 0))
+        i = np.searchsorted(self.cuts, ids)
+        hot = (self.own[i] > 0) & (np.append(self.cuts, 0)[i] == ids)
+        return np.where(null, part(self.nulls), self.first[i] + np.where(hot, 1 + part(self.own[i]), 0)).astype(np.int32)
+
+
+def tokenize(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, shards: Shards | None = None) -> DataFrame:
+    """(doc_id, tie, ids, width, shard): the ids with end_id, as little-endian numbers of 2 bytes, or of 4 where the
+    vocabulary needs it; tie is a hash of the text, which orders rows of one id."""
+    shards = shards or Shards([], 0)
 
     def run(cols: dict) -> dict:
         e = _encoder(tokenizer_path)
         end = np.array([end_id], e.width).tobytes()
-        shard = [0 if d is None else bisect_left(bounds, d) for d in cols["doc_id"].to_pylist()]
-        return {"doc_id": cols["doc_id"], "ids": pa.array([x + end for x in e.encode_all([t.as_py().decode("utf-8", "replace") for t in cols["text"]])], pa.binary()), "width": pa.array([e.width.itemsize] * len(shard), pa.int32()), "shard": pa.array(shard, pa.int32())}
+        try:
+            texts = cols["text"].cast(pa.string())
+        except pa.ArrowInvalid:  # not UTF-8 somewhere
+            texts = pa.array([t.as_py().decode("utf-8", "replace") for t in cols["text"]], pa.string())
+        ids = [x + end for x in e.encode_all(texts)]
+        shard = shards.of(pc.fill_null(cols["doc_id"], 0).to_numpy(), cols["doc_id"].is_null().to_numpy(zero_copy_only=False), cols["tie"].to_numpy())
+        return {"doc_id": cols["doc_id"], "tie": cols["tie"], "ids": pa.array(ids, pa.binary()), "width": pa.array([e.width.itemsize] * len(ids), pa.int32()), "shard": pa.array(shard)}
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text"))
-    return map_batches(rows, run, "doc_id long, ids binary, width int, shard int", "text")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), text_bytes(text).alias("text"))
+    return map_batches(rows, run, "doc_id long, tie long, ids binary, width int, shard int", "text", 8 << 20)
 
 
-def _block(shard: int, block: int, first: int, held: list) -> pa.RecordBatch:
-    ids = np.concatenate([x for _, x in held])
+def _block(shard: int, block: int, first: int, doc_ids: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     n = np.bincount(ids)
     by_rank = np.argsort(-n, kind="stable")[: np.count_nonzero(n)].astype("<u4")
     rank = np.zeros(len(n), np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     control, data = pack(rank[ids])
-    values = ([shard], [block], [first], [[d for d, _ in held]], [[len(x) for _, x in held]], [by_rank.tobytes()], [control], [data])
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], [c.split()[0] for c in _BLOCK.split(", ")])
+    one = [0, len(lengths)]
+    lists = [pa.ListArray.from_arrays(pa.array(one, pa.int32()), x) for x in (doc_ids, pa.array(lengths, pa.int32()))]
+    plain = [pa.array([v], k) for v, k in ((shard, pa.int32()), (block, pa.int64()), (first, pa.int64()))]
+    return pa.RecordBatch.from_arrays([*plain, *lists, *[pa.array([x], pa.binary()) for x in (by_rank.tobytes(), control, data)]], [c.split()[0] for c in _BLOCK.split(", ")])
+
+
+def _flat(ids: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers of a binary column, how many each row has)."""
+    ends = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset).astype(np.int64)
+    return np.frombuffer(ids.buffers()[2], f"<u{width}", (ends[-1] - ends[0]) // width, ends[0]), np.diff(ends) // width
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, block_tokens: int = 1 << 20) -> None:
-    """Tokenize and write files at path, ids in ascending order (null first, ties by the token ids)."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # the ids' quantiles cut them into shards: one pass over the id column, and n numbers
-    cuts = docs.agg(F.percentile_approx(F.col(doc_id).cast("long"), [i / n for i in range(1, n)] or [0.5], 100 * n).alias("q")).first()["q"] or []
-    bounds = tuple(sorted(set(cuts)))
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, block_tokens: int = 1 << 20, shard_bytes: int = _SHARD) -> None:
+    """Tokenize and write files at path, ids in ascending order (null first, ties by a hash of the text, then by the
+    token ids). There are as many shards as shuffle partitions, or one for each shard_bytes of text if that is more;
+    the driver holds one id and, in reading, one number a shard."""
+    key = F.col(doc_id).cast("long")
+    seen = docs.agg(F.count("*").alias("rows"), F.count_if(key.isNull()).alias("nulls"), F.sum(F.octet_length(text)).alias("bytes")).first()
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(seen["bytes"] or 0) // shard_bytes))
+    # the ids' quantiles cut them into shards: one pass over the id column
+    cuts = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 20 * n).alias("q")).first()["q"] or []
+    shards = Shards(cuts, -(-n * seen["nulls"] // max(1, seen["rows"])))
 
     def blocks(batches):
         shard, block, first, held, size = None, 0, 0, [], 0
+
+        def close():
+            return _block(shard, block, first, pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]))
+
         for b in batches:
-            for s, d, ids, w in zip(*(b.column(c) for c in ("shard", "doc_id", "ids", "width"))):
-                if held and (s.as_py() != shard or size >= block_tokens):
-                    yield _block(shard, block, first, held)
+            if not b.num_rows:
+                continue
+            ids, lengths = _flat(b.column("ids"), b.column("width")[0].as_py())
+            own, ends = b.column("shard").to_numpy(), np.cumsum(lengths)
+            at = 0
+            while at < b.num_rows:
+                if held and (own[at] != shard or size >= block_tokens):
+                    yield close()
                     block, first, held, size = block + 1, first + size, [], 0
-                if s.as_py() != shard:
-                    shard, block, first = s.as_py(), 0, 0
-                held.append((d.as_py(), np.frombuffer(ids.as_py(), f"<u{w.as_py()}")))
-                size += len(held[-1][1])
+                if own[at] != shard:
+                    shard, block, first = int(own[at]), 0, 0
+                before = int(ends[at - 1]) if at else 0
+                # rows of this shard until the block is full
+                full = int(np.searchsorted(ends, before + block_tokens - size)) + 1
+                to = min(full, at + int(np.searchsorted(own[at:], shard, "right")))
+                held.append((b.column("doc_id").slice(at, to - at), lengths[at:to], ids[before : int(ends[to - 1])]))
+                size, at = size + int(ends[to - 1]) - before, to
         if held:
-            yield _block(shard, block, first, held)
+            yield close()
 
-    tokens = tokenize(docs, tokenizer_path, doc_id, text, end_id, bounds)
-    in_order = tokens.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
-    in_order.mapInArrow(blocks, _BLOCK).write.parquet(path)
+    tokens = tokenize(docs, tokenizer_path, doc_id, text, end_id, shards)
+    in_order = tokens.repartitionById(shards.n, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "tie", "ids")
+    in_order.drop("tie").mapInArrow(blocks, _BLOCK).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids): what the files hold; start is the number of ids of all documents before it, ids
     are little-endian unsigned 32-bit numbers."""
     blocks = spark.read.schema(_BLOCK).parquet(path)
-    # one number a shard, and there are at most as many shards as shuffle partitions
+    # one number a shard
     sizes = blocks.groupBy("shard").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, n: s + n)).alias("n")).orderBy("shard").collect()
     base, total = {}, 0
     for r in sizes:
@@ -202,14 +280,16 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     def unpacked(cols: dict) -> dict:
         docs, texts, starts = [], [], []
-        for s, f, d, n, r, c, x in zip(*(cols[k] for k in ("shard", "first", "doc_ids", "lengths", "by_rank", "control", "data"))):
-            n = np.array(n.as_py(), np.int64)
-            ids = np.frombuffer(r.as_py(), "<u4")[unpack(c.as_py(), x.as_py(), int(n.sum()))]
-            ends = np.cumsum(n)
-            docs += d.as_py()
-            starts += (ends - n + f.as_py() + base[s.as_py()]).tolist()
-            texts += [ids[e - k : e].tobytes() for e, k in zip(ends, n)]
-        return {"doc_id": pa.array(docs, pa.int64()), "start": pa.array(starts, pa.int64()), "ids": pa.array(texts, pa.binary())}
+        for k in range(len(cols["shard"])):
+            n = cols["lengths"][k].values.to_numpy().astype(np.int64)
+            control, data, by_rank = (cols[c][k].as_buffer() for c in ("control", "data", "by_rank"))
+            ids = np.frombuffer(by_rank, "<u4")[unpack(control, data, int(n.sum()))]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            docs.append(cols["doc_ids"][k].values)
+            starts.append(ends[:-1] + cols["first"][k].as_py() + base[cols["shard"][k].as_py()])
+            # a block is far smaller than the 2 GB that these places can count, unless one text isn't
+            texts.append(pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(4 * ends), pa.py_buffer(ids)]).cast(pa.binary()))
+        return {"doc_id": pa.concat_arrays(docs), "start": pa.array(np.concatenate(starts)), "ids": pa.concat_arrays(texts)}
 
     return map_batches(blocks, unpacked, "doc_id long, start long, ids binary", "data", 1 << 20)
 

@@ -397,3 +397,26 @@ def test_classifiers(spark, docs, corpus, empty):
         assert {r["score"] for r in f(docs, labels.limit(0)).collect()} == {0.5}
     clean = toxicity.clean_documents(df, labels)
     assert clean.columns == df.columns and sum(truth[r["doc_id"]][1] for r in clean.collect()) <= 12
+
+
+def test_shards_keep_the_order_and_split_hot_ids():
+    rng = np.random.default_rng(4)
+    ids = np.concatenate([rng.integers(0, 100, 300), np.full(400, 50)])
+    tie, null = rng.integers(-(1 << 63), 1 << 63, 700), rng.random(700) < 0.2
+    s = token_files.Shards(sorted(np.quantile(ids, np.arange(1, 12) / 12).astype(int).tolist()), 3)
+    at = s.of(ids, null, tie)
+    o = np.lexsort((tie, np.where(null, -1, ids)))
+    assert (np.diff(at[o]) >= 0).all() and at.max() < s.n
+    assert len(set(at[null])) == 3 and len(set(at[~null & (ids == 50)])) > 3 and max(collections.Counter(at.tolist()).values()) < 200
+    assert (token_files.Shards([], 0).of(ids, np.zeros(700, bool), tie) == 0).all()
+
+
+def test_token_files_with_hot_ids_and_long_texts(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice([7, 7, 7, None, k]), prose(rng, rng.randint(0, 30))) for k in range(120)] + [(3, "xy'z" * 500_000), (4, "longer  than a batch, ünd ²½ so on. " * 260_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    t = Tokenizer.from_file(BYTES)
+    got = sorted((r["start"], -1 if r["doc_id"] is None else r["doc_id"], bytes(r["ids"])) for r in token_files.token_files(df, BYTES).collect())
+    want = sorted((-1 if i is None else i, np.array(t.encode(x, add_special_tokens=False).ids + [0], "<u4").tobytes()) for i, x in rows)
+    assert sorted(g[1:] for g in got) == want and [g[1] for g in got] == sorted(g[1] for g in got)
+    assert [g[0] for g in got] == np.cumsum([0, *[len(g[2]) // 4 for g in got]])[:-1].tolist()
