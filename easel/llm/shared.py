@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from easel.plans.components import components
 from easel.plans.ship import ship
 from easel.plans.staging import shared_dir, stage, unstage
 
-__all__ = ["components", "fold", "list_array", "map_batches", "map_runs", "shared_dir", "stage", "text_bytes", "unstage"]
+__all__ = ["components", "filter_rows", "fold", "fresh", "list_array", "map_batches", "map_runs", "shared_dir", "stage", "text_bytes", "unstage"]
 
 #: What parts words, for every operator here.
 SPACE = r"[\x20\x09-\x0D]"
@@ -31,6 +32,36 @@ def fold(doc_id: str, n: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def fresh(name: str) -> str:
+    """A column name that no given table has."""
+    return f"_{name}_{uuid.uuid4().hex}"
+
+
+def cuts_by_bytes(texts: pa.Array, most: int) -> list[int]:
+    """Where to cut rows so that the bytes of each slice stay under `most`, or it is one row."""
+    ends, cuts = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), [0]
+    while cuts[-1] < len(texts):
+        before = ends[cuts[-1] - 1] if cuts[-1] else 0
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, before + most, "right"))))
+    return cuts
+
+
+def filter_rows(df: DataFrame, text: str, keep, most: int = 4 << 20) -> DataFrame:
+    """The rows of df for which keep(list of texts as bytes, null as empty) is true: all columns stay, and no row
+    leaves its partition."""
+    ship(df.sparkSession)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).cast(pa.binary())
+            cuts = cuts_by_bytes(texts, most)
+            for i, j in zip(cuts, cuts[1:]):
+                yield b.slice(i, j - i).filter(pa.array(keep([t.as_py() or b"" for t in texts.slice(i, j - i)]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def map_batches(df: DataFrame, fn, schema: str, weight: str | None = None, most: int = 4 << 20) -> DataFrame:
     """mapInArrow over fn(dict of Arrow columns) -> dict of columns, or None for no rows.
 
@@ -41,12 +72,7 @@ def map_batches(df: DataFrame, fn, schema: str, weight: str | None = None, most:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cuts = [0, b.num_rows]
-            if weight is not None:
-                ends, cuts = np.cumsum(pc.fill_null(pc.binary_length(b.column(weight)), 0).to_numpy(zero_copy_only=False)), [0]
-                while cuts[-1] < b.num_rows:
-                    before = ends[cuts[-1] - 1] if cuts[-1] else 0
-                    cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, before + most, "right"))))
+            cuts = [0, b.num_rows] if weight is None else cuts_by_bytes(b.column(weight), most)
             for i, j in zip(cuts, cuts[1:]):
                 if j > i and (got := fn({n: b.column(n).slice(i, j - i) for n in b.schema.names})) is not None:
                     yield pa.RecordBatch.from_arrays([got[n] if isinstance(got[n], pa.Array) else pa.array(got[n]) for n in names], names)

@@ -1,8 +1,10 @@
 """Toxicity of texts restored by a noisy-channel decoder.
 
-Spans that look written to deceive (digits and signs inside words, letters spaced out, letters repeated) become
-lattices of what each character may stand for; a Viterbi search under a character trigram model picks the reading.
-The restored words are then scored against evidence learned from labelled documents.
+A token is what a channel made of meant letters: it writes look-alike digits and signs for letters, repeats letters,
+and puts signs between them; spaces between single characters are such signs too. Each token is a lattice of what its
+runs of equal characters may stand for, all of these at once; a Viterbi search under a character trigram model picks
+the reading, which is the token itself where nothing else is likelier. The restored words are then scored against
+evidence learned from labelled documents.
 """
 
 from __future__ import annotations
@@ -16,25 +18,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import labelled_sample
-from .shared import fold, map_batches, text_bytes
+from .shared import filter_rows, fold, map_batches, text_bytes
 
 # What digits and signs commonly stand for inside words.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
-#: Log probabilities of the channel: a letter as itself, as a look-alike, dropped, spaced out, and repeated.
-AS_IS, ALIKE, DROPPED, SPACED, REPEATED = 0.0, math.log(0.1), math.log(0.01), math.log(0.1), math.log(0.2)
+#: Log probabilities of the channel: a look-alike for a letter, a sign put in that stands for nothing, a sign or space
+#: between letters, a run of a letter for one or two of it, and a sign in a word that means itself.
+ALIKE, DROPPED, SPACED, REPEATED, LITERAL = math.log(0.1), math.log(0.0005), math.log(0.2), math.log(0.05), math.log(0.0001)
 
 _SIGN = re.escape("".join(LEET)).encode()
-#: Tokens that look written to deceive: a sign among letters, before or after them, a letter three times, letters
-#: apart by signs; and letters apart by spaces.
-_ODD_TOKEN = re.compile(rb"[a-z][" + _SIGN + rb"]{1,3}(?=[a-z])|^[" + _SIGN + rb"](?=[a-z]{2})|(?<=[a-z])[013457890@$](?=[.,;:?!]*$)|([a-z])\1\1|^[a-z](?:[._*-][a-z]){3,}[.,;:?!]*$").search
-_SPACED = re.compile(rb"(?<![^\s])[a-z](?: [a-z]){3,}(?![^\s.,;:?!])")
-_MAY_BE_SPACED = re.compile(rb"[a-z] [a-z] [a-z] [a-z]").search
-_ENDS = b".,;:?!\"'()[]"
+#: Tokens whose lattice has more than one path: a letter twice in a row, or a letter and something that is none.
+_MANY_PATHS = re.compile(rb"([a-z])\1|[a-z\x80-\xff][^a-z\x80-\xff]|[^a-z\x80-\xff][a-z\x80-\xff]").search
+_SINGLE = rb"[a-z" + _SIGN + rb"]"
+_SINGLES = re.compile(rb"(?<![^\s])" + _SINGLE + rb"(?:\s+" + _SINGLE + rb")+(?![^\s.,;:?!])")
+_LETTER = re.compile(rb"[a-z]").search
+#: Letters that aren't repeated, together; else a run of one character, or white space.
+_RUNS = re.compile(r"(?:([a-z])(?!\1)|[\x80-\xff])+|\s+|([^\s])\2*").finditer
+#: Signs that stand for nothing but themselves; at the ends of a token they are the break that is there anyway.
+_ENDS = bytes(b for b in range(33, 128) if not (chr(b).isalnum() or chr(b) in LEET))
+_LAST = _ENDS + b"!"  # at the end, an exclamation mark is one
 N_CLASSES = 64
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _CLASS[128:] = 27 + np.arange(128) % 37
-_KEEP = 120_000
+_CODES = _CLASS.tobytes()
+_KEEP = 48 << 20  # bytes of tokens that a worker remembers, for each of two caches
 
 
 def letter_counts(text: bytes) -> np.ndarray:
@@ -55,69 +63,90 @@ def letter_model(counts: np.ndarray) -> np.ndarray:
 
 class Restorer:
     def __init__(self, log_p: np.ndarray):
-        self.log_p, self.known = log_p.tolist(), {}
-
-    def edges(self, span: str, i: int) -> list[tuple[int, str, float]]:
-        """(next place, letters, log probability of the channel) of what may stand at i."""
-        c, j = span[i], i + 1
-        while j < len(span) and span[j] == c:
-            j += 1
-        if _CLASS[ord(c)]:
-            out = [(i + 1, c, AS_IS)]
-            if j - i >= 3 and c.isascii():
-                out += [(j, c, REPEATED), (j, c + c, REPEATED)]
-            return out
-        if c in LEET:
-            return [(j, x, ALIKE) for x in LEET[c]] + [(j, "", DROPPED), (j, " ", AS_IS)]
-        return [(j, " ", AS_IS), (j, "", SPACED)]
+        self.log_p, self.known, self.options, self.room = log_p.ravel().tolist(), {}, {}, _KEEP
 
-    def restore(self, span: bytes) -> bytes:
-        """The most likely reading of a span, between breaks."""
-        if (found := self.known.get(span)) is not None:
+    def option(self, c: str, n: int, alone: bool) -> list[tuple[str, bytes, float]]:
+        """(text, its character classes, log probability of the channel) of what n times c may stand for; alone: no
+        letter is beside it."""
+        if (found := self.options.get((c, n, alone))) is not None:
             return found
-        text, lp = span.decode("latin-1"), self.log_p
-        best: list[dict] = [{} for _ in range(len(text) + 1)]
-        best[0][(0, 0)] = (0.0, None, "")
-        for i in range(len(text)):
-            if not best[i]:
-                continue
-            steps = [(j, x, [int(_CLASS[ord(y)]) for y in x], cost) for j, x, cost in self.edges(text, i)]
-            for (a, b), (score, _, _) in best[i].items():
-                for j, x, codes, cost in steps:
-                    p, q, s = a, b, score + cost
+        code = _CODES[ord(c) : ord(c) + 1]
+        if code != b"\0":
+            out = [(c * n, code * n, 0.0), *[(c * k, code * k, REPEATED) for k in (1, 2) if k < n]]
+        elif c in LEET:
+            out = [(c * n, b"\0", 0.0 if alone else LITERAL)]
+            out += [(x * k, _CODES[ord(x) : ord(x) + 1] * k, ALIKE * k + (REPEATED if k < n else 0.0)) for x in LEET[c] for k in (1, 2) if k <= n] + [("", b"", DROPPED)]
+        else:
+            out = [(c * n, b"\0", 0.0)] + [("", b"", SPACED)] * (not c.isalnum())
+        if n < 64:
+            self.options[c, n, alone] = out
+        return out
+
+    def lattice(self, span: str) -> list[list[tuple[str, bytes, float]]]:
+        """What each part of a lower-cased span may stand for: letters that don't repeat for themselves, runs of a
+        character for what option() says. White space counts as one space."""
+        parts = [m[0] for m in _RUNS(span)]
+        letter = [False, *["a" <= x[0] <= "z" or x[0] >= "\x80" for x in parts], False]
+        spaced = any(x.isspace() for x in parts)  # then the neighbours are a space away
+        out = []
+        for i, x in enumerate(parts):
+            if letter[i + 1] and (len(x) == 1 or x[0] != x[1] or x[0] >= "\x80"):
+                out.append([(x, x.encode("latin-1").translate(_CODES), 0.0)])
+            elif x.isspace():
+                out.append(self.option(" ", 1, False))
+            else:
+                out.append(self.option(x[0], len(x), not (spaced or letter[i] or letter[i + 2])))
+        return out
+
+    def best(self, lattice: list) -> tuple[float, str]:
+        """(log probability, reading) of the likeliest path, between breaks. A state is the two classes before."""
+        lp = self.log_p
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+        for options in lattice:
+            after: dict[int, tuple[float, tuple | None]] = {}
+            for state, (score, before) in states.items():
+                for text, codes, cost in options:
+                    at, s = state, score + cost
                     for k in codes:
-                        if k or q:
-                            s += lp[p][q][k]
-                            p, q = q, k
-                    if (p, q) not in best[j] or s > best[j][(p, q)][0]:
-                        best[j][(p, q)] = (s, (i, (a, b)), x)
-        end = max(best[-1].items(), key=lambda e: (e[1][0] + (lp[e[0][0]][e[0][1]][0] if e[0][1] else 0.0), e[0]))[0]
-        at, parts = (len(text), end), []
-        while at is not None:
-            _, before, x = best[at[0]][at[1]]
-            parts.append(x)
-            at = before
-        found = "".join(reversed(parts)).encode("latin-1")
-        if len(self.known) < _KEEP:
-            self.known[span] = found
+                        if k or at & 63:  # breaks in a row are one
+                            s += lp[at * 64 + k]
+                            at = at * 64 + k & 4095
+                    old = after.get(at)
+                    if old is None or s > old[0]:
+                        after[at] = (s, (before, text))
+            states = after
+        score, chain = max(((s + (lp[at * 64] if at & 63 else 0.0), c) for at, (s, c) in states.items()), key=lambda e: e[0])
+        parts = []
+        while chain:
+            chain, text = chain
+            parts.append(text)
+        return score, "".join(reversed(parts))
+
+    def restore(self, span: bytes) -> bytes:
+        """The most likely reading of a span; itself if it has no letter."""
+        if (found := self.known.get(span)) is None:
+            found = self.best(self.lattice(span.decode("latin-1")))[1].encode("latin-1") if _LETTER(span) else span
+            if (cost := 200 + len(span) + len(found)) <= self.room:
+                self.room -= cost
+                self.known[span] = found
         return found
 
     def token(self, token: bytes) -> bytes:
-        """A lower-cased token as it is, or its reading if it looks odd."""
-        return self.restore(token.strip(_ENDS)) if _ODD_TOKEN(token) else token
+        """The reading of a lower-cased token, without punctuation at its ends."""
+        token = token.rstrip(_LAST).lstrip(_ENDS)
+        return self.restore(token) if _MANY_PATHS(token) else token
 
     def tokens(self, text: bytes) -> set[bytes]:
-        """The distinct lower-cased tokens of a text, letters apart by spaces read as words."""
+        """The distinct lower-cased tokens of a text, and the words that its single characters in a row are read as."""
         text = text.lower()
         out = set(text.split())
-        if _MAY_BE_SPACED(text):
-            for m in _SPACED.finditer(text):
-                out.update(self.restore(m[0]).split())
+        for m in _SINGLES.finditer(text):
+            out.update(self.restore(m[0]).split())
         return out
 
     def __call__(self, text: bytes) -> bytes:
-        """The lower-cased text with odd spans replaced by their reading, white space as single spaces."""
-        joined = _SPACED.sub(lambda m: self.restore(m[0]), text.lower())
+        """The lower-cased text restored, white space as single spaces."""
+        joined = _SINGLES.sub(lambda m: self.restore(m[0]), text.lower())
         return b" ".join(map(self.token, joined.split()))
 
 
@@ -155,11 +184,15 @@ def learn(docs: list[tuple[set[bytes], int]], least: int = 4) -> dict[bytes, flo
     return out
 
 
+_NOTHING: dict[bytes, float] = {}
+
+
 class Evidence:
     """Features of a document from the evidence of its tokens' words; what a token says is looked up once."""
 
     def __init__(self, weights: dict[bytes, float], restorer: Restorer | None = None):
-        self.weights, self.restorer, self.known = weights, restorer, {}
+        self.weights, self.restorer, self.known, self.room = weights, restorer, {}, _KEEP
+        self.starts = {m[:3] for m in weights}  # every mark of a word starts as the word does
 
     def of(self, token: bytes) -> dict[bytes, float]:
         """The words of a token (restored, if there is a restorer) that are evidence, and of how much."""
@@ -167,10 +200,11 @@ class Evidence:
         if found is None:
             found = {}
             for w in words_of(self.restorer.token(token) if self.restorer else token):
-                if e := max((self.weights.get(m, 0.0) for m in marks(w)), default=0.0):
+                if w[:3] in self.starts and (e := max((self.weights.get(m, 0.0) for m in marks(w)), default=0.0)):
                     found[w] = e
-            if len(self.known) < _KEEP:
-                self.known[token] = found
+            if (cost := 150 + len(token) + 200 * bool(found)) <= self.room:
+                self.room -= cost
+                self.known[token] = found or _NOTHING
         return found
 
     def features(self, tokens: set[bytes]) -> list[float]:
@@ -208,15 +242,29 @@ def fit(docs: list[tuple[set[bytes], int]], rounds: int = 400, seed: int = 3) ->
     return learn(docs), w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", most: int = 6000, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row; score is the probability of label 1.
+class Scorer:
+    """Scores of texts; what it remembers of tokens stays in the worker."""
 
-    The character model counts all documents outside the held-out fold (crc32 of the id modulo 5 is 0); evidence
-    comes from at most `most` labelled ones of these. Null and empty texts score what a text without words does.
-    Repeated rows and null ids get a row each. Without labels every score is a half. Other columns of docs
-    aren't read.
-    """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text"), (fold(doc_id) == 0).alias("held_out"))
+    def __init__(self, model: np.ndarray, evidence: dict[bytes, float], weights: np.ndarray):
+        self.model, self.evidence, self.weights = model, evidence, weights.tolist()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "found"}
+
+    def scores(self, texts: list[bytes]) -> list[float]:
+        if "found" not in self.__dict__:
+            self.found = Evidence(self.evidence, Restorer(self.model))
+        e, out = self.found, []
+        for t in texts:
+            z = sum(x * w for x, w in zip(e.features(e.restorer.tokens(t)), self.weights))
+            out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+        return out
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", most: int = 6000) -> Scorer:
+    """The character model of all documents outside the held-out fold (crc32 of the id modulo 5 is 0), and evidence
+    from at most `most` labelled ones of these. Without labels every score is a half."""
+    rows = docs.select(text_bytes(text).alias("text"), (fold(doc_id) == 0).alias("held_out")).where("not held_out").select("text")
 
     def letters(cols: dict) -> dict:
         n = np.zeros(N_CLASSES**3, np.int64)
@@ -228,37 +276,37 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc
         return {"at": pa.array(at), "n": pa.array(n[at])}
 
     counts = np.zeros(N_CLASSES**3)
-    for r in map_batches(rows.where("not held_out").select("text"), letters, "at long, n long", "text").groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_pylist():  # 64^3 rows at most
+    for r in map_batches(rows, letters, "at long, n long", "text").groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_pylist():  # 64^3 rows at most
         counts[r["at"]] = r["n"]
     model = letter_model(counts).astype(np.float32)
-    cache: dict = {}
-
-    def restorer() -> Restorer:
-        if "r" not in cache:
-            cache["r"] = Restorer(model)
-        return cache["r"]
 
     def restored(cols: dict) -> dict:
-        r = restorer()
+        r = Restorer(model)
         words = [sorted({w for x in r.tokens(t.as_py()) for w in words_of(r.token(x))}) for t in cols["text"]]
         return {"doc_id": cols["doc_id"], "label": cols["label"], "words": pa.array(words, pa.list_(pa.binary()))}
 
+    # at most `most` rows of distinct words
     sample = map_batches(labelled_sample(docs, labels, label, most, doc_id, text), restored, "doc_id long, label int, words array<binary>", "text").toArrow().combine_chunks().sort_by("doc_id")
-    evidence, w = fit([(set(x.as_py()), y.as_py()) for x, y in zip(sample["words"], sample["label"])])
+    return Scorer(model, *fit([(set(x.as_py()), y.as_py()) for x, y in zip(sample["words"], sample["label"])]))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", most: int = 6000, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row; score is the probability of label 1 by train_toxicity().
+
+    Null and empty texts score what a text without words does; long texts are scored whole, one at a time. Repeated
+    rows and null ids get a row each. An empty table gives an empty result. Other columns of docs aren't read.
+    """
+    scorer = train_toxicity(docs, labels, label, doc_id, text, most)
 
     def scored(cols: dict) -> dict:
-        if "e" not in cache:
-            cache["e"] = Evidence(evidence, restorer())
-        e, out = cache["e"], []
-        for t in cols["text"]:
-            x = e.features(e.restorer.tokens(t.as_py()))
-            out.append(1 / (1 + math.exp(-float(np.clip(np.dot(x, w), -30, 30)))))
-        return {"doc_id": cols["doc_id"], "held_out": cols["held_out"], "score": pa.array(out, pa.float64())}
+        return {"doc_id": cols["doc_id"], "held_out": cols["held_out"], "score": pa.array(scorer.scores([t.as_py() for t in cols["text"]]), pa.float64())}
 
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text"), (fold(doc_id) == 0).alias("held_out"))
     return map_batches(rows, scored, "doc_id long, held_out boolean, score double", "text").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def clean_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that aren't predicted toxic, all columns kept; rows without an id stay."""
-    bad = score_toxicity(docs, labels, doc_id=doc_id, text=text).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[doc_id] == bad["_bad"], "left_anti")
+def clean_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The documents that score_toxicity() doesn't predict toxic, each row by its own text, whatever its id; all columns
+    stay, of any names. An empty table stays empty."""
+    scorer = train_toxicity(docs, labels, doc_id=doc_id, text=text)
+    return filter_rows(docs, text, lambda texts: [s < threshold for s in scorer.scores(texts)])

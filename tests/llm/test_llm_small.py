@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -12,9 +13,10 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from easel.llm import language_model, mixing, pieces, quality_classifier, quality_rules, simhash, substrings, token_files, toxicity, vectors
+from easel.llm import labelled, language_model, mixing, pieces, quality_classifier, quality_rules, simhash, substrings, token_files, toxicity, vectors
 from easel.llm import queries as Q
 from easel.llm.shared import components
 
@@ -367,13 +369,54 @@ def test_lattice_sums_all_segmentations():
     assert sum(len(trie.pieces[i]) * used[i] for i in np.flatnonzero(used)) == sum(len(w) + 1 for w in some)
 
 
-def test_restore():
+def restorer(words, n=4000):
     rng = random.Random(0)
-    text = " ".join(rng.choice(["the", "idiot", "was", "stupid", "and", "loser", "moron", "gone", "then", "other"]) for _ in range(4000)).encode()
-    r = toxicity.Restorer(toxicity.letter_model(np.bincount(toxicity.letter_counts(text), minlength=toxicity.N_CLASSES**3)))
-    for written, meant in ((b"1d10t", b"idiot"), (b"i d i o t", b"idiot"), (b"$tupid", b"stupid"), (b"l00ser", b"loser"), (b"m0r0n", b"moron"), (b"stuuuupid", b"stupid"), (b"i.d.i.o.t", b"idiot")):
-        assert meant in r(b"the " + written + b" was").replace(b"  ", b" ").split(), (written, r(b"the " + written + b" was"))
-    assert r(b"The gone was THEN 1999 and 3 items.") == b"the gone was then 1999 and 3 items."
+    text = " ".join(rng.choice(words) for _ in range(n)).encode()
+    return toxicity.Restorer(toxicity.letter_model(np.bincount(toxicity.letter_counts(text), minlength=toxicity.N_CLASSES**3)))
+
+
+MEANT = ["the", "idiot", "was", "stupid", "and", "loser", "moron", "gone", "then", "other", "shit"]
+
+
+@pytest.mark.parametrize(
+    "written, meant",
+    [("1d10t", "idiot"), ("i d i o t", "idiot"), ("$tupid", "stupid"), ("l00ser", "loser"), ("m0r0n", "moron"), ("stuuuupid", "stupid"), ("i.d.i.o.t", "idiot"), ("1 d 1 0 t", "idiot"), ("m o r 0 n", "moron")]
+    + [("i  d  i  o  t", "idiot"), ("m-o-r-0-n", "moron"), ("mor0n", "moron"), ("5h17", "shit"), ("l0000ser", "loser"), ("iddiiott", "idiot"), ("S*T*U*P*1*D!", "stupid"), ("!diot", "idiot")],
+)
+def test_restore(written, meant):
+    assert restorer(MEANT)(f"the {written} was".encode()).decode() == f"the {meant} was"
+
+
+def test_clean_text_is_its_own_reading():
+    assert restorer(MEANT)(b"The gone was THEN 1999 and 3 items, 2.0.") == b"the gone was then 1999 and 3 items 2.0"
+
+
+def test_best_reading_beats_all_readings():
+    r = restorer(MEANT)
+    rng = random.Random(4)
+
+    def score(path):
+        total, a, b = 0.0, 0, 0
+        for _, codes, cost in path:
+            total += cost
+            for k in codes:
+                if k or b:
+                    total += r.log_p[(a * 64 + b) * 64 + k]
+                    a, b = b, k
+        return total + (r.log_p[(a * 64 + b) * 64] if b else 0.0)
+
+    for _ in range(300):
+        span = "".join(rng.choice("iidot1100$. -s@tté") for _ in range(rng.randint(1, 8)))
+        lattice = r.lattice(span)
+        best, text = r.best(lattice)
+        paths = list(itertools.product(*lattice))
+        assert abs(best - max(map(score, paths))) < 1e-9
+        assert any("".join(x for x, _, _ in p) == text and abs(score(p) - best) < 1e-9 for p in paths)
+
+
+def test_long_spans_are_restored_whole():
+    r = restorer(MEANT)
+    assert r(b"i d i o t " * 20_000).split().count(b"idiot") >= 1 and r(b"m0r0n" * 60_000) == b"moron" * 60_000
 
 
 def test_classifiers(spark, docs, corpus, empty):
@@ -395,28 +438,17 @@ def test_classifiers(spark, docs, corpus, empty):
         odd = f(docs, labels).collect()
         assert len(odd) == len(corpus) and f(empty, labels).collect() == []
         assert {r["score"] for r in f(docs, labels.limit(0)).collect()} == {0.5}
-    clean = toxicity.clean_documents(df, labels)
-    assert clean.columns == df.columns and sum(truth[r["doc_id"]][1] for r in clean.collect()) <= 12
-
-
-def test_shards_keep_the_order_and_split_hot_ids():
-    rng = np.random.default_rng(4)
-    ids = np.concatenate([rng.integers(0, 100, 300), np.full(400, 50)])
-    tie, null = rng.integers(-(1 << 63), 1 << 63, 700), rng.random(700) < 0.2
-    s = token_files.Shards(sorted(np.quantile(ids, np.arange(1, 12) / 12).astype(int).tolist()), 3)
-    at = s.of(ids, null, tie)
-    o = np.lexsort((tie, np.where(null, -1, ids)))
-    assert (np.diff(at[o]) >= 0).all() and at.max() < s.n
-    assert len(set(at[null])) == 3 and len(set(at[~null & (ids == 50)])) > 3 and max(collections.Counter(at.tolist()).values()) < 200
-    assert (token_files.Shards([], 0).of(ids, np.zeros(700, bool), tie) == 0).all()
-
-
-def test_token_files_with_hot_ids_and_long_texts(spark):
-    rng = random.Random(1)
-    rows = [(rng.choice([7, 7, 7, None, k]), prose(rng, rng.randint(0, 30))) for k in range(120)] + [(3, "xy'z" * 500_000), (4, "longer  than a batch, ünd ²½ so on. " * 260_000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    t = Tokenizer.from_file(BYTES)
-    got = sorted((r["start"], -1 if r["doc_id"] is None else r["doc_id"], bytes(r["ids"])) for r in token_files.token_files(df, BYTES).collect())
-    want = sorted((-1 if i is None else i, np.array(t.encode(x, add_special_tokens=False).ids + [0], "<u4").tobytes()) for i, x in rows)
-    assert sorted(g[1:] for g in got) == want and [g[1] for g in got] == sorted(g[1] for g in got)
-    assert [g[0] for g in got] == np.cumsum([0, *[len(g[2]) // 4 for g in got]])[:-1].tolist()
+    for given in (docs, df.withColumn("doc_id", F.when(F.col("doc_id") > 5, F.col("doc_id") % 90)).unionByName(docs)):
+        gone = collections.Counter(r["text"] or "" for r, s in zip(given.select("text").collect(), toxicity.train_toxicity(given, labels).scores([(r["text"] or "").encode() for r in given.select("text").collect()])) if s >= 0.5)
+        clean = toxicity.clean_documents(given, labels)
+        assert clean.columns == given.columns and toxicity.clean_documents(given.limit(0), labels).collect() == []
+        left = collections.Counter(map(str, given.collect()))
+        left.subtract(map(str, clean.collect()))
+        assert min(left.values()) == 0 and collections.Counter(r["text"] or "" for r in given.collect() if left[str(r)] > 0) == gone
+
+
+def test_labelled_sample_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)] + [(3, 0), (None, 1), (77, 1)], "doc_id long, quality int")
+    got = labelled.labelled_sample(docs, labels, "quality", 4).collect()
+    assert len(got) == len({r["doc_id"] for r in got}) <= 4 and all(r["label"] == r["doc_id"] % 2 for r in got)
