@@ -1,16 +1,15 @@
 """Document likelihood under a subword lattice: all segmentations count.
 
 A text is a sequence of words, each a space mark and its lower-cased bytes, then an end. The pieces of an existing
-vocabulary are weighted by how often they are found in the distinct words of all training documents, each word once;
-the probability of a word is the sum over all ways to cut it into pieces, by a forward recursion in log space, and
-that of a text the product over its words and the end. Single bytes are pieces too, so every text has a probability. Whole words of the training
-documents are one more way through the lattice, weighted by their counts; the share of the pieces' ways is what
-absolute discounting of the word counts sets free.
+vocabulary and the end are drawn one by one; a piece's weight is what the vocabulary's scores give it beforehand, and
+how often it is used in the words of all training documents. As no piece goes beyond a word, the probability of a text
+is the product over its words, and the end, of the sum over all ways to cut the word into pieces: a forward recursion in
+log space. Single bytes are pieces too, so every text has a probability.
 
 Texts are read once, in batches of bounded size, kept as rows: the batch's distinct words, and each document's
-words as numbers in that list. A word goes to the shuffle once for each batch that has it, so the most frequent
-words cost as many rows as there are batches; its count and likelihood come back the same way, and a batch is
-put together again alone.
+words as numbers in that list. A word goes to the shuffle once for each batch that has it; counts are summed before
+the shuffle as well, the counts and likelihoods of all distinct words come back by a join, which adaptive execution
+splits at frequent words, and a batch is put together again alone.
 """
 
 from __future__ import annotations
@@ -24,28 +23,38 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold, list_array, map_batches, map_runs, stage, text_bytes
+from .shared import fold, list_array, map_batches, stage, text_bytes
 
 _BATCH = 8 << 20
 _CHUNK = 1 << 15  # words whose lattices are in memory at once
+_ALONE = 1 << 10  # bytes of a word that is handled by itself
 _PLACES = 26  # bits of a word's number in its batch
-_LONGEST = 24  # bytes of a piece
 
 
 class PieceTrie:
-    """Pieces of a vocabulary file as a table of moves by byte; the mark is a space. Bytes are pieces 0..255."""
+    """Pieces of a vocabulary file as a table of moves by byte; the mark is a space. Bytes are pieces 0..255.
+
+    before is what the vocabulary's scores say of the pieces: probabilities of a unigram vocabulary, else Zipf's law
+    over the ranks that merge vocabularies have as scores; bytes come last.
+    """
 
     def __init__(self, model_path: str):
         from sentencepiece import SentencePieceProcessor
 
-        model, pieces = SentencePieceProcessor(model_file=model_path), [bytes([b]) for b in range(256)]
+        model, found = SentencePieceProcessor(model_file=model_path), {}
         for i in range(model.vocab_size()):
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
                 p = model.id_to_piece(i).replace("▁", " ").encode()
-                # words are lower-cased and have one mark, in front
-                if 1 < len(p) <= _LONGEST and p == p.lower() and b" " not in p[1:]:
-                    pieces.append(p)
-        self.pieces = list(dict.fromkeys(pieces))
+                # words are lower-cased and have one mark, in front: other pieces are found in none
+                if p == p.lower() and b" " not in p[1:]:
+                    found[p] = max(found.get(p, -math.inf), model.get_score(i))
+        self.pieces = [bytes([b]) for b in range(256)] + [p for p in found if len(p) > 1]
+        self.longest = max(map(len, self.pieces))
+        least = min(found.values(), default=0.0)
+        score = np.array([found.get(p, least) for p in self.pieces])
+        ranks = bool((score == np.rint(score)).all())
+        before = 1 / (2 - score) if ranks else np.exp(score)
+        self.before = before / before.sum()
         nodes, moves, ends = {b"": 0}, [], [(0, -1)]
         for k, p in enumerate(self.pieces):
             for j in range(1, len(p) + 1):
@@ -64,7 +73,7 @@ class PieceTrie:
         """(start, length, piece) of all pieces in text; left is how many bytes each start's word still has."""
         at, node = np.arange(len(text)), np.zeros(len(text), np.int64)
         out: list[list[np.ndarray]] = [[], [], []]
-        for size in range(1, _LONGEST + 1):
+        for size in range(1, self.longest + 1):
             keep = left[at] >= size
             at, node = at[keep], node[keep]
             node = self.move[node * 256 + text[at + size - 1]]
@@ -93,18 +102,33 @@ def _lay_out(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def longest_pieces(trie: PieceTrie, words: list[bytes], weight: np.ndarray) -> np.ndarray:
     """How often each piece is used when every word takes the longest piece at each step."""
-    total = np.zeros(len(trie.pieces))
-    for k in range(0, len(words), _CHUNK):
-        total += _longest_pieces(trie, words[k : k + _CHUNK], weight[k : k + _CHUNK])
+    total, short = np.zeros(len(trie.pieces)), [i for i, w in enumerate(words) if len(w) < _ALONE]
+    for k in range(0, len(short), _CHUNK):
+        at = short[k : k + _CHUNK]
+        total += _longest_pieces(trie, [words[i] for i in at], weight[at])
+    for w, times in zip(words, weight.tolist()):
+        if len(w) >= _ALONE:
+            length, best = _longest_at(trie, *_lay_out([w]))
+            here, used, sizes = 0, [], length.tolist()
+            while here < len(sizes):
+                used.append(here)
+                here += sizes[here]
+            total += times * np.bincount(best[used], minlength=len(total))
     return total
 
 
-def _longest_pieces(trie: PieceTrie, words: list[bytes], weight: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(trie.pieces))
-    text, starts, left = _lay_out(words)
+def _longest_at(trie: PieceTrie, text: np.ndarray, starts: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, number) of the longest piece at each place."""
     at, size, piece = trie.matches(text, left)
     length, best = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
     length[at], best[at] = size, piece  # sizes ascend, so the longest stays
+    return length, best
+
+
+def _longest_pieces(trie: PieceTrie, words: list[bytes], weight: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(trie.pieces))
+    text, starts, left = _lay_out(words)
+    length, best = _longest_at(trie, text, starts, left)
     here, w = starts[:-1].copy(), weight.astype(float)
     end = starts[1:]
     while len(here):
@@ -117,8 +141,33 @@ def _longest_pieces(trie: PieceTrie, words: list[bytes], weight: np.ndarray) ->
 
 def word_likelihoods(trie: PieceTrie, log_p: np.ndarray, words: list[bytes]) -> np.ndarray:
     """Natural logs of the summed probability of all segmentations of each word."""
-    parts = [_likelihoods(trie, log_p, words[k : k + _CHUNK]) for k in range(0, len(words), _CHUNK)]
-    return np.concatenate(parts) if parts else np.zeros(0)
+    out, short = np.zeros(len(words)), [i for i, w in enumerate(words) if len(w) < _ALONE]
+    for k in range(0, len(short), _CHUNK):
+        at = short[k : k + _CHUNK]
+        out[at] = _likelihoods(trie, log_p, [words[i] for i in at])
+    for i, w in enumerate(words):
+        if len(w) >= _ALONE:
+            out[i] = _long_likelihood(trie, log_p, w)
+    return out
+
+
+def _long_likelihood(trie: PieceTrie, log_p: np.ndarray, word: bytes) -> float:
+    """The same recursion for one word, place by place."""
+    text, _, left = _lay_out([word])
+    at, size, piece = trie.matches(text, left)
+    o = np.argsort(at + size, kind="stable")
+    alpha, here, ways = [0.0] * (len(text) + 1), 1, []
+    for i, j, gain in zip(at[o].tolist(), (at + size)[o].tolist(), log_p[piece[o]].tolist()):
+        if j != here:
+            alpha[here] = _log_sum(ways)
+            here, ways = j, []
+        ways.append(alpha[i] + gain)
+    return _log_sum(ways)
+
+
+def _log_sum(x: list[float]) -> float:
+    top = max(x)
+    return top + math.log(sum([math.exp(v - top) for v in x])) if len(x) > 1 else top
 
 
 def _likelihoods(trie: PieceTrie, log_p: np.ndarray, words: list[bytes]) -> np.ndarray:
@@ -180,74 +229,64 @@ def read_batches(docs: DataFrame, doc_id: str, text: str, folds: int, held_out:
     return map_batches(rows, run, schema, "text", _BATCH)
 
 
-def score_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", folds: int = 5, held_out: int = 1, smooth: float = 0.1, discount: float = 0.75) -> DataFrame:
+def piece_weights(trie: PieceTrie, used: np.ndarray, n_docs: int, prior: float) -> tuple[np.ndarray, float]:
+    """(natural log probabilities of the pieces, that of the end): the uses, and prior uses dealt out as the vocabulary's
+    scores say, over all of them and the ends."""
+    n = used + prior * trie.before
+    total = n.sum() + n_docs + 1
+    return np.log(n / total), math.log((n_docs + 1) / total)
+
+
+def score_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", folds: int = 5, held_out: int = 1, prior: float = 1000.0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row, base 10 logs.
 
     Documents whose crc32 of the id leaves `held_out` modulo `folds` teach nothing. base_score is the smoothed
-    word model, score the lattice's. Null and empty texts are the end alone. Repeated rows and rows with a null
-    id (its id text is empty) get a row each and count each. An empty table gives an empty result. Without
-    training documents counts are 0 and pieces are weighed alike. Other columns of docs aren't read.
+    word model, score the lattice's. Null and empty texts are the end alone. Long texts are read whole, one at a time.
+    Repeated rows and rows with a null id (its id text is empty) get a row each and count each. An empty table gives an
+    empty result. Without training documents counts are 0 and pieces weigh what the vocabulary's scores say. Other
+    columns of docs aren't read.
     """
     batches = stage(read_batches(docs, doc_id, text, folds, held_out), "word-batches")
     # a word's place is its batch and its number there
     each = batches.select("batch", F.posexplode(F.arrays_zip("words", "c")).alias("i", "w")).select(F.col("w.words").alias("word"), (F.shiftleft("batch", _PLACES) + F.col("i")).alias("place"), "w.c")
+    words = stage(each.groupBy("word").agg(F.sum("c").alias("n")), "words")
 
     def pieces(cols: dict) -> dict:
-        words = cols["word"].to_pylist()
-        total = longest_pieces(_trie(model_path), words, np.ones(len(words)))
+        total = longest_pieces(_trie(model_path), cols["word"].to_pylist(), cols["n"].to_numpy())
         at = np.flatnonzero(total)
-        # and one row for how many words these are
-        return {"piece": np.append(at, -1), "n": np.append(total[at], float(len(words)))}
-
-    merged = each.where("c > 0").select("word").distinct()
-    found = map_batches(merged, pieces, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # the vocabulary's length and one at most
-    n, types = np.full(len(_trie(model_path).pieces), smooth), 0
-    for r in found:
-        if r["piece"] < 0:
-            types = int(r["n"])
-        else:
-            n[r["piece"]] += r["n"]
+        return {"piece": at, "used": total[at]}
+
+    trie = _trie(model_path)
+    used = np.zeros(len(trie.pieces))
+    for r in map_batches(words.where("n > 0"), pieces, "piece long, used double").groupBy("piece").agg(F.sum("used").alias("used")).collect():  # the vocabulary's length at most
+        used[r["piece"]] = r["used"]
     sums = batches.agg(F.sum("n_train").alias("docs"), F.sum("train_tokens").alias("tokens")).first()
     n_docs, n_tokens = sums["docs"] or 0, sums["tokens"] or 0
-    log_p = np.log(n / (n.sum() + n_docs + smooth))
-    n_words = n_tokens - n_docs
-    ending = (n_docs + smooth) / (n_tokens + 2 * smooth)
-    by_piece = min(1.0, discount * types / n_words) if n_words else 1.0
-
-    def count(cols: dict) -> dict:
-        word = cols["word"]
-        cut = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        size = np.diff(np.append(cut, len(word)))
-        total = np.add.reduceat(cols["c"].astype(np.int64), cut)
-        likely = word_likelihoods(_trie(model_path), log_p, word[cut].tolist()).astype(np.float32)
-        # and one row for how many of these words are in training documents
-        return {"place": np.append(cols["place"], -1), "c": np.append(np.repeat(total, size), (total > 0).sum()), "likely": np.append(np.repeat(likely, size), np.float32(0))}
-
-    known = map_runs(each, ["word"], [], count, "place long, c long, likely float", 1 << 17).withColumn("batch", F.shiftright("place", _PLACES))
+    distinct = words.where("n > 0").count() + (n_docs > 0)
+    log_p, log_end = piece_weights(trie, used, n_docs, prior)
+    scale = math.log10(n_tokens + 0.5 * (distinct + 1))
+
+    def likelihoods(cols: dict) -> dict:
+        return {"word": cols["word"], "n": cols["n"], "likely": word_likelihoods(_trie(model_path), log_p, cols["word"].to_pylist())}
+
+    likely = map_batches(words, likelihoods, "word binary, n long, likely double").withColumnRenamed("word", "_word")
+    known = each.drop("c").join(likely, F.col("word") == F.col("_word")).select(F.shiftright("place", _PLACES).alias("batch"), (F.col("place").bitwiseAND((1 << _PLACES) - 1)).cast("int").alias("at"), "n", "likely")
 
     def put_together(batch: pa.Table, words: pa.Table) -> pa.Table:
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "part", "score"]
-        if not batch.num_rows:  # the rows for numbers of words
-            n = int(words.column("c").to_numpy().sum())
-            return pa.table([pa.array([None], pa.int64()), pa.array([None], pa.bool_()), pa.array([n]), pa.array([-1]), pa.array([0.0]), pa.array([0.0])], names)
         b = {k: batch.column(k)[0].values for k in ("ids", "held_out", "lengths", "number", "times")}
         lengths, number, times = (b[k].to_numpy().astype(np.int64) for k in ("lengths", "number", "times"))
         c, likely = np.zeros(words.num_rows, np.int64), np.zeros(words.num_rows)
-        at = words.column("place").to_numpy() & ((1 << _PLACES) - 1)
-        c[at], likely[at] = words.column("c").to_numpy(), words.column("likely").to_numpy()
+        at = words.column("at").to_numpy()
+        c[at], likely[at] = words.column("n").to_numpy(), words.column("likely").to_numpy()
         row = np.repeat(np.arange(len(lengths)), lengths)
         add = lambda x: np.bincount(row, x, len(lengths))
         tokens = add(times).astype(np.int64) + 1
         n_known = add(times * (c[number] > 0)).astype(np.int64) + (n_docs > 0)
-        part = add(times * np.log10(c[number] + 0.5)) + math.log10(n_docs + 0.5)
-        with np.errstate(divide="ignore"):
-            whole = np.log((1 - by_piece) * c / max(n_words, 1))
-        likely = np.logaddexp(whole, math.log(by_piece) + likely) + math.log(1 - ending)
-        score = (add(times * likely[number]) + math.log(ending)) / math.log(10)
-        return pa.table([b["ids"], b["held_out"], pa.array(tokens), pa.array(n_known), pa.array(part), pa.array(score)], names)
+        base = add(times * np.log10(c[number] + 0.5)) + math.log10(n_docs + 0.5) - tokens * scale
+        score = (add(times * likely[number]) + log_end) / math.log(10)
+        return pa.table([b["ids"], b["held_out"], pa.array(tokens), pa.array(n_known), pa.array(np.full(len(tokens), n_tokens)), pa.array(base), pa.array(score)], names)
 
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    names = [c.split()[0] for c in schema.split(", ")]
     sides = batches.select("batch", "ids", "held_out", "lengths", "number", "times").groupBy("batch"), known.groupBy("batch")
-    scored = stage(sides[0].cogroup(sides[1]).applyInArrow(put_together, "doc_id long, held_out boolean, n_tokens long, n_known long, part double, score double"), "scored")
-    distinct = (scored.where("n_known = -1").agg(F.sum("n_tokens").alias("n")).first()["n"] or 0) + (n_docs > 0)
-    scale = math.log10(n_tokens + 0.5 * (distinct + 1))
-    return scored.where("n_known >= 0").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), (F.col("part") - F.col("n_tokens") * scale).alias("base_score"), "score")
+    return sides[0].cogroup(sides[1]).applyInArrow(put_together, schema)

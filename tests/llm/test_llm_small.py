@@ -329,24 +329,43 @@ def test_language_model_base_and_lattice(docs, corpus, empty):
     assert language_model.score_documents(empty, PIECES).collect() == []
 
 
-def test_language_model_scores_do_not_depend_on_batches(docs, corpus):
+def test_language_model_sums_all_segmentations_of_documents(docs, corpus):
     trie = language_model.PieceTrie(PIECES)
-    c, n_docs = collections.Counter(), 0
+    c, n_docs, place = collections.Counter(), 0, {p: i for i, p in enumerate(trie.pieces)}
     tokens = [[x.lower() for x in words(t)] for _, t, _ in corpus]
     for (i, _, _), w in zip(corpus, tokens):
         if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1:
             c.update(w)
             n_docs += 1
-    total, types = sum(c.values()), list(c)
-    n = language_model.longest_pieces(trie, types, np.ones(len(types))) + 0.1
-    every = list({x for w in tokens for x in w})
-    spelled = dict(zip(every, language_model.word_likelihoods(trie, np.log(n / (n.sum() + n_docs + 0.1)), every)))
-    ending, share = (n_docs + 0.1) / (total + n_docs + 0.2), 0.75 * len(types) / total
-    one = lambda x: math.log((1 - share) * c[x] / total + share * math.exp(spelled[x])) + math.log(1 - ending)
-    want = sorted((sum(map(one, w)) + math.log(ending)) / math.log(10) for w in tokens)
+    n = 1000.0 * trie.before
+    for word, times in c.items():
+        rest = b" " + word
+        while rest:
+            piece = next(rest[:k] for k in range(min(len(rest), trie.longest), 0, -1) if rest[:k] in place)
+            n[place[piece]] += times
+            rest = rest[len(piece) :]
+    total = n.sum() + n_docs + 1
+    p = {x: float(n[i] / total) for x, i in place.items()}
+
+    def brute(w):
+        text, ways = b"".join(b" " + x for x in w), [0.0]
+        for j in range(1, len(text) + 1):
+            got = [ways[i] + math.log(p[text[i:j]]) for i in range(max(0, j - trie.longest), j) if text[i:j] in p]
+            ways.append(max(got) + math.log(sum(math.exp(g - max(got)) for g in got)))
+        return (ways[-1] + math.log((n_docs + 1) / total)) / math.log(10)
+
+    want = sorted(map(brute, tokens))
     for parts in (1, 13):
         got = language_model.score_documents(docs.repartition(parts), PIECES).collect()
-        assert np.allclose(sorted(r["score"] for r in got), want, rtol=1e-5)
+        assert np.allclose(sorted(r["score"] for r in got), want, rtol=1e-9)
+
+
+def test_language_model_of_long_words_and_texts(spark):
+    long_word, long_text = "ab" * 1_000_000, "some words and more of them " * 350_000
+    df = spark.createDataFrame([(1, long_word), (2, long_text), (3, "some words")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_model.score_documents(df, PIECES).collect()}
+    assert got[1]["n_tokens"] == 2 and got[2]["n_tokens"] == 6 * 350_000 + 1 and got[3]["n_tokens"] == 3
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got.values())
 
 
 def test_lattice_sums_all_segmentations():
@@ -357,15 +376,17 @@ def test_lattice_sums_all_segmentations():
     at = {x: i for i, x in enumerate(trie.pieces)}
 
     def brute(w):
-        ways = [1.0] + [0.0] * len(w)
+        ways = [0.0]
         for j in range(1, len(w) + 1):
-            ways[j] = sum(ways[i] * p[at[w[i:j]]] for i in range(j) if w[i:j] in at)
-        return math.log(ways[-1])
+            got = [ways[i] + math.log(p[at[w[i:j]]]) for i in range(max(0, j - trie.longest), j) if w[i:j] in at]
+            ways.append(max(got) + math.log(sum(math.exp(g - max(got)) for g in got)))
+        return ways[-1]
 
-    some = [b"the", b"theretion", "çé漢".encode(), b"a", b"x" * 50]
+    some = [b"the", b"theretion", "çé漢".encode(), b"a", b"x" * 50, b"theretion" * 200]
     got = language_model.word_likelihoods(trie, np.log(p), some)
     assert np.allclose(got, [brute(b" " + w) for w in some])
     used = language_model.longest_pieces(trie, some, np.ones(len(some)))
+    assert (used == sum(language_model._longest_pieces(trie, [w], np.ones(1)) for w in some)).all()
     assert sum(len(trie.pieces[i]) * used[i] for i in np.flatnonzero(used)) == sum(len(w) + 1 for w in some)
 
 
