@@ -16,10 +16,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, map_batches, map_runs, stage, text_bytes
+from .shared import components, fresh, map_batches, map_runs, stage, text_bytes
 
 SEED = 42
 MAX_BITS = 4
@@ -45,12 +45,14 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = SEED, piece: int = 1
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp), fp the fingerprint as a signed long."""
+    """(doc_id, tie, fp), fp the fingerprint as a signed long, tie a hash of the text as it is."""
 
     def run(cols: dict) -> dict:
-        return {"doc_id": cols["doc_id"], "fp": pa.array(np.array([fingerprint(t.as_py()) for t in cols["text"]], np.uint64).view(np.int64))}
+        fps = np.array([fingerprint(t.as_py()) for t in cols["text"]], np.uint64)
+        return {"doc_id": cols["doc_id"], "tie": cols["tie"], "fp": pa.array(fps.view(np.int64))}
 
-    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text")), run, "doc_id long, fp long", "text")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), text_bytes(text).alias("text"))
+    return map_batches(rows, run, "doc_id long, tie long, fp long", "text")
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -146,22 +148,45 @@ def fingerprint_links(classes: DataFrame) -> DataFrame:
     return map_runs(keyed, ["key"], [], within, "fa long, fb long").distinct()
 
 
+def _named(fps: DataFrame) -> DataFrame:
+    """(fp, root_fp, component_id) of the distinct fingerprints of (doc_id, fp): root_fp is the fingerprint that holds the
+    smallest id of the component, the smallest of these."""
+    classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprint-classes")
+    # nodes in order of their smallest id, so that the smallest node of a component has its id
+    node = F.struct(F.col("low").isNull().alias("none"), "low", "fp")
+    ends = fingerprint_links(classes)
+    for side in ("fa", "fb"):
+        ends = ends.join(classes.select(F.col("fp").alias("_f"), node.alias(f"node_{side}")), F.col(side) == F.col("_f")).drop("_f")
+    found = components(ends, "node_fa", "node_fb").select(F.col("node.fp").alias("_node"), "root")
+    joined = classes.join(found, F.col("fp") == F.col("_node"), "left").withColumn("root", F.coalesce("root", node))
+    return joined.select("fp", F.col("root.fp").alias("root_fp"), F.col("root.low").alias("component_id"))
+
+
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row.
 
     Null, empty and wordless texts have fingerprint 0 and link like any other. Equal fingerprints are one class;
-    a null id keeps its row, and never names a component unless all ids of it are null. An empty table gives an
-    empty result. Other columns of docs aren't read.
+    a null id keeps its row, and never names a component unless all ids of it are null. Long texts are hashed whole, in
+    pieces. An empty table gives an empty result. Other columns of docs aren't read.
     """
-    fps = stage(fingerprints(docs, doc_id, text), "fingerprints")
-    classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprint-classes")
-    found = components(fingerprint_links(classes), "fa", "fb")
-    joined = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = joined.join(joined.groupBy("root").agg(F.min("low").alias("component_id")), "root").select(F.col("fp").alias("_fp"), "component_id")
+    fps = stage(fingerprints(docs, doc_id, text).drop("tie"), "fingerprints")
+    named = _named(fps).select(F.col("fp").alias("_fp"), "component_id")
     return fps.join(named, fps["fp"] == named["_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose id is the smallest of their group, all columns kept; rows without an id stay."""
-    groups = simhash_groups(docs, doc_id, text).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(groups, docs[doc_id] == groups["_gone"], "left_anti")
+    """One document of each group of simhash_groups(), all columns kept, of any names: that of the smallest id, null
+    last; of several with that id that of the smallest fingerprint, then of the smallest text hash; of rows equal in id
+    and text, one. An empty table stays empty."""
+    fps = stage(fingerprints(docs, doc_id, text), "fingerprints")
+    roots = _named(fps.select("doc_id", "fp")).where("fp = root_fp").select(F.col("fp").alias("_fp"), F.col("component_id").alias("_low"))
+    first = fps.join(roots, (F.col("fp") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_low"))).groupBy("fp").agg(F.min(F.struct("tie", _no_null("doc_id").alias("id"))).alias("_k"))
+    tie, key = fresh("tie"), fresh("id")
+    first = first.select(F.col("_k.tie").alias(tie), F.col("_k.id").alias(key)).distinct()
+    keyed = docs.withColumns({tie: F.xxhash64(F.col(text)), key: _no_null(doc_id)})
+    return keyed.join(first, [tie, key]).dropDuplicates([tie, key]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _no_null(doc_id: str) -> Column:
+    """The id, null as the least long there is."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .shared import components, map_batches, stage
 
-BLOCK = 2048
+BLOCK = 4096
+_CHUNK = 1024  # columns of a block pair that are compared at once
 
 
 def _units(embedding: pa.Array) -> np.ndarray:
@@ -32,13 +33,16 @@ def usable(embedding: Column) -> Column:
     return F.coalesce(ok & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-def choose_pivots(classes: DataFrame, per_label: int, most: int) -> dict[tuple[int, int], np.ndarray]:
-    """Unit pivots by (label, dimension): the vectors of the lowest seeded hashes, per_label of each and `most`
-    (times two) in all, whatever the size of the table. A label without pivots is one cell."""
-    nth = F.row_number().over(Window.partitionBy("label", "dim").orderBy("_h", "class_id"))
+def choose_pivots(classes: DataFrame, per_label: int, most: int, block: int) -> dict[tuple[int, int], np.ndarray]:
+    """Unit pivots by (label, dimension): the vectors of the lowest seeded hashes, one for each `block` vectors of a
+    label and per_label at least, `most` in all. A label without pivots is one cell."""
+    h = F.xxhash64(F.lit(5), "class_id")
+    want = classes.groupBy("label", "dim").agg(F.greatest(F.lit(per_label), F.least(F.lit(most), F.ceil(F.count("*") / block))).cast("int").alias("_want"))
     # a label is thinned by hash before it is ranked, so no task holds it whole
-    thin = classes.groupBy("label", "dim", F.pmod(F.xxhash64(F.lit(7), "class_id"), F.lit(64)).alias("_salt")).agg(F.min_by("embedding", F.xxhash64(F.lit(5), "class_id")).alias("embedding"), F.min(F.xxhash64(F.lit(5), "class_id")).alias("_h"), F.min("class_id").alias("class_id"))
-    rows = thin.withColumn("_n", nth).where(F.col("_n") <= per_label).orderBy("_n", "label", "dim").limit(most).collect()
+    salted = classes.join(want, ["label", "dim"]).withColumn("_salt", F.pmod(F.xxhash64(F.lit(7), "class_id"), 8 * F.col("_want")))
+    thin = salted.groupBy("label", "dim", "_want", "_salt").agg(F.min_by("embedding", F.struct(h, "class_id")).alias("embedding"), F.min(h).alias("_h"))
+    nth = F.row_number().over(Window.partitionBy("label", "dim").orderBy("_h", "_salt"))
+    rows = thin.withColumn("_n", nth).where(F.col("_n") <= F.col("_want")).orderBy("_n", "label", "dim").limit(most).collect()
     out: dict = {}
     for r in rows:
         v = np.array(r["embedding"], np.float64)
@@ -72,10 +76,12 @@ def vector_links(classes: DataFrame, bound: float, per_label: int = 8, most: int
 
     Where b is null, others is a part of the number of vectors of other classes linked to class a; else a and b
     are linked, and these links are enough to give the components: at most one for each point of a block pair.
-    A cell with more than `block` points is met in pairs of blocks, so no task holds a large cell whole.
+    A cell is met in pairs of a block of home points and a block of points that it sees, guests included, so no task
+    holds a large cell whole.
     """
-    r = math.sqrt(max(0.0, 2 - 2 * bound)) + 1e-9
-    pivots = choose_pivots(classes, per_label, most)
+    # a cosine that rounds to the bound is up to 1e-8 away from it in distance near a pivot
+    r = math.sqrt(max(0.0, 2 - 2 * bound)) + 1e-7
+    pivots = choose_pivots(classes, per_label, most, block)
     apart = {k: np.sqrt(np.maximum(0, 2 - 2 * p @ p.T)) for k, p in pivots.items()}
 
     def groups(cols: dict) -> list:
@@ -86,46 +92,46 @@ def vector_links(classes: DataFrame, bound: float, per_label: int = 8, most: int
         return np.sqrt(np.maximum(0, 2 - 2 * _units(cols["embedding"].take(pa.array(at))) @ pivots[key].T))
 
     def nearest(cols: dict) -> dict:
-        cell, dist = np.zeros(len(cols["label"]), np.int32), np.zeros(len(cols["label"]))
+        cell, dist, known = np.zeros(len(cols["label"]), np.int32), np.zeros(len(cols["label"])), np.zeros(len(cols["label"]), bool)
         for key, at in groups(cols):
             d = to_pivots(cols, key, at)
-            cell[at], dist[at] = d.argmin(1), d.min(1)
-        return {**cols, "cell": pa.array(cell), "dist": pa.array(dist)}
+            cell[at], dist[at], known[at] = d.argmin(1), d.min(1), True
+        return {**cols, "cell": pa.array(cell), "dist": pa.array(dist), "known": pa.array(known)}
 
     point = "class_id long, label int, dim int, embedding array<float>, copies long"
-    homes = stage(map_batches(classes.withColumn("weight", F.lit(b"1")), nearest, f"{point}, weight binary, cell int, dist double", "weight", 4096).drop("weight"), "vector-cells")
-    cells = homes.groupBy("label", "dim", "cell").agg(F.max("dist").alias("radius"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    # radius and blocks of the cells that have a pivot, so `most` rows at most; other labels are one cell each
-    shape = {(c["label"], c["dim"], c["cell"]): (c["radius"], c["blocks"]) for c in cells.collect() if (c["label"], c["dim"]) in pivots} if pivots else {}
-    sized = homes.join(cells.select("label", "dim", "cell", "blocks"), ["label", "dim", "cell"])
-
-    def spread(cols: dict) -> dict:
-        """Each point to its home cell and to the cells that must see it: there as a point of one block against
-        all blocks of home points, and at home also as a home point against all blocks."""
-        ids, dist, home = (cols[k].to_numpy(zero_copy_only=False) for k in ("class_id", "dist", "cell"))
-        rows, cell, blocks = [np.arange(len(ids))], [home.astype(np.int64)], [cols["blocks"].to_numpy(zero_copy_only=False).astype(np.int64)]
+    homes = stage(map_batches(classes.withColumn("weight", F.lit(b"1")), nearest, f"{point}, weight binary, cell int, dist double, known boolean", "weight", 2048).drop("weight"), "vector-cells")
+    # cells that have a pivot, so `most` rows at most
+    radius = {(c["label"], c["dim"], c["cell"]): c["radius"] for c in homes.where("known").groupBy("label", "dim", "cell").agg(F.max("dist").alias("radius")).collect()}
+
+    def seen(cols: dict) -> dict:
+        """The cells that must see each point, its home first."""
+        dist, home = (cols[k].to_numpy(zero_copy_only=False) for k in ("dist", "cell"))
+        rows, cell = [np.arange(len(home))], [home.astype(np.int64)]
         for key, at in groups(cols):
             d = to_pivots(cols, key, at)
-            radius, n = (np.array([shape.get((*key, q), (-1e9, 0))[k] for q in range(d.shape[1])]) for k in (0, 1))
+            far = np.array([radius.get((*key, q), -1e9) for q in range(d.shape[1])])
             own = dist[at][:, None]
-            see = (d <= r + radius) & (d <= own + 2 * r) & (d * d - own * own <= 2 * r * apart[key][home[at]] + 1e-9)
+            see = (d <= r + far) & (d <= own + 2 * r) & (d * d - own * own <= 2 * r * apart[key][home[at]] + 1e-7)
             see[np.arange(len(at)), home[at]] = False
             x, q = np.nonzero(see)
             rows.append(at[x])
             cell.append(q)
-            blocks.append(n[q].astype(np.int64))
-        rows, cell, blocks = (np.concatenate(x) for x in (rows, cell, blocks))
-        mine = (ids[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % blocks
-        times = np.repeat(np.arange(len(rows)), blocks)
-        step = np.arange(len(times)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        h = times < len(ids)
-        as_home = np.repeat([False, True], [len(times), h.sum()])
-        rows, cell = np.concatenate([rows[times], rows[times[h]]]), np.concatenate([cell[times], cell[times[h]]])
-        i, j = np.concatenate([step, mine[times[h]]]), np.concatenate([mine[times], step[h]])
+        rows, cell = np.concatenate(rows), np.concatenate(cell)
         take = pa.array(rows)
-        return {k: cols[k].take(take) for k in ("class_id", "label", "dim", "embedding", "copies")} | {"cell": pa.array(cell.astype(np.int32)), "i": pa.array(i), "j": pa.array(j), "as_home": pa.array(as_home)}
-
-    met = map_batches(sized.withColumn("weight", F.lit(b"1")), spread, f"{point}, cell int, i long, j long, as_home boolean", "weight", 512)
+        return {k: cols[k].take(take) for k in ("class_id", "label", "dim", "embedding", "copies")} | {"cell": pa.array(cell.astype(np.int32)), "home": pa.array(np.arange(len(rows)) < len(home))}
+
+    # a point that many cells see is written once for each, so that guests can be counted before they are dealt out
+    guests = map_batches(homes.withColumn("weight", F.lit(b"1")), seen, f"{point}, cell int, home boolean", "weight", 512)
+    guests = stage(guests, "vector-guests")
+    sizes = guests.groupBy("label", "dim", "cell").agg(F.ceil(F.count_if("home") / block).cast("int").alias("nh"), F.ceil(F.count("*") / block).cast("int").alias("no"))
+    sized = guests.join(sizes, ["label", "dim", "cell"])
+    mine = lambda n: F.pmod(F.xxhash64(F.lit(3), "class_id"), F.col(n)).cast("int")
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pair = "struct<i:int,j:int,as_home:boolean>"
+    as_other = F.transform(all_of("nh"), lambda i: F.struct(i.alias("i"), mine("no").alias("j"), F.lit(False).alias("as_home")))
+    as_home = F.transform(all_of("no"), lambda j: F.struct(mine("nh").alias("i"), j.alias("j"), F.lit(True).alias("as_home")))
+    met = sized.where("nh > 0").withColumn("at", F.explode(F.concat(as_other, F.when(F.col("home"), as_home).otherwise(F.array().cast(f"array<{pair}>")))))
+    met = met.select("class_id", "label", "dim", "embedding", "copies", "cell", "at.i", "at.j", "at.as_home")
 
     def join(table: pa.Table) -> pa.Table:
         at_home = table.column("as_home").to_numpy()
@@ -133,8 +139,8 @@ def vector_links(classes: DataFrame, bound: float, per_label: int = 8, most: int
         units = _units(table.column("embedding").combine_chunks())
         h, o = np.flatnonzero(at_home), np.flatnonzero(~at_home)
         others, a, b = np.zeros(len(h), np.int64), [], []
-        for k in range(0, len(o), block):
-            part = o[k : k + block]
+        for k in range(0, len(o), _CHUNK):
+            part = o[k : k + _CHUNK]
             near = (units[h] @ units[part].T >= bound) & (ids[h][:, None] != ids[part][None, :])
             others += near @ copies[part]
             for x, y in spanning(near):
@@ -152,18 +158,26 @@ def vector_groups(vectors: DataFrame, bound: float = 0.93, vec_id: str = "vec_id
 
     Vectors link where labels are equal, dimensions are equal and the cosine is at least bound. Equal vectors are
     one class with a number of copies, joined once. Rows with a null label, or whose vector is null, empty, zero or
-    has null or non-finite components, link with nothing and are their own component. Rows are told apart by
-    vec_id; repeated ids count as rows. An empty table gives an empty result. Other columns aren't read.
+    has null or non-finite components, link with nothing and are their own component. Rows are rows: those of one id
+    count and link each by its vector, n_links counts rows, and a row without an id links as any other but never names
+    a component, whose id is null where it has no other rows. kept is whether the ids are the same, null and null too.
+    An empty table gives an empty result. Other columns aren't read.
     """
     v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("embedding"), F.col(label).cast("int").alias("label"))
     v = v.withColumn("ok", usable(F.col("embedding")) & F.col("label").isNotNull())
-    classes = v.where("ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"))
-    classes = stage(classes.select("class_id", "label", F.size("embedding").alias("dim"), "embedding", "copies"), "vector-classes")
-    found = stage(vector_links(classes, bound, per_label, block=block), "vector-links")
+    classes = v.where("ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
+    # the number of a class is its own key, as ids may repeat; the table is written, so it stays
+    classes = stage(classes.select(F.monotonically_increasing_id().alias("class_id"), "label", F.size("embedding").alias("dim"), "embedding", "copies", "low"), "vector-classes")
+    found = stage(vector_links(classes.drop("low"), bound, per_label, block=block), "vector-links")
     others = found.where("b is null").groupBy("a").agg(F.sum("others").alias("others"))
-    roots = components(found.where("b is not null"))
-    named = classes.join(others, classes["class_id"] == others["a"], "left").join(roots, classes["class_id"] == roots["node"], "left")
-    named = named.select(F.col("label").alias("_label"), F.col("embedding").alias("_embedding"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("root", "class_id").alias("root"))
-    linked = v.where("ok").join(named, (v["label"] == named["_label"]) & (v["embedding"] == named["_embedding"])).select("vec_id", F.col("n").alias("n_links"), F.col("root").alias("component_id"))
+    # nodes in order of their smallest id, so that the smallest node of a component has its id
+    node = F.struct(F.col("low").isNull().alias("none"), "low", "class_id")
+    ends = found.where("b is not null").select("a", "b")
+    for side in ("a", "b"):
+        ends = ends.join(classes.select(F.col("class_id").alias("_c"), node.alias(f"node_{side}")), F.col(side) == F.col("_c")).drop("_c")
+    roots = components(ends, "node_a", "node_b").select(F.col("node.class_id").alias("_node"), F.struct("root.low").alias("root"))
+    named = classes.join(others, classes["class_id"] == others["a"], "left").join(roots, classes["class_id"] == roots["_node"], "left")
+    named = named.select(F.col("label").alias("_label"), F.col("embedding").alias("_embedding"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("root.low")).alias("low"))
+    linked = v.where("ok").join(named, (v["label"] == named["_label"]) & (v["embedding"] == named["_embedding"])).select("vec_id", F.col("n").alias("n_links"), F.col("low").alias("component_id"))
     alone = v.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -100,6 +100,21 @@ def test_vectors(spark):
         got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.vector_groups(df, block=block, per_label=per_label).collect()}
         assert got == {i: (int(near[i].sum()), root[i], root[i] == i) for i in range(len(x))} | {i: (0, i, True) for i, _, _ in odd}
     assert vectors.vector_groups(df.limit(0)).collect() == []
+    # repeated and null ids, and columns with other operators' names
+    ids = [None if i % 11 == 3 else i % 50 for i in range(len(rows))]
+    twice = spark.createDataFrame([(k, r[1], r[2], "x", 1, 2) for k, r in zip(ids, rows)], "vec_id long, embedding array<float>, label int, class_id string, low int, cell int")
+    low = {c: min((k for k, r in zip(ids, root) if r == c and k is not None), default=None) for c in set(root)}
+    want = sorted(str((k, int(near[i].sum()), low[root[i]], k == low[root[i]])) for i, k in enumerate(ids))
+    assert sorted(str(tuple(r)) for r in vectors.vector_groups(twice, block=16).collect()) == want
+
+
+def _signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def clashing(docs):
+    """docs with columns whose names operators might use for themselves."""
+    return docs.withColumns({f"_{c}": F.lit(str(i)) for i, c in enumerate("sum whole all copy kept removed row passes key id spans tie fp text bad gone".split())})
 
 
 def _fingerprint(t):
@@ -120,8 +135,15 @@ def test_simhash(docs, corpus, empty):
     want = [{"doc_id": i, "fingerprint": f"{_fingerprint(t):016x}", "component_id": low[root[fps.index(_fingerprint(t))]]} for i, t, _ in corpus]
     assert got == sorted(want, key=lambda r: str(sorted(map(str, r.items()))))
     assert simhash.simhash_groups(empty).collect() == []
-    kept = simhash.keep_first(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= {0, 6, None} and 1 not in {r["doc_id"] for r in kept.collect()}
+    for given, rows in ((docs, corpus), (clashing(docs.unionByName(docs)), corpus + corpus)):
+        groups = {}
+        for i, t, _ in rows:
+            groups.setdefault(root[fps.index(_fingerprint(t))], []).append((1 << 60 if i is None else i, _signed(_fingerprint(t)), t))
+        kept = simhash.keep_first(given)
+        got = [(1 << 60 if r["doc_id"] is None else r["doc_id"], _signed(_fingerprint(r["text"])), r["text"]) for r in kept.collect()]
+        assert kept.columns == given.columns and sorted(g[:2] for g in got) == sorted(min(x[:2] for x in g) for g in groups.values())
+        assert all(g in groups[root[fps.index(_fingerprint(g[2]))]] for g in got)
+        assert kept.limit(0).collect() == simhash.keep_first(given.limit(0)).collect() == []
 
 
 def test_golay_keys_meet_within_four_bits():
