@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,10 +28,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables staged inside are deleted at the end: for steps whose result is written inside, or that are over."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for df in _open.pop():
+            unstage(df)
+
+
 def unstage(df: DataFrame) -> None:
-    """Delete a staged table that no later result reads."""
+    """Delete a staged table that no later result reads, if it is still there."""
     p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_path)
     p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
