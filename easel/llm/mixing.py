@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE, stage
+from .shared import SPACE, fresh, stage
 
-#: Larger than any number of blocks in a shard, and prime: steps of this size visit each block once.
-_STEP = 2147483647
+#: Primes above any number of blocks in a shard: steps of such a size, modulo that number, visit each block once.
+STEPS = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549)
 
 
 def word_count(text: Column) -> Column:
@@ -82,22 +82,31 @@ def _doc_plan(docs: DataFrame, doc_id: str, text: str, source: str, weights, max
         "passes": F.expr("seats div n_blocks"),
         "extra": F.expr("seats % n_blocks"),
         "offset": F.pmod(F.xxhash64(F.lit(seed), "rank", "shard"), F.col("n_blocks")),
+        "step": _step(F.col("n_blocks"), F.xxhash64(F.lit(seed + 1), "rank", "shard")),
     })
 
 
+def _step(n: Column, mix: Column) -> Column:
+    """A seeded step out of those that aren't next to 0 modulo n; 1 where there is none."""
+    some = F.filter(F.array(*[F.pmod(F.lit(p), n) for p in STEPS]), lambda r: (r > 1) & (r < n - 1))
+    return F.when(F.size(some) > 0, F.get(some, F.pmod(mix, F.greatest(F.size(some), F.lit(1))).cast("int"))).otherwise(F.lit(1)).cast("long")
+
+
 def _chosen(block: int) -> Column:
     """The blocks that touch this row and are in the shard's last, partial pass."""
     touching = F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))
-    walk = lambda j: F.pmod(j * (F.lit(_STEP) % F.col("n_blocks")) + F.col("offset"), F.col("n_blocks")) < F.col("extra")
+    walk = lambda j: F.pmod(j * F.col("step") + F.col("offset"), F.col("n_blocks")) < F.col("extra")
     return F.when((F.col("size") > 0) & (F.col("extra") > 0), F.filter(touching, walk)).otherwise(F.array().cast("array<bigint>"))
 
 
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=(5, 2, 1), max_repeat: int = 3, seed: int = 17, block: int = 16, shard_words: int = 1_000_000) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source) for each row.
 
-    A null text has size 0 and takes nothing. Null is a source of its own, last in order. Repeated rows take
-    each by themselves; where they are equal in all columns their places in the shard tie, which changes no
-    total. An empty table gives an empty result. Other columns of docs aren't read.
+    A null text has size 0 and takes nothing. Null is a source of its own, last in order. A null id is an id as any
+    other. Repeated rows take each by themselves; where they are equal in all columns their places in the shard tie,
+    which changes no total. A long text is part of one shard, which it makes as large as it needs. An empty table
+    gives an empty result. Other columns of docs aren't read. Windows go over one row a source or a shard (a million
+    words each), and over the rows of a shard.
     """
     p = _doc_plan(docs, doc_id, text, source, weights, max_repeat, seed, block, shard_words)
     part = F.aggregate(_chosen(block), F.lit(0).cast("long"), lambda s, j: s + F.least((j + 1) * block, F.col("start") + F.col("size")) - F.greatest(j * block, F.col("start")))
@@ -105,20 +114,24 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars", weights=(5, 2, 1), max_repeat: int = 3, seed: int = 17, block: int = 16, shard_words: int = 1_000_000) -> DataFrame:
-    """The mix itself, with the columns of docs: one row for each full pass over a document, and one with the
-    words of its chosen blocks, space-joined, for the partial pass. Documents that take nothing have no row.
-    Rows that are equal in id and text take alike, each for itself.
+    """The mix itself, with the columns of docs, of any names: one row for each full pass over a document, and one with
+    the words of its chosen blocks, space-joined, for the partial pass. Documents that take nothing have no row. Rows
+    that are equal in id and text take alike, each for itself. An empty table stays empty.
     """
     p = _doc_plan(docs, doc_id, text, source, weights, max_repeat, seed, block, shard_words)
-    spans = F.transform(_chosen(block), lambda j: F.struct((F.greatest(j * block, F.col("start")) - F.col("start")).alias("at"), (F.least((j + 1) * block, F.col("start") + F.col("size")) - F.greatest(j * block, F.col("start"))).alias("n")))
-    plan = p.select(F.col("doc_id").alias("_id"), F.col("_mix").alias("_key"), F.col("passes").cast("int").alias("_passes"), spans.alias("_spans"), "size").where("size > 0 and (_passes > 0 or size(_spans) > 0)").drop("size").dropDuplicates(["_id", "_key"])
+    of, key, passes, spans, copy = (fresh(x) for x in ("id", "row", "passes", "spans", "copy"))
+    parts = F.transform(_chosen(block), lambda j: F.struct((F.greatest(j * block, F.col("start")) - F.col("start")).alias("at"), (F.least((j + 1) * block, F.col("start") + F.col("size")) - F.greatest(j * block, F.col("start"))).alias("n")))
+    some = p.withColumn("_parts", parts).where("size > 0 and (passes > 0 or size(_parts) > 0)")
+    plan = some.select(F.col("doc_id").alias(of), F.col("_mix").alias(key), F.col("passes").cast("int").alias(passes), F.col("_parts").alias(spans)).dropDuplicates([of, key])
     words = F.filter(F.split(F.col(text), SPACE + "+"), lambda w: w != "")
-    keyed = docs.withColumn("_row", F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)))
-    both = keyed.join(plan, (F.col("_row") == F.col("_key")) & F.col(doc_id).eqNullSafe(F.col("_id")))
+    own = fresh("row")
+    both = docs.withColumn(own, F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)))
+    both = both.join(plan, (F.col(own) == F.col(key)) & F.col(doc_id).eqNullSafe(F.col(of)))
     # the words are one value that the inner function uses, so that they are split once for a row
-    part = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(w, (s["at"] + 1).cast("int"), s["n"].cast("int")))), " "))[0]
-    full = both.where("_passes > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_passes")))).select(*[F.col(c) for c in docs.columns])
-    partial = both.where("size(_spans) > 0").withColumn(text, part)
+    part = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(spans, lambda s: F.slice(w, (s["at"] + 1).cast("int"), s["n"].cast("int")))), " "))[0]
+    given = [F.col(f"`{c}`") for c in docs.columns]
+    full = both.where(F.col(passes) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(passes)))).select(*given)
+    partial = both.where(F.size(spans) > 0).withColumn(text, part)
     if n_chars in docs.columns:
         partial = partial.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
-    return full.unionByName(partial.select(*docs.columns))
+    return full.unionByName(partial.select(*given))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .shared import list_array, map_batches, text_bytes
 
 MARK = "▁"
-_KEEP = 200_000  # units that a worker remembers
+_KEEP = 64 << 20  # bytes of units that a worker remembers
 
 
 class CharacterMap:
@@ -30,6 +30,11 @@ class CharacterMap:
         size = int.from_bytes(blob[:4], "little") if blob else 0
         self.units = np.frombuffer(blob[4 : 4 + size], "<u4").tolist()
         self.texts = blob[4 + size :]
+        shift = lambda u: (u >> 10) << ((u & 512) >> 6)
+        root = shift(self.units[0]) if self.units else 0
+        firsts = [b for b in range(1, 256) if root ^ b < len(self.units) and self.units[root ^ b] & 0x800000FF == b]
+        #: bytes up to one that a key starts with; keys start where characters do
+        self.plain = re.compile(b"[^" + b"".join(re.escape(bytes([b])) for b in firsts) + b"]+" if firsts else b"(?s:.+)").match
 
     def longest(self, text: bytes, at: int) -> tuple[int, int]:
         """(bytes matched, place of the replacement) of the longest key that text has at `at`; (0, 0) if none."""
@@ -54,6 +59,11 @@ class CharacterMap:
             return text, np.arange(len(text) + 1)
         out, source, i = bytearray(), [], 0
         while i < len(text):
+            if m := self.plain(text, i):
+                source += range(i, m.end())
+                out += m[0]
+                i = m.end()
+                continue
             n, place = self.longest(text, i)
             if n:
                 new = self.texts[place : self.texts.index(0, place)]
@@ -87,6 +97,7 @@ class PieceModel:
         self.n_bytes = np.array([len(x) for x in self.surface], np.int32)
         self.apart = not any(MARK in p.piece.lstrip(MARK) or "\n" in p.piece for p in proto.pieces)
         self.units: dict[str, bytes] = {}
+        self.room = _KEEP
         self.cut = re.compile(f"(?:{MARK}+|\n)[^{MARK}\n]*").findall
 
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +116,10 @@ class PieceModel:
             got = {u: np.array(ids[1:] if u[0] == "\n" else ids, np.int32).tobytes() for u, ids in zip(fresh, asked)}
             if MARK in got:  # the library sees an empty text here
                 got[MARK] = np.array([self.library.piece_to_id(MARK)], np.int32).tobytes()
-            if len(known) < _KEEP:
-                known |= got
+            for u, x in got.items():
+                if (cost := 180 + 2 * len(u) + len(x)) <= self.room:
+                    self.room -= cost
+                    known[u] = x
             parts = [got[u] if u in got else known[u] for u in units]
         ids = np.frombuffer(b"".join(parts), np.int32)
         ends = np.cumsum(self.n_bytes[ids]) - (1 if len(ids) else 0)  # without the mark put in front
@@ -137,8 +150,9 @@ def encode_pieces(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text
     """(doc_id, ids, ends, decoded): all ids with the end id, where each piece ends in the source's UTF-8
     bytes (it starts where the one before ends), and the text that the ids decode to.
 
-    Null and empty texts give the end id alone and decode to ''. Rows stand alone: repeated rows and null ids
-    get a row each. model_path is read by each worker. Other columns of docs aren't read.
+    Null and empty texts give the end id alone and decode to ''. Long texts are encoded whole. Rows stand alone:
+    repeated rows and null ids get a row each. An empty table gives an empty result. model_path is read by each worker.
+    Other columns of docs aren't read.
     """
 
     def run(cols: dict) -> dict:

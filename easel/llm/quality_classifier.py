@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed words and character n-grams; a softmax over the two
-classes follows. Vectors and weights are trained together by stochastic gradient descent in numpy, on a bounded
+A document is the average of learned vectors of its hashed words, word pairs and character n-grams; a softmax over the
+two classes follows. Vectors and weights are trained together by stochastic gradient descent in numpy, on a bounded
 sample of labelled documents whose features are counted by the executors.
 """
 
@@ -22,17 +22,18 @@ _PIECE = 1 << 22
 
 
 def features(text: bytes) -> list[np.ndarray]:
-    """Bucket numbers of a text's words, of its repeats of the word before, and of its byte n-grams; bucket 0
-    is in every text. Very long texts are taken in pieces of 4 MB of n-gram starts."""
+    """Bucket numbers of a text's words, of its pairs of neighbouring words, and of its character n-grams; bucket 0
+    is in every text. A pair's bucket comes from the difference of the words' hashes. Very long texts are taken in
+    pieces of 4 million n-gram starts."""
     out = [np.zeros(1, np.int64)]
     words = text.split()
     if words:
         h = word_hashes(words)
         out.append((h >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1))
-        # a word that repeats the one before is an n-gram of its own kind, whatever the word
-        out.append(np.ones(int((h[1:] == h[:-1]).sum()), np.int64))
-    for at in range(0, len(text), _PIECE):
-        b = np.frombuffer(text, np.uint8, min(len(text) - at, _PIECE + max(_NGRAMS) - 1), at).astype(np.uint32)
+        out.append(((h[1:] - h[:-1]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(47)).astype(np.int64))
+    letters = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    for at in range(0, len(letters), _PIECE):
+        b = letters[at : at + _PIECE + max(_NGRAMS) - 1].copy()
         b[(b >= 9) & (b <= 13)] = 32
         h = b
         for n in range(2, max(_NGRAMS) + 1):
@@ -42,30 +43,35 @@ def features(text: bytes) -> list[np.ndarray]:
     return out
 
 
-def train(docs: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs: int = 12, rate: float = 0.5, seed: int = 3) -> np.ndarray:
+def gradient(vectors: np.ndarray, classes: np.ndarray, share: np.ndarray, label: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """(loss, its gradient by the vectors of the document's buckets, and by the classes' weights) of one document."""
+    hidden = share @ vectors
+    logits = classes @ hidden
+    p = np.exp(logits - logits.max())
+    p /= p.sum()
+    loss = -float(np.log(max(p[label], 1e-300)))
+    p[label] -= 1
+    return loss, np.outer(share, p @ classes), np.outer(p, hidden)
+
+
+def train(docs: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs: int = 5, rate: float = 0.4, seed: int = 3, buckets: int = BUCKETS) -> np.ndarray:
     """The weight of each bucket: its vector times the difference of the two classes' weights.
 
-    docs: (buckets, shares that sum to 1, label). One document a step, in a new seeded order each epoch, the
-    rate falling to 0. No documents give weights of 0, a score of a half.
+    docs: (buckets, shares that sum to 1, label). One document a step, in a new seeded order each epoch, against the
+    gradient; the rate falls to 0, and for the vectors it is over the squared length of the shares, so that a long
+    document moves its hidden vector as far as a short one. No documents give weights of 0, a score of a half.
     """
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim))
+    vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim))
     classes = np.zeros((2, dim))
-    steps = max(1, epochs * len(docs))
-    step = 0
+    steps, step = max(1, epochs * len(docs)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
             at, share, label = docs[i]
             lr = rate * (1 - step / steps)
-            hidden = share @ vectors[at]
-            logits = classes @ hidden
-            p = np.exp(logits - logits.max())
-            p /= p.sum()
-            p[label] -= 1
-            grad = p @ classes
-            classes -= lr * np.outer(p, hidden)
-            # shares are small; a vector moves by its share of the documents' features, scaled to a typical one
-            vectors[at] -= lr * np.sqrt(share)[:, None] * grad
+            _, by_vectors, by_classes = gradient(vectors[at], classes, share, label)
+            classes -= lr * by_classes
+            vectors[at] -= lr / (share @ share) * by_vectors
             step += 1
     return vectors @ (classes[1] - classes[0])
 
@@ -74,8 +80,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", do
     """(doc_id, held_out, score, predicted) for each row; score is the probability of label 1.
 
     Fitted on at most `most` labelled documents outside the held-out fold (crc32 of the id modulo 5 is 0). Null
-    and empty texts score what bucket 0 alone gives. Repeated rows and null ids get a row each. Without labels
-    every score is a half. Other columns of docs aren't read.
+    and empty texts score what bucket 0 alone gives. Long texts are scored whole. Repeated rows and null ids get a row
+    each. Without labels every score is a half. An empty table gives an empty result. Other columns of docs aren't read.
     """
 
     def counted(cols: dict) -> dict:
@@ -96,7 +102,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", do
             total = n = 0
             for f in features(t.as_py()):
                 total, n = total + weight[f].sum(), n + len(f)
-            out.append(1 / (1 + np.exp(-total / n)))
+            out.append(1 / (1 + np.exp(-np.clip(total / n, -500, 500))))
         return {"doc_id": cols["doc_id"], "held_out": cols["held_out"], "score": pa.array(out, pa.float64())}
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text"), (fold(doc_id) == 0).alias("held_out"))

@@ -27,8 +27,10 @@ def tokenizer_path(name: str) -> str:
 
 
 def digests(rows: DataFrame) -> DataFrame:
-    """op3's columns from encode_pieces()."""
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.element_at("ends", -1).cast("long").alias("n_bytes"))
+    """op3's columns from encode_pieces(); ends_sha256 is of the decimal places in the text's UTF-8 where each piece
+    ends, which is where the next begins."""
+    joined = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), " "), 256)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), joined("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), joined("ends").alias("ends_sha256"))
 
 
 def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

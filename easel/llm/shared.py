@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 
 from easel.plans.components import components
 from easel.plans.ship import ship
-from easel.plans.staging import shared_dir, stage, unstage
+from easel.plans.staging import scratch, shared_dir, stage, unstage
 
-__all__ = ["components", "filter_rows", "fold", "fresh", "list_array", "map_batches", "map_runs", "shared_dir", "stage", "text_bytes", "unstage"]
+__all__ = ["components", "filter_rows", "fold", "fresh", "list_array", "map_batches", "map_runs", "scratch", "shared_dir", "stage", "text_bytes", "unstage"]
 
 #: What parts words, for every operator here.
 SPACE = r"[\x20\x09-\x0D]"

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_batches, map_runs, stage, text_bytes
+from .shared import fresh, map_batches, map_runs, stage, text_bytes
 
 #: A perfect difference set: every difference modulo 31 occurs once.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -64,6 +64,15 @@ def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)]
 
 
+def merged_by(docs: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(docs, a, b) of each document's ranges as fewest ranges: documents lie one behind the other, apart."""
+    own, nth = np.unique(docs, return_inverse=True)
+    far = int(b.max(initial=0)) + 1
+    x, y = merged(a + nth * far, b + nth * far)
+    nth = x // far
+    return own[nth], x - nth * far, y - nth * far
+
+
 def _several(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted order by (key, doc), and in it: each row's smallest doc of its key, and its largest."""
     o = np.lexsort((docs, keys))
@@ -116,9 +125,8 @@ def shared_anchors(docs: DataFrame, window: int, cover=COVER, period: int = PERI
         first = np.concatenate([[True], h[1:] != h[:-1]])
         out = [[h[~known | first], d[~known | first], a[~known | first], b[~known | first], np.zeros((~known | first).sum(), np.int64)]]
         dk, ak, bk = d[known], a[known], b[known]
-        for doc in np.unique(dk):
-            x, y = merged(ak[dk == doc], bk[dk == doc])
-            out.append([np.full(len(x), doc).view(np.uint64) * _MIX, np.full(len(x), doc), x, y, np.ones(len(x), np.int64)])
+        dk, x, y = merged_by(dk, ak, bk)
+        out.append([dk.view(np.uint64) * _MIX, dk, x, y, np.ones(len(x), np.int64)])
         key, doc, a, b, known = (np.concatenate(x) for x in zip(*out))
         return {"key": pa.array(key.view(np.int64)), "doc_id": pa.array(doc), "a": pa.array(a), "b": pa.array(b), "known": pa.array(known)}
 
@@ -245,20 +253,22 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", window: int = 50) -> DataFrame:
     """The documents without the words that substring_dedup() removes, space-joined where any go; documents that
-    lose all their words are left out. Columns stay; n_chars, if there, is counted anew."""
-    found = substring_dedup(docs, doc_id, text, window).where("n_removed > 0").groupBy("doc_id", "whole").agg(F.first("removed").alias("_removed"), F.first(F.col("n_removed") == F.col("n_words")).alias("_all"))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole"), "_removed", "_all")
+    lose all their words are left out. Columns stay, of any names; n_chars, if there, is counted anew. Rows of one id go
+    by their own words. An empty table stays empty."""
+    of, sums, removed, every, kept = (fresh(x) for x in ("id", "sum", "removed", "all", "kept"))
+    found = substring_dedup(docs, doc_id, text, window).where("n_removed > 0").groupBy("doc_id", "whole").agg(F.first("removed").alias(removed), F.first(F.col("n_removed") == F.col("n_words")).alias(every))
+    found = found.withColumnsRenamed({"doc_id": of, "whole": sums})
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    both = docs.withColumn("_sum", F.sha2(F.array_join(words, " "), 256))
-    both = both.join(found, (both[doc_id] == found["_id"]) & (both["_sum"] == found["_whole"]), "left").where("_all is null or not _all")
+    both = docs.withColumns({of: F.col(doc_id).cast("long"), sums: F.sha2(F.array_join(words, " "), 256)})
+    both = both.join(found, [of, sums], "left").where(F.col(every).isNull() | ~F.col(every))
     # what is kept lies between the end of one removed range and the start of the next; the words are one value
     # that the inner function uses, so that they are split once for a row
-    after = F.concat(F.array(F.lit(0).cast("long")), F.transform("_removed", lambda r: r["b"]))
-    before = lambda w: F.concat(F.transform("_removed", lambda r: r["a"]), F.array(F.size(w).cast("long")))
-    kept = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.zip_with(after, before(w), lambda i, j: F.slice(w, (i + 1).cast("int"), (j - i).cast("int")))), " "))[0]
-    changed = F.col("_removed").isNotNull()
-    out = both.withColumn("_kept", F.when(changed, kept))
-    new = {text: F.when(changed, F.col("_kept")).otherwise(F.col(text))}
+    after = F.concat(F.array(F.lit(0).cast("long")), F.transform(removed, lambda r: r["b"]))
+    before = lambda w: F.concat(F.transform(removed, lambda r: r["a"]), F.array(F.size(w).cast("long")))
+    left = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.zip_with(after, before(w), lambda i, j: F.slice(w, (i + 1).cast("int"), (j - i).cast("int")))), " "))[0]
+    changed = F.col(removed).isNotNull()
+    out = both.withColumn(kept, F.when(changed, left))
+    new = {text: F.when(changed, F.col(kept)).otherwise(F.col(text))}
     if n_chars in docs.columns:
-        new[n_chars] = F.when(changed, F.length("_kept").cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars))
-    return out.withColumns(new).select(*docs.columns)
+        new[n_chars] = F.when(changed, F.length(kept).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars))
+    return out.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])

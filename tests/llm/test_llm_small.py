@@ -171,12 +171,24 @@ def test_forest_of_dense_and_sparse_runs():
     assert _brute_components(len(f), links) == _brute_components(len(f), got) and len(got) < len(f)
 
 
+def _ends(m, t, ids):
+    """Where each piece ends in the text's bytes: marks are put in front and for spaces, and pieces spell what comes out."""
+    step = [0, 0, 0]
+    for c in t:
+        step += [0, 0, 1] if c == " " else [1] * len(c.encode())
+    at, ends = 0, []
+    for i in ids:
+        at += 0 if m.is_control(i) else 1 if m.is_byte(i) else len(m.id_to_piece(i).encode())
+        ends.append(sum(step[:at]))
+    return ends
+
+
 def test_pieces(docs, corpus, empty):
     m = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     want = []
     for i, t, _ in corpus:
         ids = m.encode(t or "") + [2]
-        want.append({"doc_id": i, "n_tokens": len(ids), "ids_sha256": hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), "decoded_sha256": hashlib.sha256(m.decode(ids).encode()).hexdigest(), "n_bytes": len((t or "").encode())})
+        want.append({"doc_id": i, "n_tokens": len(ids), "ids_sha256": hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), "decoded_sha256": hashlib.sha256(m.decode(ids).encode()).hexdigest(), "ends_sha256": hashlib.sha256(" ".join(map(str, _ends(m, t or "", ids))).encode()).hexdigest()})
     assert collected(Q.digests(pieces.encode_pieces(docs, PIECES))) == sorted(want, key=lambda r: str(sorted(map(str, r.items()))))
     assert pieces.encode_pieces(empty, PIECES).collect() == []
 
@@ -195,7 +207,7 @@ def test_piece_spans_tile_the_source():
         assert begin == len(t)
 
 
-def test_character_map_takes_longest_prefix():
+def _map_blob():
     import struct
 
     # a double array for the keys "a" -> 0 and "ab" -> 2, replacements "x" and "yz"
@@ -207,10 +219,40 @@ def test_character_map_takes_longest_prefix():
     ab = 200 ^ ord("b")
     units[ab] = ord("b") | 1 << 8 | (300 ^ ab) << 10
     units[300] = 2 | 1 << 31
-    blob = struct.pack("<I", 4 * len(units)) + struct.pack(f"<{len(units)}I", *units) + b"x\0yz\0"
-    m = pieces.CharacterMap(blob)
-    text, source = m.normalise(b"aabc")
-    assert text == b"xyzc" and source.tolist() == [0, 1, 1, 3, 4]
+    return struct.pack("<I", 4 * len(units)) + struct.pack(f"<{len(units)}I", *units) + b"x\0yz\0"
+
+
+def test_character_map_takes_longest_prefix():
+    text, source = pieces.CharacterMap(_map_blob()).normalise("éaabc".encode())
+    assert text == "éxyzc".encode() and source.tolist() == [0, 1, 2, 3, 3, 5, 6]
+
+
+def test_a_model_with_a_character_map(spark, tmp_path):
+    """The same vocabulary with that map: ids and texts as the library's, ends by walking over normalised bytes."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto.FromString(open(PIECES, "rb").read())
+    proto.normalizer_spec.precompiled_charsmap = _map_blob()
+    path = str(tmp_path / "mapped.model")
+    open(path, "wb").write(proto.SerializeToString())
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(6)
+    texts = ["", "a", "ab", "banana cab aab", *("".join(rng.choice("aabcd é漢\n") for _ in range(rng.randint(1, 40))) for _ in range(120))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pieces.encode_pieces(df, path).collect():
+        t = texts[r["doc_id"]]
+        assert r["ids"] == m.encode(t) + [2] and r["decoded"] == m.decode(r["ids"])
+        # each normalised byte's source: "ab" makes two bytes of one place, all else byte for byte
+        source, i = [], 0
+        while i < len(t.encode()):
+            source += [i, i] if t.encode()[i : i + 2] == b"ab" else [i]
+            i += 2 if t.encode()[i : i + 2] == b"ab" else 1
+        source.append(len(t.encode()))
+        at, want = -1 if t else 0, []
+        for k in r["ids"]:
+            at += 0 if m.is_control(k) else 1 if m.is_byte(k) else len(m.id_to_piece(k).replace("▁", " ").encode())
+            want.append(source[at])
+        assert r["ends"] == want
 
 
 def test_substrings(docs, corpus, empty):
@@ -238,6 +280,27 @@ def test_substrings(docs, corpus, empty):
     for r in out.collect():
         texts.setdefault(r["doc_id"], []).append(r["text"])
     assert out.columns == docs.columns and {k: sorted(map(str, v)) for k, v in texts.items()} == {k: sorted(map(str, v)) for k, v in kept_text.items()}
+    other = clashing(docs)
+    named = substrings.kept_documents(other)
+    assert named.columns == other.columns and sorted(map(str, named.collect())) == sorted(map(str, clashing(out).collect()))
+    assert substrings.kept_documents(other.limit(0)).collect() == []
+
+
+def test_merged_by():
+    rng = np.random.default_rng(0)
+    d, a = rng.integers(0, 40, 2000), rng.integers(0, 300, 2000)
+    b = a + rng.integers(1, 9, 2000)
+    got = list(zip(*(x.tolist() for x in substrings.merged_by(d, a, b))))
+    want = [(k, *r) for k in np.unique(d).tolist() for r in zip(*(x.tolist() for x in substrings.merged(a[d == k], b[d == k])))]
+    assert got == want
+
+
+def test_substrings_of_long_texts(spark):
+    rng = random.Random(2)
+    shared = prose(rng, 60)
+    rows = [(1, shared), (2, prose(rng, 900_000) + " " + shared), (3, "x" * 2_000_000), (4, "x" * 2_000_000), (5, shared.replace(" ", "  "))]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (60, 0), 2: (900_060, 60), 3: (1, 0), 4: (1, 0), 5: (60, 60)}
 
 
 def test_cover():
@@ -278,6 +341,48 @@ def test_mixed_documents_hold_what_is_taken(docs):
     for r in out.collect():
         n[r["doc_id"]] += len(words(r["text"]))
     assert out.columns == docs.columns and {k: v for k, v in plan.items() if v} == dict(n)
+    other = clashing(unique)
+    named = mixing.mixed_documents(other)
+    assert named.columns == other.columns and sorted(map(str, named.collect())) == sorted(map(str, clashing(out).collect()))
+    assert mixing.mixed_documents(other.limit(0)).collect() == []
+
+
+def test_taken_by_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(k, prose(rng, rng.choice([0, 1, 3, 20, 90])), rng.choice(["a", "b", "b", "b", "c", None])) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seed, block, words_a_shard = 17, 8, 700
+    got = {r["doc_id"]: r for r in mixing.mix_sources(df, seed=seed, block=block, shard_words=words_a_shard).collect()}
+    mix = {r["doc_id"]: r["m"] for r in df.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", "text").alias("m")).collect()}
+    size, names = {k: len(words(t)) for k, t, _ in rows}, sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+
+    def deal(votes, seats):
+        n = collections.Counter()
+        for _ in range(seats):
+            n[min((x for x in votes if votes[x]), key=lambda x: (-votes[x] / (2 * n[x] + 1), x))] += 1
+        return n
+
+    target = {names.index(s) + 1: got[k]["target"] for k, _, s in rows}
+    seats = deal(target, round(sum(target.values()) / block))
+    shards = collections.defaultdict(list)
+    for k, _, s in rows:
+        rank = names.index(s) + 1
+        total = sum(size[i] for i, _, x in rows if x == s)
+        shards[rank, mix[k] % max(1, -(-total // words_a_shard))].append(k)
+    key = spark.createDataFrame(list(shards), "rank int, shard long").select("rank", "shard", F.xxhash64(F.lit(seed), "rank", "shard").alias("o"), F.xxhash64(F.lit(seed + 1), "rank", "shard").alias("s"))
+    walk = {(r["rank"], r["shard"]): (r["o"], r["s"]) for r in key.collect()}
+    quota = {rank: deal({sh: sum(size[k] for k in ids) for (r, sh), ids in shards.items() if r == rank}, seats[rank]) for rank in target}
+    for (rank, shard), ids in shards.items():
+        flow = [k for k in sorted(ids, key=lambda k: (mix[k], k, size[k])) for _ in range(size[k])]
+        n = max(1, -(-len(flow) // block))
+        passes, extra = divmod(min(quota[rank][shard], 3 * n), n)
+        steps = [p % n for p in mixing.STEPS if 1 < p % n < n - 1]
+        step = steps[walk[rank, shard][1] % len(steps)] if steps else 1
+        taken = collections.Counter({k: passes * size[k] for k in ids})
+        for j in range(n):
+            if (j * step + walk[rank, shard][0]) % n < extra:
+                taken.update(flow[j * block : (j + 1) * block])
+        assert {k: got[k]["taken"] for k in ids} == {k: taken[k] for k in ids}
 
 
 def test_sainte_lague_is_highest_quotients(spark):
@@ -490,6 +595,49 @@ def test_classifiers(spark, docs, corpus, empty):
         assert min(left.values()) == 0 and collections.Counter(r["text"] or "" for r in given.collect() if left[str(r)] > 0) == gone
 
 
+def test_classifier_gradient_and_training():
+    rng = np.random.default_rng(5)
+    vectors, classes, share = rng.normal(size=(6, 3)), rng.normal(size=(2, 3)), rng.random(6)
+    share /= share.sum()
+    loss, by_vectors, by_classes = quality_classifier.gradient(vectors, classes, share, 1)
+    for x, g in ((vectors, by_vectors), (classes, by_classes)):
+        for i in np.ndindex(*x.shape):
+            up, down = (quality_classifier.gradient(*[y + e * (np.arange(y.size).reshape(y.shape) == np.ravel_multi_index(i, y.shape)) if y is x else y for y in (vectors, classes)], share, 1)[0] for e in (1e-6, -1e-6))
+            assert abs((up - down) / 2e-6 - g[i]) < 1e-6
+    docs = [(np.array([0, k]), np.array([0.25, 0.75]), int(k > 5)) for k in rng.integers(1, 10, 60)]
+    # the same statement with dense documents and no shortcut
+    r = np.random.default_rng(3)
+    v, c, step = r.uniform(-0.25, 0.25, (10, 4)), np.zeros((2, 4)), 0
+    for _ in range(5):
+        for i in r.permutation(60):
+            x = np.zeros(10)
+            x[docs[i][0]] = docs[i][1]
+            p = np.exp(c @ (x @ v)) / np.exp(c @ (x @ v)).sum() - np.eye(2)[docs[i][2]]
+            lr = 0.4 * (1 - step / 300)
+            v, c, step = v - lr / (x @ x) * np.outer(x, p @ c), c - lr * np.outer(p, x @ v), step + 1
+    got = quality_classifier.train(docs, dim=4, buckets=10)
+    assert np.allclose(got, v @ (c[1] - c[0])) and (got[6:] > got[1:6].max()).all()
+    assert (quality_classifier.train([], buckets=10) == 0).all()
+
+
+def test_features_are_of_characters_and_whole_texts():
+    flat = lambda t: np.sort(np.concatenate(quality_classifier.features(t.encode())))
+    t = "añb aé"
+    assert len(flat(t)) == 1 + 2 + 1 + (5 + 4 + 3) and (flat(t) < quality_classifier.BUCKETS).all()
+    long = "çé" * 2_200_000
+    assert len(flat(long)) == 1 + 1 + 3 * len(long) - 6
+
+
+@pytest.mark.parametrize("name, label, least", [("op6_quality_classifier", "quality", 0.93), ("op10_toxicity", "toxic", 0.93)])
+def test_held_out_accuracy(spark, name, label, least):
+    d = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in Q.QUERIES[name](spark, d).collect()}
+    truth = [(got[r["doc_id"]], r[label]) for r in spark.read.parquet(f"{d}/labels.parquet").where(f"{label} is not null").collect()]
+    held = [(r["predicted"], y) for r, y in truth if r["held_out"]]
+    right, most = sum(p == y for p, y in held) / len(held), max(collections.Counter(y for _, y in held).values()) / len(held)
+    assert right >= least and right > most
+
+
 def test_labelled_sample_is_bounded_by_rows(spark):
     docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(400)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(5)] + [(3, 0), (None, 1), (77, 1)], "doc_id long, quality int")
