@@ -22,13 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet and read it back; an empty table stays readable."""
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet and read it back; an empty table stays readable. keep: also beyond scratch()."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
-    if _open:
+    if _open and not keep:
         _open[-1].append(out)
     return out
 
