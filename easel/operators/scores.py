@@ -6,16 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from easel.functions.rasters import let
 from easel.plans.ship import ship
 
+from .tags import with_position
+
 # The weight of each aesthetic label, best first.
 AESTHETIC = {"masterpiece": 10.0, "best": 8.6, "great": 7.4, "good": 6.1, "normal": 4.6, "low": 2.4, "worst": 0.0}
 # Tag categories.
-CHARACTER, RATING, KEPT_ON_REQUEST = 4, 9, (3, 5, 7, 8)
+CHARACTER, RATING, COPYRIGHT, META, MODEL, QUALITY = 4, 9, 3, 5, 7, 8
 
 
 def batch_score(df: DataFrame, make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]], id: str = "id", feature: str = "feature", batch: int = 16) -> DataFrame:
@@ -47,19 +49,19 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), x))))
 
 
-def select_tags(scores: DataFrame, vocab: DataFrame, general: float = 0.35, character: float = 0.85, keep_other: bool = False, id: str = "id", probs: str = "probs") -> DataFrame:
+def select_tags(scores: DataFrame, vocab: DataFrame, general: float = 0.35, character: float = 0.85, keep_copyright: bool = True, keep_meta: bool = False, keep_model: bool = False, keep_quality: bool = False, id: str = "id", probs: str = "probs") -> DataFrame:
     """(id, general, character, rating): lists of {name, confidence}, surest first, ties in vocabulary order.
 
-    vocab: (idx, name, category). Ratings have no threshold, characters theirs, categories 3, 5, 7 and 8 only with
-    keep_other, all else the general one; raw scores are compared, then rounded to 4 digits. The vocabulary is one
-    model's output layer, a few thousand names; Spark broadcasts it where its size allows.
+    vocab: (idx, name, category). Ratings have no threshold, characters theirs, all else the general one; copyright,
+    meta, model and quality tags only with their flags. Raw scores are compared, then rounded to 4 digits. The
+    vocabulary is one model's output layer, a few thousand names; Spark broadcasts it where its size allows.
     """
+    left_out = [c for c, keep in ((COPYRIGHT, keep_copyright), (META, keep_meta), (MODEL, keep_model), (QUALITY, keep_quality)) if not keep]
     rows = scores.select(id, F.posexplode(probs).alias("idx", "p")).join(vocab, "idx")
     kind = (
         F.when(F.col("category") == RATING, "rating")
         .when(F.col("category") == CHARACTER, F.when(F.col("p") >= character, "character"))
-        .when(F.col("category").isin(*KEPT_ON_REQUEST), F.when(F.lit(keep_other) & (F.col("p") >= general), "general"))
-        .when(F.col("p") >= general, "general")
+        .when((F.col("p") >= general) & ~F.col("category").isin(*left_out), "general")
     )
     rows = rows.withColumn("kind", kind).where("kind is not null").withColumn("_s", F.struct((-F.round("p", 4)).alias("neg"), "idx", "name"))
     lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("_s")))), lambda s: F.struct(s["name"].alias("name"), (-s["neg"]).alias("confidence"))).alias(k) for k in ("general", "character", "rating")]
@@ -92,26 +94,39 @@ def aesthetic_score(labels: Column, probs: Column) -> Column:
 
 
 def class_gate(df: DataFrame, allowed: list[str], threshold: float, margin: float = 0.18, relaxed: bool = True, labels: str = "labels", probs: str = "probs", aesthetic_label: str = "aesthetic_label", score: str = "score") -> DataFrame:
-    """Adds class_label, class_confidence, allowed_confidence, passed and fallback.
+    """Adds raw_class_label, raw_class_confidence (the top class), class_label, class_confidence (the class that counts,
+    6 digits), passed and fallback.
 
-    With no allowed class all pass. Else the top class must be allowed and sure enough; relaxed, an allowed class
-    close behind the top passes by margin, and one with a good aesthetic label and score by aesthetics.
+    With no allowed class all pass. Else the top class must be allowed and sure enough; relaxed, the best allowed class
+    passes in its place: by margin if it is close behind the top, by aesthetics if label and score are good.
     """
     top = top_label(F.col(labels), F.col(probs))
-    best = F.aggregate(F.filter(F.arrays_zip(F.col(labels).alias("l"), F.col(probs).alias("p")), lambda z: z["l"].isin(allowed)), F.lit(0.0), lambda s, z: F.greatest(s, z["p"])) if allowed else F.lit(0.0)
-    df = df.withColumn("_t", top).withColumns({"class_label": F.col("_t.label"), "class_confidence": F.col("_t.confidence"), "allowed_confidence": best}).drop("_t")
-    a, c = F.col("allowed_confidence"), F.col("class_confidence")
-    direct = F.lit(True) if not allowed else F.col("class_label").isin(allowed) & (c >= threshold)
-    by_margin = F.lit(relaxed) & (c - a <= margin) & (a >= max(threshold, 0.08))
-    by_looks = F.lit(relaxed) & (a >= max(threshold, 0.05)) & ~F.col(aesthetic_label).isin("low", "worst") & (F.col(score) >= 4.3)
+    some = F.filter(F.arrays_zip(F.col(labels).alias("l"), F.col(probs).alias("p")), lambda z: z["l"].isin(allowed))
+    best = top_label(F.transform(some, lambda z: z["l"]), F.transform(some, lambda z: z["p"]))
+    df = df.withColumns({"_t": top, "_a": best})
+    sure, a = F.col("_t.confidence"), F.col("_a.confidence")
+    direct = F.col("_t.label").isin(allowed) & (sure >= threshold) if allowed else F.lit(True)
+    any_allowed = F.lit(relaxed) & (F.col("_a.label") != "")
+    by_margin = any_allowed & (sure - a <= margin) & (a >= max(threshold, 0.08))
+    by_looks = any_allowed & (a >= max(threshold, 0.05)) & ~F.col(aesthetic_label).isin("low", "worst") & (F.col(score) >= 4.3)
     df = df.withColumn("fallback", F.when(direct, "").when(by_margin, "margin").when(by_looks, "aesthetic").otherwise(""))
-    return df.withColumn("passed", direct | (F.col("fallback") != ""))
-
-
-def score_gate(df: DataFrame, min_score: float, score_only_passed: bool = False, score: str = "score", passed: str = "passed") -> DataFrame:
-    """Blanks the score of rejected rows on request; adds low: a score below the minimum (held within 0 and 10)."""
+    other = F.col("fallback") != ""
+    return df.withColumns({
+        "raw_class_label": F.col("_t.label"),
+        "raw_class_confidence": F.round(sure, 6),
+        "class_label": F.when(other, F.col("_a.label")).otherwise(F.col("_t.label")),
+        "class_confidence": F.round(F.when(other, a).otherwise(sure), 6),
+        "passed": direct | other,
+    }).drop("_t", "_a")
+
+
+def score_gate(df: DataFrame, min_score: float, score_only_passed: bool = False, score: str = "score", passed: str = "passed", label: str = "aesthetic_label") -> DataFrame:
+    """Blanks the score of rejected rows, and their label if that column is there, on request; adds low: a score below
+    the minimum (held within 0 and 10)."""
     if score_only_passed:
         df = df.withColumn(score, F.when(F.col(passed), F.col(score)))
+        if label in df.columns:
+            df = df.withColumn(label, F.when(F.col(passed), F.col(label)).otherwise(""))
     return df.withColumn("low", F.coalesce(F.col(score) < max(0.0, min(10.0, min_score)), F.lit(False)))
 
 
@@ -142,21 +157,24 @@ def low_files(df: DataFrame, min_score: float, gated: bool = True) -> DataFrame:
 
 
 def format_score_text() -> Column:
-    """One line a row from ok, error, score, aesthetic_label, class_label, class_confidence, passed, low, fallback."""
-    yes = lambda c: F.when(c, "yes").otherwise("no")
+    """One line a row from ok, error, score, aesthetic_label, class_label, class_confidence, passed, low, fallback and
+    raw_class_label: a dash for what is missing, then only what is out of the ordinary."""
+    dash = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("-"))
+    named = lambda k, c: F.concat(F.lit(f"{k}:"), F.nullif(F.col(c), F.lit("")))
     text = F.concat_ws(
         ", ",
-        F.when(F.col("score").isNotNull(), F.concat(F.lit("score:"), F.format_string("%.2f", F.col("score")))),
-        F.concat(F.lit("quality:"), F.nullif("aesthetic_label", F.lit(""))),
-        F.concat(F.lit("class:"), F.nullif("class_label", F.lit(""))),
+        F.concat(F.lit("score:"), F.when(F.col("score").isNull(), "-").otherwise(F.format_string("%.2f", F.col("score")))),
+        F.concat(F.lit("quality:"), dash("aesthetic_label")),
+        F.concat(F.lit("class:"), dash("class_label")),
         F.concat(F.lit("class_conf:"), F.floor(F.col("class_confidence") * 100 + 0.5).cast("string"), F.lit("%")),
-        F.concat(F.lit("class_passed:"), yes(F.col("passed"))),
-        F.concat(F.lit("low_score:"), yes(F.col("low"))),
-        F.concat(F.lit("fallback:"), F.nullif("fallback", F.lit(""))),
+        F.when(~F.col("passed"), "class_passed:no"),
+        F.when(F.col("low"), "low_score:yes"),
+        named("fallback", "fallback"),
+        F.when(F.col("raw_class_label") != F.col("class_label"), named("raw_class", "raw_class_label")),
     )
-    return F.when(F.col("ok"), text).otherwise(F.concat(F.lit("error: "), F.coalesce("error", F.lit("unknown"))))
+    return F.when(F.col("ok"), text).otherwise(F.concat(F.lit("error: "), F.coalesce(F.nullif(F.col("error"), F.lit("")), F.lit("failed"))))
 
 
 def ranked(df: DataFrame, pos: str = "pos") -> DataFrame:
-    """Adds place: the row's place in review_order()."""
-    return df.withColumn("place", F.row_number().over(Window.orderBy(review_rank(), F.coalesce("score", F.lit(99.0)), pos)) - 1)
+    """Adds place: the row's place in review_order(), which should not tie."""
+    return with_position(df, [review_rank(), F.coalesce("score", F.lit(99.0)), F.col(pos)], "place")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from easel.functions.tags import split_tags
@@ -57,17 +57,22 @@ def skip_existing(df: DataFrame, captions: DataFrame, key: str = "file", text: s
     return df.join(have, F.col(key) == F.col("_k"), "left_anti")
 
 
-def with_position(df: DataFrame, order: str, name: str = "_pos") -> DataFrame:
+def with_position(df: DataFrame, order: str | Sequence[Column | str], name: str = "_pos") -> DataFrame:
     """Adds the row's place in order, from 0, without one task for all rows: rows are counted by range, and the
-    ranges' counts, a row each, give their starts. Null places come first; ties are broken by nothing, so order
-    should not repeat."""
+    ranges' counts, a row each, give their starts. Null places come first, unless a column says otherwise; ties are
+    broken by nothing, so the order should not repeat."""
     from easel.plans.staging import stage
 
-    ranged = stage(df.repartitionByRange(F.col(order).asc_nulls_first()).withColumn("_part", F.spark_partition_id()), "ranges")
+    given = [order] if isinstance(order, str) else list(order)
+    keys = [F.col(c) if isinstance(c, str) else c for c in given]
+    # a column of the range's number; the order's own values are kept for the count within
+    keep = {f"_o{i}": k for i, k in enumerate(keys)}
+    by = [F.col(c).asc_nulls_first() for c in keep]
+    ranged = stage(df.withColumns(keep).repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(F.col(order).asc_nulls_first())) - 1
-    return ranged.withColumn("_local", local).join(starts, "_part").withColumn(name, F.col("_start") + F.col("_local")).drop("_part", "_start", "_local")
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1
+    return ranged.withColumn("_local", local).join(starts, "_part").withColumn(name, F.col("_start") + F.col("_local")).drop("_part", "_start", "_local", *keep)
 
 
 def assign_round_robin(df: DataFrame, configs: Sequence[dict], order: str = "pos") -> DataFrame:

@@ -98,9 +98,9 @@ def f13_resize_pixels(spark, d):
     return _hex(J.resize(rasters(spark, d), 2, 2))
 
 
-@query(f"with {_BYTES} select cast(vec_id as varchar) file, list_transform(range(48), lambda i: (p[(i % 16 * 3 + 2 - i // 16)::int + 1] / 255::double - 0.5) / 0.5::double) input from b")
+@query(f"with {_BYTES} select cast(vec_id as varchar) file, list_transform(range(48), lambda i: (p[(i % 16 * 3 + 2 - i // 16)::int + 1] / 255::double - 0.5) / 0.5::double).apply(lambda x: round(x, 5)) input from b")
 def f14_model_input(spark, d):
-    return J.model_input(rasters(spark, d), 4, "symmetric").select("file", F.transform("input", lambda x: x.cast("double")).alias("input"))
+    return J.model_input(rasters(spark, d), 4, "symmetric").select("file", F.transform("input", lambda x: F.round(x.cast("double"), 5)).alias("input"))
 
 
 @query("""with v as (select vec_id kp, vec_id % 40 id, list_transform(embedding, lambda x: case when x > 0 then 1 else 0 end) b from embeddings), n as (select id from v group by 1 having count(*) >= 2),

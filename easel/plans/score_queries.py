@@ -37,11 +37,12 @@ def k1_l2_normalize(spark, d):
 
 
 @query(f"""with {_V}, p as (select id, label, e[1:16] a, e[17:64] b from v), w as (select id, list_concat(list_transform(a, lambda x: x / sqrt(list_dot_product(a, a)) * 0.7::double), list_transform(b, lambda x: x / sqrt(list_dot_product(b, b)) * 0.3::double)) f from p where label != 3),
- u as (select id, list_transform(f, lambda x: x / sqrt(list_dot_product(f, f))) feature from w) select v.id, u.feature from v left join u on u.id = v.id""")
+ u as (select id, list_transform(f, lambda x: round(x / sqrt(list_dot_product(f, f)), 12)) feature from w) select v.id, u.feature from v left join u on u.id = v.id""")
 def k2_fuse_features(spark, d):
     v = _vectors(spark, d)
     part = lambda a, n: v.select("id", "label", F.slice("e", a, n).alias("feature"))
-    return K.fuse_features({"style": (part(1, 16), 0.7), "semantic": (part(17, 48).where("label != 3"), 0.3), "color": (part(1, 4), 0.0)})
+    fused = K.fuse_features({"style": (part(1, 16), 0.7), "semantic": (part(17, 48).where("label != 3"), 0.3), "color": (part(1, 4), 0.0)})
+    return fused.withColumn("feature", F.transform("feature", lambda x: F.round(x, 12)))
 
 
 @query()
@@ -65,31 +66,44 @@ def k6_cluster_report(spark, d):
     return K.cluster_report(v.select("id"), v.select("id", (F.col("label") % 4).alias("group")))[1]
 
 
-@query()
+_FAILS = "case when id % 17 = 5 then 'no model input' end"
+_PARTS = ", ".join(f"list_sum([{', '.join(f'e[{i + 1}] * {(i * (k + 3) % 11 - 5) / 8!r}::double' for i in range(64))}])" for k in range(4))
+
+
+@query(f"with {_V}, s as (select id, e, id % 17 = 5 bad, [{_PARTS}] p from v) select id, case when not bad then list_transform(p, lambda x: round(x, 9)) end scores, not bad ok, {_FAILS} error from s")
 def m1_batch_score(spark, d):
+    """A linear model that fails on marked rows: a batch that holds one is scored row by row."""
+
     def make():
         import numpy as np
 
-        w = np.random.default_rng(0).normal(size=(64, 4))
-        return lambda x: x @ w
+        w = np.array([[(i * (k + 3) % 11 - 5) / 8 for k in range(4)] for i in range(64)])
+
+        def predict(x):
+            if (x[:, 64] == 5).any():
+                raise ValueError("no model input")
+            return x[:, :64] @ w
+
+        return predict
 
-    return M.batch_score(_vectors(spark, d), make, feature="e")
+    marked = _vectors(spark, d).withColumn("e", F.concat("e", F.array((F.col("id") % 17).cast("double"))))
+    return M.batch_score(marked, make, feature="e").withColumn("scores", F.transform("scores", lambda x: F.round(x, 9)))
 
 
-@query(f"with {_V} select id, list_transform(e, lambda x: 1 / (1 + exp(-greatest(-50, least(50, x * 400))))) p from v")
+@query(f"with {_V} select id, list_transform(e, lambda x: round(1 / (1 + exp(-greatest(-50, least(50, x * 400)))), 12)) p from v")
 def m2_sigmoid(spark, d):
-    return _vectors(spark, d).select("id", F.transform("e", lambda x: M.sigmoid(x * 400)).alias("p"))
+    return _vectors(spark, d).select("id", F.transform("e", lambda x: F.round(M.sigmoid(x * 400), 12)).alias("p"))
 
 
 #: Names and categories of the 64 components as a vocabulary.
-_VOCAB = "vocab as (select i::int idx, concat('tag_', i) as name, case when i % 16 = 9 then 9 when i % 8 = 4 then 4 when i % 7 = 3 then 3 else 0 end category from range(64) r(i))"
+_VOCAB = "vocab as (select i::int idx, concat('tag_', i) as name, case when i % 16 = 9 then 9 when i % 8 = 4 then 4 when i % 7 = 3 then 3 when i % 11 = 5 then 5 when i % 13 = 1 then 8 else 0 end category from range(64) r(i))"
 _PICK = f"""{_V}, {_VOCAB}, p as (select v.id, idx, name, category, e[idx + 1] + 0.3 p from v, vocab),
- k as (select *, case when category = 9 then 'rating' when category = 4 then case when p >= 0.5 then 'character' end when category = 3 then null when p >= 0.35 then 'general' end kind from p),
+ k as (select *, case when category = 9 then 'rating' when category = 4 then case when p >= 0.5 then 'character' end when category in (5, 7, 8) then null when p >= 0.35 then 'general' end kind from p),
  l as (select id, kind, list(name order by round(p, 4) desc, idx) names, list(round(p, 4) order by round(p, 4) desc, idx) conf from k where kind is not null group by 1, 2)"""
 
 
 def _tags(spark, d):
-    vocab = spark.range(64).selectExpr("cast(id as int) idx", "concat('tag_', id) name", "case when id % 16 = 9 then 9 when id % 8 = 4 then 4 when id % 7 = 3 then 3 else 0 end category")
+    vocab = spark.range(64).selectExpr("cast(id as int) idx", "concat('tag_', id) name", "case when id % 16 = 9 then 9 when id % 8 = 4 then 4 when id % 7 = 3 then 3 when id % 11 = 5 then 5 when id % 13 = 1 then 8 else 0 end category")
     return M.select_tags(_vectors(spark, d).select("id", F.transform("e", lambda x: x + F.lit(0.3)).alias("probs")), vocab, 0.35, 0.5)
 
 
@@ -108,10 +122,11 @@ _NAMES = "[" + ", ".join(f"'{x}'" for x in _LABELS) + "]"
 _SCORES = f"""{_V}, s as (select id, label, {_NAMES} labels, list_transform(e[1:8], lambda x: abs(x)) probs, list_transform(e[9:12], lambda x: abs(x)) classes from v),
  t as (select *, list_position(probs, list_max(probs)) top_at, list_transform([1,2,3,4,5,6,7], lambda i: probs[i]) k from s),
  a as (select *, labels[top_at] aesthetic_label, round(list_dot_product(k, [10.0, 8.6, 7.4, 6.1, 4.6, 2.4, 0.0]::double[]) / list_sum(k), 3) score from t)"""
-_GATE = f"""{_SCORES}, c as (select *, ['art', 'photo', 'text', 'map'][list_position(classes, list_max(classes))] class_label, list_max(classes) class_confidence, greatest(classes[1], classes[4]) allowed_confidence from a),
- g as (select *, class_label in ('art', 'map') and class_confidence >= 0.1 direct, case when class_label in ('art', 'map') and class_confidence >= 0.1 then '' when class_confidence - allowed_confidence <= 0.08::double and allowed_confidence >= 0.1 then 'margin'
- when allowed_confidence >= 0.1 and aesthetic_label not in ('low', 'worst') and score >= 4.3 then 'aesthetic' else '' end fallback from c), p as (select *, direct or fallback != '' passed from g),
- o as (select id, id pos, class_label, class_confidence, allowed_confidence, passed, fallback, aesthetic_label, case when passed then score end score, case when id % 29 = 0 then null else id % 13 != 0 end ok from p), z as (select *, coalesce(score < 5, false) low from o)"""
+_GATE = f"""{_SCORES}, c as (select *, ['art', 'photo', 'text', 'map'][list_position(classes, list_max(classes))] raw_class_label, list_max(classes) top, greatest(classes[1], classes[4]) ok_conf, case when classes[1] >= classes[4] then 'art' else 'map' end ok_label from a),
+ g as (select *, raw_class_label in ('art', 'map') and top >= 0.1 direct, case when raw_class_label in ('art', 'map') and top >= 0.1 then '' when top - ok_conf <= 0.08::double and ok_conf >= 0.1 then 'margin'
+ when ok_conf >= 0.1 and aesthetic_label not in ('low', 'worst') and score >= 4.3 then 'aesthetic' else '' end fallback from c), p as (select *, direct or fallback != '' passed from g),
+ o as (select id, id pos, raw_class_label, round(top, 6) raw_class_confidence, case when fallback != '' then ok_label else raw_class_label end class_label, round(case when fallback != '' then ok_conf else top end, 6) class_confidence, passed, fallback,
+ case when passed then aesthetic_label else '' end aesthetic_label, case when passed then score end score, case when id % 29 = 0 then null else id % 13 != 0 end ok from p), z as (select *, coalesce(score < 5, false) low from o)"""
 
 
 def _scored(spark, d):
@@ -137,9 +152,9 @@ def m6_aesthetic_score(spark, d):
     return _scored(spark, d).select("id", "score")
 
 
-@query(f"with {_GATE} select id, class_label, class_confidence, allowed_confidence, passed, fallback from z")
+@query(f"with {_GATE} select id, raw_class_label, raw_class_confidence, class_label, class_confidence, passed, fallback from z")
 def m7_class_gate(spark, d):
-    return _gated(spark, d).select("id", "class_label", "class_confidence", "allowed_confidence", "passed", "fallback")
+    return _gated(spark, d).select("id", "raw_class_label", "raw_class_confidence", "class_label", "class_confidence", "passed", "fallback")
 
 
 @query(f"with {_GATE} select id, score, low from z")
@@ -154,7 +169,7 @@ def m9_score_summary(spark, d):
 
 @query(f"with {_GATE} select id, row_number() over (order by case when ok is null then 4 when not ok then 3 when not passed then 1 when low then 0 else 2 end, coalesce(score, 99), pos) - 1 place from z")
 def m10_review_order(spark, d):
-    return M.ranked(M.review_order(_gated(spark, d))).select("id", "place")
+    return M.ranked(_gated(spark, d)).select("id", "place")
 
 
 @query(f"with {_GATE} select id from z where ok and score is not null and score >= 5 and passed")
@@ -167,7 +182,7 @@ def m11_low_files(spark, d):
     return M.low_files(_gated(spark, d), 5).select("id")
 
 
-@query(f"""with {_GATE} select id, case when ok then concat_ws(', ', case when score is not null then concat('score:', cast(round(score::decimal(10,3), 2)::decimal(10,2) as varchar)) end, concat('quality:', aesthetic_label), concat('class:', class_label), concat('class_conf:', cast(floor(class_confidence * 100 + 0.5::double) as bigint), '%'),
- concat('class_passed:', case when passed then 'yes' else 'no' end), concat('low_score:', case when low then 'yes' else 'no' end), case when fallback != '' then concat('fallback:', fallback) end) else concat('error: ', case when id % 2 = 0 then 'bad image' else 'unknown' end) end text from z""")
+@query(f"""with {_GATE} select id, case when ok then concat_ws(', ', concat('score:', coalesce(cast(round(score::decimal(10,3), 2)::decimal(10,2) as varchar), '-')), concat('quality:', coalesce(nullif(aesthetic_label, ''), '-')), concat('class:', class_label), concat('class_conf:', cast(floor(class_confidence * 100 + 0.5::double) as bigint), '%'),
+ case when not passed then 'class_passed:no' end, case when low then 'low_score:yes' end, case when fallback != '' then concat('fallback:', fallback) end, case when raw_class_label != class_label then concat('raw_class:', raw_class_label) end) else concat('error: ', case when id % 2 = 0 then 'bad image' else 'failed' end) end text from z""")
 def m12_format_score_text(spark, d):
     return _gated(spark, d).select("id", M.format_score_text().alias("text"))
