@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from easel.plans.staging import stage, unstage
+
 
 def stem_of(name: Column) -> Column:
     """The base name without its last extension; a leading dot is part of the stem."""
@@ -32,27 +34,35 @@ def sanitize(name: Column, most: int = 120, fallback: str = "file", collapse: bo
     return F.coalesce(F.nullif(s, F.lit("")), F.lit(fallback))
 
 
-def resolve_collisions(df: DataFrame, name: str = "name", order: str = "pos", existing: DataFrame | None = None, first: int = 1, rounds: int = 20) -> DataFrame:
+def resolve_collisions(df: DataFrame, name: str = "name", order: str = "pos", existing: DataFrame | None = None, first: int = 1) -> DataFrame:
     """Adds unique_name: the first row of a name keeps it, others get _first, _first+1, .. before the extension.
 
     existing has a column of the same name with taken names: then also the first row is numbered. Generated names
-    may meet given ones; rows that do are numbered on until none is left, which takes few rounds.
+    may meet given ones; rows that do are numbered on until none is left: each round moves some row to a higher number,
+    and there are fewer names than rows and taken names, so the rounds end. Rows of one name are counted by ranges of
+    the whole order, so a name that many rows have is no one task's work. Null names stay null.
     """
+    from easel.operators.tags import with_position
+
     stem, ext = F.regexp_replace(F.col(name), r"(?<=.)\.[^.]*$", ""), F.regexp_extract(F.col(name), r".(\.[^.]*)$", 1)
-    numbered = lambda n: F.concat(stem, F.lit("_"), n.cast("string"), ext)
-    out = df.withColumn("_n", F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1)
+    pick = F.when(F.col("_n") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), (F.col("_n") + (first - 1)).cast("string"), ext))
+    placed = with_position(df, [name, order], "_at")
+    start = placed.groupBy(F.col(name).alias("_name")).agg(F.min("_at").alias("_start"))
     taken = existing.select(F.col(name).alias("_taken")).distinct() if existing is not None else df.limit(0).select(F.col(name).alias("_taken"))
-    out = out.join(taken.withColumn("_is", F.lit(True)), F.col(name) == F.col("_taken"), "left").withColumn("_n", F.when(F.col("_is"), F.col("_n") + 1).otherwise(F.col("_n"))).drop("_taken", "_is")
-    pick = lambda d: d.withColumn("unique_name", F.when(F.col("_n") == 0, F.col(name)).otherwise(numbered(F.col("_n") + (first - 1))))
-    out = pick(out)
-    for _ in range(rounds):
+    out = placed.join(start, F.col(name).eqNullSafe(F.col("_name"))).join(taken, F.col(name) == F.col("_taken"), "left")
+    out = out.withColumn("_n", F.col("_at") - F.col("_start") + F.col("_taken").isNotNull().cast("int")).drop("_name", "_start", "_taken")
+    out = stage(out.withColumn("unique_name", pick), "names")
+    while True:
         # a generated name must give way where it is taken or where another row has it with a smaller number
-        same = Window.partitionBy("unique_name").orderBy("_n", order)
-        marked = out.join(taken, F.col("unique_name") == F.col("_taken"), "left").withColumn("_bad", (F.col("_n") > 0) & (F.col("_taken").isNotNull() | (F.row_number().over(same) > 1))).drop("_taken")
-        marked = marked.persist()
-        if marked.where("_bad").limit(1).count() == 0:
-            return marked.drop("_bad", "_n")
+        best = out.where(F.col("unique_name").isNotNull()).groupBy(F.col("unique_name").alias("_u")).agg(F.min(F.struct("_n", "_at")).alias("_best"), F.count("*").alias("_rows"))
+        clash = best.join(taken, F.col("_u") == F.col("_taken"), "left").where("_rows > 1 or _taken is not null")
+        bad = out.join(clash, F.col("unique_name") == F.col("_u")).where((F.col("_n") > 0) & (F.col("_taken").isNotNull() | (F.col("_at") != F.col("_best._at"))))
+        bad = stage(bad.select(F.col(name).alias("_name"), F.col("_n").alias("_from")), "clashes")
+        if bad.isEmpty():
+            return out.drop("_n", "_at")
         # all later rows of the name move on with it, so numbers stay apart
-        step = Window.partitionBy(name).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
-        out = pick(marked.withColumn("_n", F.col("_n") + F.sum(F.col("_bad").cast("int")).over(step)).drop("_bad", "unique_name"))
-    raise RuntimeError("names did not settle")
+        steps = bad.groupBy("_name").agg(F.sort_array(F.collect_list("_from")).alias("_steps"))
+        moved = out.join(steps, F.col(name) == F.col("_name"), "left").withColumn("_n", F.col("_n") + F.coalesce(F.size(F.filter("_steps", lambda s: s <= F.col("_n"))), F.lit(0)))
+        after = stage(moved.drop("_name", "_steps", "unique_name").withColumn("unique_name", pick), "names")
+        unstage(out), unstage(bad)
+        out = after

@@ -15,6 +15,8 @@ from easel.plans.components import components
 from easel.plans.ship import ship
 from easel.plans.staging import stage, unstage
 
+from .tags import with_position
+
 MIN_GAP = 6.0
 
 
@@ -23,28 +25,57 @@ def distance(a: Column, b: Column, words: int) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(words)])
 
 
+def cut_bits(words: int, bits: int, parts: int) -> list[list[tuple[int, int, int]]]:
+    """A hash of `words` longs of `bits` bits in `parts` parts as equal as may be: each a list of (long, from, how many)."""
+    total, out = words * bits, []
+    for k in range(parts):
+        at, end, pieces = k * total // parts, (k + 1) * total // parts, []
+        while at < end:
+            n = min(end - at, bits - at % bits)
+            pieces.append((at // bits, at % bits, n))
+            at += n
+        out.append(pieces)
+    return out
+
+
+def part_value(hash: Column, pieces: list[tuple[int, int, int]]) -> Column:
+    """The bits of a part as a long."""
+    value, done = F.lit(0).cast("long"), 0
+    for word, at, n in pieces:
+        own = F.shiftrightunsigned(hash[word], at).bitwiseAND(F.lit((1 << n) - 1 if n < 64 else -1))
+        value, done = value.bitwiseOR(F.shiftleft(own, done)), done + n
+    return value
+
+
 def hamming_pairs(sig: DataFrame, threshold: int, words: int = 1, bits: int = 64, id: str = "id", hash: str = "hash", keep: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, dist, sim[, a_x, b_x of kept columns]) of all pairs a < b within threshold bits; sim is 1 - dist / (bits * words).
 
-    Exact. With few errors allowed, threshold + 1 bands of bits are joined, one of which must agree; else rows are
-    joined by their number of ones, which differs by threshold at most. Null ids or hashes pair with nothing.
+    Exact. Hashes are cut into parts of which some must agree: all bits of one of threshold + 1 parts, or, where these
+    would be under 8 bits, all but one bit of one of threshold // 2 + 1 parts, whose neighbours are looked up as well.
+    Where these are under 8 bits too, too much may differ for parts to tell, and rows are joined by their number of ones,
+    which differs by threshold at most: that prunes little, and adaptive execution splits the large cells. Null ids or hashes pair with nothing.
     """
     s = sig.where(F.col(id).isNotNull() & F.col(hash).isNotNull()).select(F.col(id).alias("id"), F.col(hash).alias("h"), *keep)
     total = bits * words
-    if total // (threshold + 1) >= 8 and words == 1:
-        size = bits // (threshold + 1)
-        bands = F.array(*[F.struct(F.lit(i).alias("n"), F.shiftrightunsigned(F.col("h")[0], i * size).bitwiseAND(F.lit((1 << (bits - i * size if i == threshold else size)) - 1 if bits - i * size < 64 else -1)).alias("v")) for i in range(threshold + 1)])
-        left = right = s.withColumn("k", F.explode(bands))
+    near = total // (threshold + 1) < 8
+    parts = threshold // 2 + 1 if near else threshold + 1
+    if total // parts >= 8:
+        cut = cut_bits(words, bits, parts)
+        own = [part_value(F.col("h"), p) for p in cut]
+        keyed = lambda n, v: F.struct(F.lit(n).alias("n"), v.alias("v"))
+        right = s.withColumn("k", F.explode(F.array(*[keyed(n, v) for n, v in enumerate(own)])))
+        others = [[v, *[v.bitwiseXOR(F.lit(1 << i)) for i in range(sum(k for *_, k in p))]] if near else [v] for v, p in zip(own, cut)]
+        left = s.withColumn("k", F.explode(F.array(*[keyed(n, v) for n, vs in enumerate(others) for v in vs])))
     else:
         ones = reduce(lambda x, y: x + y, [F.bit_count(F.col("h")[i]) for i in range(words)])
-        cell = F.expr("ones") / (threshold + 1)
+        cell = F.floor(F.col("ones") / (threshold + 1))
         s = s.withColumn("ones", ones)
-        right = s.withColumn("k", F.floor(cell))
-        left = s.withColumn("k", F.explode(F.array(F.floor(cell) - 1, F.floor(cell), F.floor(cell) + 1)))
+        right = s.withColumn("k", cell)
+        left = s.withColumn("k", F.explode(F.array(cell - 1, cell, cell + 1)))
     d = distance(F.col("l.h"), F.col("r.h"), words)
     pairs = left.alias("l").join(right.alias("r"), (F.col("l.k") == F.col("r.k")) & (F.col("l.id") < F.col("r.id")) & (d <= threshold))
     out = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), d.alias("dist"), (1 - d / total).alias("sim"), *[F.col(f"{x}.{c}").alias(f"{y}_{c}") for x, y in (("l", "a"), ("r", "b")) for c in keep])
-    return out.dropDuplicates(["a", "b"]) if total // (threshold + 1) >= 8 and words == 1 else out
+    return out.dropDuplicates(["a", "b"]) if total // parts >= 8 else out
 
 
 def verify_hash(pairs: DataFrame, threshold: int, words: int = 1, hash: str = "phash") -> DataFrame:
@@ -66,8 +97,10 @@ def descriptor_matches(pairs: DataFrame, descriptors: DataFrame, words: int = 4,
     left = able.select(F.col("id").alias("a"), F.col("kp").alias("ka"), F.col("d").alias("da"))
     right = able.select(F.col("id").alias("b"), F.col("kp").alias("kb"), F.col("d").alias("db"))
     met = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("dist", distance(F.col("da"), F.col("db"), words))
-    two = met.groupBy("a", "b", "ka").agg(F.slice(F.array_sort(F.collect_list("dist")), 1, 2).alias("two"))
-    good = two.where(F.col("two")[0] < ratio * F.col("two")[1])
+    # the two nearest; those that can't be are dropped before the shuffle
+    nth = F.row_number().over(Window.partitionBy("a", "b", "ka").orderBy("dist", "kb"))
+    two = met.withColumn("_n", nth).where("_n <= 2").groupBy("a", "b", "ka").agg(F.min("dist").alias("near"), F.max("dist").alias("next"))
+    good = two.where(F.col("near") < ratio * F.col("next"))
     return good.groupBy("a", "b").agg(F.count("*").alias("matches")).where(F.col("matches") >= least)
 
 
@@ -235,3 +268,9 @@ def order_by_group(items: DataFrame, group: str = "group", order: str = "pos", r
     """Rejected rows first if that column is given; then by group, rows without one last."""
     first = [F.col(rejected).desc()] if rejected else []
     return items.orderBy(*first, F.col(group).asc_nulls_last(), order)
+
+
+def place_by_group(items: DataFrame, group: str = "group", order: str = "pos", rejected: str | None = None) -> DataFrame:
+    """Adds place: the row's place in order_by_group(), which should not tie."""
+    first = [~F.col(rejected)] if rejected else []
+    return with_position(items, [*first, F.col(group).isNull(), F.col(group), F.col(order)], "place")

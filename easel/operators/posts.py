@@ -15,8 +15,7 @@ def score_value(raw: Column) -> Column:
     return F.coalesce(total.try_cast("double").cast("bigint"), plain.try_cast("double").cast("bigint"), F.lit(0))
 
 
-def _first(raw: Column, *paths: str) -> Column:
-    return F.coalesce(*[F.nullif(F.get_json_object(raw, p), F.lit("")) for p in paths])
+_FIELDS = ("id", "file_url", "original_url", "large_file_url", "jpeg_url", "sample_url", "preview_url", "preview_file_url", "artist_name", "tag_string_artist", "artist", "author", "owner", "tag_string", "tags", "rating", "score")
 
 
 def normalize_posts(posts: DataFrame, raw: str = "raw", kind: str = "site_kind") -> DataFrame:
@@ -25,18 +24,23 @@ def normalize_posts(posts: DataFrame, raw: str = "raw", kind: str = "site_kind")
     danbooru: the artist is artist_name or the first of tag_string_artist. Others: artist, author or owner. The
     URL is the original or the largest there is; // gets https. Spaces part tags, and _ in them is a space.
     """
-    r, dan = F.col(raw), F.col(kind) == "danbooru"
-    url = _first(r, "$.file_url", "$.original_url", "$.large_file_url", "$.jpeg_url", "$.sample_url", "$.preview_url", "$.preview_file_url")
-    artist = F.when(dan, F.coalesce(_first(r, "$.artist_name"), F.nullif(F.split_part(F.coalesce(_first(r, "$.tag_string_artist"), F.lit("")), F.lit(" "), F.lit(1)), F.lit("")))).otherwise(_first(r, "$.artist", "$.author", "$.owner"))
-    tags = F.filter(F.split(F.coalesce(_first(r, "$.tag_string", "$.tags"), F.lit("")), r"\s+"), lambda t: t != "")
+    dan = F.col(kind) == "danbooru"
+    # one parse for all fields; what is no text comes as its JSON
+    posts = posts.withColumn("_p", F.from_json(F.col(raw), ", ".join(f"`{f}` string" for f in _FIELDS)))
+    some = lambda *names: F.coalesce(*[F.nullif(F.col(f"_p.{n}"), F.lit("")) for n in names])
+    url = some(*_FIELDS[1:8])
+    artist = F.when(dan, F.coalesce(some("artist_name"), F.nullif(F.split_part(F.coalesce(some("tag_string_artist"), F.lit("")), F.lit(" "), F.lit(1)), F.lit("")))).otherwise(some("artist", "author", "owner"))
+    tags = F.filter(F.split(F.coalesce(some("tag_string", "tags"), F.lit("")), r"\s+"), lambda t: t != "")
+    score = F.col("_p.score")
+    total = F.when(score.startswith("{"), F.get_json_object(score, "$.total")).otherwise(score)
     return posts.withColumns({
-        "id": F.coalesce(_first(r, "$.id"), F.lit("")),
+        "id": F.coalesce(some("id"), F.lit("")),
         "url": F.when(url.startswith("//"), F.concat(F.lit("https:"), url)).otherwise(F.coalesce(url, F.lit(""))),
         "artist": F.coalesce(artist, F.lit("unknown")),
         "tags": F.array_join(F.transform(tags, lambda t: F.replace(t, F.lit("_"), F.lit(" "))), ","),
-        "score": score_value(r),
-        "rating": F.lower(F.coalesce(_first(r, "$.rating"), F.lit(""))),
-    })
+        "score": F.coalesce(total.try_cast("double").cast("bigint"), F.lit(0)),
+        "rating": F.lower(F.coalesce(some("rating"), F.lit(""))),
+    }).drop("_p")
 
 
 def rating_allowed(rating: Column, mode: str) -> Column:
@@ -59,7 +63,9 @@ def filter_posts(posts: DataFrame, ledger: DataFrame | None = None, min_score: i
 def accept_up_to(posts: DataFrame, limit: int, ledger: DataFrame | None = None, order: tuple[str, ...] = ("page", "pos", "id")) -> DataFrame:
     """The first posts in order, up to limit less what the ledger has."""
     done = ledger.select("id").distinct().count() if ledger is not None else 0
-    return posts.orderBy(*order).limit(max(0, limit - done))
+    from .tags import with_position
+
+    return with_position(posts, order, "_place").where(F.col("_place") < max(0, limit - done)).drop("_place")
 
 
 def artist_sequence(posts: DataFrame, order: tuple[str, ...] = ("page", "pos", "id")) -> DataFrame:

@@ -41,9 +41,9 @@ def c1_normalize_url(spark, d):
 
 
 @query(f"""with {_HREFS}, one as (select page_id, abs, min(pos) pos from found where abs is not null group by 1, 2)
- select page_id, abs url, 'page' kind, rank from (select *, row_number() over (partition by page_id order by pos) rank from one) where rank <= 5""")
+ select page_id, abs url, 'page' kind, rank from (select *, row_number() over (partition by page_id order by pos) rank from one) where rank <= 120""")
 def c2_extract_candidates(spark, d):
-    return C.extract_candidates(table(spark, d, "pages"), _hrefs(spark, d), max_per_source=5, image_only=False)
+    return C.extract_candidates(table(spark, d, "pages"), _hrefs(spark, d), image_only=False)
 
 
 @query(r"""with t as (select page_id, url, lower(regexp_extract(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '\.([^./]+)$', 1)) e from pages),

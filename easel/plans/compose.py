@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -83,5 +83,7 @@ class Pipeline:
 
 
 def positions(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Adds pos by a global order; for small tables."""
-    return df.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1)
+    """Adds pos: the row's place in a global order that doesn't tie."""
+    from easel.operators.tags import with_position
+
+    return with_position(df, order, "pos")

@@ -99,6 +99,19 @@ def d1_hamming_pairs(spark, d):
     return D.hamming_pairs(signatures(spark, d), THRESHOLD)
 
 
+_LEVELS = (0.0, 0.08, -0.08, 0.16)
+
+
+@query(f"""with {_V}, s as (select vec_id, flatten([{", ".join(f"list_transform(e, lambda x: case when x > {t!r}::double then 1 else 0 end)" for t in _LEVELS)}]) b from v)
+ select l.vec_id a, r.vec_id b, {_DIST}::int dist, 1 - {_DIST} / 256 sim from s l join s r on l.vec_id < r.vec_id where {_DIST} <= 40""")
+def d1_hamming_pairs_256(spark, d):
+    """Four longs a row, as the grid hashes have, at 40 of 256 bits."""
+    v = _rasters(spark, d)
+    above = lambda t: F.transform("v", lambda x: x - F.lit(t))
+    words = [R.sign_bits(above(t)) for t in _LEVELS]
+    return D.hamming_pairs(v.select(F.col("vec_id").alias("id"), F.array(*words).alias("hash")), 40, words=4)
+
+
 @query(f"""with {_EDGES}, c as (select vec_id, [{_COEF}] c from v), m as (select vec_id, c, list_median(c) m from c), p as (select vec_id, list_transform(c, lambda x: case when x > m then 1 else 0 end) b from m)
  select e.a, e.b, e.dist from edges e join p l on l.vec_id = e.a join p r on r.vec_id = e.b where {_DIST} <= 30""")
 def d2_verify_hash(spark, d):
@@ -187,10 +200,7 @@ def d13_cleanup_quality(spark, d):
 
 @query(with_images("select file, grp, row_number() over (order by grp nulls last, pos) - 1 place from images"))
 def d14_order_by_group(spark, d):
-    from pyspark.sql import Window
-
-    ordered = D.order_by_group(images(spark, d), "grp")
-    return ordered.withColumn("place", F.row_number().over(Window.orderBy(F.col("grp").asc_nulls_last(), "pos")) - 1).select("file", "grp", "place")
+    return D.place_by_group(images(spark, d), "grp").select("file", "grp", "place")
 
 
 def flagship(spark, d):

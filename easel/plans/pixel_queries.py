@@ -34,6 +34,20 @@ def rasters(spark, d, channels: int = 3):
     return table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("file"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), F.lit(4).alias("height"), F.lit(4).alias("width"), F.lit(channels).alias("channels"), data.alias("data"))
 
 
+def framed(spark, d, side: int = 96):
+    """The vectors as side x side colour images: all 64 components, mixed over the inside of a flat frame whose width
+    differs from image to image."""
+    byte = lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), ((x + 0.5) * 255).cast("int"))).cast("long")), 2, "0")
+    own = F.transform("embedding", byte)
+    frame = (F.col("vec_id") % 5 * 5).cast("int")
+    inside = lambda i: (i >= frame) & (i < side - frame)
+    pixel = lambda y, x: F.concat(*[F.get("own", ((y * (7 + k) + x * (3 + 2 * k) + F.floor(x * y / 16)) % 64).cast("int")) for k in range(3)])
+    line = lambda y: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda x: F.when(inside(y) & inside(x), pixel(y, x)).otherwise("E0E0E0")), "")
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(side - 1)), line), ""))
+    rows = table(spark, d, "embeddings").withColumn("own", own)
+    return rows.select(F.col("vec_id").cast("string").alias("file"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), F.lit(side).alias("height"), F.lit(side).alias("width"), F.lit(3).alias("channels"), data.alias("data"))
+
+
 def _hex(df):
     return df.select("file", "ok", "error", "height", "width", F.hex("data").alias("pixels"))
 
@@ -44,22 +58,22 @@ _HEX = "array_to_string(list_transform({}, lambda v: printf('%02X', v::int)), ''
 
 @query()
 def f1_image_signatures(spark, d):
-    return J.signatures(rasters(spark, d))
+    return J.signatures(framed(spark, d))
 
 
 @query()
 def f4_hsv_feature(spark, d):
-    return J.color_features(rasters(spark, d))
+    return J.color_features(framed(spark, d))
 
 
 @query()
 def f5_content_box(spark, d):
-    return J.content_box(J.activity(rasters(spark, d)))
+    return J.content_box(J.activity(framed(spark, d))).drop("rows", "cols", "mean")
 
 
 @query()
 def f6_pixel_stats(spark, d):
-    return J.pixel_stats(rasters(spark, d))
+    return J.pixel_stats(framed(spark, d))
 
 
 @query(f"with {_BYTES}, w as (select vec_id, p, list_transform(range(48), lambda i: p[(i // 3 * 4 + i % 3)::int + 1] * (p[(i // 3 * 4)::int + 4] / 255::double) + 255 * (1 - p[(i // 3 * 4)::int + 4] / 255::double)) v from b) select cast(vec_id as varchar) file, true ok, null error, 4 height, 4 width, {_HEX.format('list_transform(v, lambda x: round_even(x, 0))')} pixels from w")
@@ -103,13 +117,13 @@ def f14_model_input(spark, d):
     return J.model_input(rasters(spark, d), 4, "symmetric").select("file", F.transform("input", lambda x: F.round(x.cast("double"), 5)).alias("input"))
 
 
-@query("""with v as (select vec_id kp, vec_id % 40 id, list_transform(embedding, lambda x: case when x > 0 then 1 else 0 end) b from embeddings), n as (select id from v group by 1 having count(*) >= 2),
+@query("""with v as (select vec_id kp, vec_id // 64 id, list_transform(embedding, lambda x: case when x > 0 then 1 else 0 end) b from embeddings), n as (select id from v group by 1 having count(*) >= 2),
  m as (select l.id a, r.id b, l.kp ka, list_sum(list_transform(list_zip(l.b, r.b), lambda z: abs(z[1] - z[2]))) d from v l join v r on r.id = l.id + 1 where l.id in (select id from n) and r.id in (select id from n)),
  t as (select a, b, ka, list(d order by d)[1:2] two from m group by 1, 2, 3) select a, b, count(*) matches from t where two[1] < 0.9::double * two[2] group by 1, 2 having count(*) >= 2""")
 def d4_descriptor_matches(spark, d):
     from easel.functions.rasters import sign_bits
 
-    desc = table(spark, d, "embeddings").select((F.col("vec_id") % 40).alias("id"), F.col("vec_id").alias("kp"), F.array(sign_bits(F.col("embedding"))).alias("d"))
+    desc = table(spark, d, "embeddings").select(F.expr("vec_id div 64").alias("id"), F.col("vec_id").alias("kp"), F.array(sign_bits(F.col("embedding"))).alias("d"))
     ids = desc.select("id").distinct()
     pairs = ids.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     return D.descriptor_matches(pairs, desc, words=1, ratio=0.9, least=2)
@@ -119,8 +133,9 @@ def d4_descriptor_matches(spark, d):
 def d5_geometric_verify(spark, d):
     far = F.when(F.col("l_linenumber") % 4 == 0, F.col("l_quantity") * 3).otherwise(0.0)
     x, y = (F.col("l_partkey") % 500).cast("double"), (F.col("l_suppkey") * 7 % 400).cast("double")
-    m = table(spark, d, "lineitem").select(F.expr("l_orderkey div 8").alias("a"), F.expr("l_orderkey div 8 + 1").alias("b"), x.alias("xa"), y.alias("ya"), (1.1 * x + 5 + far).alias("xb"), (0.9 * y + 3).alias("yb"))
-    return J.geometric_verify(m, min_inliers=10, tries=60).select("a", "b", "inliers", "ratio")
+    m = table(spark, d, "lineitem").select(F.expr("l_orderkey div 64").alias("a"), F.expr("l_orderkey div 64 + 1").alias("b"), x.alias("xa"), y.alias("ya"), (1.1 * x + 5 + far).alias("xb"), (0.9 * y + 3).alias("yb"))
+    found = J.geometric_verify(m)
+    return found.where(D.valid_homography(F.col("h"), F.lit(500), F.lit(400))).select("a", "b", "inliers", "ratio")
 
 
 def _detected(spark, d):

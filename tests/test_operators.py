@@ -4,11 +4,13 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from easel.functions import geometry as G
 from easel.functions import names as N
+from easel.functions import pixels as PX
 from easel.functions import tags as T
 from easel.functions import urls as U
 from easel.operators import boxes as B
@@ -304,3 +306,77 @@ def test_ledger_stream_replays_and_goes_on(spark, tmp_path):
     out = sorted((r["id"], r["ok"]) for r in spark.read.parquet(at("out")).collect())
     assert sorted(r["id"] for r in read_ledger(spark, at("ledger")).collect()) == ["1", "2", "3"]
     assert [x for x in out if x[1]] == [(1, True), (2, True), (3, True)]
+
+
+def test_hamming_pairs_of_all_kinds(spark):
+    rng = np.random.default_rng(3)
+    for words, threshold in ((1, 3), (1, 12), (1, 20), (4, 10), (4, 40), (2, 7)):
+        h = rng.integers(-(1 << 63), 1 << 63, (60, words))
+        for i in range(1, 60, 2):  # near copies, the sign bit among those that differ
+            h[i] = h[i - 1]
+            for b in rng.choice(64 * words, rng.integers(0, threshold + 3), replace=False):
+                h[i, b // 64] ^= np.int64(np.uint64(1) << np.uint64(b % 64))
+        h[58] = h[59]
+        rows = [(i, [int(x) for x in r]) for i, r in enumerate(h)] + [(None, [0] * words), (99, None)]
+        far = np.bitwise_count((h[:, None] ^ h[None]).view(np.uint64)).sum(2)
+        want = sorted((i, j, int(far[i, j])) for i in range(60) for j in range(i + 1, 60) if far[i, j] <= threshold)
+        got = D.hamming_pairs(spark.createDataFrame(rows, "id long, hash array<bigint>"), threshold, words=words).collect()
+        assert sorted((r["a"], r["b"], r["dist"]) for r in got) == want
+
+
+def test_content_box_follows_strips(spark):
+    rng = np.random.default_rng(8)
+    images = []
+    for top, bottom, left, right, h, w in ((0, 0, 0, 0, 80, 90), (20, 15, 0, 30, 100, 130), (5, 0, 0, 0, 100, 100), (45, 45, 40, 40, 100, 100), (20, 20, 20, 20, 63, 100), (0, 40, 0, 0, 70, 64)):
+        x = np.full((h, w, 3), 220, np.uint8)
+        x[top : h - bottom, left : w - right] = rng.integers(0, 256, (h - top - bottom, w - left - right, 3))
+        images.append(x)
+    images.append(np.full((70, 70, 3), 9, np.uint8))
+    rows = [(str(i), True, None, *x.shape, x.tobytes()) for i, x in enumerate(images)]
+    df = spark.createDataFrame(rows, "file string, ok boolean, error string, height int, width int, channels int, data binary")
+    got = {r["file"]: r for r in J.content_box(J.activity(df)).collect()}
+    for i, x in enumerate(images):
+        h, w = x.shape[:2]
+        g = np.rint(PX.gray(x))
+        lap = np.zeros((h, w))
+        for y in range(h):
+            for z in range(w):
+                at = lambda a, b: g[-a if a < 0 else 2 * h - 2 - a if a >= h else a, -b if b < 0 else 2 * w - 2 - b if b >= w else b]
+                lap[y, z] = abs(2 * sum(at(y + p, z + q) for p in (-1, 1) for q in (-1, 1)) - 8 * g[y, z])
+        box = []
+        for axis, side in ((1, h), (0, w)):
+            k = max(side // 20, 4)
+            strips = [lap[s * k : s * k + k].mean() if axis else lap[:, s * k : s * k + k].mean() for s in range(side // k)]
+            loud = [s for s, a in enumerate(strips) if a > max(lap.mean() / 4, 1)] or [0, side // k - 1]
+            box += [loud[0] * k, min(loud[-1] * k + k, side)]
+        share = (box[1] - box[0]) * (box[3] - box[2]) / (h * w)
+        trimmed = min(h, w) >= 64 and 0.25 <= share <= 0.9 and min(box[1] - box[0], box[3] - box[2]) >= 32
+        want = box if trimmed else [0, h, 0, w]
+        r = got[str(i)]
+        assert [r["top"], r["bottom"], r["left"], r["right"]] == want and r["trimmed"] == trimmed
+        assert (PX.content(x) == x[want[0] : want[1], want[2] : want[3]]).all()
+
+
+def test_many_rows_of_one_name_and_chains_of_generated_names(spark):
+    rows = [("a.png", i) for i in range(40)] + [(f"a_{k}.png", 100 + k) for k in (1, 2, 3, 5, 39)] + [("a_1_1.png", 200), ("a_1.png", 201), (None, 202)]
+    got = N.resolve_collisions(spark.createDataFrame(rows, "name string, pos long")).collect()
+    names = [r["unique_name"] for r in got if r["unique_name"]]
+    assert len(names) == len(set(names)) == len(rows) - 1
+    assert {(r["name"], r["pos"]) for r in got} == set(rows)
+    first = {}
+    for n, p in rows:
+        first[n] = min(p, first.get(n, p))
+    assert all(r["unique_name"] == r["name"] for r in got if first[r["name"]] == r["pos"])
+
+
+def test_score_text_and_class_gate(spark):
+    rows = [(["a", "b", "c"], [0.5, 0.4, 0.1], "good", 5.0), (["a", "b", "c"], [0.9, 0.08, 0.02], "good", 5.0), (["a", "b", "c"], [0.9, 0.08, 0.02], "low", 5.0), (["b", "a"], [0.6, 0.4], "best", 8.0)]
+    df = spark.createDataFrame(rows, "labels array<string>, probs array<double>, aesthetic_label string, score double")
+    gated = M.score_gate(M.class_gate(df, ["b"], 0.05), 6.0, True).withColumns({"ok": F.lit(True), "error": F.lit(None).cast("string")})
+    got = [r["t"] for r in gated.select(M.format_score_text().alias("t")).collect()]
+    assert got == [
+        "score:5.00, quality:good, class:b, class_conf:40%, low_score:yes, fallback:margin, raw_class:a",
+        "score:5.00, quality:good, class:b, class_conf:8%, low_score:yes, fallback:aesthetic, raw_class:a",
+        "score:-, quality:-, class:a, class_conf:90%, class_passed:no",
+        "score:8.00, quality:best, class:b, class_conf:60%",
+    ]
