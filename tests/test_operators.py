@@ -235,9 +235,9 @@ def test_geometric_verify(spark):
 
 def test_clusters_of_blobs(spark):
     rng = random.Random(3)
-    data = [(i, [10.0 * (i % 3) + rng.gauss(0, 0.1), rng.gauss(0, 0.1), rng.gauss(0, 0.1), 5.0 * (i % 3)]) for i in range(60)] + [(60, None)]
+    data = [(i, [(10.0 + i) * (i % 3 == k) + rng.gauss(0, 0.1) for k in range(4)]) for i in range(60)] + [(60, None)]
     df = spark.createDataFrame(data, "id long, feature array<double>")
-    for got in (K.kmeans(df, 3), K.density_cluster(df, 10, 2.0, dims=3)):
+    for got in (K.kmeans(df, 3), K.density_cluster(df, 10, 0.5, dims=3)):
         labels = {r["id"]: r["group"] for r in got.collect()}
         assert labels[60] is None and len({labels[i] for i in range(60)}) == 3
         assert all(labels[i] == labels[i % 3] for i in range(60))
