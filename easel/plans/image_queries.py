@@ -99,7 +99,7 @@ def d1_hamming_pairs(spark, d):
     return D.hamming_pairs(signatures(spark, d), THRESHOLD)
 
 
-_LEVELS = (0.0, 0.08, -0.08, 0.16)
+_LEVELS = (0.1, -0.12, 0.15, -0.2)
 
 
 @query(f"""with {_V}, s as (select vec_id, flatten([{", ".join(f"list_transform(e, lambda x: case when x > {t!r}::double then 1 else 0 end)" for t in _LEVELS)}]) b from v)
