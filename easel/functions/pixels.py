@@ -20,8 +20,33 @@ def _weights(n: int, m: int, area: bool) -> np.ndarray:
     return w
 
 
+def _sharp_weights(n: int, m: int, kernel: str) -> np.ndarray:
+    """An m x n matrix that resizes n samples to m with a kernel that is widened where it shrinks."""
+    support, curve = SHARP[kernel]
+    wide = max(n / m, 1)
+    at = (np.arange(n) + 0.5 - (np.arange(m)[:, None] + 0.5) * n / m) / wide
+    w = np.where(np.abs(at) < support, curve(at), 0)
+    return w / w.sum(1, keepdims=True)
+
+
+def cubic(x: np.ndarray, a: float) -> np.ndarray:
+    """Keys' cubic convolution kernel."""
+    x = np.abs(x)
+    return np.where(x <= 1, ((a + 2) * x - (a + 3)) * x * x + 1, np.where(x < 2, a * (((x - 5) * x + 8) * x - 4), 0))
+
+
+#: Reach in samples and curve of the sharp kernels.
+SHARP = {"bicubic": (2, lambda x: cubic(x, -0.5)), "lanczos": (3, lambda x: np.sinc(x) * np.sinc(x / 3))}
+
+
+def resize_sharp(image: np.ndarray, width: int, height: int, kernel: str = "lanczos") -> np.ndarray:
+    """Bytes resized by a sharp kernel, rows first, then columns, rounded to bytes after each."""
+    across = to_uint8(np.einsum("ik...,jk->ij...", image.astype(float), _sharp_weights(image.shape[1], width, kernel)))
+    return to_uint8(np.einsum("ki...,jk->ji...", across.astype(float), _sharp_weights(image.shape[0], height, kernel)))
+
+
 def resize(image: np.ndarray, width: int, height: int, area: bool = True) -> np.ndarray:
-    """Separable: area averages when it shrinks, else bilinear. Not the Lanczos or bicubic kernel of image tools."""
+    """Separable: area averages when it shrinks, else bilinear."""
     rows, cols = _weights(image.shape[0], height, area), _weights(image.shape[1], width, area)
     return np.einsum("ij,jk...,lk->il...", rows, image.astype(float), cols, optimize=True)
 
@@ -147,29 +172,32 @@ def cutout(image: np.ndarray, count: int, ratio: float, seed: int) -> np.ndarray
 
 
 def perspective(image: np.ndarray, intensity: float, seed: int) -> np.ndarray:
-    """Corners moved by up to intensity times the size; sampled bilinearly, 0 outside. 0 leaves the image."""
-    if intensity == 0:
-        return image.copy()
+    """The image drawn into a quadrangle whose corners lie up to int(intensity times the size) inside its own, 0 outside.
+    Sampled by cubic convolution with edges repeated, and cut to whole numbers. 0 leaves the image."""
     h, w = image.shape[:2]
     rng = np.random.default_rng(seed & 0xFFFFFFFFFFFFFFFF)
-    to = np.array([(0, 0), (w - 1, 0), (w - 1, h - 1), (0, h - 1)], float)
-    from_ = to + rng.uniform(-intensity, intensity, (4, 2)) * (w, h)
-    rows, right = [], []
-    for (x, y), (u, v) in zip(to, from_):
-        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
-        right += [u, v]
-    m = np.append(np.linalg.lstsq(np.array(rows), np.array(right), rcond=None)[0], 1).reshape(3, 3)
-    y, x = np.mgrid[:h, :w]
+    own = np.array([(0, 0), (w, 0), (w, h), (0, h)], float)
+    inset = rng.integers(0, [int(w * intensity) + 1, int(h * intensity) + 1], (4, 2))
+    drawn = own + inset * [(1, 1), (-1, 1), (-1, -1), (1, -1)]
+    # from where a pixel is drawn to where it comes from
+    x, y, (u, v) = drawn[:, 0], drawn[:, 1], own.T
+    one, z = np.ones(4), np.zeros(4)
+    rows = np.concatenate([np.stack([x, y, one, z, z, z, -u * x, -u * y], 1), np.stack([z, z, z, x, y, one, -v * x, -v * y], 1)])
+    m = np.append(np.linalg.solve(rows, np.concatenate([u, v])), 1).reshape(3, 3)
+    y, x = np.mgrid[:h, :w] + 0.5
     p = m @ np.stack([x.ravel(), y.ravel(), np.ones(h * w)])
     u, v = p[0] / p[2], p[1] / p[2]
+    seen = (u >= 0) & (u < w) & (v >= 0) & (v < h)
+    u, v = u[seen] - 0.5, v[seen] - 0.5
     i, j = np.floor(v).astype(int), np.floor(u).astype(int)
-    out = np.zeros((h * w, *image.shape[2:]))
-    for di in (0, 1):
-        for dj in (0, 1):
-            ok = (i + di >= 0) & (i + di < h) & (j + dj >= 0) & (j + dj < w)
-            weight = (np.abs(1 - di - (v - i)) * np.abs(1 - dj - (u - j)))[ok]
-            out[ok] += image[i[ok] + di, j[ok] + dj] * (weight[:, None] if image.ndim == 3 else weight)
-    return to_uint8(out.reshape(image.shape))
+    flat = image.reshape(h, w, -1)
+    out, got = np.zeros((h * w, flat.shape[2])), 0.0
+    for di in range(-1, 3):
+        for dj in range(-1, 3):
+            weight = cubic(v - i - di, -1.0) * cubic(u - j - dj, -1.0)
+            got = got + flat[np.clip(i + di, 0, h - 1), np.clip(j + dj, 0, w - 1)] * weight[:, None]
+    out[seen] = np.floor(np.clip(got + 1e-9, 0, 255))
+    return out.reshape(image.shape).astype(np.uint8)
 
 
 def blur_noise(image: np.ndarray, radius: float, sigma: float, seed: int) -> np.ndarray:

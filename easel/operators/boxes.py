@@ -37,7 +37,8 @@ def person_crops(persons: DataFrame, parts: DataFrame, head_scale: float = 1.5,
 
     persons: (file, person, box, width, height); parts: (file, person, kind half or head, box with score). A head
     becomes a square of head_scale times its longer side around its centre. Boxes are clipped to the image; empty
-    ones are left out. Numbers run over the batch in order of file, person and kind.
+    ones are left out. Numbers run over the batch in order of file, person and kind,
+    with four digits or more.
     """
     best = parts.groupBy(file, "person", "kind").agg(F.max_by("box", F.struct(F.col("box.score"), -F.col("box.x1"))).alias("b"))
     best = best.join(persons.select(file, "person", "width", "height"), [file, "person"])
@@ -52,6 +53,6 @@ def person_crops(persons: DataFrame, parts: DataFrame, head_scale: float = 1.5,
 
     rank = F.when(F.col("kind") == "full", 0).when(F.col("kind") == "half", 1).otherwise(2)
     keyed = out.withColumn("_k", F.struct(F.col(file).alias("a"), F.col("person").alias("b"), rank.alias("c")))
-    return with_position(keyed, "_k", "_at").select(file, "person", "kind", "box", F.lpad(F.col("_at").cast("string"), 4, "0").alias("number"))
+    return with_position(keyed, "_k", "_at").select(file, "person", "kind", "box", F.format_string("%04d", F.col("_at")).alias("number"))
 
 

@@ -137,8 +137,15 @@ def blur_noise(images: DataFrame, radius: float = 1.0, sigma: float = 5.0) -> Da
     return image_job(images, lambda x, s: _raster(P.blur_noise(x, radius, sigma, s)), RASTER, op="blur_noise")
 
 
-def resize(images: DataFrame, width: int, height: int) -> DataFrame:
-    return image_job(images, lambda x, _: _raster(P.to_uint8(P.resize(x, width, height))), RASTER)
+def resize(images: DataFrame, width: int, height: int, kernel: str = "lanczos") -> DataFrame:
+    """Images of a new size, by the kernel lanczos, bicubic or area (bilinear where a side grows)."""
+    if kernel not in (*P.SHARP, "area"):
+        raise ValueError(f"unknown kernel {kernel}")
+
+    def fn(x: np.ndarray, _: int) -> dict:
+        return _raster(P.to_uint8(P.resize(x, width, height)) if kernel == "area" else P.resize_sharp(x, width, height, kernel))
+
+    return image_job(images, fn, RASTER)
 
 
 def center_crop(images: DataFrame, rw: int, rh: int) -> DataFrame:

@@ -66,14 +66,32 @@ def f4_hsv_feature(spark, d):
     return J.color_features(framed(spark, d))
 
 
-@query()
+# framed() in SQL: g is the luma of each pixel, a the activity, both row by row; then the box of the content.
+_E = lambda y, x: f"round_even(g[({y}) * 96 + {x} + 1], 0)"
+_UP, _DOWN, _LEFT, _RIGHT = "abs(i // 96 - 1)", "(95 - abs(94 - i // 96))", "abs(i % 96 - 1)", "(95 - abs(94 - i % 96))"
+_TONE = lambda k: f"(case when least(i // 96, i % 96) >= frame and greatest(i // 96, i % 96) < 96 - frame then p[((i // 96 * {7 + k} + i % 96 * {3 + 2 * k} + (i // 96) * (i % 96) // 16) % 64)::int + 1] else 224 end)"
+_STRIPS = lambda at: f"list_transform(range(24), lambda s: list_sum(list_transform(range(384), lambda j: a[({at})::int + 1])) / 384)"
+_BOX = f"""{_BYTES}, fr as (select vec_id, p, vec_id % 5 * 5 frame from b),
+ lum as (select vec_id, list_transform(range(9216), lambda i: {_TONE(0)} * 0.114::double + {_TONE(1)} * 0.587::double + {_TONE(2)} * 0.299::double) g from fr),
+ act as (select vec_id, g, list_transform(range(9216), lambda i: abs(2 * ({_E(_UP, _LEFT)} + {_E(_UP, _RIGHT)} + {_E(_DOWN, _LEFT)} + {_E(_DOWN, _RIGHT)}) - 8 * {_E("i // 96", "i % 96")})) a from lum),
+ strips as (select vec_id, g, {_STRIPS("s * 384 + j")} rows, {_STRIPS("j // 4 * 96 + s * 4 + j % 4")} cols, greatest(list_sum(a) / 9216 / 4, 1) least_loud from act),
+ loud as (select vec_id, g, list_filter(range(24), lambda s: rows[s::int + 1] > least_loud) r, list_filter(range(24), lambda s: cols[s::int + 1] > least_loud) c from strips),
+ ends as (select vec_id, g, coalesce(list_min(r), 0) * 4 t, (coalesce(list_max(r), 23) + 1) * 4 b, coalesce(list_min(c), 0) * 4 l, (coalesce(list_max(c), 23) + 1) * 4 r from loud),
+ cut as (select *, (b - t) * (r - l) / 9216::double between 0.25 and 0.9 and least(b - t, r - l) >= 32 trimmed from ends),
+ box as (select vec_id, g, trimmed, case when trimmed then t else 0 end top, case when trimmed then b else 96 end bottom, case when trimmed then l else 0 end "left", case when trimmed then r else 96 end "right" from cut)"""
+_IN = lambda y, x: f"part[({y}) * w + {x} + 1]"
+
+
+@query(f'with {_BOX} select cast(vec_id as varchar) file, true ok, null error, 96 height, 96 width, top::int top, bottom::int bottom, "left"::int "left", "right"::int "right", trimmed from box')
 def f5_content_box(spark, d):
     return J.content_box(J.activity(framed(spark, d))).drop("rows", "cols", "mean")
 
 
-@query()
+@query(f"""with {_BOX}, part as (select vec_id, bottom - top h, "right" - "left" w, list_transform(range((bottom - top) * ("right" - "left")), lambda i: g[(top + i // ("right" - "left")) * 96 + "left" + i % ("right" - "left") + 1]) part from box),
+ lap as (select vec_id, part, list_transform(range(h * w), lambda i: {_IN("abs(i // w - 1)", "i % w")} + {_IN("h - 1 - abs(h - 2 - i // w)", "i % w")} + {_IN("i // w", "abs(i % w - 1)")} + {_IN("i // w", "w - 1 - abs(w - 2 - i % w)")} - 4 * part[i + 1]) l from part)
+ select cast(vec_id as varchar) file, true ok, null error, round(list_var_pop(l), 3) sharpness, round(list_stddev_pop(part), 3) contrast, false has_alpha from lap""")
 def f6_pixel_stats(spark, d):
-    return J.pixel_stats(framed(spark, d))
+    return J.pixel_stats(framed(spark, d)).withColumns({c: F.round(c, 3) for c in ("sharpness", "contrast")})
 
 
 @query(f"with {_BYTES}, w as (select vec_id, p, list_transform(range(48), lambda i: p[(i // 3 * 4 + i % 3)::int + 1] * (p[(i // 3 * 4)::int + 4] / 255::double) + 255 * (1 - p[(i // 3 * 4)::int + 4] / 255::double)) v from b) select cast(vec_id as varchar) file, true ok, null error, 4 height, 4 width, {_HEX.format('list_transform(v, lambda x: round_even(x, 0))')} pixels from w")
@@ -109,6 +127,18 @@ def f12_blur_noise(spark, d):
 @query(f"""with {_BYTES}, m as (select vec_id, list_transform(range(12), lambda i: (p[(i // 6 * 24 + i % 6 // 3 * 6 + i % 3)::int + 1] + p[(i // 6 * 24 + i % 6 // 3 * 6 + i % 3)::int + 4] + p[(i // 6 * 24 + i % 6 // 3 * 6 + i % 3)::int + 13] + p[(i // 6 * 24 + i % 6 // 3 * 6 + i % 3)::int + 16]) / 4::double) v from b)
  select cast(vec_id as varchar) file, true ok, null error, 2 height, 2 width, {_HEX.format('list_transform(v, lambda x: round_even(x, 0))')} pixels from m""")
 def f13_resize_pixels(spark, d):
+    return _hex(J.resize(rasters(spark, d), 2, 2, "area"))
+
+
+_LANCZOS = """k0 as (select o.range o, i.range i, pi() * (i.range + 0.5 - (o.range + 0.5) * 2) / 2 x from range(2) o, range(4) i),
+ k1 as (select o, i, sin(x) / x * sin(x / 3) / (x / 3) w from k0), k as (select o, i, w / sum(w) over (partition by o) w from k1)"""
+
+
+@query(f"""with {_BYTES}, {_LANCZOS}, px as (select vec_id, j.range // 12 y, j.range % 12 // 3 x, j.range % 3 c, p[j.range::int + 1] v from b, range(48) j),
+ across as (select vec_id, y, o, c, greatest(0, least(255, round_even(sum(v * w), 0))) v from px join k on i = x group by all),
+ down as (select vec_id, k.o y, a.o x, c, greatest(0, least(255, round_even(sum(v * w), 0))) v from across a join k on i = y group by all)
+ select cast(vec_id as varchar) file, true ok, null error, 2 height, 2 width, string_agg(printf('%02X', v::int), '' order by y, x, c) pixels from down group by vec_id""")
+def f13_resize_lanczos(spark, d):
     return _hex(J.resize(rasters(spark, d), 2, 2))
 
 
@@ -143,16 +173,45 @@ def _detected(spark, d):
     return B.detections(table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("file")).agg(F.sort_array(F.collect_list(box)).alias("boxes")), 0.3, 0.45)
 
 
-@query()
+_CORNERS = ("x1", "y1", "x2", "y2")
+_JOINT = "greatest(0, least(k.x2, b.x2) - greatest(k.x1, b.x1)) * greatest(0, least(k.y2, b.y2) - greatest(k.y1, b.y1))"
+# boxes of a file are taken best first; walk holds what is kept after each
+_KEPT = f"""raw as (select l_orderkey file, (l_partkey % 200)::double cx, (l_suppkey % 150)::double cy, 40 + l_quantity w, 30 + l_quantity h, l_discount * 9 s1, l_tax * 10 s2, greatest(l_discount * 9, l_tax * 10) score from lineitem),
+ scored as (select file, row_number() over (partition by file order by score desc, cx, cy, w, h, s1, s2) r, cx - w / 2 x1, cy - h / 2 y1, cx + w / 2 x2, cy + h / 2 y2, score from raw where score > 0.3),
+ walk(file, r, kept) as (select distinct file, 0::bigint, []::struct(x1 double, y1 double, x2 double, y2 double, score double)[] from raw
+ union all select b.file, b.r, case when len(list_filter(kept, lambda k: {_JOINT} / ((k.x2 - k.x1) * (k.y2 - k.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {_JOINT} + 1e-6) > 0.45)) > 0 then kept
+ else list_append(kept, struct_pack(x1 := b.x1, y1 := b.y1, x2 := b.x2, y2 := b.y2, score := b.score)) end from walk join scored b on b.file = walk.file and b.r = walk.r + 1),
+ kept as (select file, max_by(kept, r) kept from walk group by file), person as (select file, unnest(range(len(kept))) person, unnest(kept) box from kept)"""
+
+
+@query(f"with recursive {_KEPT} select k.file, person::int place, {', '.join(f'round(box.{c}, 6) {c}' for c in (*_CORNERS, 'score'))} from kept k left join person p on p.file = k.file")
 def g9_detections_nms(spark, d):
-    return _detected(spark, d)
+    found = _detected(spark, d).select("file", F.posexplode_outer("boxes").alias("place", "box"))
+    return found.select("file", "place", *[F.round(f"box.{c}", 6).alias(c) for c in (*_CORNERS, "score")])
 
 
-@query()
+@query(f"""with recursive {_KEPT}, part as (select file, person, 0 rank, 'full' kind, box.x1 x1, box.y1 y1, box.x2 x2, box.y2 y2 from person union all select file, person, 1, 'half', box.x1, box.y1, box.x2, box.y2 from person
+ union all select file, person, 2, 'head', (box.x1 + box.x2) / 2 - side, (box.y1 + box.y2) / 2 - side, (box.x1 + box.x2) / 2 + side, (box.y1 + box.y2) / 2 + side from (select *, 1.5::double * greatest(box.x2 - box.x1, box.y2 - box.y1) / 2 side from person where person % 2 = 0)),
+ inside as (select file, person, rank, kind, greatest(0, least(260, floor(x1)))::int x1, greatest(0, least(200, floor(y1)))::int y1, greatest(0, least(260, floor(x2)))::int x2, greatest(0, least(200, floor(y2)))::int y2 from part)
+ select file, person::int person, kind, x1, y1, x2, y2, printf('%04d', row_number() over (order by file, person, rank) - 1) number from inside where x2 > x1 and y2 > y1""")
 def g10_person_crops(spark, d):
     found = _detected(spark, d).select("file", F.posexplode("boxes").alias("person", "box")).withColumns({"width": F.lit(260), "height": F.lit(200)})
     part = lambda kind, k: found.where(f"person % {k} = 0").select("file", "person", F.lit(kind).alias("kind"), "box")
-    return B.person_crops(found, part("half", 1).unionByName(part("head", 2)))
+    crops = B.person_crops(found, part("half", 1).unionByName(part("head", 2)))
+    return crops.select("file", "person", "kind", *[f"box.{c}" for c in _CORNERS], "number")
+
+
+_TYPES = "select distinct p_type name, case length(p_type) % 5 when 0 then 'artist' when 1 then 'Character' when 2 then '9' when 3 then 'unheard of' end category from part"
+
+
+@query(f"select row_number() over (order by name) - 1 idx, name, case category when 'artist' then 1 when 'Character' then 4 when '9' then 9 else 0 end category from ({_TYPES})")
+def s5_read_vocab(spark, d):
+    """The types of parts as a vocabulary: one small file in the order of names."""
+    at = f"{shared_dir(spark)}/vocab-{uuid.uuid4().hex}"
+    kinds = table(spark, d, "part").select(F.col("p_type").alias("name")).distinct()
+    code = F.expr("case length(name) % 5 when 0 then 'artist' when 1 then 'Character' when 2 then '9' when 3 then 'unheard of' end")
+    kinds.withColumn("category", code).coalesce(1).sortWithinPartitions("name").write.option("header", True).csv(at)
+    return S.read_vocab(spark, at, "csv")
 
 
 @query(with_images("select file, concat(path, '#', file) name, case when width < 600 then concat(regexp_extract(concat(path, '#', file), '^(.*/)?', 1), 'del/', regexp_extract(concat(path, '#', file), '([^/]*)$', 1)) end target from images"))

@@ -1,5 +1,6 @@
 """Rules on small inputs, against plain Python statements of them."""
 
+import math
 import random
 import struct
 import zlib
@@ -380,3 +381,52 @@ def test_score_text_and_class_gate(spark):
         "score:-, quality:-, class:a, class_conf:90%, class_passed:no",
         "score:8.00, quality:best, class:b, class_conf:60%",
     ]
+
+
+def test_sharp_kernels_by_their_sums():
+    rng = np.random.default_rng(5)
+    image = rng.integers(0, 256, (11, 17, 3)).astype(np.uint8)
+    curves = {
+        "lanczos": (3, lambda x: 1.0 if x == 0 else 0.0 if abs(x) >= 3 else math.sin(math.pi * x) * math.sin(math.pi * x / 3) * 3 / (math.pi * x) ** 2),
+        "bicubic": (2, lambda x: 1.5 * abs(x) ** 3 - 2.5 * x * x + 1 if abs(x) <= 1 else -0.5 * (abs(x) ** 3 - 5 * x * x + 8 * abs(x) - 4) if abs(x) < 2 else 0.0),
+    }
+
+    def line(values, m, curve):
+        n, out = len(values), []
+        for o in range(m):
+            w = [curve((i + 0.5 - (o + 0.5) * n / m) / max(n / m, 1)) for i in range(n)]
+            out.append(min(255, max(0, round(sum(a * b for a, b in zip(w, values)) / sum(w)))))
+        return out
+
+    for kernel, (_, curve) in curves.items():
+        for width, height in ((6, 5), (23, 19), (17, 4)):
+            got = PX.resize_sharp(image, width, height, kernel)
+            for c in range(3):
+                across = [line(r, width, curve) for r in image[..., c].tolist()]
+                want = [line(col, height, curve) for col in zip(*across)]
+                assert got[..., c].T.tolist() == want
+    flat = np.full((9, 9, 3), 77, np.uint8)
+    assert (PX.resize_sharp(flat, 4, 20) == 77).all() and (PX.resize_sharp(image, 17, 11) == image).all()
+
+
+def test_perspective_draws_into_a_quadrangle():
+    flat = np.full((40, 60, 3), 200, np.uint8)
+    got = PX.perspective(flat, 0.25, 9)
+    assert set(np.unique(got)) == {0, 200}  # the image keeps its colour, and there is nothing around it
+    assert (got[12:28, 18:42] == 200).all()  # whatever lies further inside than a corner can be
+    assert (PX.perspective(flat, 0, 9) == flat).all() and (PX.perspective(flat, 0.25, 9) == got).all()
+    ramp = np.repeat(np.arange(60, dtype=np.uint8)[None, :, None] * 4, 40, 0)
+    inner = PX.perspective(ramp, 0.2, 3)[10:30, 15:45, 0].astype(int)
+    assert (np.diff(inner, axis=1) > 0).all()
+
+
+def test_density_neighbours_recall(spark):
+    """At least nine in ten of the pairs within the radius are found by the random projections."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x = np.stack(rows["embedding"]).astype(float)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True))[:, :10]
+    dist = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(dist <= 0.5, 1)))}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, feature array<double>")
+    got = {(r["a"], r["b"]) for r in K.near_pairs(df, 0.5).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) > 900
