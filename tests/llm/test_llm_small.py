@@ -303,6 +303,44 @@ def test_substrings_of_long_texts(spark):
     assert got == {1: (60, 0), 2: (900_060, 60), 3: (1, 0), 4: (1, 0), 5: (60, 60)}
 
 
+@pytest.fixture(scope="module")
+def long_rows():
+    """Texts above the size of a batch, and texts without any space."""
+    rng = random.Random(8)
+    return [(1, prose(rng, 900_000)), (2, "x" * 2_000_000), (3, "é漢" * 200_000), (4, None), (5, "a b\n" * 300_000), (6, "x" * 2_000_000)]
+
+
+def test_long_texts_simhash_and_mixing(spark, long_rows):
+    df = spark.createDataFrame([(*r, "s") for r in long_rows], "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.simhash_groups(df).collect()}
+    fps = {i: _fingerprint(t) for i, t in long_rows}
+    assert {i: f for i, (f, _) in got.items()} == {i: f"{f:016x}" for i, f in fps.items()} and got[6][1] == 2
+    sizes = {i: len(words(t)) for i, t in long_rows}
+    mix = mixing.mix_sources(df).collect()
+    assert {r["doc_id"]: r["size"] for r in mix} == sizes and abs(sum(r["taken"] for r in mix) - sum(sizes.values())) <= 16
+
+
+def test_long_texts_pieces(spark, long_rows):
+    m = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = {r["doc_id"]: r for r in Q.digests(pieces.encode_pieces(spark.createDataFrame(long_rows, "doc_id long, text string"), PIECES)).collect()}
+    for i, t in long_rows:
+        ids = m.encode(t or "") + [2]
+        assert got[i]["n_tokens"] == len(ids) and got[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256(m.decode(ids).encode()).hexdigest()
+
+
+def test_long_texts_token_files(spark, long_rows):
+    t = Tokenizer.from_file(BYTES)
+    got = {r["doc_id"]: bytes(r["ids"]) for r in token_files.token_files(spark.createDataFrame(long_rows, "doc_id long, text string"), BYTES).collect()}
+    assert got == {i: np.array(t.encode(x or "", add_special_tokens=False).ids + [0], "<u4").tobytes() for i, x in long_rows}
+
+
+def test_long_texts_quality_rules(spark, long_rows):
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    got = {r["doc_id"]: tuple(r[c] for c in names) for r in quality_rules.quality_rules(spark.createDataFrame(long_rows, "doc_id long, text string")).collect()}
+    assert got == {i: _rules(t) for i, t in long_rows}
+
+
 def test_cover():
     assert substrings.covers() and not substrings.covers((0, 1, 2), 31)
 
