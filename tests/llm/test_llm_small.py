@@ -317,7 +317,8 @@ def test_long_texts_simhash_and_mixing(spark, long_rows):
     assert {i: f for i, (f, _) in got.items()} == {i: f"{f:016x}" for i, f in fps.items()} and got[6][1] == 2
     sizes = {i: len(words(t)) for i, t in long_rows}
     mix = mixing.mix_sources(df).collect()
-    assert {r["doc_id"]: r["size"] for r in mix} == sizes and abs(sum(r["taken"] for r in mix) - sum(sizes.values())) <= 16
+    # quotas are whole blocks of 16 words, and the last block of each of the two shards may be short
+    assert {r["doc_id"]: r["size"] for r in mix} == sizes and abs(sum(r["taken"] for r in mix) - sum(sizes.values())) <= 8 + 2 * 15
 
 
 def test_long_texts_pieces(spark, long_rows):
