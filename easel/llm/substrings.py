@@ -116,7 +116,7 @@ def shared_anchors(docs: DataFrame, window: int, cover=COVER, period: int = PERI
                 p = np.flatnonzero(np.resize(at_cover, len(h)))
                 hs.append(h[p]), ps.append(p), ds.append(np.full(len(p), d)), ns.append(np.full(len(p), len(words) - window))
         if not hs:
-            return dict.fromkeys(("key", "doc_id", "a", "b", "known"), pa.array([], pa.int64()))
+            return dict.fromkeys(("key", "doc_id", "a", "n", "known"), pa.array([], pa.int64()))
         h, d, p, n = (np.concatenate(x) for x in (hs, ds, ps, ns))
         a, b = np.maximum(0, p + length - window), np.minimum(p, n) + 1
         o, low, high = _several(h, d)
@@ -128,16 +128,18 @@ def shared_anchors(docs: DataFrame, window: int, cover=COVER, period: int = PERI
         dk, x, y = merged_by(dk, ak, bk)
         out.append([dk.view(np.uint64) * _MIX, dk, x, y, np.ones(len(x), np.int64)])
         key, doc, a, b, known = (np.concatenate(x) for x in zip(*out))
-        return {"key": pa.array(key.view(np.int64)), "doc_id": pa.array(doc), "a": pa.array(a), "b": pa.array(b), "known": pa.array(known)}
+        # lengths are nearly all the same, so they take less room in the shuffle than ends
+        return {"key": pa.array(key.view(np.int64)), "doc_id": pa.array(doc), "a": pa.array(a), "n": pa.array(b - a), "known": pa.array(known)}
 
     def shared(cols: dict) -> dict:
         known = cols["known"] == 1
+        cols["b"] = cols["a"] + cols["n"]
         k, d, a, b = (cols[c][~known] for c in ("key", "doc_id", "a", "b"))
         o, low, high = _several(k, d)
         hit = o[low < high]
         return {"doc_id": np.concatenate([d[hit], cols["doc_id"][known]]), "a": np.concatenate([a[hit], cols["a"][known]]), "b": np.concatenate([b[hit], cols["b"][known]])}
 
-    rows = map_batches(docs, anchors, "key long, doc_id long, a long, b long, known long", "text", _BATCH)
+    rows = map_batches(docs, anchors, "key long, doc_id long, a long, n long, known long", "text", _BATCH)
     return map_runs(rows, ["key"], [], shared, "doc_id long, a long, b long")
 
 
@@ -168,17 +170,18 @@ def repeated_windows(candidates: DataFrame, window: int) -> DataFrame:
         cut = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])) if len(h) else np.zeros(0, np.int64)
         known = d > np.repeat(d[cut], np.diff(np.append(cut, len(h))))
         kd, kr, kp = d[known], r[known], p[known]
-        out = [[h[~known].view(np.int64), g[~known], d[~known], r[~known], p[~known], p[~known] + window, np.zeros((~known).sum(), np.int64)]]
+        out = [[h[~known].view(np.int64), g[~known], d[~known], r[~known], p[~known], np.full((~known).sum(), window), np.zeros((~known).sum(), np.int64)]]
         o = np.lexsort((kp, kr, kd))
         kd, kr, kp = kd[o], kr[o], kp[o]
         edge = np.concatenate([[True], (kd[1:] != kd[:-1]) | (kr[1:] != kr[:-1]) | (kp[1:] > kp[:-1] + window)]) if len(kd) else np.zeros(0, bool)
         i = np.flatnonzero(edge)
         j = np.append(i[1:], len(kd)) - 1 if len(i) else i
-        out.append([(kd[i].view(np.uint64) * _MIX).view(np.int64), np.zeros(len(i), np.int64), kd[i], kr[i], kp[i], kp[j] + window, np.ones(len(i), np.int64)])
-        return dict(zip(("key", "more", "doc_id", "row", "a", "b", "known"), (pa.array(np.concatenate(x)) for x in zip(*out))))
+        out.append([(kd[i].view(np.uint64) * _MIX).view(np.int64), np.zeros(len(i), np.int64), kd[i], kr[i], kp[i], kp[j] + window - kp[i], np.ones(len(i), np.int64)])
+        return dict(zip(("key", "more", "doc_id", "row", "a", "n", "known"), (pa.array(np.concatenate(x)) for x in zip(*out))))
 
     def later(cols: dict) -> dict:
         known = cols["known"] == 1
+        cols["b"] = cols["a"] + cols["n"]
         k, g, d, r, a, b = (cols[c][~known] for c in ("key", "more", "doc_id", "row", "a", "b"))
         o = np.lexsort((d, g, k))
         k, g, d, r, a, b = k[o], g[o], d[o], r[o], a[o], b[o]
@@ -186,7 +189,7 @@ def repeated_windows(candidates: DataFrame, window: int) -> DataFrame:
         hit = d > np.repeat(d[cut], np.diff(np.append(cut, len(k))))
         return {c: np.concatenate([x[hit], cols[c][known]]) for c, x in (("doc_id", d), ("row", r), ("a", a), ("b", b))}
 
-    rows = map_batches(candidates, windows, "key long, more long, doc_id long, row long, a long, b long, known long", "text", _BATCH)
+    rows = map_batches(candidates, windows, "key long, more long, doc_id long, row long, a long, n long, known long", "text", _BATCH)
     return map_runs(rows, ["key"], [], later, "doc_id long, row long, a long, b long")
 
 
@@ -210,12 +213,13 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     given = _words(docs, doc_id, text).where("doc_id is not null")
     starts = shared_anchors(given, window).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("starts"))
     # an id whose every row is a copy has nothing left to find
-    own = rows.where("not copy").select(F.col("doc_id").alias("_id")).distinct()
-    starts = starts.join(own, starts["doc_id"] == own["_id"], "left_semi").select(F.col("doc_id").alias("_id"), "starts")
-    joined = given.join(starts, given["doc_id"] == starts["_id"]).select("doc_id", "text", "starts")
+    own = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or(~F.col("copy")).alias("own"), (F.min("whole") == F.max("whole")).alias("alone")).where("own")
+    starts = starts.join(own, starts["doc_id"] == own["_id"]).select("_id", "starts", "alone")
+    joined = given.join(starts, given["doc_id"] == starts["_id"]).select("doc_id", "text", "starts", "alone")
 
     def named(cols: dict) -> dict:
-        return {**cols, "row": pa.array([_row_hash(b" ".join(t.as_py().split())) for t in cols["text"]], pa.int64())}
+        # an id tells its row, unless it stands for several texts
+        return {**cols, "row": pa.array([0 if one else _row_hash(b" ".join(t.as_py().split())) for t, one in zip(cols["text"], cols["alone"].to_pylist())], pa.int64())}
 
     candidates = stage(map_batches(joined, named, "doc_id long, row long, text binary, starts array<struct<a:long,b:long>>", "text"), "candidates")
     gone = repeated_windows(candidates, window).groupBy("doc_id", "row").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
