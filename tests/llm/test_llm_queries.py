@@ -21,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(Q.ORACLE))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = Q.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
@@ -32,7 +32,7 @@ def test_sql(spark, name):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in Q.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in Q.QUERIES}
     assert entry.queries()["pipeline"] is corpus_pipeline.run
 
 
