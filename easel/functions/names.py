@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from easel.plans.staging import stage, unstage
+from easel.plans.staging import stage
 
 
 def stem_of(name: Column) -> Column:
@@ -34,35 +34,44 @@ def sanitize(name: Column, most: int = 120, fallback: str = "file", collapse: bo
     return F.coalesce(F.nullif(s, F.lit("")), F.lit(fallback))
 
 
+def parts_of(name: Column) -> tuple[Column, Column]:
+    """(all before the last extension, the extension with its dot or an empty string)."""
+    return F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), F.regexp_extract(name, r".(\.[^.]*)$", 1)
+
+
 def resolve_collisions(df: DataFrame, name: str = "name", order: str = "pos", existing: DataFrame | None = None, first: int = 1) -> DataFrame:
     """Adds unique_name: the first row of a name keeps it, others get _first, _first+1, .. before the extension.
 
-    existing has a column of the same name with taken names: then also the first row is numbered. Generated names
-    may meet given ones; rows that do are numbered on until none is left: each round moves some row to a higher number,
-    and there are fewer names than rows and taken names, so the rounds end. Rows of one name are counted by ranges of
-    the whole order, so a name that many rows have is no one task's work. Null names stay null.
+    existing has a column of the same name with taken names: then also the first row is numbered. Numbers whose name is
+    taken, or given to some row, are left out: the r-th row to be numbered gets the r-th free one. As a generated name
+    tells its stem and number, names of two stems never meet, so numbers are free or not beforehand. A taken number t with
+    i smaller ones has t - first - i free ones before it, so the r-th free number is first + r and as many as there are
+    taken ones with r or fewer before them: a count along one order of rows and taken numbers, made by ranges, whatever
+    the number of either. Null names stay null.
     """
     from easel.operators.tags import with_position
 
-    stem, ext = F.regexp_replace(F.col(name), r"(?<=.)\.[^.]*$", ""), F.regexp_extract(F.col(name), r".(\.[^.]*)$", 1)
-    pick = F.when(F.col("_n") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), (F.col("_n") + (first - 1)).cast("string"), ext))
-    placed = with_position(df, [name, order], "_at")
-    start = placed.groupBy(F.col(name).alias("_name")).agg(F.min("_at").alias("_start"))
-    taken = existing.select(F.col(name).alias("_taken")).distinct() if existing is not None else df.limit(0).select(F.col(name).alias("_taken"))
-    out = placed.join(start, F.col(name).eqNullSafe(F.col("_name"))).join(taken, F.col(name) == F.col("_taken"), "left")
-    out = out.withColumn("_n", F.col("_at") - F.col("_start") + F.col("_taken").isNotNull().cast("int")).drop("_name", "_start", "_taken")
-    out = stage(out.withColumn("unique_name", pick), "names")
-    while True:
-        # a generated name must give way where it is taken or where another row has it with a smaller number
-        best = out.where(F.col("unique_name").isNotNull()).groupBy(F.col("unique_name").alias("_u")).agg(F.min(F.struct("_n", "_at")).alias("_best"), F.count("*").alias("_rows"))
-        clash = best.join(taken, F.col("_u") == F.col("_taken"), "left").where("_rows > 1 or _taken is not null")
-        bad = out.join(clash, F.col("unique_name") == F.col("_u")).where((F.col("_n") > 0) & (F.col("_taken").isNotNull() | (F.col("_at") != F.col("_best._at"))))
-        bad = stage(bad.select(F.col(name).alias("_name"), F.col("_n").alias("_from")), "clashes")
-        if bad.isEmpty():
-            return out.drop("_n", "_at")
-        # all later rows of the name move on with it, so numbers stay apart
-        steps = bad.groupBy("_name").agg(F.sort_array(F.collect_list("_from")).alias("_steps"))
-        moved = out.join(steps, F.col(name) == F.col("_name"), "left").withColumn("_n", F.col("_n") + F.coalesce(F.size(F.filter("_steps", lambda s: s <= F.col("_n"))), F.lit(0)))
-        after = stage(moved.drop("_name", "_steps", "unique_name").withColumn("unique_name", pick), "names")
-        unstage(out), unstage(bad)
-        out = after
+    given = df.where(F.col(name).isNotNull())
+    placed = stage(with_position(given, [name, order], "_at"), "names")
+    taken = existing.select(F.col(name).alias("_taken")).where("_taken is not null").distinct() if existing is not None else df.limit(0).select(F.col(name).alias("_taken"))
+    start = placed.groupBy(F.col(name).alias("_name")).agg(F.min("_at").alias("_start"), F.count("*").alias("_rows"))
+    start = start.join(taken, F.col("_name") == F.col("_taken"), "left").select("_name", (F.col("_start") + F.when(F.col("_taken").isNull(), 1).otherwise(0)).alias("_start"), F.col("_taken").isNull().alias("_keeps"), "_rows")
+    start = stage(start, "stems")
+    numbered = placed.join(start.drop("_rows", "_keeps"), F.col(name) == F.col("_name")).withColumn("_r", F.col("_at") - F.col("_start")).drop("_start", "_name")
+    # numbers that are out of use, of names that have rows to number; longer ones are never reached
+    full_stem, ext = parts_of(F.col("_used"))
+    used = start.select(F.col("_name").alias("_used")).union(taken).distinct()
+    used = used.select(F.concat(F.regexp_extract(full_stem, r"^(.+)_(?:0|[1-9][0-9]{0,17})$", 1), ext).alias("_of"), F.regexp_extract(full_stem, r"_([0-9]{1,18})$", 1).try_cast("long").alias("_k"), F.regexp_extract(full_stem, r"^(.+)_(?:0|[1-9][0-9]{0,17})$", 1).alias("_stem"))
+    wanted = start.where(F.col("_rows") > F.col("_keeps").cast("int")).select("_name")
+    used = used.where((F.col("_stem") != "") & (F.col("_k") >= first)).join(wanted, F.col("_of") == F.col("_name")).select("_name", "_k")
+    ranked = with_position(used, ["_name", "_k"], "_i")
+    lowest = ranked.groupBy(F.col("_name").alias("_n")).agg(F.min("_i").alias("_first"))
+    ranked = ranked.join(lowest, F.col("_name") == F.col("_n")).select("_name", (F.col("_k") - first - (F.col("_i") - F.col("_first"))).alias("_r"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_at"), F.col("_k").alias("_tie"))
+    rows = numbered.where("_r >= 0").select(F.col(name).alias("_name"), "_r", F.lit(1).alias("_kind"), "_at", F.col("_at").alias("_tie"))
+    along = stage(with_position(ranked.unionByName(rows), ["_name", "_r", "_kind", "_tie"], "_u"), "numbers")
+    lowest = along.groupBy(F.col("_name").alias("_n")).agg(F.min("_u").alias("_first"))
+    free = along.where("_kind = 1").join(lowest, F.col("_name") == F.col("_n")).select(F.col("_at").alias("_row"), (F.lit(first) + F.col("_u") - F.col("_first")).alias("_number"))
+    stem, ext = parts_of(F.col(name))
+    pick = F.when(F.col("_number").isNull(), F.col(name)).otherwise(F.concat(stem, F.lit("_"), F.col("_number").cast("string"), ext))
+    out = placed.join(free, F.col("_at") == F.col("_row"), "left").withColumn("unique_name", pick).drop("_at", "_row", "_number")
+    return out.unionByName(df.where(F.col(name).isNull()).withColumn("unique_name", F.lit(None).cast("string")))

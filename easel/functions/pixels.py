@@ -20,13 +20,16 @@ def _weights(n: int, m: int, area: bool) -> np.ndarray:
     return w
 
 
-def _sharp_weights(n: int, m: int, kernel: str) -> np.ndarray:
-    """An m x n matrix that resizes n samples to m with a kernel that is widened where it shrinks."""
+def _taps(n: int, m: int, kernel: str, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """(samples, weights) of outputs lo .. hi when n samples become m: only those within the kernel's reach, which widens
+    where it shrinks. Samples beyond an end weigh 0."""
     support, curve = SHARP[kernel]
     wide = max(n / m, 1)
-    at = (np.arange(n) + 0.5 - (np.arange(m)[:, None] + 0.5) * n / m) / wide
-    w = np.where(np.abs(at) < support, curve(at), 0)
-    return w / w.sum(1, keepdims=True)
+    centre = (np.arange(lo, hi) + 0.5) * n / m - 0.5
+    at = np.ceil(centre - support * wide).astype(int)[:, None] + np.arange(int(2 * support * wide) + 2)
+    x = (at - centre[:, None]) / wide
+    w = np.where((np.abs(x) < support) & (at >= 0) & (at < n), curve(x), 0)
+    return np.clip(at, 0, n - 1), w / w.sum(1, keepdims=True)
 
 
 def cubic(x: np.ndarray, a: float) -> np.ndarray:
@@ -35,14 +38,33 @@ def cubic(x: np.ndarray, a: float) -> np.ndarray:
     return np.where(x <= 1, ((a + 2) * x - (a + 3)) * x * x + 1, np.where(x < 2, a * (((x - 5) * x + 8) * x - 4), 0))
 
 
-#: Reach in samples and curve of the sharp kernels.
-SHARP = {"bicubic": (2, lambda x: cubic(x, -0.5)), "lanczos": (3, lambda x: np.sinc(x) * np.sinc(x / 3))}
+#: Reach in samples and curve of the kernels.
+SHARP = {"bilinear": (1, lambda x: np.maximum(0, 1 - np.abs(x))), "bicubic": (2, lambda x: cubic(x, -0.5)), "lanczos": (3, lambda x: np.sinc(x) * np.sinc(x / 3))}
+
+
+def resize_window(image: np.ndarray, size: tuple[int, int], window: tuple[int, int, int, int], kernel: str = "lanczos") -> np.ndarray:
+    """The window (left, top, right, bottom) of the image resized to size (width, height): columns, then rows, rounded to
+    bytes after each. Nothing is made of the rest, and of the image only the rows that the window needs are read."""
+    (width, height), (left, top, right, bottom) = size, window
+    rows, by_row = _taps(image.shape[0], height, kernel, top, bottom)
+    cols, by_col = _taps(image.shape[1], width, kernel, left, right)
+    first, last = int(rows.min(initial=0)), int(rows.max(initial=-1)) + 1
+    given = image[first:last].reshape(last - first, image.shape[1], -1)
+    across = to_uint8(sum(given[:, cols[:, k]] * by_col[:, k, None] for k in range(cols.shape[1])))
+    out = to_uint8(sum(across[rows[:, k] - first] * by_row[:, k, None, None] for k in range(rows.shape[1])))
+    return out.reshape(bottom - top, right - left, *image.shape[2:])
 
 
 def resize_sharp(image: np.ndarray, width: int, height: int, kernel: str = "lanczos") -> np.ndarray:
-    """Bytes resized by a sharp kernel, rows first, then columns, rounded to bytes after each."""
-    across = to_uint8(np.einsum("ik...,jk->ij...", image.astype(float), _sharp_weights(image.shape[1], width, kernel)))
-    return to_uint8(np.einsum("ki...,jk->ji...", across.astype(float), _sharp_weights(image.shape[0], height, kernel)))
+    """Bytes resized by a kernel of SHARP."""
+    return resize_window(image, (width, height), (0, 0, width, height), kernel)
+
+
+def padded(image: np.ndarray, left: int, top: int, width: int, height: int, fill: int) -> np.ndarray:
+    """The image at a place of a plain field."""
+    out = np.full((height, width, *image.shape[2:]), fill, np.uint8)
+    out[top : top + image.shape[0], left : left + image.shape[1]] = image
+    return out
 
 
 def resize(image: np.ndarray, width: int, height: int, area: bool = True) -> np.ndarray:

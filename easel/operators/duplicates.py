@@ -15,6 +15,7 @@ from easel.plans.components import components
 from easel.plans.ship import ship
 from easel.plans.staging import stage, unstage
 
+from .hamming import Part, best_layout, close_classes
 from .tags import with_position
 
 MIN_GAP = 6.0
@@ -25,57 +26,29 @@ def distance(a: Column, b: Column, words: int) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(words)])
 
 
-def cut_bits(words: int, bits: int, parts: int) -> list[list[tuple[int, int, int]]]:
-    """A hash of `words` longs of `bits` bits in `parts` parts as equal as may be: each a list of (long, from, how many)."""
-    total, out = words * bits, []
-    for k in range(parts):
-        at, end, pieces = k * total // parts, (k + 1) * total // parts, []
-        while at < end:
-            n = min(end - at, bits - at % bits)
-            pieces.append((at // bits, at % bits, n))
-            at += n
-        out.append(pieces)
-    return out
-
-
-def part_value(hash: Column, pieces: list[tuple[int, int, int]]) -> Column:
-    """The bits of a part as a long."""
-    value, done = F.lit(0).cast("long"), 0
-    for word, at, n in pieces:
-        own = F.shiftrightunsigned(hash[word], at).bitwiseAND(F.lit((1 << n) - 1 if n < 64 else -1))
-        value, done = value.bitwiseOR(F.shiftleft(own, done)), done + n
-    return value
-
-
-def hamming_pairs(sig: DataFrame, threshold: int, words: int = 1, bits: int = 64, id: str = "id", hash: str = "hash", keep: tuple[str, ...] = ()) -> DataFrame:
+def hamming_pairs(sig: DataFrame, threshold: int, words: int = 1, bits: int = 64, id: str = "id", hash: str = "hash", keep: tuple[str, ...] = (), rows: int | None = None) -> DataFrame:
     """(a, b, dist, sim[, a_x, b_x of kept columns]) of all pairs a < b within threshold bits; sim is 1 - dist / (bits * words).
 
-    Exact. Hashes are cut into parts of which some must agree: all bits of one of threshold + 1 parts, or, where these
-    would be under 8 bits, all but one bit of one of threshold // 2 + 1 parts, whose neighbours are looked up as well.
-    Where these are under 8 bits too, too much may differ for parts to tell, and rows are joined by their number of ones,
-    which differs by threshold at most: that prunes little, and adaptive execution splits the large cells. Null ids or hashes pair with nothing.
+    Exact, by an index over the distinct hashes that is laid out for their number (or for `rows`): see hamming.py. Equal
+    hashes are one class there, and ids and kept columns come in by the class after, so copies cost what they put out.
+    Null ids or hashes pair with nothing; nor do rows of one id.
     """
     s = sig.where(F.col(id).isNotNull() & F.col(hash).isNotNull()).select(F.col(id).alias("id"), F.col(hash).alias("h"), *keep)
+    s = stage(s, "hashes")
+    classes = stage(s.select("h").distinct().select(F.monotonically_increasing_id().alias("c"), "h"), "hash-classes")
     total = bits * words
-    near = total // (threshold + 1) < 8
-    parts = threshold // 2 + 1 if near else threshold + 1
-    if total // parts >= 8:
-        cut = cut_bits(words, bits, parts)
-        own = [part_value(F.col("h"), p) for p in cut]
-        keyed = lambda n, v: F.struct(F.lit(n).alias("n"), v.alias("v"))
-        right = s.withColumn("k", F.explode(F.array(*[keyed(n, v) for n, v in enumerate(own)])))
-        others = [[v, *[v.bitwiseXOR(F.lit(1 << i)) for i in range(sum(k for *_, k in p))]] if near else [v] for v, p in zip(own, cut)]
-        left = s.withColumn("k", F.explode(F.array(*[keyed(n, v) for n, vs in enumerate(others) for v in vs])))
-    else:
-        ones = reduce(lambda x, y: x + y, [F.bit_count(F.col("h")[i]) for i in range(words)])
-        cell = F.floor(F.col("ones") / (threshold + 1))
-        s = s.withColumn("ones", ones)
-        right = s.withColumn("k", cell)
-        left = s.withColumn("k", F.explode(F.array(cell - 1, cell, cell + 1)))
-    d = distance(F.col("l.h"), F.col("r.h"), words)
-    pairs = left.alias("l").join(right.alias("r"), (F.col("l.k") == F.col("r.k")) & (F.col("l.id") < F.col("r.id")) & (d <= threshold))
-    out = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), d.alias("dist"), (1 - d / total).alias("sim"), *[F.col(f"{x}.{c}").alias(f"{y}_{c}") for x, y in (("l", "a"), ("r", "b")) for c in keep])
-    return out.dropDuplicates(["a", "b"]) if total // parts >= 8 else out
+    layout = best_layout(total, threshold, classes.count() if rows is None else rows)
+    near = close_classes(classes, threshold, words, bits, layout)
+    members = s.join(classes.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h")).select("id", "c", *keep)
+    side = lambda n: members.select(F.col("c").alias(f"c{n}"), F.col("id").alias(f"id{n}"), F.struct(*[F.lit(1).alias("_"), *keep]).alias(f"kept{n}"))
+    apart = near.join(side(1), F.col("x") == F.col("c1")).join(side(2), F.col("y") == F.col("c2")).where("id1 != id2")
+    equal = side(1).join(side(2), (F.col("c1") == F.col("c2")) & (F.col("id1") < F.col("id2"))).withColumn("dist", F.lit(0))
+    cols = ["id1", "id2", "kept1", "kept2", "dist"]
+    both = apart.select(*cols).unionByName(equal.select(*cols))
+    first = F.col("id1") < F.col("id2")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    both = both.select(pick("id1", "id2").alias("a"), pick("id2", "id1").alias("b"), "dist", pick("kept1", "kept2").alias("ka"), pick("kept2", "kept1").alias("kb"))
+    return both.select("a", "b", "dist", (1 - F.col("dist") / total).alias("sim"), *[F.col(f"k{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in keep])
 
 
 def verify_hash(pairs: DataFrame, threshold: int, words: int = 1, hash: str = "phash") -> DataFrame:
@@ -104,6 +77,44 @@ def descriptor_matches(pairs: DataFrame, descriptors: DataFrame, words: int = 4,
     return good.groupBy("a", "b").agg(F.count("*").alias("matches")).where(F.col("matches") >= least)
 
 
+def descriptor_candidates(descriptors: DataFrame, linked: DataFrame | None = None, words: int = 4, bits: int = 64, parts: int = 16, least: int = 4) -> DataFrame:
+    """(a, b, shared), a < b: images whose descriptors (id, kp, d), cut into parts, have at least `least` values of parts in
+    common, but for the pairs in linked (a, b).
+
+    Exact. Of two sets with `least` values in common, each with its values in one order, rarest first, some value is
+    common to both without their last least - 1. So only these shorter lists are joined: an image's most frequent values
+    are never a key, and the rest is counted over whole sets for the pairs that met.
+    """
+    ship(descriptors.sparkSession)
+    total = words * bits
+    cut = [Part(n * total // parts, (n + 1) * total // parts - n * total // parts, 0, 0, 0) for n in range(parts)]
+    key = lambda n, p: F.lit(n << 57).bitwiseOR(_part_value(F.col("d"), p, bits)) if p.width <= 56 else F.xxhash64(F.lit(n), _part_value(F.col("d"), p, bits))
+    own = descriptors.where(F.col("id").isNotNull() & F.col("d").isNotNull()).select("id", F.explode(F.array(*[key(n, p) for n, p in enumerate(cut)])).alias("k")).distinct()
+    own = stage(own, "parts-of-descriptors")
+    often = own.groupBy("k").agg(F.count("*").alias("_n")).where("_n > 1")
+    both = own.join(often, "k")
+    sets = both.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("_n", "k"))).alias("s")).where(F.size("s") >= least)  # as long as an image has descriptors
+    sets = stage(sets.select("id", F.col("s.k").alias("keys")), "sets")
+    rare = sets.select("id", F.explode(F.slice("keys", F.lit(1), F.size("keys") - (least - 1))).alias("k"))
+    met = rare.select(F.col("id").alias("a"), "k").join(rare.select(F.col("id").alias("b"), "k"), "k").where("a < b").select("a", "b").distinct()
+    if linked is not None:
+        met = met.join(linked.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    side = lambda n: sets.select(F.col("id").alias(n), F.col("keys").alias(f"_{n}"))
+    shared = F.size(F.array_intersect("_a", "_b"))
+    return met.join(side("a"), "a").join(side("b"), "b").select("a", "b", shared.alias("shared")).where(F.col("shared") >= least)
+
+
+def _part_value(hash: Column, part: Part, bits: int) -> Column:
+    """The bits of a part as a long."""
+    value, at, done = F.lit(0).cast("long"), part.start, 0
+    while done < part.width:
+        n = min(part.width - done, bits - at % bits)
+        own = F.shiftrightunsigned(hash[at // bits], at % bits).bitwiseAND(F.lit((1 << n) - 1 if n < 64 else -1))
+        value = value.bitwiseOR(F.shiftleft(own, done))
+        at, done = at + n, done + n
+    return value
+
+
 def valid_homography(h: Column, width: Column, height: Column) -> Column:
     """The image's corners map to a strictly convex outline in positive order, its area 0.1 to 10 times the image's."""
     corners = [(F.lit(0.0), F.lit(0.0)), (width.cast("double"), F.lit(0.0)), (width.cast("double"), height.cast("double")), (F.lit(0.0), height.cast("double"))]

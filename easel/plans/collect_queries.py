@@ -46,6 +46,44 @@ def c2_extract_candidates(spark, d):
     return C.extract_candidates(table(spark, d, "pages"), _hrefs(spark, d), image_only=False)
 
 
+def _image_pages(spark, d):
+    """Pages of their own host with images of all kinds of tags, named after the page and the length of its text."""
+    i = F.col("page_id").cast("string")
+    n = F.length("html").cast("string")
+    html = F.concat(
+        F.lit('<IMG src="/img/'), i, F.lit('.png" data-src="/img/'), n, F.lit('.jpg#x"><source srcset="/s/'), i, F.lit('.webp 1x, /s/'), i, F.lit('-2.webp 2x"><img src="/img/'), i,
+        F.lit('.png"><meta property="og:image" content="https://h.test/e'), (F.col("page_id") % 7).cast("string"), F.lit('.png"><link rel="icon" href="/f.gif"><p style="background:url(\'/g/'), n, F.lit('.gif\')"></p> https://h.test/h'), i, F.lit('.bmp <a href="/no.png">x</a>'),
+    )
+    return table(spark, d, "pages").select("page_id", "url", html.alias("html"))
+
+
+_IMAGES = """i as (select page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) h, page_id::varchar i, length(html)::varchar n from pages),
+ c as (select page_id, unnest([{u: concat(h, '/img/', i, '.png'), k: 'page', r: 1}, {u: concat(h, '/img/', n, '.jpg'), k: 'page', r: 2}, {u: concat(h, '/s/', i, '.webp'), k: 'page', r: 3}, {u: concat(h, '/s/', i, '-2.webp'), k: 'page', r: 4},
+ {u: concat('https://h.test/e', page_id % 7, '.png'), k: 'meta', r: 5}, {u: concat(h, '/f.gif'), k: 'link', r: 6}, {u: concat(h, '/g/', n, '.gif'), k: 'style', r: 7}, {u: concat('https://h.test/h', i, '.bmp'), k: 'inline', r: 8}]) c from i)"""
+
+
+@query(f"with {_IMAGES} select page_id, c.u url, c.k kind, c.r rank from c")
+def c2_image_candidates(spark, d):
+    return C.extract_candidates(_image_pages(spark, d))
+
+
+@query(f"with {_IMAGES} select page_id, url, kind, rank from (select page_id, c.u url, c.k kind, c.r rank, row_number() over (partition by c.u order by page_id, c.r) o from c) where o = 1")
+def c4_scan_image_sources(spark, d):
+    return C.scan_sources(C.extract_candidates(_image_pages(spark, d)))
+
+
+@query("select page_id, case when page_id % 3 = 0 then concat(regexp_extract(url, '^(https?://[^/?#]*)', 1), '/a', page_id, '.png') when page_id % 3 = 1 then url else concat('ftp:', page_id) end url, case page_id % 3 when 0 then 'direct' when 1 then 'expand' else 'invalid' end kind, case when page_id % 3 = 2 then 'invalid source' end error from pages where page_id % 3 != 1 or not regexp_matches(lower(url), '\\.(png|jpe?g|webp|gif|bmp|tiff?|avif)$')")
+def c4_direct_sources(spark, d):
+    """Sources of three sorts by page: an image's URL, the page's own, and no URL; pages that are images are left out."""
+    i = F.col("page_id")
+    host = F.regexp_extract("url", "^(https?://[^/?#]*)", 1)
+    s = table(spark, d, "pages").where(~((i % 3 == 1) & F.lower("url").rlike(r"\.(png|jpe?g|webp|gif|bmp|tiff?|avif)$")))
+    s = s.select("page_id", F.when(i % 3 == 0, F.concat(host, F.lit("/a"), i.cast("string"), F.lit(".png"))).when(i % 3 == 1, F.col("url")).otherwise(F.concat(F.lit("ftp:"), i.cast("string"))).alias("url"))
+    direct, pages, invalid = C.direct_sources(s)
+    none = F.lit(None).cast("string").alias("error")
+    return direct.select("page_id", "url", "kind", none).unionByName(pages.select("page_id", "url", F.lit("expand").alias("kind"), none)).unionByName(invalid.select("page_id", "url", F.lit("invalid").alias("kind"), "error"))
+
+
 @query(r"""with t as (select page_id, url, lower(regexp_extract(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '\.([^./]+)$', 1)) e from pages),
  c as (select *, case when e = '' then '' when e in ('jpg', 'jpeg') then 'jpg' when e in ('tif', 'tiff') then 'tiff' when e in ('png', 'webp', 'gif', 'bmp', 'avif') then e end image_type from t)
  select page_id, image_type, image_type is not null and image_type in ('', 'jpg', 'png') allowed from c""")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
+
+from .staging import stage
 
 
 def union_inputs(inputs: Sequence[DataFrame], key: str = "file", order: str = "pos") -> DataFrame:
@@ -43,14 +49,52 @@ def observed(results: DataFrame, name: str = "batch") -> tuple[DataFrame, Observ
     return results.observe(seen, F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.count(F.lit(1)).alias("total")), seen
 
 
+@dataclass(frozen=True)
+class Step:
+    """A step of a pipeline: run takes the DataFrames of its inputs, each a step's or source's name. needs has for each
+    input the columns and types that it must have, gives those of the result, both as "name type, ..", '' for any."""
+
+    name: str
+    run: Callable[..., DataFrame]
+    inputs: Sequence[str] = ()
+    needs: Sequence[str] = ()
+    gives: str = ""
+
+
+def _columns(ports: str) -> dict[str, str]:
+    return {f.name: f.dataType.simpleString() for f in _parse_datatype_string(ports).fields} if ports else {}
+
+
+def _unmet(need: str, has: dict[str, str]) -> list[str]:
+    return [f"{c} {t}" + (f", not {has[c]}" if c in has else " is missing") for c, t in _columns(need).items() if has.get(c) != t]
+
+
 class Pipeline:
-    """Named steps, each a function of the DataFrames of its inputs; only steps that an output needs are run."""
+    """Named steps, each a function of the DataFrames of its inputs; only steps that an output needs are run.
+
+    Steps are Step objects or (name, function, inputs). sources has the columns of named inputs, as Step.gives. Edges whose
+    two ends say what they have and need are checked here, the given sources and each result against them before a job
+    runs. A result that several steps or outputs read is written once, under shared_dir().
+    """
 
-    def __init__(self, steps: Sequence[tuple[str, Callable, Sequence[str]]], outputs: Sequence[str]):
-        self.steps, self.outputs = {n: (f, tuple(i)) for n, f, i in steps}, tuple(outputs)
-        if len(self.steps) != len(steps):
+    def __init__(self, steps: Sequence[Step | tuple[str, Callable, Sequence[str]]], outputs: Sequence[str], sources: dict[str, str] | None = None):
+        every = [s if isinstance(s, Step) else Step(*s) for s in steps]
+        self.steps, self.outputs, self.sources = {s.name: s for s in every}, tuple(outputs), dict(sources or {})
+        if len(self.steps) != len(every):
             raise ValueError("names of steps repeat")
+        if both := self.steps.keys() & self.sources.keys():
+            raise ValueError(f"{sorted(both)} are steps and sources")
         self.order = self._order()
+        for n in self.order:
+            s = self.steps[n]
+            if s.needs and len(s.needs) != len(s.inputs):
+                raise ValueError(f"{n} has {len(s.inputs)} inputs and {len(s.needs)} needs")
+            for i, need in zip(s.inputs, s.needs):
+                if self.sources and i not in self.steps and i not in self.sources:
+                    raise ValueError(f"{n} reads {i}, which is no step and no source")
+                gives = self.steps[i].gives if i in self.steps else self.sources.get(i, "")
+                if gives and (bad := _unmet(need, _columns(gives))):
+                    raise TypeError(f"{i} -> {n}: {'; '.join(bad)}")
 
     def _order(self) -> list[str]:
         out: list[str] = []
@@ -62,7 +106,7 @@ class Pipeline:
             if n in open_:
                 raise ValueError(f"steps form a cycle at {n}")
             open_.add(n)
-            for i in self.steps[n][1]:
+            for i in self.steps[n].inputs:
                 visit(i)
             out.append(n)
 
@@ -74,11 +118,23 @@ class Pipeline:
 
     def run(self, sources: dict[str, DataFrame]) -> dict[str, DataFrame]:
         made = dict(sources)
+        readers = Counter([i for n in self.order for i in self.steps[n].inputs] + list(self.outputs))
+        has = lambda df: {f.name: f.dataType.simpleString() for f in df.schema.fields}
         for n in self.order:
-            f, needs = self.steps[n]
-            if missing := [i for i in needs if i not in made]:
+            if missing := [i for i in self.steps[n].inputs if i not in self.steps and i not in made]:
                 raise ValueError(f"{n} needs {missing}")
-            made[n] = f(*[made[i] for i in needs])
+        for i in made:
+            if bad := _unmet(self.sources.get(i, ""), has(made[i])):
+                raise TypeError(f"source {i}: {'; '.join(bad)}")
+        for n in self.order:
+            s = self.steps[n]
+            for i, need in zip(s.inputs, s.needs):
+                if bad := _unmet(need, has(made[i])):
+                    raise TypeError(f"{i} -> {n}: {'; '.join(bad)}")
+            got = s.run(*[made[i] for i in s.inputs])
+            if bad := _unmet(s.gives, has(got)):
+                raise TypeError(f"{n} gives {'; '.join(bad)}")
+            made[n] = stage(got, f"step-{re.sub('[^A-Za-z0-9]', '_', n)}") if readers[n] > 1 else got
         return {n: made[n] for n in self.outputs}
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from easel.functions import rasters as R
+from easel.functions.rasters import unit_centered
 from easel.operators import duplicates as D
 
 from .staging import stage
@@ -203,11 +204,26 @@ def d14_order_by_group(spark, d):
     return D.place_by_group(images(spark, d), "grp").select("file", "grp", "place")
 
 
+def saved_again(images):
+    """The images, and a slightly blurred, noisy copy of every third one, numbered from a million million on."""
+    from easel.operators import image_jobs as J
+
+    copies = J.blur_noise(images.where("cast(file as long) % 3 = 0"), 0.4, 2.0)
+    return images.unionByName(copies.withColumn("file", (F.col("file").cast("long") + 10**12).cast("string")))
+
+
 def flagship(spark, d):
-    """Hash pairs, verified by the second hash and by correlation as in d2 and d3, in star groups with the similarity of each member."""
-    s = signatures(spark, d)
-    e = D.hamming_pairs(s, THRESHOLD, keep=("phash", "unit"))
-    e = stage(D.verify_histogram(D.verify_hash(e, 30), 0.3).select("a", "b", "sim"), "verified")
+    """Signatures of images without their margins, every third image being there twice, blurred and noisy the second time:
+    pairs by the difference hash, verified by the cosine hash and the hue histogram, in star groups with the similarity of
+    each member and what to do about it."""
+    from easel.operators import image_jobs as J
+
+    from .pixel_queries import framed
+
+    s = J.signatures(saved_again(framed(spark, d))).select(F.col("file").cast("long").alias("id"), F.col("dhash").alias("hash"), "phash", F.col("hist").alias("unit"))
+    s = stage(s.withColumn("unit", unit_centered(F.col("unit"))), "signatures")
+    e = D.hamming_pairs(s, 40, words=4, keep=("phash", "unit"))
+    e = stage(D.verify_histogram(D.verify_hash(e, 40, 4), 0.5).select("a", "b", "sim"), "verified")
     groups = D.star_groups(e)
     return D.dedup_report(s.select("id"), groups, e)[0].withColumn("action", F.when(F.col("group").isNull() | (F.col("group") == F.col("id")), "keep").otherwise("review"))
 

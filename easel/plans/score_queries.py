@@ -57,7 +57,7 @@ def k4_pca(spark, d):
 
 @query()
 def k5_density_cluster(spark, d):
-    return K.density_cluster(_vectors(spark, d).withColumnRenamed("e", "feature"), 40, 0.5, dims=10)
+    return K.density_cluster(_vectors(spark, d).withColumnRenamed("e", "feature"), 40, dims=10)
 
 
 @query("select count(distinct label % 4) group_count from embeddings")

@@ -161,13 +161,14 @@ def x4_batch_summary(spark, d):
 def x5_pipeline(spark, d):
     from easel.functions.geometry import resolution_filter
 
+    given = "file long, width int, height int, grp long, text string"
     steps = [
-        ("sized", lambda i: resolution_filter(i, 512, 0, 512).where("not filtered").drop("filtered"), ["images"]),
-        ("grouped", lambda s: s.where("grp is not null"), ["sized"]),
-        ("unused", lambda s: 1 / 0, ["sized"]),
-        ("saved", lambda g: g.select("file", "text"), ["grouped"]),
+        X.Step("sized", lambda i: resolution_filter(i, 512, 0, 512).where("not filtered").drop("filtered"), ["images"], [given], given),
+        X.Step("grouped", lambda s: s.where("grp is not null"), ["sized"], ["grp long"], "file long, text string"),
+        X.Step("unused", lambda s: 1 / 0, ["sized"]),
+        X.Step("saved", lambda g, s: g.select("file", "text").join(s.select("file"), "file", "left_semi"), ["grouped", "sized"], ["file long, text string", "file long"]),
     ]
-    return X.Pipeline(steps, ["saved"]).run({"images": images(spark, d)})["saved"]
+    return X.Pipeline(steps, ["saved"], {"images": given}).run({"images": images(spark, d)})["saved"]
 
 
 @query("select cast(event_id as varchar) id from events where event_type != 'error'", False)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from easel.functions.names import resolve_collisions, stem_of
+from easel.plans.ship import ship
 
 # The extensions of images, and the category codes of tags.
 EXTENSIONS = ("png", "jpg", "jpeg", "webp", "bmp", "gif", "tiff", "tif", "avif")
@@ -30,11 +31,25 @@ def read_images(spark: SparkSession, path: str, recursive: bool = True) -> DataF
     return i.select(F.col("origin").alias("file"), ok.alias("ok"), F.when(~ok, "cannot be decoded").alias("error"), "height", "width", F.col("nChannels").alias("channels"), "data")
 
 
-def read_sidecars(spark: SparkSession, images: DataFrame, path: str, file: str = "file") -> DataFrame:
-    """images with text: the trimmed content of <stem>.txt under path, '' where there is none."""
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("_p"))
-    texts = texts.groupBy(stem_of(F.col("_p")).alias("_stem")).agg(F.min_by("value", "_p").alias("_text"))
-    return images.join(texts, stem_of(F.col(file)) == F.col("_stem"), "left").withColumn("text", F.coalesce(F.trim("_text", F.lit(" \t\r\n")), F.lit(""))).drop("_stem", "_text")
+def sidecar_of(file: Column, folder: str | None = None) -> Column:
+    """Where an image's text lies: <stem>.txt beside it, or in one folder."""
+    where = F.regexp_extract(file, r"^(.*/)?", 1) if folder is None else F.lit(folder.rstrip("/") + "/")
+    return F.concat(where, stem_of(file), F.lit(".txt"))
+
+
+def _plain(path: Column) -> Column:
+    """A path without its scheme and with single slashes, as paths of one file are written in several ways."""
+    return F.regexp_replace(F.regexp_replace(path, r"^[a-z][a-z0-9]*:/*", "/"), "/+", "/")
+
+
+def read_sidecars(spark: SparkSession, images: DataFrame, path: str, file: str = "file", folder: str | None = None) -> DataFrame:
+    """images with text: the trimmed content of their sidecar_of(), '' where there is none. path is what is read, with
+    all folders below it; a text belongs to the images of its folder and stem, or, where folder is given, to all images
+    of its stem."""
+    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").text(path if folder is None else folder)
+    texts = texts.select(F.col("value").alias("_text"), _plain(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))).alias("_p"))
+    own = _plain(sidecar_of(F.col(file), folder))
+    return images.join(texts, own == F.col("_p"), "left").withColumn("text", F.coalesce(F.trim("_text", F.lit(" \t\r\n")), F.lit(""))).drop("_p", "_text")
 
 
 def write_sidecars(df: DataFrame, path: str, file: str = "file", text: str = "text") -> DataFrame:
@@ -44,6 +59,21 @@ def write_sidecars(df: DataFrame, path: str, file: str = "file", text: str = "te
     return df.agg(F.count_if(F.col(file).isNotNull()).alias("saved"), F.count_if(F.col(file).isNull()).alias("failed"))
 
 
+def write_sidecar_files(df: DataFrame, folder: str | None = None, file: str = "file", text: str = "text") -> DataFrame:
+    """Save each row's text as its sidecar_of(), replacing those that are there, and return counts as write_sidecars().
+
+    All or nothing but for the moves at the end: tasks write beside the targets under the job's own name, which is moved
+    into place when all are done, or removed when one has failed. Where rows name one file, the one of the largest text stays.
+    """
+    from .sidecars import SidecarFiles
+
+    df.sparkSession.dataSource.register(SidecarFiles)
+    ship(df.sparkSession)
+    rows = df.where(F.col(file).isNotNull()).select(sidecar_of(F.col(file), folder).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows.groupBy("path").agg(F.max("text").alias("text")).write.format(SidecarFiles.name()).mode("append").save()
+    return df.agg(F.count_if(F.col(file).isNotNull()).alias("saved"), F.count_if(F.col(file).isNull()).alias("failed"))
+
+
 def read_vocab(spark: SparkSession, path: str, layout: str) -> DataFrame:
     """(idx, name, category) of a tag vocabulary.
 
