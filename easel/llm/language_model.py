@@ -1,8 +1,9 @@
 """Document likelihood under a subword lattice: all segmentations count.
 
 A text is a sequence of words, each a space mark and its lower-cased bytes, then an end. The pieces of an existing
-vocabulary and the end are drawn one by one; a piece's weight is what the vocabulary's scores give it beforehand, and
-how often it is used in the words of all training documents. As no piece goes beyond a word, the probability of a text
+vocabulary and the end are drawn one by one. A piece's weight starts as what the vocabulary's scores give it, and is then
+learned from the words of all training documents by expected uses over all their segmentations, a few times over; a share
+of it stays the vocabulary's, whatever the corpus. As no piece goes beyond a word, the probability of a text
 is the product over its words, and the end, of the sum over all ways to cut the word into pieces: a forward recursion in
 log space. Single bytes are pieces too, so every text has a probability.
 
@@ -15,6 +16,7 @@ splits at frequent words, and a batch is put together again alone.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,12 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from easel.plans.ship import ship
+
 from .shared import fold, list_array, map_batches, stage, text_bytes
 
 _BATCH = 8 << 20
 _CHUNK = 1 << 15  # words whose lattices are in memory at once
 _ALONE = 1 << 10  # bytes of a word that is handled by itself
-_PLACES = 26  # bits of a word's number in its batch
 
 
 class PieceTrie:
@@ -100,43 +103,65 @@ def _lay_out(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, starts, np.repeat(starts[1:], np.diff(starts)) - np.arange(len(text))
 
 
-def longest_pieces(trie: PieceTrie, words: list[bytes], weight: np.ndarray) -> np.ndarray:
-    """How often each piece is used when every word takes the longest piece at each step."""
+def expected_pieces(trie: PieceTrie, log_p: np.ndarray, words: list[bytes], weight: np.ndarray) -> np.ndarray:
+    """How often each piece is used in the words, over all segmentations by their probabilities."""
     total, short = np.zeros(len(trie.pieces)), [i for i, w in enumerate(words) if len(w) < _ALONE]
     for k in range(0, len(short), _CHUNK):
         at = short[k : k + _CHUNK]
-        total += _longest_pieces(trie, [words[i] for i in at], weight[at])
+        total += _expected(trie, log_p, [words[i] for i in at], weight[at])
     for w, times in zip(words, weight.tolist()):
         if len(w) >= _ALONE:
-            length, best = _longest_at(trie, *_lay_out([w]))
-            here, used, sizes = 0, [], length.tolist()
-            while here < len(sizes):
-                used.append(here)
-                here += sizes[here]
-            total += times * np.bincount(best[used], minlength=len(total))
+            total += times * _long_expected(trie, log_p, w)
     return total
 
 
-def _longest_at(trie: PieceTrie, text: np.ndarray, starts: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, number) of the longest piece at each place."""
+def _expected(trie: PieceTrie, log_p: np.ndarray, words: list[bytes], weight: np.ndarray) -> np.ndarray:
+    text, starts, left = _lay_out(words)
     at, size, piece = trie.matches(text, left)
-    length, best = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
-    length[at], best[at] = size, piece  # sizes ascend, so the longest stays
-    return length, best
+    word = np.repeat(np.arange(len(words)), np.diff(starts))[at]
+    # a word has one place more than bytes, so that its end isn't the next one's start
+    i, j, gain = at + word, at + size + word, log_p[piece]
+    begin, end = starts[:-1] + np.arange(len(words)), starts[1:] + np.arange(len(words))
+    ahead = _summed(len(text) + len(words), begin, i, j, gain, j - begin[word])
+    back = _summed(len(text) + len(words), end, j, i, gain, end[word] - i)
+    used = np.exp(ahead[i] + gain + back[j] - ahead[end][word]) * weight[word]
+    return np.bincount(piece, used, len(trie.pieces))
+
+
+def _summed(n: int, ready: np.ndarray, come: np.ndarray, go: np.ndarray, gain: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Log sums over all paths of steps come -> go from the places `ready`, all words at once by their steps."""
+    out = np.full(n, -np.inf)
+    out[ready] = 0.0
+    o = np.lexsort((go, step))
+    come, go, gain, step = come[o], go[o], gain[o], step[o]
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]])), len(step))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        v, e = out[come[a:b]] + gain[a:b], go[a:b]
+        c = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
+        top = np.maximum.reduceat(v, c)
+        out[e[c]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(c, len(v))))), c))
+    return out
 
 
-def _longest_pieces(trie: PieceTrie, words: list[bytes], weight: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(trie.pieces))
-    text, starts, left = _lay_out(words)
-    length, best = _longest_at(trie, text, starts, left)
-    here, w = starts[:-1].copy(), weight.astype(float)
-    end = starts[1:]
-    while len(here):
-        total += np.bincount(best[here], w, len(total))
-        here = here + length[here]
-        more = here < end
-        here, w, end = here[more], w[more], end[more]
-    return total
+def _long_expected(trie: PieceTrie, log_p: np.ndarray, word: bytes) -> np.ndarray:
+    """The same for one word, place by place."""
+    text, _, left = _lay_out([word])
+    at, size, piece = trie.matches(text, left)
+    sides = []
+    for come, go, first in ((at, at + size, 0), (at + size, at, len(text))):
+        alpha, ways = [0.0] * (len(text) + 1), {}
+        o = np.argsort(go if first == 0 else -go, kind="stable")
+        last = None
+        for i, j, gain in zip(come[o].tolist(), go[o].tolist(), log_p[piece[o]].tolist()):
+            if j != last:
+                if last is not None:
+                    alpha[last] = _log_sum(ways.pop(last))
+                ways[j], last = [], j
+            ways[j].append(alpha[i] + gain)
+        alpha[last] = _log_sum(ways.pop(last))
+        sides.append(np.array(alpha))
+    used = np.exp(sides[0][at] + log_p[piece] + sides[1][at + size] - sides[0][-1])
+    return np.bincount(piece, used, len(trie.pieces))
 
 
 def word_likelihoods(trie: PieceTrie, log_p: np.ndarray, words: list[bytes]) -> np.ndarray:
@@ -214,7 +239,7 @@ def read_batches(docs: DataFrame, doc_id: str, text: str, folds: int, held_out:
         c_train = np.bincount(number, flat * np.repeat(train, lengths), len(index)).astype(np.int32)
         words = list(index)
         run.n += 1
-        at = (TaskContext.get().partitionId() << 16) + run.n
+        at = (TaskContext.get().partitionId() << 40) + run.n
         one = lambda x: list_array(x, [len(x)])
         return {
             "batch": pa.array([at], pa.int64()), "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words, pa.binary())), "c": one(c_train),
@@ -230,14 +255,32 @@ def read_batches(docs: DataFrame, doc_id: str, text: str, folds: int, held_out:
 
 
 def piece_weights(trie: PieceTrie, used: np.ndarray, n_docs: int, prior: float) -> tuple[np.ndarray, float]:
-    """(natural log probabilities of the pieces, that of the end): the uses, and prior uses dealt out as the vocabulary's
-    scores say, over all of them and the ends."""
-    n = used + prior * trie.before
-    total = n.sum() + n_docs + 1
-    return np.log(n / total), math.log((n_docs + 1) / total)
+    """(natural log probabilities of the pieces, that of the end). The end has its share of all draws, counted once more;
+    the pieces share the rest by their uses, and a share `prior` of it as the vocabulary's scores say."""
+    uses = used.sum()
+    end = (n_docs + 1) / (uses + n_docs + 2)
+    p = (1 - prior) * used / uses + prior * trie.before if uses else trie.before
+    return np.log(p * (1 - end)), math.log(end)
+
 
+def piece_uses(words: DataFrame, model_path: str, log_p: np.ndarray) -> np.ndarray:
+    """Expected uses of all pieces in words (word, n): sums of a task's words first, then a number a piece."""
 
-def score_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", folds: int = 5, held_out: int = 1, prior: float = 1000.0) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, total = _trie(model_path), 0.0
+        for b in batches:
+            total = total + expected_pieces(trie, log_p, b.column("word").to_pylist(), b.column("n").to_numpy().astype(float))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at] if len(at) else [], pa.float64())], ["piece", "used"])
+
+    ship(words.sparkSession)
+    used = np.zeros(len(_trie(model_path).pieces))
+    for r in words.select("word", "n").mapInArrow(run, "piece long, used double").groupBy("piece").agg(F.sum("used").alias("used")).collect():  # the vocabulary's length at most
+        used[r["piece"]] = r["used"]
+    return used
+
+
+def score_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", folds: int = 5, held_out: int = 1, prior: float = 0.02, passes: int = 3) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row, base 10 logs.
 
     Documents whose crc32 of the id leaves `held_out` modulo `folds` teach nothing. base_score is the smoothed
@@ -248,29 +291,24 @@ def score_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", te
     """
     batches = stage(read_batches(docs, doc_id, text, folds, held_out), "word-batches")
     # a word's place is its batch and its number there
-    each = batches.select("batch", F.posexplode(F.arrays_zip("words", "c")).alias("i", "w")).select(F.col("w.words").alias("word"), (F.shiftleft("batch", _PLACES) + F.col("i")).alias("place"), "w.c")
+    each = batches.select("batch", F.posexplode(F.arrays_zip("words", "c")).alias("at", "w")).select(F.col("w.words").alias("word"), "batch", "at", "w.c")
     words = stage(each.groupBy("word").agg(F.sum("c").alias("n")), "words")
 
-    def pieces(cols: dict) -> dict:
-        total = longest_pieces(_trie(model_path), cols["word"].to_pylist(), cols["n"].to_numpy())
-        at = np.flatnonzero(total)
-        return {"piece": at, "used": total[at]}
-
-    trie = _trie(model_path)
-    used = np.zeros(len(trie.pieces))
-    for r in map_batches(words.where("n > 0"), pieces, "piece long, used double").groupBy("piece").agg(F.sum("used").alias("used")).collect():  # the vocabulary's length at most
-        used[r["piece"]] = r["used"]
     sums = batches.agg(F.sum("n_train").alias("docs"), F.sum("train_tokens").alias("tokens")).first()
     n_docs, n_tokens = sums["docs"] or 0, sums["tokens"] or 0
     distinct = words.where("n > 0").count() + (n_docs > 0)
-    log_p, log_end = piece_weights(trie, used, n_docs, prior)
+    # expectation and maximisation from the vocabulary's own weights on
+    trie = _trie(model_path)
+    log_p, log_end = piece_weights(trie, np.zeros(len(trie.pieces)), n_docs, prior)
+    for k in range(passes if n_docs else 0):
+        log_p, log_end = piece_weights(trie, piece_uses(words.where("n > 0"), model_path, log_p if k else np.log(trie.before)), n_docs, prior)
     scale = math.log10(n_tokens + 0.5 * (distinct + 1))
 
     def likelihoods(cols: dict) -> dict:
         return {"word": cols["word"], "n": cols["n"], "likely": word_likelihoods(_trie(model_path), log_p, cols["word"].to_pylist())}
 
     likely = map_batches(words, likelihoods, "word binary, n long, likely double").withColumnRenamed("word", "_word")
-    known = each.drop("c").join(likely, F.col("word") == F.col("_word")).select(F.shiftright("place", _PLACES).alias("batch"), (F.col("place").bitwiseAND((1 << _PLACES) - 1)).cast("int").alias("at"), "n", "likely")
+    known = each.drop("c").join(likely, F.col("word") == F.col("_word")).select(F.col("batch").alias("of"), "at", "n", "likely")
 
     def put_together(batch: pa.Table, words: pa.Table) -> pa.Table:
         b = {k: batch.column(k)[0].values for k in ("ids", "held_out", "lengths", "number", "times")}
@@ -288,5 +326,5 @@ def score_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", te
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     names = [c.split()[0] for c in schema.split(", ")]
-    sides = batches.select("batch", "ids", "held_out", "lengths", "number", "times").groupBy("batch"), known.groupBy("batch")
+    sides = batches.select("batch", "ids", "held_out", "lengths", "number", "times").groupBy("batch"), known.groupBy("of")
     return sides[0].cogroup(sides[1]).applyInArrow(put_together, schema)

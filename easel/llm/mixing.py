@@ -11,8 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from easel.operators.tags import with_position
+
 from .shared import SPACE, fresh, stage
 
+#: Shards that get their quotas in one window.
+BUNCH = 4096
 #: Primes above any number of blocks in a shard: steps of such a size, modulo that number, visit each block once.
 STEPS = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549)
 
@@ -63,18 +67,40 @@ def sainte_lague(parties: DataFrame, key: list[str], order: list[str], votes: st
     return joined.select(*parties.columns, (F.col("_low") + F.coalesce("_won", F.lit(0))).alias("quota"))
 
 
-def _doc_plan(docs: DataFrame, doc_id: str, text: str, source: str, weights, max_repeat: int, seed: int, block: int, shard_words: int) -> DataFrame:
-    """Per row: size, source_size, target, and what is needed to say which of its words are taken."""
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("_mix"))
+def _numbered_copies(narrow: DataFrame, shard_words: int) -> DataFrame:
+    """Adds _lot: 0, but where equal rows have more words than a shard they are counted off in lots of a shard's words,
+    so that they can go to many shards."""
+    same = ["source", "doc_id", "_mix", "size"]
+    hot = narrow.groupBy(*same).agg(F.count("*").alias("_n")).where(F.col("_n") * F.col("size") > shard_words)
+    hot = stage(hot.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(same)]), "mix-hot")
+    is_hot = lambda df: [df[c].eqNullSafe(hot[f"_h{i}"]) for i, c in enumerate(same)]
+    few = narrow.join(hot, is_hot(narrow), "left_anti").withColumn("_lot", F.lit(0).cast("long"))
+    placed = with_position(narrow.join(hot, is_hot(narrow), "left_semi"), [*same, "_row"], "_at")
+    first = placed.groupBy(*same).agg(F.min("_at").alias("_first")).select("_first", *[F.col(c).alias(f"_f{i}") for i, c in enumerate(same)])
+    found = placed.join(first, [placed[c].eqNullSafe(first[f"_f{i}"]) for i, c in enumerate(same)])
+    lot = F.expr(f"(_at - _first) div greatest(1, {shard_words} div greatest(1, size))")
+    return few.unionByName(found.select(*narrow.columns, lot.cast("long").alias("_lot")))
+
+
+def _doc_plan(docs: DataFrame, doc_id: str, text: str, source: str, weights, max_repeat: int, seed: int, block: int, shard_words: int, row: str | None = None) -> DataFrame:
+    """Per row: size, source_size, target, and what is needed to say which of its words are taken; _row is the column
+    row, or a number made here."""
+    own = F.col(row) if row else F.monotonically_increasing_id()
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("_mix"), own.alias("_row"))
     narrow = stage(narrow, "mix-sizes")
     targets = source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat)
     seats = targets.withColumn("one", F.lit(1)).withColumn("seats", F.round(F.sum("target").over(Window.partitionBy("one")) / block).cast("long"))
     targets = stage(sainte_lague(seats, ["one"], ["rank"], "target", "seats").withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")).drop("one", "seats"), "mix-targets")
-    with_source = narrow.join(targets.select(F.col("source").alias("_s"), "rank", "source_size", "target", "n_shards"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    with_source = with_source.withColumn("shard", F.pmod(F.col("_mix"), F.col("n_shards")))
-    shards = with_source.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size")).join(targets.select("rank", "quota"), "rank")
-    quotas = stage(sainte_lague(shards.withColumnRenamed("quota", "seats"), ["rank"], ["shard"], "shard_size", "seats").select("rank", "shard", "shard_size", F.col("quota")), "mix-quotas")
-    placed = with_source.withColumn("start", F.sum("size").over(Window.partitionBy("rank", "shard").orderBy("_mix", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)))
+    numbered = _numbered_copies(narrow, shard_words)
+    with_source = numbered.join(targets.select(F.col("source").alias("_s"), "rank", "source_size", "target", "n_shards"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    with_source = with_source.withColumn("shard", F.pmod(F.when(F.col("_lot") == 0, F.col("_mix")).otherwise(F.xxhash64("_mix", "_lot")), F.col("n_shards")))
+    shards = with_source.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size")).withColumn("bunch", F.expr(f"shard div {BUNCH}"))
+    shards = stage(shards, "mix-shards")
+    bunches = shards.groupBy("rank", "bunch").agg(F.sum("shard_size").alias("bunch_size")).join(targets.select("rank", F.col("quota").alias("seats")), "rank")
+    bunches = sainte_lague(bunches, ["rank"], ["bunch"], "bunch_size", "seats").select("rank", "bunch", F.col("quota").alias("seats"))
+    quotas = sainte_lague(shards.join(bunches, ["rank", "bunch"]), ["rank", "bunch"], ["shard"], "shard_size", "seats")
+    quotas = stage(quotas.select("rank", "shard", "shard_size", "quota"), "mix-quotas")
+    placed = with_source.withColumn("start", F.sum("size").over(Window.partitionBy("rank", "shard").orderBy("_mix", "doc_id", "size", "_row").rowsBetween(Window.unboundedPreceding, -1)))
     placed = placed.withColumn("start", F.coalesce("start", F.lit(0))).join(quotas, ["rank", "shard"])
     n = F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block)).cast("long")
     placed = placed.withColumn("n_blocks", n).withColumn("seats", F.least(F.col("quota"), max_repeat * F.col("n_blocks")))
@@ -103,10 +129,10 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     """(doc_id, size, source_size, target, taken, source) for each row.
 
     A null text has size 0 and takes nothing. Null is a source of its own, last in order. A null id is an id as any
-    other. Repeated rows take each by themselves; where they are equal in all columns their places in the shard tie,
-    which changes no total. A long text is part of one shard, which it makes as large as it needs. An empty table
-    gives an empty result. Other columns of docs aren't read. Windows go over one row a source or a shard (a million
-    words each), and over the rows of a shard.
+    other. Repeated rows take each by themselves; which of those equal in id, text and source takes what may change, not
+    what is taken. Equal rows with more words than a shard go to many. A long text is part of one shard, which it makes
+    as large as it needs. An empty table gives an empty result. Other columns of docs aren't read. Windows go over one
+    row a source, over up to 4,096 shards (a million words each) or as many bunches of them, and over a shard's rows.
     """
     p = _doc_plan(docs, doc_id, text, source, weights, max_repeat, seed, block, shard_words)
     part = F.aggregate(_chosen(block), F.lit(0).cast("long"), lambda s, j: s + F.least((j + 1) * block, F.col("start") + F.col("size")) - F.greatest(j * block, F.col("start")))
@@ -115,18 +141,18 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars", weights=(5, 2, 1), max_repeat: int = 3, seed: int = 17, block: int = 16, shard_words: int = 1_000_000) -> DataFrame:
     """The mix itself, with the columns of docs, of any names: one row for each full pass over a document, and one with
-    the words of its chosen blocks, space-joined, for the partial pass. Documents that take nothing have no row. Rows
-    that are equal in id and text take alike, each for itself. An empty table stays empty.
+    the words of its chosen blocks, space-joined, for the partial pass. Documents that take nothing have no row. Each row
+    takes by a plan of its own, whatever ids, texts and sources repeat: rows are numbered in a table written first. An
+    empty table stays empty. Very long texts are rows as any; their chosen words are cut out in one value.
     """
-    p = _doc_plan(docs, doc_id, text, source, weights, max_repeat, seed, block, shard_words)
-    of, key, passes, spans, copy = (fresh(x) for x in ("id", "row", "passes", "spans", "copy"))
+    own, passes, spans, copy = (fresh(x) for x in ("row", "passes", "spans", "copy"))
+    numbered = stage(docs.withColumn(own, F.monotonically_increasing_id()), "mix-rows")
+    p = _doc_plan(numbered, doc_id, text, source, weights, max_repeat, seed, block, shard_words, own)
     parts = F.transform(_chosen(block), lambda j: F.struct((F.greatest(j * block, F.col("start")) - F.col("start")).alias("at"), (F.least((j + 1) * block, F.col("start") + F.col("size")) - F.greatest(j * block, F.col("start"))).alias("n")))
     some = p.withColumn("_parts", parts).where("size > 0 and (passes > 0 or size(_parts) > 0)")
-    plan = some.select(F.col("doc_id").alias(of), F.col("_mix").alias(key), F.col("passes").cast("int").alias(passes), F.col("_parts").alias(spans)).dropDuplicates([of, key])
+    plan = some.select(F.col("_row").alias(own), F.col("passes").cast("int").alias(passes), F.col("_parts").alias(spans))
     words = F.filter(F.split(F.col(text), SPACE + "+"), lambda w: w != "")
-    own = fresh("row")
-    both = docs.withColumn(own, F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)))
-    both = both.join(plan, (F.col(own) == F.col(key)) & F.col(doc_id).eqNullSafe(F.col(of)))
+    both = numbered.join(plan, own)
     # the words are one value that the inner function uses, so that they are split once for a row
     part = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(spans, lambda s: F.slice(w, (s["at"] + 1).cast("int"), s["n"].cast("int")))), " "))[0]
     given = [F.col(f"`{c}`") for c in docs.columns]

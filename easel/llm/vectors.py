@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import components, map_batches, stage
 
@@ -24,7 +25,13 @@ _CHUNK = 1024  # columns of a block pair that are compared at once
 
 def _units(embedding: pa.Array) -> np.ndarray:
     v = np.stack([np.asarray(x.values, np.float64) for x in embedding]) if len(embedding) else np.zeros((0, 1))
-    return v / np.sqrt((v * v).sum(1, keepdims=True))
+    return unit(v)
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows over their lengths; over their largest component first, so that no square leaves the range of doubles."""
+    v = v / np.abs(v).max(-1, keepdims=True, initial=0)
+    return v / np.sqrt((v * v).sum(-1, keepdims=True))
 
 
 def usable(embedding: Column) -> Column:
@@ -45,8 +52,7 @@ def choose_pivots(classes: DataFrame, per_label: int, most: int, block: int) ->
     rows = thin.withColumn("_n", nth).where(F.col("_n") <= F.col("_want")).orderBy("_n", "label", "dim").limit(most).collect()
     out: dict = {}
     for r in rows:
-        v = np.array(r["embedding"], np.float64)
-        out.setdefault((r["label"], r["dim"]), []).append(v / np.sqrt((v * v).sum()))
+        out.setdefault((r["label"], r["dim"]), []).append(unit(np.array(r["embedding"], np.float64)))
     return {k: np.stack(v) for k, v in out.items()}
 
 
@@ -98,7 +104,8 @@ def vector_links(classes: DataFrame, bound: float, per_label: int = 8, most: int
             cell[at], dist[at], known[at] = d.argmin(1), d.min(1), True
         return {**cols, "cell": pa.array(cell), "dist": pa.array(dist), "known": pa.array(known)}
 
-    point = "class_id long, label int, dim int, embedding array<float>, copies long"
+    kinds = {c: classes.schema[c].dataType.simpleString() for c in ("label", "embedding")}
+    point = f"class_id long, label {kinds['label']}, dim int, embedding {kinds['embedding']}, copies long"
     homes = stage(map_batches(classes.withColumn("weight", F.lit(b"1")), nearest, f"{point}, weight binary, cell int, dist double, known boolean", "weight", 2048).drop("weight"), "vector-cells")
     # cells that have a pivot, so `most` rows at most
     radius = {(c["label"], c["dim"], c["cell"]): c["radius"] for c in homes.where("known").groupBy("label", "dim", "cell").agg(F.max("dist").alias("radius")).collect()}
@@ -160,10 +167,13 @@ def vector_groups(vectors: DataFrame, bound: float = 0.93, vec_id: str = "vec_id
     one class with a number of copies, joined once. Rows with a null label, or whose vector is null, empty, zero or
     has null or non-finite components, link with nothing and are their own component. Rows are rows: those of one id
     count and link each by its vector, n_links counts rows, and a row without an id links as any other but never names
-    a component, whose id is null where it has no other rows. kept is whether the ids are the same, null and null too.
+    a component, whose id is null where it has no other rows. Whole numbers are compared as longs as labels, others as
+    strings; floats and doubles stay what they are. kept is whether the ids are the same, null and null too.
     An empty table gives an empty result. Other columns aren't read.
     """
-    v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("embedding"), F.col(label).cast("int").alias("label"))
+    kind = vectors.schema[embedding].dataType.elementType.simpleString()
+    labels = "long" if isinstance(vectors.schema[label].dataType, T.IntegralType) else "string"
+    v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{kind if kind in ('float', 'double') else 'double'}>").alias("embedding"), F.col(label).cast(labels).alias("label"))
     v = v.withColumn("ok", usable(F.col("embedding")) & F.col("label").isNotNull())
     classes = v.where("ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
     # the number of a class is its own key, as ids may repeat; the table is written, so it stays

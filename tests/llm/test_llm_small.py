@@ -108,6 +108,15 @@ def test_vectors(spark):
     assert sorted(str(tuple(r)) for r in vectors.vector_groups(twice, block=16).collect()) == want
 
 
+def test_vectors_of_doubles_and_wide_labels(spark):
+    rows = [(1, [1e-200, 2e-200], 3_000_000_000), (2, [1.0, 2.0], 3_000_000_000), (3, [1.0, 2.0], 4_000_000_000), (4, [1e200, 2.1e200], 3_000_000_000), (5, [1.0, 2.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    want = {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1), 5: (0, 5)}
+    named = df.withColumn("label", F.concat(F.lit("l"), F.col("label").cast("string")))
+    for given in (df, named, df.withColumn("label", F.col("label").cast("double"))):
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.vector_groups(given).collect()} == want
+
+
 def _signed(x):
     return x - (1 << 64) if x >> 63 else x
 
@@ -386,6 +395,38 @@ def test_mixed_documents_hold_what_is_taken(docs):
     assert mixing.mixed_documents(other.limit(0)).collect() == []
 
 
+def test_mixed_documents_of_repeated_rows(spark):
+    """Ids and texts that repeat in one source and in two: each source's words are those of its own plan."""
+    rng = random.Random(4)
+    t = prose(rng, 80)
+    rows = [(1, t, "a"), (1, t, "c"), (1, t, "c"), (2, t, "b"), (None, t, "a"), (None, t, "a"), (None, t, None)] + [(k, prose(rng, 60), "abc"[k % 3]) for k in range(5, 30)]
+    df = table(spark, rows)
+    plan, n = collections.Counter(), collections.Counter()
+    for r in mixing.mix_sources(df).collect():
+        plan[r["doc_id"], r["size"], r["source"]] += r["taken"]
+    for r in mixing.mixed_documents(df).collect():
+        n[r["doc_id"], 80 if r["doc_id"] in (1, 2, None) else 60, r["source"]] += len(words(r["text"]))
+    assert n == {k: v for k, v in plan.items() if v}
+    assert plan[1, 80, "a"] != plan[1, 80, "c"]
+
+
+def test_equal_rows_go_to_many_shards(spark):
+    rows = [(None, "one two three four", "a")] * 300 + [(k, "five six", "a") for k in range(40)] + [(k, "five six", "b") for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    p = mixing._doc_plan(df, "doc_id", "text", "source", (5, 2, 1), 3, 17, 4, 50).select("rank", "shard", "size", "doc_id").collect()
+    most = collections.Counter((r["rank"], r["shard"]) for r in p if r["doc_id"] is None)
+    assert len(p) == len(rows) and len(most) > 10 and max(most.values()) <= 8 * 12
+    got = mixing.mix_sources(df, block=4, shard_words=50).collect()
+    taken, target = collections.Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert r["taken"] <= 3 * r["size"]
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 0.1 * target[s] for s in target)
+    again = mixing.mix_sources(df.repartition(7), block=4, shard_words=50).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
 def test_taken_by_brute_force(spark):
     rng = random.Random(9)
     rows = [(k, prose(rng, rng.choice([0, 1, 3, 20, 90])), rng.choice(["a", "b", "b", "b", "c", None])) for k in range(150)]
@@ -424,6 +465,17 @@ def test_taken_by_brute_force(spark):
         assert {k: got[k]["taken"] for k in ids} == {k: taken[k] for k in ids}
 
 
+def test_shards_in_bunches(spark, docs, monkeypatch):
+    before = mixing.mix_sources(docs, block=4, shard_words=100).collect()
+    monkeypatch.setattr(mixing, "BUNCH", 3)
+    after = mixing.mix_sources(docs, block=4, shard_words=100).collect()
+    sums = [collections.Counter() for _ in range(2)]
+    for n, rows in zip(sums, (before, after)):
+        for r in rows:
+            n[r["source"]] += r["taken"]
+    assert all(abs(sums[0][s] - sums[1][s]) <= 200 for s in sums[0])
+
+
 def test_sainte_lague_is_highest_quotients(spark):
     rng = random.Random(6)
     data = [(g, i, float(rng.choice([0, 1, 5, rng.randint(1, 1000)])), 37) for g in range(5) for i in range(9)] + [(9, 0, 0.0, 5)]
@@ -503,27 +555,35 @@ def test_language_model_sums_all_segmentations_of_documents(docs, corpus):
         if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1:
             c.update(w)
             n_docs += 1
-    n = 1000.0 * trie.before
-    for word, times in c.items():
-        rest = b" " + word
-        while rest:
-            piece = next(rest[:k] for k in range(min(len(rest), trie.longest), 0, -1) if rest[:k] in place)
-            n[place[piece]] += times
-            rest = rest[len(piece) :]
-    total = n.sum() + n_docs + 1
-    p = {x: float(n[i] / total) for x, i in place.items()}
+    share = trie.before
+    for _ in range(3):
+        # expected uses of pieces, by sums of probabilities ahead of and behind each place
+        used = np.zeros(len(share))
+        for word, times in c.items():
+            w = b" " + word
+            edges = [(i, j, place[w[i:j]]) for j in range(1, len(w) + 1) for i in range(max(0, j - trie.longest), j) if w[i:j] in place]
+            ahead, back = [1.0] + [0.0] * len(w), [0.0] * len(w) + [1.0]
+            for i, j, k in edges:
+                ahead[j] += ahead[i] * share[k]
+            for i, j, k in sorted(edges, reverse=True):
+                back[i] += back[j] * share[k]
+            for i, j, k in edges:
+                used[k] += times * ahead[i] * share[k] * back[j] / ahead[-1]
+        end = (n_docs + 1) / (used.sum() + n_docs + 2)
+        share = (0.98 * used / used.sum() + 0.02 * trie.before) * (1 - end)
+    p = {x: float(share[i]) for x, i in place.items()}
 
     def brute(w):
         text, ways = b"".join(b" " + x for x in w), [0.0]
         for j in range(1, len(text) + 1):
             got = [ways[i] + math.log(p[text[i:j]]) for i in range(max(0, j - trie.longest), j) if text[i:j] in p]
             ways.append(max(got) + math.log(sum(math.exp(g - max(got)) for g in got)))
-        return (ways[-1] + math.log((n_docs + 1) / total)) / math.log(10)
+        return (ways[-1] + math.log(end)) / math.log(10)
 
     want = sorted(map(brute, tokens))
     for parts in (1, 13):
         got = language_model.score_documents(docs.repartition(parts), PIECES).collect()
-        assert np.allclose(sorted(r["score"] for r in got), want, rtol=1e-9)
+        assert np.allclose(sorted(r["score"] for r in got), want, rtol=1e-6)
 
 
 def test_language_model_of_long_words_and_texts(spark):
@@ -551,9 +611,24 @@ def test_lattice_sums_all_segmentations():
     some = [b"the", b"theretion", "çé漢".encode(), b"a", b"x" * 50, b"theretion" * 200]
     got = language_model.word_likelihoods(trie, np.log(p), some)
     assert np.allclose(got, [brute(b" " + w) for w in some])
-    used = language_model.longest_pieces(trie, some, np.ones(len(some)))
-    assert (used == sum(language_model._longest_pieces(trie, [w], np.ones(1)) for w in some)).all()
-    assert sum(len(trie.pieces[i]) * used[i] for i in np.flatnonzero(used)) == sum(len(w) + 1 for w in some)
+    used = language_model.expected_pieces(trie, np.log(p), some, np.arange(1.0, len(some) + 1))
+    assert np.allclose(used, sum(n * language_model._expected(trie, np.log(p), [w], np.ones(1)) for n, w in enumerate(some, 1)))
+    assert np.isclose(sum(len(trie.pieces[i]) * used[i] for i in np.flatnonzero(used)), sum(n * (len(w) + 1) for n, w in enumerate(some, 1)))
+
+
+def test_more_passes_fit_better(spark):
+    """Training raises the likelihood of the training texts, and of those held out."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+    def each(passes):
+        n = collections.Counter()
+        for r in language_model.score_documents(df, PIECES, passes=passes).collect():
+            n[r["held_out"], "score"] += r["score"]
+            n[r["held_out"], "tokens"] += r["n_tokens"]
+        return [n[h, "score"] / n[h, "tokens"] for h in (False, True)]
+
+    none, one, three = each(0), each(1), each(3)
+    assert none[0] + 1 < one[0] < three[0] and none[1] + 1 < one[1] < three[1]
 
 
 def restorer(words, n=4000):
@@ -636,35 +711,80 @@ def test_classifiers(spark, docs, corpus, empty):
 
 def test_classifier_gradient_and_training():
     rng = np.random.default_rng(5)
-    vectors, classes, share = rng.normal(size=(6, 3)), rng.normal(size=(2, 3)), rng.random(6)
+    vectors, classes, share, const = rng.normal(size=(6, 3)), rng.normal(size=(2, 3)), rng.random(6), np.array([0.3, -0.4])
     share /= share.sum()
-    loss, by_vectors, by_classes = quality_classifier.gradient(vectors, classes, share, 1)
+    loss, by_vectors, by_classes = quality_classifier.gradient(vectors, classes, const, share, 1)
     for x, g in ((vectors, by_vectors), (classes, by_classes)):
         for i in np.ndindex(*x.shape):
-            up, down = (quality_classifier.gradient(*[y + e * (np.arange(y.size).reshape(y.shape) == np.ravel_multi_index(i, y.shape)) if y is x else y for y in (vectors, classes)], share, 1)[0] for e in (1e-6, -1e-6))
+            up, down = (quality_classifier.gradient(*[y + e * (np.arange(y.size).reshape(y.shape) == np.ravel_multi_index(i, y.shape)) if y is x else y for y in (vectors, classes)], const, share, 1)[0] for e in (1e-6, -1e-6))
             assert abs((up - down) / 2e-6 - g[i]) < 1e-6
     docs = [(np.array([0, k]), np.array([0.25, 0.75]), int(k > 5)) for k in rng.integers(1, 10, 60)]
     # the same statement with dense documents and no shortcut
     r = np.random.default_rng(3)
     v, c, step = r.uniform(-0.25, 0.25, (10, 4)), np.zeros((2, 4)), 0
-    for _ in range(5):
+    b = np.log([1 + sum(1 - y for *_, y in docs), 1 + sum(y for *_, y in docs)])
+    for _ in range(12):
         for i in r.permutation(60):
             x = np.zeros(10)
             x[docs[i][0]] = docs[i][1]
-            p = np.exp(c @ (x @ v)) / np.exp(c @ (x @ v)).sum() - np.eye(2)[docs[i][2]]
-            lr = 0.4 * (1 - step / 300)
+            p = np.exp(c @ (x @ v) + b) / np.exp(c @ (x @ v) + b).sum() - np.eye(2)[docs[i][2]]
+            lr = 0.4 * (1 - step / 720)
             v, c, step = v - lr / (x @ x) * np.outer(x, p @ c), c - lr * np.outer(p, x @ v), step + 1
-    got = quality_classifier.train(docs, dim=4, buckets=10)
-    assert np.allclose(got, v @ (c[1] - c[0])) and (got[6:] > got[1:6].max()).all()
-    assert (quality_classifier.train([], buckets=10) == 0).all()
+    got, constant = quality_classifier.train(docs, dim=4, buckets=10)
+    assert np.allclose(got, v @ (c[1] - c[0])) and (got[6:] > got[1:6].max()).all() and np.isclose(constant, b[1] - b[0])
+    none, zero = quality_classifier.train([], buckets=10)
+    assert (none == 0).all() and zero == 0
 
 
-def test_features_are_of_characters_and_whole_texts():
+def _said(n):
+    """The bucket of a 64-bit number."""
+    n ^= n >> 29
+    return (n * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 46
+
+
+def test_features_are_of_words_runs_and_characters():
     flat = lambda t: np.sort(np.concatenate(quality_classifier.features(t.encode())))
-    t = "añb aé"
-    assert len(flat(t)) == 1 + 2 + 1 + (5 + 4 + 3) and (flat(t) < quality_classifier.BUCKETS).all()
+    t = "añb aé b"
+    want = []
+    for n in (1, 2, 3):
+        want += [_said((int(h) + n) & (1 << 64) - 1) for h in substrings.window_hashes(substrings.word_hashes([w.encode() for w in t.split()]), n)]
+    for n in (2, 3, 4):
+        for i in range(len(t) - n + 1):
+            h = ord(t[i])
+            for c in t[i + 1 : i + n]:
+                h = h * 0x01000193 & 0xFFFFFFFF ^ ord(c)
+            want.append((h * 0x9E3779B1 & 0xFFFFFFFF) >> 14)
+    assert flat(t).tolist() == sorted(want) and max(want) < quality_classifier.BUCKETS
+    assert len(flat("")) == 0
     long = "çé" * 2_200_000
-    assert len(flat(long)) == 1 + 1 + 3 * len(long) - 6
+    assert len(flat(long)) == 1 + 3 * len(long) - 6
+
+
+def test_no_bucket_is_of_repeated_words_alone():
+    """Runs of one word repeated are as far apart as any other runs, and a run's order counts."""
+    runs = {w: [tuple(f.tolist()) for f in quality_classifier.features(f"{w} {w} {w}".encode())[2:4]] for w in ("foo", "bar", "the", "x")}
+    seen = [b for r in runs.values() for f in r for b in set(f)]
+    assert len(set(seen)) == len(seen) == 8
+    ab, ba = (quality_classifier.features(t)[2][0] for t in (b"foo bar", b"bar foo"))
+    assert ab != ba
+
+
+def test_quality_score_by_plain_sums(spark, docs):
+    """Scores are those of the trained weights over the texts' features; empty texts score the share of label 1."""
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 12) + (" zz zz" if i % 3 else ""), "a") for i in range(90)] + [(200, "", "a"), (201, None, "a"), (202, "long " * 200_000, "a")]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)], "doc_id long, quality int")
+    sample = sorted((i, t, int(i % 3 > 0)) for i, t, _ in rows[:90] if zlib.crc32(str(i).encode()) % 5)
+    counted = []
+    for _, t, y in sample:
+        n = np.bincount(np.concatenate(quality_classifier.features(t.encode())))
+        counted.append((np.flatnonzero(n), (n[n > 0] / n.sum()).astype(np.float32).astype(float), y))
+    weight, constant = quality_classifier.train(counted)
+    for r in quality_classifier.score_quality(table(spark, rows), labels).collect():
+        f = np.concatenate(quality_classifier.features((dict((i, t) for i, t, _ in rows)[r["doc_id"]] or "").encode()))
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-(weight[f].mean() if len(f) else 0) - constant)), rel_tol=1e-6)
+        if r["doc_id"] in (200, 201):
+            assert math.isclose(r["score"], (1 + sum(y for *_, y in sample)) / (2 + len(sample)))
 
 
 @pytest.mark.parametrize("name, label, least", [("op6_quality_classifier", "quality", 0.93), ("op10_toxicity", "toxic", 0.93)])
