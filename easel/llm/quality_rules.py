@@ -80,7 +80,8 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     """Counts, the base rule and the verdict for each row.
 
     A null or empty text has no words, fails the base rule and isn't kept. Rows stand alone: repeated rows
-    and null ids get a row each. Other columns of docs aren't read.
+    and null ids get a row each, and a very long text is counted whole in its row. An empty table gives an empty result.
+    Other columns of docs aren't read.
     """
     df = _measures(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").drop("text")
     df = df.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))

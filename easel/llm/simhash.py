@@ -177,7 +177,7 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of simhash_groups(), all columns kept, of any names: that of the smallest id, null
     last; of several with that id that of the smallest fingerprint, then of the smallest text hash; of rows equal in id
-    and text, one. An empty table stays empty."""
+    and text, one. Very long texts are read whole. An empty table stays empty."""
     fps = stage(fingerprints(docs, doc_id, text), "fingerprints")
     roots = _named(fps.select("doc_id", "fp")).where("fp = root_fp").select(F.col("fp").alias("_fp"), F.col("component_id").alias("_low"))
     first = fps.join(roots, (F.col("fp") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_low"))).groupBy("fp").agg(F.min(F.struct("tie", _no_null("doc_id").alias("id"))).alias("_k"))

@@ -204,7 +204,8 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     a smaller id. removed holds the ranges [a, b) of words that go; it is null for a copy that goes whole. whole
     is the SHA-256 of all words joined by one space, kept_sha256 that of the kept words. Null, empty and short
     texts lose nothing. Rows of one id don't take words from each other; rows with a null id neither lose words
-    nor take any. An empty table gives an empty result. Other columns of docs aren't read.
+    nor take any. Very long texts are read whole, one at a time. An empty table gives an empty result. Other columns of
+    docs aren't read.
     """
     rows = stage(sequences(docs, doc_id, text), "sequences")
     first = rows.groupBy("whole").agg(F.min("doc_id").alias("first"))
@@ -258,7 +259,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", window: int = 50) -> DataFrame:
     """The documents without the words that substring_dedup() removes, space-joined where any go; documents that
     lose all their words are left out. Columns stay, of any names; n_chars, if there, is counted anew. Rows of one id go
-    by their own words. An empty table stays empty."""
+    by their own words. Very long texts are cut whole. An empty table stays empty."""
     of, sums, removed, every, kept = (fresh(x) for x in ("id", "sum", "removed", "all", "kept"))
     found = substring_dedup(docs, doc_id, text, window).where("n_removed > 0").groupBy("doc_id", "whole").agg(F.first("removed").alias(removed), F.first(F.col("n_removed") == F.col("n_words")).alias(every))
     found = found.withColumnsRenamed({"doc_id": of, "whole": sums})

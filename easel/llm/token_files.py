@@ -296,7 +296,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def token_files(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, path: str | None = None) -> DataFrame:
     """Tokenize, write the files and read them back. Null and empty texts give the end id alone; rows with the
-    same id or a null id are all kept. An empty table gives files without blocks and no rows. Other columns of
+    same id or a null id are all kept. A very long text is encoded whole and lies in one block. An empty table gives files without blocks and no rows. Other columns of
     docs aren't read."""
     path = path or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, tokenizer_path, doc_id, text, end_id)

@@ -1,10 +1,11 @@
 """Toxicity of texts restored by a noisy-channel decoder.
 
 A token is what a channel made of meant letters: it writes look-alike digits and signs for letters, repeats letters,
-and puts signs between them; spaces between single characters are such signs too. Each token is a lattice of what its
-runs of equal characters may stand for, all of these at once; a Viterbi search under a character trigram model picks
-the reading, which is the token itself where nothing else is likelier. The restored words are then scored against
-evidence learned from labelled documents.
+and puts signs and spaces between them. Each span is a lattice of what its runs of equal characters may stand for, all of
+these at once; a Viterbi search under a character trigram model picks the reading, which is the span itself where nothing
+else is likelier. A span is a token, single characters in a row, or neighbouring tokens whose letters at the space between
+are likelier together than apart by more than such a space costs. The restored words are then scored against evidence
+learned from labelled documents.
 """
 
 from __future__ import annotations
@@ -37,11 +38,15 @@ _RUNS = re.compile(r"(?:([a-z])(?!\1)|[\x80-\xff])+|\s+|([^\s])\2*").finditer
 #: Signs that stand for nothing but themselves; at the ends of a token they are the break that is there anyway.
 _ENDS = bytes(b for b in range(33, 128) if not (chr(b).isalnum() or chr(b) in LEET))
 _LAST = _ENDS + b"!"  # at the end, an exclamation mark is one
+#: What a byte most likely stands for, one letter for all that look alike: l is one of those that look like i.
+_CANON = bytes(ord("i") if chr(b) in "l1!|" else ord(LEET[chr(b)][0]) if chr(b) in LEET else b for b in range(256))
 N_CLASSES = 64
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _CLASS[128:] = 27 + np.arange(128) % 37
 _CODES = _CLASS.tobytes()
+_GUESS = np.array([_CLASS[ord(LEET[chr(b)][0])] if chr(b) in LEET else _CLASS[b] for b in range(256)], np.int64)
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _KEEP = 48 << 20  # bytes of tokens that a worker remembers, for each of two caches
 
 
@@ -62,8 +67,11 @@ def letter_model(counts: np.ndarray) -> np.ndarray:
 
 
 class Restorer:
-    def __init__(self, log_p: np.ndarray):
-        self.log_p, self.known, self.options, self.room = log_p.ravel().tolist(), {}, {}, _KEEP
+    """starts: canonical first three letters of the words that are looked for across spaces, None for any."""
+
+    def __init__(self, log_p: np.ndarray, starts: set[bytes] | None = None):
+        self.table, self.starts = log_p.ravel(), starts
+        self.log_p, self.known, self.options, self.room = self.table.tolist(), {}, {}, _KEEP
 
     def option(self, c: str, n: int, alone: bool) -> list[tuple[str, bytes, float]]:
         """(text, its character classes, log probability of the channel) of what n times c may stand for; alone: no
@@ -136,17 +144,52 @@ class Restorer:
         token = token.rstrip(_LAST).lstrip(_ENDS)
         return self.restore(token) if _MANY_PATHS(token) else token
 
+    def joined(self, text: bytes) -> list[tuple[int, int]]:
+        """Where spans lie of neighbouring tokens with letters of a lower-cased text at whose spaces letters, or what looks like them, are likelier
+        side by side than with a break between, by more than a space in a word costs."""
+        b = np.frombuffer(text, np.uint8)
+        blank = _BLANK[b]
+        first = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+        last = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]]))
+        if len(first) < 2:
+            return []
+        g, lp = _GUESS[b], self.table
+        e, s = last[:-1], first[1:]
+        z, a = np.where(e > first[:-1], g[e - 1], 0), g[e]
+        c, d = g[s], np.where(s < last[1:], g[np.minimum(s + 1, len(g) - 1)], 0)
+        n = N_CLASSES
+        gain = lp[(z * n + a) * n + c] + lp[(a * n + c) * n + d] - lp[(z * n + a) * n] - lp[a * n * n + c] - lp[c * n + d]
+        has = np.add.reduceat(_CLASS[b] > 0, first) > 0  # a number is no part of a word
+        at = np.flatnonzero((gain + SPACED > 0) & (a > 0) & (c > 0) & has[:-1] & has[1:])
+        # spaces in a row make one span
+        cuts = np.flatnonzero(np.diff(at) > 1)
+        spans = zip(at[np.concatenate([[0], cuts + 1])].tolist(), at[np.concatenate([cuts, [len(at) - 1]])].tolist()) if len(at) else ()
+        places = [(first[i : j + 2].tolist(), int(last[j + 1]) + 1) for i, j in spans]
+        return [(p[0], end) for p, end in places if self.starts is None or self._wanted(text, p, end)]
+
+    def _wanted(self, text: bytes, places: list[int], end: int) -> bool:
+        """Whether some word looked for may start at one of a span's tokens."""
+        for p in places:
+            if b"".join(text[p : min(end, p + 24)].split())[:3].translate(_CANON) in self.starts:
+                return True
+        return False
+
     def tokens(self, text: bytes) -> set[bytes]:
-        """The distinct lower-cased tokens of a text, and the words that its single characters in a row are read as."""
+        """The distinct lower-cased tokens of a text, and the words that single characters in a row, and tokens that may
+        belong together, are read as."""
         text = text.lower()
         out = set(text.split())
         for m in _SINGLES.finditer(text):
             out.update(self.restore(m[0]).split())
+        for i, j in self.joined(text):
+            out.update(self.restore(text[i:j]).split())
         return out
 
     def __call__(self, text: bytes) -> bytes:
         """The lower-cased text restored, white space as single spaces."""
         joined = _SINGLES.sub(lambda m: self.restore(m[0]), text.lower())
+        for i, j in reversed(self.joined(joined)):
+            joined = joined[:i] + self.restore(joined[i:j]) + joined[j:]
         return b" ".join(map(self.token, joined.split()))
 
 
@@ -253,7 +296,7 @@ class Scorer:
 
     def scores(self, texts: list[bytes]) -> list[float]:
         if "found" not in self.__dict__:
-            self.found = Evidence(self.evidence, Restorer(self.model))
+            self.found = Evidence(self.evidence, Restorer(self.model, {m[:3].translate(_CANON) for m in self.evidence}))
         e, out = self.found, []
         for t in texts:
             z = sum(x * w for x, w in zip(e.features(e.restorer.tokens(t)), self.weights))
@@ -307,6 +350,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc
 
 def clean_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents that score_toxicity() doesn't predict toxic, each row by its own text, whatever its id; all columns
-    stay, of any names. An empty table stays empty."""
+    stay, of any names. Very long texts are scored whole. An empty table stays empty."""
     scorer = train_toxicity(docs, labels, doc_id=doc_id, text=text)
     return filter_rows(docs, text, lambda texts: [s < threshold for s in scorer.scores(texts)])

@@ -642,7 +642,7 @@ MEANT = ["the", "idiot", "was", "stupid", "and", "loser", "moron", "gone", "then
 
 @pytest.mark.parametrize(
     "written, meant",
-    [("1d10t", "idiot"), ("i d i o t", "idiot"), ("$tupid", "stupid"), ("l00ser", "loser"), ("m0r0n", "moron"), ("stuuuupid", "stupid"), ("i.d.i.o.t", "idiot"), ("1 d 1 0 t", "idiot"), ("m o r 0 n", "moron")]
+    [("1d10t", "idiot"), ("i d i o t", "idiot"), ("$tupid", "stupid"), ("l00ser", "loser"), ("m0r0n", "moron"), ("stuuuupid", "stupid"), ("i.d.i.o.t", "idiot"), ("1 d 1 0 t", "idiot"), ("m o r 0 n", "moron"), ("id iot", "idiot"), ("1d i0t", "idiot"), ("mo ron", "moron"), ("stu p id", "stupid")]
     + [("i  d  i  o  t", "idiot"), ("m-o-r-0-n", "moron"), ("mor0n", "moron"), ("5h17", "shit"), ("l0000ser", "loser"), ("iddiiott", "idiot"), ("S*T*U*P*1*D!", "stupid"), ("!diot", "idiot")],
 )
 def test_restore(written, meant):
@@ -802,3 +802,49 @@ def test_labelled_sample_is_bounded_by_rows(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(5)] + [(3, 0), (None, 1), (77, 1)], "doc_id long, quality int")
     got = labelled.labelled_sample(docs, labels, "quality", 4).collect()
     assert len(got) == len({r["doc_id"] for r in got}) <= 4 and all(r["label"] == r["doc_id"] % 2 for r in got)
+
+
+def _disguised(rng, word):
+    """A word as it may be written to slip through: look-alikes, a letter again and again, signs or spaces between."""
+    alike = {"o": "0", "i": "1", "e": "3", "a": "4@", "s": "5$", "t": "7", "b": "8", "g": "9"}
+    how = rng.randrange(5)
+    if how == 4:  # a space somewhere, and a look-alike
+        at = rng.randrange(2, len(word) - 1)
+        word = "".join(alike[c][0] if c in "oie" and rng.random() < 0.5 else c for c in word)
+        return word[:at] + " " + word[at:]
+    if how == 0:
+        return "".join(rng.choice(alike[c]) if c in alike else c for c in word)
+    if how == 1:
+        at = rng.randrange(len(word))
+        return word[:at] + word[at] * rng.randint(3, 6) + word[at + 1 :]
+    return ("." if how == 2 else " ").join(word)
+
+
+def test_restoring_catches_disguised_words(spark):
+    """Held-out toxic texts whose telling words are disguised: at as many false alarms, the decoder finds far more."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    scorer = toxicity.train_toxicity(docs, labels)
+    held = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0").join(labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
+    rows = [(r["text"] or "", r["toxic"]) for r in held.select("text", "toxic").collect()]
+    telling = {m for m in scorer.evidence if not m.endswith(b"-")}
+    rng = random.Random(2)
+    hidden, clean = [], [t.encode() for t, y in rows if not y]
+    for t, y in rows:
+        if y:
+            change = lambda m: _disguised(rng, m[0]) if m[0].encode() in telling or any(m[0][:k].encode() + b"-" in scorer.evidence for k in range(3, 9)) else m[0]
+            hidden.append(re.sub(r"[a-z]{4,}", change, t.lower()).encode())
+
+    class AsIs:
+        tokens = staticmethod(lambda text: set(text.lower().split()))
+        token = staticmethod(lambda t: t)
+
+    def caught(s):
+        alarm = sorted(s.scores(clean))[-max(1, len(clean) // 100)]
+        return sum(x > alarm for x in s.scores(hidden)) / len(hidden)
+
+    plain = toxicity.Scorer(scorer.model, scorer.evidence, np.array(scorer.weights))
+    plain.found = toxicity.Evidence(scorer.evidence, AsIs())
+    with_, without = caught(scorer), caught(plain)
+    print(f"disguised toxic texts caught: {with_:.3f} restored, {without:.3f} as they are, of {len(hidden)}")
+    assert with_ >= without + 0.3 and with_ >= 0.7
