@@ -9,31 +9,35 @@ from easel.llm import mixing, pieces, queries, shared, simhash, substrings, toxi
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labels of these documents, doesn't predict toxic: rows go by their own
-    text, null ids too; without labels all stay, as do columns of any names. An empty table stays empty."""
+    text, null ids too; without labels all stay, as do columns of any names. Very long texts are scored whole. An empty
+    table stays empty."""
     return toxicity.clean_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each SimHash group, null ids last, one row of several equal ones. Texts
-    without words are a group. Columns stay, of any names. An empty table stays empty."""
+    without words are a group. Very long texts are read whole. Columns stay, of any names. An empty table stays empty."""
     return simhash.keep_first(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 50 words that a document of a smaller id has; emptied ones go. Rows with a null id
-    neither lose words nor take any; rows of one id don't take words from each other. Columns stay, of any names."""
+    neither lose words nor take any; rows of one id don't take words from each other. Very long texts are cut whole.
+    Columns stay, of any names. An empty table stays empty."""
     return substrings.kept_documents(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a row for each full pass over a document, one for a partial pass. A null source
-    is one, null and empty texts give no row, a null id is an id. Columns stay, of any names."""
+    is one, null and empty texts give no row, a null id is an id, and each row takes by itself whatever ids and texts
+    repeat. Very long texts are rows as any. Columns stay, of any names. An empty table stays empty."""
     return mixing.mixed_documents(docs)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids, of the text they decode to and of the pieces' ends, a row for each row of the
-    mix; null ids stay."""
+    mix; null ids stay. Very long texts are encoded whole. Other columns, of whatever names, go. An empty table gives an
+    empty result."""
     return queries.digests(pieces.encode_pieces(docs, queries.tokenizer_path("piece_bpe_32k.model")))
 
 
