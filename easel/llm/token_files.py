@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import map_batches, shared_dir, text_bytes
+from .shared import map_batches, shared_dir, stage, text_bytes
 
 _KEEP = 96 << 20  # bytes of words that a worker remembers
 _SHARD = 256 << 20  # bytes of text in a shard, about
@@ -186,6 +186,47 @@ class Shards:
         return np.where(null, part(self.nulls), self.first[i] + np.where(hot, 1 + part(self.own[i]), 0)).astype(np.int32)
 
 
+def byte_cuts(sizes: DataFrame, n: int, fine: int = 8) -> list[int]:
+    """n - 1 ids, in order, that cut rows (id, bytes) into n parts of about as many bytes; an id that has more of them than
+    a part is there as often as it fills parts.
+
+    Ranges of ids that are heavier than a part over `fine` are cut into equal ones, again and again, until they are light
+    or one id. A pass sums bytes by range in each task first; the driver gets about `fine` numbers a part in each.
+    """
+    ends = sizes.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum("bytes").alias("bytes")).first()
+    if ends["low"] is None or n < 2:
+        return []
+    target = max(1, ends["bytes"] / n)
+    light, heavy = [], [(ends["low"], ends["high"], ends["bytes"])]
+    while heavy:
+        parts = [min(h - l + 1, max(2, int(fine * w / target) + 1)) for l, h, w in heavy]
+        steps = [-(-(h - l + 1) // k) for (l, h, _), k in zip(heavy, parts)]
+        lows, highs = (np.array([r[i] for r in heavy], np.int64) for i in (0, 1))
+        step, base = np.array(steps, np.uint64), np.concatenate([[0], np.cumsum(parts)])
+
+        def weigh(cols: dict) -> dict:
+            ids, size = cols["id"].to_numpy(), cols["bytes"].to_numpy()
+            i = np.maximum(np.searchsorted(lows, ids, "right") - 1, 0)
+            own = (ids >= lows[i]) & (ids <= highs[i])
+            i, ids, size = i[own], ids[own], size[own]
+            # the distance from a range's start, whatever the signs
+            at = base[i] + ((ids.view(np.uint64) - lows[i].view(np.uint64)) // step[i]).astype(np.int64)
+            found, where = np.unique(at, return_inverse=True)
+            return {"at": pa.array(found), "bytes": pa.array(np.bincount(where, size, len(found)).astype(np.int64))}
+
+        got = map_batches(sizes, weigh, "at long, bytes long").groupBy("at").agg(F.sum("bytes").alias("bytes")).toArrow().combine_chunks()
+        again = []
+        for k, w in zip(got["at"].to_pylist(), got["bytes"].to_pylist()):
+            r = int(np.searchsorted(base, k, "right")) - 1
+            low = heavy[r][0] + (k - int(base[r])) * steps[r]
+            high = min(heavy[r][1], low + steps[r] - 1)
+            (again if w > target / fine and high > low else light).append((low, high, w))
+        heavy = sorted(again)
+    light.sort()
+    reached = np.cumsum([w for *_, w in light])
+    return [light[i][1] for i in np.searchsorted(reached, target * np.arange(1, n)).clip(0, len(light) - 1)]
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, shards: Shards | None = None) -> DataFrame:
     """(doc_id, tie, ids, width, shard): the ids with end_id, as little-endian numbers of 2 bytes, or of 4 where the
     vocabulary needs it; tie is a hash of the text, which orders rows of one id."""
@@ -226,14 +267,12 @@ def _flat(ids: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, block_tokens: int = 1 << 20, shard_bytes: int = _SHARD) -> None:
     """Tokenize and write files at path, ids in ascending order (null first, ties by a hash of the text, then by the
-    token ids). There are as many shards as shuffle partitions, or one for each shard_bytes of text if that is more;
-    the driver holds one id and, in reading, one number a shard."""
-    key = F.col(doc_id).cast("long")
-    seen = docs.agg(F.count("*").alias("rows"), F.count_if(key.isNull()).alias("nulls"), F.sum(F.octet_length(text)).alias("bytes")).first()
+    token ids). There are as many shards as shuffle partitions, or one for each shard_bytes of text if that is more,
+    cut by bytes of text; the driver holds a few numbers and one id a shard and, in reading, one number a shard."""
+    sizes = stage(docs.select(F.col(doc_id).cast("long").alias("id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("bytes")), "token-sizes")
+    seen = sizes.agg(F.sum(F.when(F.col("id").isNull(), F.col("bytes"))).alias("nulls"), F.sum("bytes").alias("bytes")).first()
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(seen["bytes"] or 0) // shard_bytes))
-    # the ids' quantiles cut them into shards: one pass over the id column
-    cuts = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 20 * n).alias("q")).first()["q"] or []
-    shards = Shards(cuts, -(-n * seen["nulls"] // max(1, seen["rows"])))
+    shards = Shards(byte_cuts(sizes.where("id is not null"), n), -(-n * (seen["nulls"] or 0) // max(1, seen["bytes"] or 0)))
 
     def blocks(batches):
         shard, block, first, held, size = None, 0, 0, [], 0
