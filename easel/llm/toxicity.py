@@ -45,8 +45,9 @@ _CLASS = np.zeros(256, np.uint8)
 _CLASS[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _CLASS[128:] = 27 + np.arange(128) % 37
 _CODES = _CLASS.tobytes()
-_GUESS = np.array([_CLASS[ord(LEET[chr(b)][0])] if chr(b) in LEET else _CLASS[b] for b in range(256)], np.int64)
-_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_GUESS = bytes(int(_CLASS[ord(LEET[chr(b)][0])] if chr(b) in LEET else _CLASS[b]) for b in range(256))
+_BLANK = bytes(b in (9, 10, 11, 12, 13, 32) for b in range(256))
+_IS_LETTER = bytes(bool(c) for c in _CODES)
 _KEEP = 48 << 20  # bytes of tokens that a worker remembers, for each of two caches
 
 
@@ -67,7 +68,7 @@ def letter_model(counts: np.ndarray) -> np.ndarray:
 
 
 class Restorer:
-    """starts: canonical first three letters of the words that are looked for across spaces, None for any."""
+    """starts: canonical beginnings, up to 8 letters, of the words that are looked for across spaces, None for any."""
 
     def __init__(self, log_p: np.ndarray, starts: set[bytes] | None = None):
         self.table, self.starts = log_p.ravel(), starts
@@ -147,31 +148,37 @@ class Restorer:
     def joined(self, text: bytes) -> list[tuple[int, int]]:
         """Where spans lie of neighbouring tokens with letters of a lower-cased text at whose spaces letters, or what looks like them, are likelier
         side by side than with a break between, by more than a space in a word costs."""
-        b = np.frombuffer(text, np.uint8)
-        blank = _BLANK[b]
-        first = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-        last = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]]))
+        blank = np.frombuffer((b" " + text + b" ").translate(_BLANK), np.uint8)
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        first, last = edges[::2], edges[1::2] - 1
         if len(first) < 2:
             return []
-        g, lp = _GUESS[b], self.table
-        e, s = last[:-1], first[1:]
-        z, a = np.where(e > first[:-1], g[e - 1], 0), g[e]
-        c, d = g[s], np.where(s < last[1:], g[np.minimum(s + 1, len(g) - 1)], 0)
-        n = N_CLASSES
+        g, lp = np.frombuffer(text.translate(_GUESS), np.uint8), self.table
+        e, s, n = last[:-1], first[1:], N_CLASSES
+        a, c = g[e].astype(np.int64), g[s].astype(np.int64)
+        z, d = np.where(e > first[:-1], g[e - 1], 0).astype(np.int64), np.where(s < last[1:], g[np.minimum(s + 1, len(g) - 1)], 0)
         gain = lp[(z * n + a) * n + c] + lp[(a * n + c) * n + d] - lp[(z * n + a) * n] - lp[a * n * n + c] - lp[c * n + d]
-        has = np.add.reduceat(_CLASS[b] > 0, first) > 0  # a number is no part of a word
-        at = np.flatnonzero((gain + SPACED > 0) & (a > 0) & (c > 0) & has[:-1] & has[1:])
+        at = np.flatnonzero((gain + SPACED > 0) & (a > 0) & (c > 0))
+        if not len(at):
+            return []
+        # a number is no part of a word
+        has = np.logical_or.reduceat(np.frombuffer(text.translate(_IS_LETTER), bool), first)
+        at = at[has[at] & has[at + 1]]
         # spaces in a row make one span
         cuts = np.flatnonzero(np.diff(at) > 1)
         spans = zip(at[np.concatenate([[0], cuts + 1])].tolist(), at[np.concatenate([cuts, [len(at) - 1]])].tolist()) if len(at) else ()
-        places = [(first[i : j + 2].tolist(), int(last[j + 1]) + 1) for i, j in spans]
-        return [(p[0], end) for p, end in places if self.starts is None or self._wanted(text, p, end)]
-
-    def _wanted(self, text: bytes, places: list[int], end: int) -> bool:
-        """Whether some word looked for may start at one of a span's tokens."""
-        for p in places:
-            if b"".join(text[p : min(end, p + 24)].split())[:3].translate(_CANON) in self.starts:
-                return True
+        places = [(int(first[i]), int(last[j + 1]) + 1) for i, j in spans]
+        return places if self.starts is None else [(i, j) for i, j in places if self._wanted(text[i:j].translate(_CANON).split())]
+
+    def _wanted(self, tokens: list[bytes]) -> bool:
+        """Whether some word looked for may start in one of a span's tokens and go on in the next."""
+        for k in range(len(tokens) - 1):
+            size = len(tokens[k])
+            if size < 8:
+                joined = b"".join(tokens[k : k + 9 - size])[:8]
+                for n in range(max(3, size + 1), len(joined) + 1):
+                    if joined[:n] in self.starts:
+                        return True
         return False
 
     def tokens(self, text: bytes) -> set[bytes]:
@@ -296,7 +303,7 @@ class Scorer:
 
     def scores(self, texts: list[bytes]) -> list[float]:
         if "found" not in self.__dict__:
-            self.found = Evidence(self.evidence, Restorer(self.model, {m[:3].translate(_CANON) for m in self.evidence}))
+            self.found = Evidence(self.evidence, Restorer(self.model, {m.rstrip(b"-")[:8].translate(_CANON) for m in self.evidence}))
         e, out = self.found, []
         for t in texts:
             z = sum(x * w for x, w in zip(e.features(e.restorer.tokens(t)), self.weights))

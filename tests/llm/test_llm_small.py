@@ -500,6 +500,26 @@ def test_token_files(docs, corpus, empty):
     assert order == sorted(order) and token_files.token_files(empty, BYTES).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["even", "hot", "heavy texts", "far apart", "one", "clustered"])
+def test_shards_are_cut_by_bytes(spark, kind):
+    rng = random.Random(5)
+    ids = {"even": range(3000), "hot": [*range(1000), *[77] * 2000], "heavy texts": range(900), "far apart": [-(1 << 63), -(1 << 63) + 1, 0, (1 << 63) - 1] * 90, "one": [5] * 3000, "clustered": [10**15 + k for k in range(1500)] + [3, 10**18]}[kind]
+    rows = [(i, 5000 if kind == "heavy texts" and i < 40 else rng.randint(1, 60)) for i in ids]
+    df = spark.createDataFrame(rows, "id long, bytes long").repartition(3)
+    total = sum(b for _, b in rows)
+    for n in (1, 2, 7, 20):
+        cuts = token_files.byte_cuts(df, n)
+        assert len(cuts) == n - 1 and cuts == sorted(cuts)
+        shards = token_files.Shards(cuts, 0)
+        key = np.array([i for i, _ in rows], np.int64)
+        at = shards.of(key, np.zeros(len(rows), bool), np.array([rng.getrandbits(64) - (1 << 63) for _ in rows], np.int64))
+        held = np.bincount(at, [b for _, b in rows], shards.n)
+        most = {"far apart": total / 4, "heavy texts": 5000}.get(kind, 0)
+        assert at.max() < shards.n <= 2 * n + 1 and held.max() <= max(2.2 * total / n, 1.3 * most + total / n)
+        assert all(at[i] <= at[j] for i, j in itertools.pairwise(np.argsort(key, kind="stable")) if key[i] != key[j])
+    assert token_files.byte_cuts(df.limit(0), 4) == []
+
+
 @pytest.mark.parametrize("top", [1, 1 << 8, 1 << 16, 1 << 24, 1 << 32])
 def test_pack_round_trip(top):
     rng = np.random.default_rng(top)
