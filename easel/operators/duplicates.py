@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from easel.functions.rasters import dot
-from easel.plans.components import components
+from easel.plans.components import components, contracted
 from easel.plans.ship import ship
 from easel.plans.staging import stage, unstage
 
@@ -138,7 +139,10 @@ def max_similarity(items: DataFrame, edges: DataFrame, groups: DataFrame, id: st
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component) of nodes with links; component is the smallest id reachable."""
+    """(id, component) of nodes with links; component is the smallest id reachable. Whole numbers are linked within tasks
+    first."""
+    if isinstance(edges.schema[a].dataType, T.LongType) and isinstance(edges.schema[b].dataType, T.LongType):
+        edges = contracted(edges, a, b)
     return components(edges, a, b).select(F.col("node").alias("id"), F.col("root").alias("component"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from easel.plans.staging import stage
+
 SAFE = ("s", "safe", "general", "g")
 
 
@@ -69,13 +71,19 @@ def accept_up_to(posts: DataFrame, limit: int, ledger: DataFrame | None = None,
 
 
 def artist_sequence(posts: DataFrame, order: tuple[str, ...] = ("page", "pos", "id")) -> DataFrame:
-    """Adds file_name: the artist, made safe, a running number of four digits for the artist, the URL's extension."""
+    """Adds file_name: the artist, made safe, a running number of four digits for the artist, the URL's extension. Posts
+    are counted by ranges of the whole order, so an artist of many posts is no one task's work."""
     from easel.functions.names import sanitize
 
-    n = F.row_number().over(Window.partitionBy("artist").orderBy(*order)).cast("string")
+    from .tags import with_position
+
+    placed = stage(with_position(posts, ["artist", *order], "_at"), "artists")
+    starts = placed.groupBy(F.col("artist").alias("_artist")).agg(F.min("_at").alias("_start"))
+    posts = placed.join(starts, F.col("artist").eqNullSafe(F.col("_artist"))).withColumn("_n", F.col("_at") - F.col("_start") + 1)
+    n = F.col("_n").cast("string")
     ext = F.coalesce(F.nullif(F.lower(F.regexp_extract("url", r"(\.[A-Za-z0-9]+)(?:[?#].*)?$", 1)), F.lit("")), F.lit(".jpg"))
     number = F.when(F.length(n) < 4, F.lpad(n, 4, "0")).otherwise(n)
-    return posts.withColumn("file_name", F.concat(sanitize(F.concat(F.col("artist"), F.lit("_"), number)), ext))
+    return posts.withColumn("file_name", F.concat(sanitize(F.concat(F.col("artist"), F.lit("_"), number)), ext)).drop("_at", "_artist", "_start", "_n")
 
 
 def expand_pages(posts: DataFrame, id: str = "id", url: str = "url", count: str = "page_count", animated: str = "animated", keep_animated: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ship import ship
 from .staging import stage, unstage
 
 
@@ -34,3 +38,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def contracted(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Links (a, b) of whole numbers with the same components, at most one for each node and task: a task joins what its
+    own rows link, and gives each node with the smallest one that it found it linked to. Null ends and self links go."""
+    ship(edges.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if (x := root(x)) != (y := root(y)):
+                    up[max(x, y)] = min(x, y)
+        nodes = [x for x in up if root(x) != x]
+        for i in range(0, len(nodes), 1 << 16):
+            some = nodes[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array([root(x) for x in some], pa.int64()), pa.array(some, pa.int64())], [a, b])
+
+    whole = edges.select(F.col(a).cast("long").alias(a), F.col(b).cast("long").alias(b)).where(F.col(a) != F.col(b))
+    return whole.mapInArrow(run, f"`{a}` long, `{b}` long")

@@ -151,7 +151,9 @@ def d8_components(spark, d):
     return D.connected_components(D.hamming_pairs(signatures(spark, d), THRESHOLD))
 
 
-@query()
+@query(f"""with recursive {_EDGES}, n as materialized (select a x, b y from edges union select b, a from edges),
+ walk(step, gone, c, m) as (select 0, []::bigint[], null::bigint, []::bigint[] union all select step + 1, list_concat(gone, m2), c2, m2 from (select w.step, w.gone, p.c c2, list_prepend(p.c, p.m) m2 from walk w,
+ lateral (select x c, list(y) m from n where not list_contains(w.gone, x) and not list_contains(w.gone, y) group by x order by count(*) desc, x limit 1) p)) select unnest(m) id, c "group" from walk where c is not null""")
 def d9_star_groups(spark, d):
     return D.star_groups(D.hamming_pairs(signatures(spark, d), THRESHOLD))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -28,22 +29,27 @@ def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
-    if _open and not keep:
-        _open[-1].append(out)
+    if _lists() and not keep:
+        _lists()[-1].append(out)
     return out
 
 
-_open: list[list[DataFrame]] = []
+_open = threading.local()
+
+
+def _lists() -> list[list[DataFrame]]:
+    """This thread's open scratch() blocks."""
+    return _open.__dict__.setdefault("lists", [])
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
     """Tables staged inside are deleted at the end: for steps whose result is written inside, or that are over."""
-    _open.append([])
+    _lists().append([])
     try:
         yield
     finally:
-        for df in _open.pop():
+        for df in _lists().pop():
             unstage(df)
 
 

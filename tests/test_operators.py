@@ -165,6 +165,23 @@ def test_star_groups_and_components_random(spark):
     assert {r["id"]: r["component"] for r in D.connected_components(df).collect()} == low
 
 
+def test_links_within_tasks_keep_components(spark):
+    from easel.plans.components import contracted
+
+    rng = random.Random(7)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(5, 5), (None, 3), (4, None)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    few = [(r["a"], r["b"]) for r in contracted(df).collect()]
+    both = [{r["id"]: r["component"] for r in D.connected_components(x).collect()} for x in (df, df.selectExpr("cast(a as string) a", "cast(b as string) b"))]
+    low = {n: n for e in edges[:220] for n in e if e[0] != e[1]}
+    for _ in range(300):
+        for a, b in edges[:220]:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    assert both[0] == low and len(few) <= 3 * len(low) and all(a < b for a, b in few)
+    assert {int(k) for k in both[1]} == set(low)
+
+
 def test_star_groups_long_chain(spark):
     df = spark.range(1999).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["id"]: r["group"] for r in D.star_groups(df).collect()} == _stars([(i, i + 1) for i in range(1999)])
