@@ -12,14 +12,15 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import labelled_sample
-from .shared import filter_rows, fold, map_batches, text_bytes
+from .shared import filter_rows, fold, map_batches, scratch, stage, text_bytes
 
 # What digits and signs commonly stand for inside words.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -48,6 +49,7 @@ _CODES = _CLASS.tobytes()
 _GUESS = bytes(int(_CLASS[ord(LEET[chr(b)][0])] if chr(b) in LEET else _CLASS[b]) for b in range(256))
 _BLANK = bytes(b in (9, 10, 11, 12, 13, 32) for b in range(256))
 _IS_LETTER = bytes(bool(c) for c in _CODES)
+CLEAR = 1.5  # the log odds from which a mark is evidence
 _KEEP = 48 << 20  # bytes of tokens that a worker remembers, for each of two caches
 
 
@@ -214,22 +216,17 @@ def marks(word: bytes) -> list[bytes]:
     return [word, *(w[:k].encode() + b"-" for k in range(3, min(9, len(w))))]
 
 
-def learn(docs: list[tuple[set[bytes], int]], least: int = 4) -> dict[bytes, float]:
-    """Evidence for label 1: log odds of documents with a mark, over those without, where it is clear.
+def learn(held: Iterable[tuple[bytes, int, int]], n: tuple[int, int], least: int = 4) -> dict[bytes, float]:
+    """Evidence for label 1: log odds of documents with a mark, over those without, where it is clear. held: marks, and how
+    many of the n documents of labels 0 and 1 hold each.
 
     A mark counts when at least `least` documents of label 1 and at least 1 in 100 of them hold it.
     """
-    n = [0, 0]
-    held: tuple[dict, dict] = ({}, {})
-    for words, label in docs:
-        n[label] += 1
-        for m in {m for w in words for m in marks(w)}:
-            held[label][m] = held[label].get(m, 0) + 1
     out = {}
-    for m, k in held[1].items():
-        if k >= max(least, n[1] / 100):
-            w = math.log((k + 0.5) / (n[1] + 1)) - math.log((held[0].get(m, 0) + 0.5) / (n[0] + 1))
-            if w > 1.5:
+    for m, k0, k1 in held:
+        if k1 >= max(least, n[1] / 100):
+            w = math.log((k1 + 0.5) / (n[1] + 1)) - math.log((k0 + 0.5) / (n[0] + 1))
+            if w > CLEAR:
                 out[m] = w
     return out
 
@@ -270,26 +267,60 @@ class Evidence:
         return [1.0, first / 4, sum(top[1:3]) / 8, math.log1p(sum(x > 3 for x in top)), math.log1p(len(tokens)) / 8]
 
 
-def fit(docs: list[tuple[set[bytes], int]], rounds: int = 400, seed: int = 3) -> tuple[dict[bytes, float], np.ndarray]:
-    """(evidence, logistic weights): the weights are fitted on documents whose evidence comes from the other half."""
-    if not docs:
+def _counted_marks(sample: DataFrame, side, n: np.ndarray, least: int = 4) -> list[tuple[bytes, list[int]]]:
+    """(mark, number of documents of each side that hold it), by mark, for marks that may be evidence in a half or in
+    both: at least 1 in 100 documents of label 1 hold each, so a text's length doesn't bring many."""
+
+    def counted(cols: dict) -> dict:
+        held: dict[bytes, list[int]] = {}
+        for words, s in zip(cols["words"], side(cols["doc_id"], cols["label"])):
+            for m in {m for w in words.as_py().split() for m in marks(w)}:
+                held.setdefault(m, [0] * 4)[s] += 1
+        return {"mark": pa.array(list(held), pa.binary())} | {f"n{s}": pa.array([k[s] for k in held.values()], pa.int64()) for s in range(4)}
+
+    def may_be(sides: list[tuple[int, int]]) -> Column:
+        k0, k1 = (sum((F.col(f"n{x[y]}") for x in sides), F.lit(0)) for y in (0, 1))
+        all0, all1 = (int(sum(n[x[y]] for x in sides)) for y in (0, 1))
+        return (k1 >= max(least, all1 / 100)) & (F.log((k1 + 0.5) / (all1 + 1)) - F.log((k0 + 0.5) / (all0 + 1)) > CLEAR - 1e-6)  # learn() has the last word
+
+    rows = map_batches(sample, counted, "mark binary, n0 long, n1 long, n2 long, n3 long", "words", 1 << 20)
+    rows = rows.groupBy("mark").agg(*[F.sum(f"n{s}").alias(f"n{s}") for s in range(4)])
+    got = rows.where(may_be([(0, 1)]) | may_be([(2, 3)]) | may_be([(0, 1), (2, 3)])).toArrow().combine_chunks().sort_by("mark")
+    return list(zip(got["mark"].to_pylist(), zip(*[got[f"n{s}"].to_pylist() for s in range(4)])))
+
+
+def fit(sample: DataFrame, rounds: int = 400, seed: int = 3) -> tuple[dict[bytes, float], np.ndarray]:
+    """(evidence, logistic weights) from rows (doc_id, label, words, space-joined): the weights are fitted on documents whose
+    evidence comes from the other half. Words stay with the executors; the driver gets two numbers and five features a
+    row, and counts of the marks that may be evidence."""
+    rows = sample.select("doc_id", "label").toArrow().combine_chunks().sort_by("doc_id")
+    ids, y = rows["doc_id"].to_numpy(), rows["label"].to_numpy()
+    if not len(ids):
         return {}, np.zeros(5)
-    half = np.random.default_rng(seed).permutation(len(docs)) % 2
-    x, y = [], []
-    for h in (0, 1):
-        e = Evidence(learn([d for d, k in zip(docs, half) if k != h]))
-        for (words, label), k in zip(docs, half):
-            if k == h:
-                x.append(e.features(words))
-                y.append(label)
-    x, y, w = np.array(x), np.array(y), np.zeros(5)
+    half = np.random.default_rng(seed).permutation(len(ids)) % 2
+    n = np.bincount(2 * half + y, minlength=4)
+
+    def halves(doc_id: pa.Array) -> np.ndarray:
+        return half[np.searchsorted(ids, doc_id.to_numpy())]
+
+    held = _counted_marks(sample, lambda doc_id, label: (2 * halves(doc_id) + label.to_numpy()).tolist(), n)
+    others = [learn(((m, k[2 - 2 * h], k[3 - 2 * h]) for m, k in held), (n[2 - 2 * h], n[3 - 2 * h])) for h in (0, 1)]
+
+    def featured(cols: dict) -> dict:
+        e = [Evidence(w) for w in others]
+        x = [e[h].features(set(words.as_py().split())) for words, h in zip(cols["words"], halves(cols["doc_id"]).tolist())]
+        return {"doc_id": cols["doc_id"], "x": pa.array(x, pa.list_(pa.float64()))}
+
+    x = map_batches(sample, featured, "doc_id long, x array<double>", "words").toArrow().combine_chunks().sort_by("doc_id")["x"]
+    order, w = np.argsort(half, kind="stable"), np.zeros(5)
+    x, y = np.array(x.to_pylist())[order], y[order]
     for _ in range(rounds):  # Newton steps with a small ridge settle within a few
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-2 * np.eye(5), x.T @ (p - y) + 1e-2 * w)
         w = w - step
         if np.abs(step).max() < 1e-6:
             break
-    return learn(docs), w
+    return learn(((m, k[0] + k[2], k[1] + k[3]) for m, k in held), (n[0] + n[2], n[1] + n[3])), w
 
 
 class Scorer:
@@ -326,18 +357,18 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc
         return {"at": pa.array(at), "n": pa.array(n[at])}
 
     counts = np.zeros(N_CLASSES**3)
-    for r in map_batches(rows, letters, "at long, n long", "text").groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_pylist():  # 64^3 rows at most
-        counts[r["at"]] = r["n"]
+    got = map_batches(rows, letters, "at long, n long", "text").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # 64^3 rows at most
+    counts[got["at"].to_numpy()] = got["n"].to_numpy()
     model = letter_model(counts).astype(np.float32)
 
     def restored(cols: dict) -> dict:
         r = Restorer(model)
-        words = [sorted({w for x in r.tokens(t.as_py()) for w in words_of(r.token(x))}) for t in cols["text"]]
-        return {"doc_id": cols["doc_id"], "label": cols["label"], "words": pa.array(words, pa.list_(pa.binary()))}
+        words = [b" ".join(sorted({w for x in r.tokens(t.as_py()) for w in words_of(r.token(x))})) for t in cols["text"]]
+        return {"doc_id": cols["doc_id"], "label": cols["label"], "words": pa.array(words, pa.binary())}
 
-    # at most `most` rows of distinct words
-    sample = map_batches(labelled_sample(docs, labels, label, most, doc_id, text), restored, "doc_id long, label int, words array<binary>", "text").toArrow().combine_chunks().sort_by("doc_id")
-    return Scorer(model, *fit([(set(x.as_py()), y.as_py()) for x, y in zip(sample["words"], sample["label"])]))
+    sample = map_batches(labelled_sample(docs, labels, label, most, doc_id, text), restored, "doc_id long, label int, words binary", "text")
+    with scratch():
+        return Scorer(model, *fit(stage(sample, "toxicity-sample")))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", most: int = 6000, threshold: float = 0.5) -> DataFrame:

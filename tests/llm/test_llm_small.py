@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -868,3 +869,42 @@ def test_restoring_catches_disguised_words(spark):
     with_, without = caught(scorer), caught(plain)
     print(f"disguised toxic texts caught: {with_:.3f} restored, {without:.3f} as they are, of {len(hidden)}")
     assert with_ >= without + 0.3 and with_ >= 0.7
+
+
+def test_toxicity_learns_as_stated(spark):
+    """Evidence and logistic weights against a plain statement over whole sets of words."""
+    rng = random.Random(12)
+    given = [(i, prose(rng, rng.randint(0, 40)) + (" grolf" + rng.choice(["an", "in", "ou"]) if i % 3 == 1 else ""), int(i % 3 == 1 or i % 50 == 0)) for i in range(400)]
+    scorer = toxicity.train_toxicity(table(spark, [(i, t, "a") for i, t, _ in given]), spark.createDataFrame([(i, y) for i, _, y in given], "doc_id long, toxic int"))
+    r = toxicity.Restorer(scorer.model)
+    docs = [({w for x in r.tokens(t.encode()) for w in toxicity.words_of(r.token(x))}, y) for i, t, y in given if zlib.crc32(str(i).encode()) % 5]
+
+    def evidence(docs):
+        n = collections.Counter(y for _, y in docs)
+        held = collections.Counter((m, y) for words, y in docs for m in {m for w in words for m in toxicity.marks(w)})
+        odds = {m: math.log((k + 0.5) / (n[1] + 1)) - math.log((held[m, 0] + 0.5) / (n[0] + 1)) for (m, y), k in held.items() if y and k >= max(4, n[1] / 100)}
+        return {m: w for m, w in odds.items() if w > 1.5}
+
+    assert scorer.evidence == evidence(docs) and b"grol-" in scorer.evidence
+    half = np.random.default_rng(3).permutation(len(docs)) % 2
+    found = [toxicity.Evidence(evidence([d for d, k in zip(docs, half) if k != h])) for h in (0, 1)]
+    x, y, w = np.array([found[h].features(words) for (words, _), h in zip(docs, half)]), np.array([y for _, y in docs]), np.array(scorer.weights)
+    assert np.abs(x.T @ (1 / (1 + np.exp(-(x @ w))) - y) + 1e-2 * w).max() < 1e-4
+
+
+def test_toxicity_keeps_words_off_the_driver(spark):
+    """What the driver's Python holds while it learns doesn't grow with the words of the labelled texts."""
+    rng = np.random.default_rng(6)
+    letters = rng.integers(97, 123, (240, 3000, 8), dtype=np.uint8)
+    rows = [(i, " ".join(w.tobytes().decode() for w in x) + " grolfan" * (i % 2), "a") for i, x in enumerate(letters)]
+    docs = table(spark, rows).select("doc_id", "text").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(240)], "doc_id long, toxic int")
+    docs.count()  # what sends the rows is over
+    tracemalloc.start()
+    try:
+        scorer = toxicity.train_toxicity(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    print(f"the driver's Python held {peak:.0f} MB at most")
+    assert b"grolfan" in scorer.evidence and peak < 40
