@@ -92,7 +92,7 @@ def m1_batch_score(spark, d):
 
 @query(f"with {_V} select id, list_transform(e, lambda x: round(1 / (1 + exp(-greatest(-50, least(50, x * 400)))), 12)) p from v")
 def m2_sigmoid(spark, d):
-    return _vectors(spark, d).select("id", F.transform("e", lambda x: F.round(M.sigmoid(x * 400), 12)).alias("p"))
+    return _vectors(spark, d).select("id", F.transform("e", lambda x: R.round_scaled(M.sigmoid(x * 400), 12)).alias("p"))
 
 
 #: Names and categories of the 64 components as a vocabulary.

@@ -26,3 +26,8 @@ def test_fused_features_to_the_last_digit(spark, tmp_path):
     v = np.random.default_rng(1).normal(size=(30000, 64)).astype(np.float32)
     got, want = both(spark, tmp_path, "k2_fuse_features", v[[14607, 23591, 5]])
     assert got == want and len(got) == 3
+
+
+def test_sigmoid_to_the_last_digit(spark, tmp_path):
+    got, want = both(spark, tmp_path, "m2_sigmoid", [[0.016072409227490425, 0.5], [0.000217654014704749, -0.5]])
+    assert got == want and got["1"][1][0] == 0.521751663906
