@@ -209,3 +209,14 @@ def test_an_aborted_job_removes_what_its_tasks_wrote(tmp_path):
     assert len(list((tmp_path / "x").iterdir())) == 2
     w.abort([done, None])
     assert list((tmp_path / "x").iterdir()) == []
+
+
+def test_joins_of_pairs_do_not_pass_through_the_driver(spark):
+    """However small the tables are, no side of the joins of classes, members, links and reports is broadcast."""
+    v = spark.range(60).select("id", F.array((F.col("id") * 37 % 11).cast("long")).alias("hash"))
+    e = D.hamming_pairs(v, 1)
+    report = D.dedup_report(v.select("id"), D.star_groups(e), e)[0]
+    wide = D.hamming_pairs(spark.range(60).select("id", F.array(*[F.col("id") * 37 % 11] * 4).alias("hash")), 2, words=4, rows=10**7)
+    for df, n in ((e, 60), (report, 60), (wide, 60)):
+        assert df.count() >= n
+        assert "Broadcast" not in df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
