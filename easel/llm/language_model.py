@@ -289,7 +289,7 @@ def score_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", te
     empty result. Without training documents counts are 0 and pieces weigh what the vocabulary's scores say. Other
     columns of docs aren't read.
     """
-    batches = stage(read_batches(docs, doc_id, text, folds, held_out), "word-batches")
+    batches = stage(read_batches(docs, doc_id, text, folds, held_out), "word-batches", large=True)
     # a word's place is its batch and its number there
     each = batches.select("batch", F.posexplode(F.arrays_zip("words", "c")).alias("at", "w")).select(F.col("w.words").alias("word"), "batch", "at", "w.c")
     words = stage(each.groupBy("word").agg(F.sum("c").alias("n")), "words")

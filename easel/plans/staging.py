@@ -23,10 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write df as Parquet and read it back; an empty table stays readable. keep: also beyond scratch()."""
+#: Parquet looks at a row group's size after 100 rows at first; of rows of megabytes that is more than a task's memory.
+_LARGE = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+
+
+def stage(df: DataFrame, name: str, keep: bool = False, large: bool = False) -> DataFrame:
+    """Write df as Parquet and read it back; an empty table stays readable. keep: also beyond scratch(). large: rows are
+    of megabytes, so row groups, which writers and readers hold whole, end after 16 MB or one row."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(_LARGE if large else {})).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
     if _lists() and not keep:
