@@ -173,3 +173,18 @@ def test_grid_hashes_by_hand(images):
             want_p.append(sum(1 << (8 * u + v) for u in range(8) for v in range(8) if c[u][v] > m))
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     assert PX.dhash(x) == [signed(v) for v in want_d] and PX.phash(x) == [signed(v) for v in want_p]
+
+
+def test_framed_images_are_drawn_by_batches(spark):
+    """Pixels by hand; they are taken by an index of places in numpy, not by an expression a pixel."""
+    from easel.plans import pixel_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    df = Q.framed(spark, sf)
+    assert "MapInArrow" in df._jdf.queryExecution().toString()
+    rows = {str(r["vec_id"]): r["embedding"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 5").collect()}
+    for r in df.where("cast(file as long) < 5").collect():
+        own = [max(0, min(255, int((float(v) + 0.5) * 255))) for v in rows[r["file"]]]
+        frame, side = int(r["file"]) % 5 * 5, 96
+        want = [own[(y * (7 + k) + x * (3 + 2 * k) + x * y // 16) % 64] if frame <= min(x, y) and max(x, y) < side - frame else 0xE0 for y in range(side) for x in range(side) for k in range(3)]
+        assert list(r["data"]) == want
